@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, exact_dedup, mixing, sharding
+from plumbline.llm import decontam, exact_dedup, licenses, mixing, sharding
 
 QUERIES = {
     "op1_decontam": (decontam.op1_decontam, decontam.SQL),
     "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.SQL),
+    "op8_licenses": (licenses.op8_licenses, None),
     "op9_sharding": (sharding.op9_sharding, sharding.SQL),
 }
 
