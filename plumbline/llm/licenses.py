@@ -217,12 +217,14 @@ def find(text: str | None):
 
 MATCH = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("weight", pa.float64())])
 PLACE = pa.struct([("word", pa.int64()), ("label", pa.string())])
+PLACE_TYPE = T.StructType().add("word", "long").add("label", "string")
+MATCH_TYPE = T.StructType().add("first", "long").add("end", "long").add("label", "string").add("weight", "double")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with n_words, base_places (word, label) and license_matches (first, end, label, weight)."""
     docs = docs.drop("n_words", "base_places", "license_matches")
-    schema = T.StructType(docs.schema.fields).add("n_words", "long").add("base_places", "array<struct<word:bigint,label:string>>").add("license_matches", "array<struct<first:bigint,end:bigint,label:string,weight:double>>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("base_places", T.ArrayType(PLACE_TYPE)), T.StructField("license_matches", T.ArrayType(MATCH_TYPE))])
 
     def search(batches):
         for batch in batches:
