@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, exact_dedup, licenses, mixing, sharding
+from plumbline.llm import decontam, exact_dedup, language, licenses, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_decontam": (decontam.op1_decontam, decontam.SQL),
+    "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.SQL),
     "op8_licenses": (licenses.op8_licenses, None),
     "op9_sharding": (sharding.op9_sharding, sharding.SQL),
+    "op10_language": (language.op10_language, None),
 }
 
 
