@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, exact_dedup, language, licenses, mixing, sharding, toxicity
+from plumbline.llm import decontam, exact_dedup, jaccard, language, licenses, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_decontam": (decontam.op1_decontam, decontam.SQL),
+    "op4_jaccard": (jaccard.op4_jaccard, None),
     "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.SQL),
