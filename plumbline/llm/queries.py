@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, exact_dedup, jaccard, language, licenses, mixing, sharding, toxicity
+from plumbline.llm import decontam, exact_dedup, jaccard, language, licenses, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_decontam": (decontam.op1_decontam, decontam.SQL),
+    "op2_secrets": (secrets.op2_secrets, None),
+    "op3_quality": (quality.op3_quality, None),
     "op4_jaccard": (jaccard.op4_jaccard, None),
     "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.SQL),
