@@ -28,10 +28,13 @@ MOST_TIMES = 3
 BINS = 4096
 
 
+def word_count(text):
+    return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, _src (source, nulls last), size (words), _at (place in the hashed order)."""
-    size = F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("_src"), size.alias("size")).withColumn("_at", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))))
+    return docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("_src"), word_count("text").alias("size")).withColumn("_at", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))))
 
 
 def targets(totals: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES) -> DataFrame:
