@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import scoring
+from plumbline.plans import rules, scoring
 
-MODULES = (scoring,)
+MODULES = (scoring, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
