@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import rules, scoring
+from plumbline.plans import boards, diffs, rules, scoring
 
-MODULES = (scoring, rules)
+MODULES = (scoring, rules, diffs, boards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
