@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import boards, diffs, rules, scoring
+from plumbline.plans import boards, diffs, evidence, rules, scoring
 
-MODULES = (scoring, rules, diffs, boards)
+MODULES = (scoring, rules, diffs, boards, evidence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
