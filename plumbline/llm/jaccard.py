@@ -4,24 +4,25 @@ All shingles stand in one global order, and every document's set is a sorted lis
 order is cut into FRAGMENTS ranges of hashes; a candidate pair's overlap is counted in each
 fragment by itself and summed per pair, and histograms of the fragments bound the overlap before.
 
-1. Equal sets are one class. Only classes are compared.
+1. Equal sets are one class; its smallest doc_id is compared, the others aren't.
 2. The global order puts shingles that are common in a bounded sample of documents last and
    otherwise goes by hash. Any order gives the same links; this one keeps common phrases out.
-3. Two linked classes share a shingle among the first n - ceil(t n) + 1 of both (prefix).
-   Prefix shingles are dealt by hash. Those with up to FEW classes give all their pairs.
-4. Classes with a more frequent prefix shingle are compared once more among themselves: with
+3. Two linked sets share a shingle among the first n - ceil(t n) + 1 of both (prefix). Prefix
+   shingles are dealt by hash. Those of up to FEW documents give their pairs, as far as sizes and
+   places in the order allow.
+4. Documents with a more frequent prefix shingle are compared once more among themselves: with
    exact frequencies, rarest first, so that copies that differ in many places share nothing.
-   Here a shingle links all its classes to one centre first. Pairs of classes that are in
-   different components after that are compared too, within the bounds that the places in the
-   order allow: no link between components is lost, and pairs within one aren't spelled out.
+   Here a shingle links all its documents to one centre first. Pairs that are in different
+   components after that are compared too, within the same bounds: no link between components is
+   lost, and pairs within one aren't spelled out.
 
 A map task that sees one shingle more than FEW times sends a mark instead of its rows, so that a
 shingle of very many documents is not one task's work.
 
 Null, empty and wordless texts have an empty set, are linked with nothing and are components by
 themselves. A null doc_id belongs to the component of its text's class (null if that has no id).
-Rows that repeat a doc_id are compared by their own texts. Empty tables give no rows. Other
-columns are passed on; those named like results are replaced.
+Rows that repeat a doc_id are compared by their own texts; an id that is the smallest of several
+classes joins them. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +38,14 @@ from plumbline.llm.common import checkpoint, documents, size_checked, slices
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
-FEW = 16
+FEW = 96
 FRAGMENTS = 8
 BINS = 64
-SAMPLE_DOCS = 16_384
-SAMPLE_COMMON = 3
-MOST_COMMON = 500_000
+SAMPLE_DOCS = 32_768
+SAMPLE_COMMON = 2
+MOST_COMMON = 1_000_000
+#: Ids that are broadcast at most; more are shuffled.
+FEW_IDS = 1_000_000
 SLICE = 1 << 20
 
 
@@ -73,177 +76,189 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return h[order], n[order]
 
 
-def tokenized(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """doc_id, n_shingles, set_key, prefix (hashes as bytes, in the global order)."""
-    held = docs.sparkSession.sparkContext.broadcast(common)
-
-    def cut(batches):
-        often, count = held.value
-        maybe = np.zeros(1 << 22, bool)  # quick test by 22 bits
-        maybe[(often & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                sets = shingle_sets(part.column("text"), width)
-                prefixes = []
-                for h in sets:
-                    p = len(h) - least_overlap(len(h), percent) + 1 if len(h) else 0
-                    last = np.flatnonzero(maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                    if len(last) and len(often):
-                        at = np.minimum(np.searchsorted(often, h[last]), len(often) - 1)
-                        same = often[at] == h[last]
-                        last, at = last[same], at[same]
-                    if len(last):
-                        first = np.delete(h, last)
-                        if len(first) < p:
-                            first = np.concatenate([first, h[last[np.lexsort((h[last], count[at]))]]])
-                        h = first
-                    prefixes.append(h[:p].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n_shingles", "set_key", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n_shingles long, set_key binary, prefix binary")
+def prefix_of(h: np.ndarray, percent: int, common, maybe: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set in the global order: hashes, common ones last by frequency."""
+    often, count = common
+    p = len(h) - least_overlap(len(h), percent) + 1 if len(h) else 0
+    last = np.flatnonzero(maybe[(h & np.uint64(len(maybe) - 1)).astype(np.int64)])
+    if len(last):
+        at = np.minimum(np.searchsorted(often, h[last]), len(often) - 1)
+        same = often[at] == h[last]
+        last, at = last[same], at[same]
+        first = np.delete(h, last)
+        if len(first) < p:
+            first = np.concatenate([first, h[last[np.lexsort((h[last], count[at]))]]])
+        h = first
+    return h[:p]
 
 
 def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """docs with n_shingles and set_key."""
+    """doc_id, n_shingles and set_key of docs."""
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary())], names=[*part.schema.names, "n_shingles", "set_key"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key"])
 
-    from pyspark.sql import types as T
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n_shingles long, set_key binary")
 
-    return docs.mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType())]))
 
+def possible(n_a, at_a, n_b, at_b, percent: int, least=F.least):
+    """Whether sets may be linked that meet first at these places of the global order."""
+    return (100 + percent) * least(n_a - at_a, n_b - at_b) >= percent * (n_a + n_b)
 
-#: What a row of dealt() means: a class (node >= 0), a mark that the shingle is frequent (-1), or
-#: a class (-2 - node) of which a map task knows already that it has a frequent shingle.
-MARK = -1
 
-
-def dealt(classes: DataFrame) -> DataFrame:
-    """nodes (2 to FEW classes of one prefix shingle), or one class with a more frequent one (often)."""
+def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: pairs of documents (a < b) with a common prefix shingle that few have, within the
+    bounds of sizes and places; or a document a with a frequent one, where b is null."""
+    common = common_shingles(docs, width)
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def spread(batches):
+        common = held.value
+        maybe = np.zeros(1 << 22, bool)  # quick test by 22 bits
+        maybe[(common[0] & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
         for batch in batches:
-            n = np.array([len(x) // 8 for x in batch.column("prefix").to_pylist()], np.int64)
-            key = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
-            node = np.repeat(batch.column("node").to_numpy(), n)
+            keys, sizes = [], []
+            for part in slices(batch, "text", SLICE):
+                for h in shingle_sets(part.column("text"), width):
+                    keys.append(prefix_of(h, percent, common, maybe))
+                    sizes.append(len(h))
+            length = np.array([len(k) for k in keys], np.int64)
+            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            node = np.repeat(batch.column("doc_id").to_numpy(), length)
+            # A set's size and the place in it share a number; -1 marks a shingle as frequent, -2
+            # a document that has a frequent one.
+            place = (np.repeat(np.array(sizes, np.int64), length) << 32) + np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
             order = np.argsort(key, kind="stable")
-            key, node = key[order], node[order]
+            key, node, place = key[order], node[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(first, len(key)))
             many = np.repeat(size > FEW, size)
             known = np.unique(node[many])
             with np.errstate(over="ignore"):
                 k = np.concatenate([key[~many], key[first[size > FEW]], known * np.int64(0x5851F42D4C957F2D)])
-            v = np.concatenate([node[~many], np.full((size > FEW).sum(), MARK, np.int64), -2 - known])
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["key", "node"])
+            v = np.concatenate([node[~many], np.zeros((size > FEW).sum(), np.int64), known])
+            w = np.concatenate([place[~many], np.full((size > FEW).sum(), -1, np.int64), np.full(len(known), -2, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v), pa.array(w)], names=["key", "node", "place"])
 
     def gather(batches):
-        def out(groups, often):
-            groups = list(dict.fromkeys(groups))
-            nodes = [list(g) for g in groups] + [[int(x)] for x in often]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.list_(pa.int64())), pa.array([False] * len(groups) + [True] * len(often), pa.bool_())], names=["nodes", "often"])
+        def meet(key, node, place):
+            """Pairs and frequent documents of whole runs of keys."""
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            often = (size > FEW) | (np.minimum.reduceat(place, first) < 0)
+            rows = np.repeat(often, size)
+            frequent = node[rows & (place >= 0)]
+            rows = np.repeat(~often & (size > 1), size)
+            run, node, n, at = np.repeat(np.arange(len(first)), size)[rows], node[rows], place[rows] >> 32, place[rows] & 0xFFFFFFFF
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, FEW):
+                m = len(node) - d
+                if m <= 0 or not (same := run[:m] == run[d:]).any():
+                    break
+                same &= (node[:m] != node[d:]) & possible(n[:m], at[:m], n[d:], at[d:], percent, np.minimum)
+                a.append(np.minimum(node[:m], node[d:])[same])
+                b.append(np.maximum(node[:m], node[d:])[same])
+            return np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0), frequent
+
+        def out(pairs, frequent):
+            frequent = np.unique(frequent)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], frequent])), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(frequent), pa.int64())])], names=["a", "b"])
+
+        held, closed = None, None  # rows of a run that may go on; the key of one known to be frequent
+        for batch in batches:
+            key, node, place = (batch.column(c).to_numpy() for c in ("key", "node", "place"))
+            frequent = [node[place == -2]]
+            key, node, place = (x[place != -2] for x in (key, node, place))
+            if held is not None:
+                key, node, place = (np.concatenate(x) for x in zip(held, (key, node, place), strict=True))
+            more = key == closed if closed is not None else np.zeros(len(key), bool)
+            frequent.append(node[more & (place >= 0)])
+            key, node, place = (x[~more] for x in (key, node, place))
+            held, pairs = None, np.zeros((0, 2), np.int64)
+            if len(key):
+                tail = int(np.searchsorted(key, key[-1]))
+                if tail:
+                    pairs, f = meet(key[:tail], node[:tail], place[:tail])
+                    frequent.append(f)
+                held = tuple(x[tail:] for x in (key, node, place))
+                if len(held[0]) > FEW or held[2].min() < 0:
+                    frequent.append(held[1][held[2] >= 0])
+                    held, closed = None, key[-1]
+            yield out(pairs, np.concatenate(frequent))
+        if held is not None:
+            yield out(*meet(*held))
 
-        open_key, open_nodes, open_many = None, [], False
+    keys = docs.mapInArrow(spread, "key long, node long, place long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "a long, b long")
 
-        def close(groups):
-            if not open_many and len(open_nodes) > 1:
-                groups.append(tuple(open_nodes))
 
-        for batch in batches:
-            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            groups, often = [], [-2 - node[node < MARK]]
-            key, node = key[node >= MARK], node[node >= MARK]
-            if len(key):
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                size = np.diff(np.append(first, len(key)))
-                wanted = size > 1
-                wanted[-1] = True  # may go on in the next batch
-                wanted[0] |= key[0] == open_key
-                for at, n in zip(first[wanted].tolist(), size[wanted].tolist(), strict=True):
-                    if key[at] != open_key:
-                        close(groups)
-                        open_key, open_nodes, open_many = key[at], [], False
-                    some = node[at : at + n]
-                    if not open_many and ((some == MARK).any() or len(open_nodes) + n > FEW):
-                        often.append(np.array(open_nodes, np.int64))
-                        open_nodes, open_many = [], True
-                    if open_many:
-                        often.append(some[some != MARK])
-                    else:
-                        open_nodes = sorted({*open_nodes, *some.tolist()})
-            yield out(groups, np.unique(np.concatenate(often)).tolist())
-        groups = []
-        close(groups)
-        yield out(groups, [])
-
-    keys = classes.select("node", "prefix").mapInArrow(spread, "key long, node long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "nodes array<long>, often boolean")
-
-
-def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, n, bins (shingles in each of BINS ranges), shingles (bytes) of the given classes."""
-    wanted = checkpoint(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"), F.col("set_key").alias("_key"), "node"))
-    wanted = size_checked(wanted, wanted.count())
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, s (a mark of the set), n, bins (shingles in each of BINS ranges), shingles (bytes)."""
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                found = [(k, h) for k, h, w in zip(part.column("node").to_pylist(), shingle_sets(part.column("text"), width), part.column("_key").to_pylist(), strict=True) if set_key(h) == w]
-                bins = [np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BINS).tolist() for _, h in found]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int64()), pa.array(bins, pa.list_(pa.int32())), pa.array([h.tobytes() for _, h in found], pa.binary())], names=["node", "n", "bins", "shingles"])
+                sets = shingle_sets(part.column("text"), width)
+                bins = [np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BINS).tolist() for h in sets]
+                marks = [int.from_bytes((set_key(h) or b"")[:8], "little", signed=True) for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(marks, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(bins, pa.list_(pa.int16())), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "s", "n", "bins", "shingles"])
 
-    # A repeated document may give its class twice; verified() doesn't mind.
-    return checkpoint(docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "_key", "text").mapInArrow(cut, "node long, n long, bins array<int>, shingles binary"))
+    nodes = checkpoint(nodes)
+    few = size_checked(nodes.select(F.col("node").alias("doc_id")), nodes.count(), FEW_IDS)
+    found = docs.join(few, "doc_id").select(F.col("doc_id").alias("node"), "text")
+    return checkpoint(found.mapInArrow(cut, "node long, s long, n long, bins array<smallint>, shingles binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a < b) of classes that are linked."""
+    """The pairs (a < b) that are linked."""
     for side in "ab":
-        of = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bins").alias(f"bins_{side}"))
+        of = sets.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"), F.col("bins").alias(f"bins_{side}"))
         pairs = pairs.join(of, side)
     enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))
     pairs = pairs.filter(enough(F.least("n_a", "n_b")))
     bound = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x).cast("long")
-    pairs = checkpoint(pairs.filter(enough(bound)).select("a", "b", "n_a", "n_b").distinct())
+    names = ["a", "s_a", "n_a", "b", "s_b", "n_b"]
+    pairs = checkpoint(pairs.filter(enough(bound)).select(*names).distinct())
 
     def fragments(batches):
         for batch in batches:
-            node, f, part = [], [], []
-            for k, blob in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            node, mark, f, part = [], [], [], []
+            for k, s, blob in zip(batch.column("node").to_pylist(), batch.column("s").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 h = np.frombuffer(blob, np.uint64)
                 cut = np.searchsorted(h >> np.uint64(61), np.arange(FRAGMENTS + 1, dtype=np.uint64))
                 for i in range(FRAGMENTS):
                     if cut[i] < cut[i + 1]:
                         node.append(k)
+                        mark.append(s)
                         f.append(i)
                         part.append(h[cut[i] : cut[i + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(f, pa.int32()), pa.array(part, pa.list_(pa.int64()))], names=["node", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(mark, pa.int64()), pa.array(f, pa.int32()), pa.array(part, pa.list_(pa.int64()))], names=["node", "s", "fragment", "part"])
 
-    both = pairs.select("a", "b", "n_a", "n_b")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    cut = sets.select("node", "shingles").join(needed, "node", "left_semi").mapInArrow(fragments, "node long, fragment int, part array<long>")
-    left = both.join(cut.select(F.col("node").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
-    met = left.join(cut.select(F.col("node").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
-    overlap = met.select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("o")).distinct()
-    return overlap.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("overlap")).filter(enough(F.col("overlap"))).select("a", "b")
+    needed = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    cut = sets.select("node", "s", "shingles").join(size_checked(needed, needed.count(), FEW_IDS), "node", "left_semi").mapInArrow(fragments, "node long, s long, fragment int, part array<long>")
+    met = pairs
+    for side, on in (("a", ["a", "s_a"]), ("b", ["b", "s_b", "fragment"])):
+        met = met.join(cut.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}"), "fragment", F.col("part").alias(f"part_{side}")), on)
+    overlap = met.select(*names, "fragment", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("o")).distinct()
+    return overlap.groupBy(*names).agg(F.sum("o").alias("overlap")).filter(enough(F.col("overlap"))).select("a", "b").distinct()
 
 
 def rare_first(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """key, node, at, n: the prefixes of these classes with their own exact frequencies, rarest first."""
+    """key, node, at, n: the prefixes of these documents with their own exact frequencies, rarest first."""
 
     def explode(batches):
         for batch in batches:
             blobs = batch.column("shingles").to_pylist()
             size = np.array([len(x) // 8 for x in blobs], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), size)), pa.array(np.repeat(batch.column("n").to_numpy(), size)), pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["node", "n", "key"])
+            wide = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("node", "s", "n")]
+            yield pa.RecordBatch.from_arrays([*wide, pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["node", "s", "n", "key"])
 
-    rows = sets.join(nodes, "node", "left_semi").select("node", "n", "shingles").mapInArrow(explode, "node long, n long, key long")
+    rows = sets.join(size_checked(nodes, nodes.count(), FEW_IDS), "node", "left_semi").select("node", "s", "n", "shingles").mapInArrow(explode, "node long, s long, n long, key long")
     often = rows.groupBy("key").agg(F.count_distinct("node").alias("df")).filter("df > 1")
-    shared = rows.join(often, "key").groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("shared"))
+    shared = rows.join(often, "key").groupBy("node", "s", "n").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     alone = F.col("n") - F.size("shared")
     part = F.slice("shared", F.lit(1), F.greatest(F.lit(0), (prefix - alone).cast("int")))
@@ -251,52 +266,49 @@ def rare_first(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("x.key").alias("key"), "node", (F.col("alone") + F.col("at")).alias("at"), "n")
 
 
-def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, root: components of the linked classes."""
-    groups = checkpoint(dealt(classes))
-    often = checkpoint(groups.filter("often").select(F.element_at("nodes", 1).alias("node")).distinct())
-    few = groups.filter("not often").select("nodes").distinct()
-    inner = F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")
-    pairs = few.select(F.explode(inner).alias("p")).select("p.a", "p.b").distinct()
-    wanted = groups.select(F.explode("nodes").alias("node")).distinct()
-    sets = sets_of(docs, classes, wanted, width)
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, root: components of the linked documents of docs, which has every set once."""
+    found = checkpoint(candidates(docs, width, percent).distinct())
+    often = checkpoint(found.filter("b is null").select(F.col("a").alias("node")))
+    pairs = found.filter("b is not null")
+    sets = sets_of(docs, found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct(), width)
     prefixes = checkpoint(rare_first(sets, often, percent))
 
-    centre = prefixes.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.count_distinct("node").alias("size")).filter("size > 1").select("key", F.col("c.at").alias("at_c"), F.col("c.node").alias("c"), F.col("c.n").alias("n_c"))
-    possible = lambda a, b: (100 + percent) * F.least(F.col(f"n{a}") - F.col(f"at{a}"), F.col(f"n{b}") - F.col(f"at{b}")) >= percent * (F.col(f"n{a}") + F.col(f"n{b}"))
-    mine = prefixes.select("key", "node", F.col("at").alias("at_m"), F.col("n").alias("n_m"))
-    stars = mine.join(centre, (mine["key"] == centre["key"]) & (F.col("node") != F.col("c")) & possible("_m", "_c"))
+    centre = prefixes.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", F.col("c.at").alias("at_c"), F.col("c.node").alias("c"), F.col("c.n").alias("n_c"))
+    mine = prefixes.select(F.col("key").alias("key_m"), "node", F.col("at").alias("at_m"), F.col("n").alias("n_m"))
+    near = lambda a, b: possible(F.col(f"n{a}"), F.col(f"at{a}"), F.col(f"n{b}"), F.col(f"at{b}"), percent)
+    stars = mine.join(centre, (F.col("key_m") == F.col("key")) & (F.col("node") != F.col("c")) & near("_m", "_c"))
     stars = stars.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
     links = checkpoint(verified(pairs.unionByName(stars).distinct(), sets, percent))
     roots = components(links)
 
-    # Pairs of frequent shingles whose classes are still in different components.
+    # Pairs of frequent shingles whose documents are still in different components.
     placed = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     torn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     placed = placed.join(torn, "key", "left_semi")
     one = placed.select("key", F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     two = placed.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = one.join(two, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible("_a", "_b")).select("a", "b").distinct()
+    rest = one.join(two, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near("_a", "_b")).select("a", "b").distinct()
     more = checkpoint(verified(rest.join(links, ["a", "b"], "left_anti"), sets, percent))
     return components(links.unionByName(more)) if more.take(1) else roots
 
 
 def join(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """docs with n_shingles and component_id (the smallest doc_id that links reach)."""
-    mine = ["n_shingles", "component_id", "set_key"]
-    docs = docs.drop(*mine)
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = tokenized(texts, width, percent, common_shingles(texts, width)).filter("set_key is not null")
-    classes = cut.groupBy("set_key", "n_shingles", "prefix").agg(F.min("doc_id").alias("rep"))
-    classes = checkpoint(classes.filter("rep is not null")).withColumn("node", F.monotonically_increasing_id())
-    classes = checkpoint(classes)
-    roots = linked(texts, classes, width, percent)
-    placed = classes.select("set_key", "rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.join(placed.groupBy("root").agg(F.min("rep").alias("_component")), "root").select("set_key", "_component")
-    out = keyed(docs, width).join(named, "set_key", "left")
-    return out.select(*docs.columns, "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id").cast("long")).otherwise(F.col("_component")).alias("component_id"))
+    rows = checkpoint(keyed(texts, width))
+    classes = checkpoint(rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    # Documents that aren't the first of their class: left out of what follows.
+    copies = checkpoint(rows.join(classes, "set_key", "left").filter("set_key is null or doc_id <> rep").select("doc_id").distinct())
+    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"))
+    left = checkpoint(copies.join(reps, "doc_id", "left_anti"))  # a repeated doc_id may be both
+    first = texts.filter("doc_id is not null").join(size_checked(left, left.count(), FEW_IDS), "doc_id", "left_anti")
+    roots = linked(first, width, percent)
+    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("_component"))
+    out = rows.join(named, "set_key", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"))
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of documents with 3-word shingle sets of Jaccard similarity 0.9 or more."""
-    return join(documents(spark, sf_dir).select("doc_id", "text"), 3, 90).drop("text")
+    return join(documents(spark, sf_dir), 3, 90)
