@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import boards, diffs, evidence, rules, scoring, services, texts
+from plumbline.plans import boards, diffs, evidence, integrity, rules, scoring, services, texts
 
-MODULES = (scoring, rules, diffs, boards, evidence, texts, services)
+MODULES = (scoring, rules, diffs, boards, evidence, integrity, texts, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
