@@ -109,11 +109,12 @@ def possible(n_a, at_a, n_b, at_b, percent: int, least=F.least):
     return (100 + percent) * least(n_a - at_a, n_b - at_b) >= percent * (n_a + n_b)
 
 
-def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
     """a, b: pairs of documents (a < b) with a common prefix shingle that few have, within the
-    bounds of sizes and places; or a document a with a frequent one, where b is null."""
-    common = common_shingles(docs, width)
-    held = docs.sparkSession.sparkContext.broadcast(common)
+    bounds of sizes and places; or a document a with a frequent one, where b is null.
+
+    held: the common shingles, broadcast.
+    """
 
     def spread(batches):
         common = held.value
@@ -246,33 +247,55 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return overlap.groupBy(*names).agg(F.sum("o").alias("overlap")).filter(enough(F.col("overlap"))).select("a", "b").distinct()
 
 
-def rare_first(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """key, node, at, n: the prefixes of these documents with their own exact frequencies, rarest first."""
+def rare_first(sets: DataFrame, nodes: DataFrame, held, percent: int) -> DataFrame:
+    """key, node, at, n: the prefixes of these documents, rarest first.
+
+    Shingles that the sample knows as common keep their place at the end and needn't be counted;
+    the others get their exact frequencies among these documents. held: the common ones, broadcast.
+    """
+
+    def cut(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Other shingles, and the common ones in order as far as a prefix can reach."""
+        often, count = held.value
+        at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
+        same = often[at] == h if len(often) else np.zeros(len(h), bool)
+        late = h[same][np.lexsort((h[same], count[at[same]]))] if len(often) else h[:0]
+        return h[~same], late[: len(h) - least_overlap(len(h), percent) + 1]
+
+    def count(batches):
+        for batch in batches:
+            parts = [cut(np.frombuffer(x, np.uint64))[0] for x in batch.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in parts], np.int64)
+            wide = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("node", "s")]
+            yield pa.RecordBatch.from_arrays([*wide, pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))], names=["node", "s", "key"])
 
-    def explode(batches):
+    def end(batches):
         for batch in batches:
-            blobs = batch.column("shingles").to_pylist()
-            size = np.array([len(x) // 8 for x in blobs], np.int64)
-            wide = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("node", "s", "n")]
-            yield pa.RecordBatch.from_arrays([*wide, pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["node", "s", "n", "key"])
+            parts = [cut(np.frombuffer(x, np.uint64)) for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "s", "n")), pa.array([len(x) for x, _ in parts], pa.int64()), pa.array([x.view(np.int64) for _, x in parts], pa.list_(pa.int64()))], names=["node", "s", "n", "rest", "late"])
 
-    rows = sets.join(size_checked(nodes, nodes.count(), FEW_IDS), "node", "left_semi").select("node", "s", "n", "shingles").mapInArrow(explode, "node long, s long, n long, key long")
+    mine = sets.join(size_checked(nodes, nodes.count(), FEW_IDS), "node", "left_semi")
+    rows = mine.select("node", "s", "shingles").mapInArrow(count, "node long, s long, key long")
     often = rows.groupBy("key").agg(F.count_distinct("node").alias("df")).filter("df > 1")
-    shared = rows.join(often, "key").groupBy("node", "s", "n").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("shared"))
+    shared = rows.join(often, "key").groupBy("node", "s").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("shared"))
+    late = mine.select("node", "s", "n", "shingles").mapInArrow(end, "node long, s long, n long, rest long, late array<long>").distinct()
+    both = late.join(shared, ["node", "s"], "left")
+    keys = F.coalesce(F.transform("shared", lambda x: x["key"]), F.array().cast("array<long>"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    alone = F.col("n") - F.size("shared")
-    part = F.slice("shared", F.lit(1), F.greatest(F.lit(0), (prefix - alone).cast("int")))
-    found = shared.select("node", "n", alone.alias("alone"), F.posexplode(part).alias("at", "x"))
-    return found.select(F.col("x.key").alias("key"), "node", (F.col("alone") + F.col("at")).alias("at"), "n")
+    alone = F.col("rest") - F.size(keys)
+    part = F.slice(F.concat(keys, "late"), F.lit(1), F.greatest(F.lit(0), (prefix - alone).cast("int")))
+    found = both.select("node", "n", alone.alias("alone"), F.posexplode(part).alias("at", "key"))
+    return found.select("key", "node", (F.col("alone") + F.col("at")).alias("at"), "n")
 
 
 def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """node, root: components of the linked documents of docs, which has every set once."""
-    found = checkpoint(candidates(docs, width, percent).distinct())
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+    found = checkpoint(candidates(docs, width, percent, held).distinct())
     often = checkpoint(found.filter("b is null").select(F.col("a").alias("node")))
     pairs = found.filter("b is not null")
     sets = sets_of(docs, found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct(), width)
-    prefixes = checkpoint(rare_first(sets, often, percent))
+    prefixes = checkpoint(rare_first(sets, often, held, percent))
 
     centre = prefixes.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", F.col("c.at").alias("at_c"), F.col("c.node").alias("c"), F.col("c.n").alias("n_c"))
     mine = prefixes.select(F.col("key").alias("key_m"), "node", F.col("at").alias("at_m"), F.col("n").alias("n_m"))
