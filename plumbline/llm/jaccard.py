@@ -335,3 +335,16 @@ def join(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of documents with 3-word shingle sets of Jaccard similarity 0.9 or more."""
     return join(documents(spark, sf_dir), 3, 90)
+
+
+#: Links by a join on shingles and closure by recursion: fit for small tables.
+SQL = """
+with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, reached) as (select doc_id, doc_id from d union select r.doc_id, b from r join e on r.reached = e.a)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(reached) as component_id from r left join n using (doc_id) group by r.doc_id"""

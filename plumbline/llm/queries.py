@@ -8,7 +8,7 @@ QUERIES = {
     "op1_decontam": (decontam.op1_decontam, decontam.SQL),
     "op2_secrets": (secrets.op2_secrets, None),
     "op3_quality": (quality.op3_quality, None),
-    "op4_jaccard": (jaccard.op4_jaccard, None),
+    "op4_jaccard": (jaccard.op4_jaccard, jaccard.SQL),
     "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.SQL),
