@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import checkpoint, crc_mod_column, documents, slices, text_bytes
 
-SAMPLE_PER_CLASS = 2000
+#: Labelled rows to learn from, about, by label.
+SAMPLE = (2000, 2000)
 SLICE = 1 << 20
 KEEP = 0.5
 #: Classes of bytes: lower, upper, digit, non-ASCII, blank, line break, and 26 of punctuation by place.
@@ -77,7 +78,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 400) -> Classifier:
 
 
 def fit(labelled: DataFrame, label: str) -> Classifier:
-    """labelled: doc_id, text, label 0 or 1. Trains on about SAMPLE_PER_CLASS rows of either."""
+    """labelled: doc_id, text, label 0 or 1. Trains on about SAMPLE[y] rows of label y."""
     from plumbline.llm.toxicity import chosen
 
     def rows(batches):
@@ -85,7 +86,7 @@ def fit(labelled: DataFrame, label: str) -> Classifier:
             for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(label), pa.array([r.tobytes() for r in features(part.column("text"))], pa.binary())], names=["y", "x"])
 
-    few = chosen(labelled, label, SAMPLE_PER_CLASS).select("text", F.col(label).cast("int").alias(label))
+    few = chosen(labelled, label, SAMPLE).select("text", F.col(label).cast("int").alias(label))
     found = sorted((r.y, bytes(r.x)) for r in few.mapInArrow(rows, "y int, x binary").collect())
     return train(np.stack([np.frombuffer(b, np.float32) for _, b in found]) if found else np.zeros((0, FEATURES), np.float32), np.array([y for y, _ in found], np.int64))
 
@@ -161,7 +162,7 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
     rate, sites = site_rates(counted, "quality", ["source", "lang"])
     from plumbline.llm.toxicity import chosen
 
-    few = chosen(labels, "quality", SAMPLE_PER_CLASS)
+    few = chosen(labels, "quality", SAMPLE)
     model = fit(docs.join(F.broadcast(few), "doc_id"), "quality")
     found = score(docs, model, rate, sites, ["source", "lang"])
     return found.select("doc_id", (crc_mod_column(F.col("doc_id"), 5) == 0).alias("held_out"), "text_score", "site_rate", F.col("quality_score").alias("score"), (F.col("quality_score") >= KEEP).cast("int").alias("predicted"), (F.col("quality_score") >= KEEP).alias("kept"))

@@ -6,8 +6,7 @@ Adam; rows of the embedding shrink as a group, so that n-grams without evidence
 Unseen spellings are scored by the n-grams they share. Stretches of clean training texts are
 further clean examples, as short texts are noisier.
 
-Training reads at most SAMPLE_PER_CLASS labelled rows of each class, chosen by the hash of the
-id. Scoring reads whole texts: once trained, the model is one weight for each bucket.
+Training reads about SAMPLE[y] rows of label y, chosen by the hash of the id. Scoring reads whole texts: once trained, the model is one weight for each bucket.
 
 Null, empty and wordless texts get the score of the bias alone, or 0 if no row is labelled.
 Null labels are not learned from, contradicting labels of one id each count. Repeated documents
@@ -32,8 +31,9 @@ from plumbline.llm.ngrams import counts, gram_hashes
 
 BITS, LENGTHS, DIM = 13, (3, 4, 5), 16
 BUCKETS = 1 << BITS
-SAMPLE_PER_CLASS = 1500
-STRETCHES = 3
+#: Labelled rows to learn from, about, by label.
+SAMPLE = (3000, 1500)
+STRETCHES = 2
 EPOCHS, BATCH, RATE, SHRINK = 20, 64, 0.01, 0.3
 SLICE = 1 << 20
 
@@ -44,13 +44,13 @@ class Model:
     bias: float
 
 
-def chosen(labelled: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """About per_class rows of either class, by the hash of doc_id: a bounded sample."""
+def chosen(labelled: DataFrame, label: str, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    """About sample[y] rows of label y, by the hash of doc_id: a bounded sample."""
     n = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     keep = F.lit(False)
     for value in (0, 1):
-        keep = keep | ((F.col(label) == value) & (share < per_class / max(1, n.get(value, 0))))
+        keep = keep | ((F.col(label) == value) & (share < sample[value] / max(1, n.get(value, 0))))
     return labelled.filter(keep)
 
 
@@ -120,7 +120,7 @@ def train(bags: list, epochs: int = EPOCHS, seed: int = 0) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learns from labelled rows; the caller leaves out what must be held out."""
     few = chosen(labels.filter(f"doc_id is not null and {label} in (0, 1)").select("doc_id", label), label)
-    # Twice SAMPLE_PER_CLASS ids on average bound what is broadcast.
+    # The sample's size bounds what is broadcast.
     return train(examples(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), label).collect())
 
 
