@@ -104,18 +104,6 @@ def slides(part: DataFrame, rels: DataFrame) -> DataFrame:
     return ids.join(of, ["package_id", "rel_id"]).select("package_id", (F.col("slide") + 1).alias("slide"), "part_name")
 
 
-def alternatives(root: ET.Element, understood: frozenset[str] = frozenset()) -> ET.Element:
-    """Replaces AlternateContent by the first choice whose namespaces are understood, else the fallback."""
-    for parent in root.iter():
-        for at, child in reversed(list(enumerate(parent))):
-            if child.tag == f"{MC}AlternateContent":
-                pick = next((c for c in child if c.tag == f"{MC}Choice" and set(c.get("Requires", "").split()) <= understood), child.find(f"{MC}Fallback"))
-                parent.remove(child)
-                for k, x in enumerate(pick if pick is not None else ()):
-                    parent.insert(at + k, x)
-    return root
-
-
 KINDS = {f"{P}sp": "shape", f"{P}pic": "picture", f"{P}graphicFrame": "frame", f"{P}cxnSp": "connector", f"{P}grpSp": "group"}
 
 
@@ -178,6 +166,8 @@ def nodes(part: DataFrame, rels: DataFrame, slide: DataFrame) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in re.split(r",\s*(?![^<]*>)", NODE)]
 
     def read(batches):
+        from plumbline.sources.compatibility import resolve
+
         for batch in batches:
             rows = []
 
@@ -192,7 +182,7 @@ def nodes(part: DataFrame, rels: DataFrame, slide: DataFrame) -> DataFrame:
                             walk(el, at, slide, pid, name, targets)
 
             for pid, name, n, content, targets in zip(batch["package_id"], batch["part_name"], batch["slide"], batch["content"], batch["targets"], strict=True):
-                tree = alternatives(ET.fromstring(content)).find(f"{P}cSld/{P}spTree")
+                tree = resolve(content).find(f"{P}cSld/{P}spTree")
                 if tree is not None:
                     walk(tree, [], n, pid, name, dict(targets) if targets is not None else {})
             yield pd.DataFrame(rows, columns=names)

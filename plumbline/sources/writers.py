@@ -46,16 +46,17 @@ def renumbered(xml: bytes) -> bytes:
 
 
 def resolved_packages(part: DataFrame, understood: frozenset[str] = frozenset()) -> DataFrame:
-    """package_id, content: packages written anew, members by name, fixed times, alternatives resolved,
-    chart axes renumbered. One package at a time."""
-    from plumbline.sources.package import MC, alternatives
+    """package_id, content: packages written anew, members by name, fixed times, compatibility markup
+    resolved, chart axes renumbered. One package at a time."""
+    from plumbline.sources.compatibility import resolve
+    from plumbline.sources.package import MC
 
     def write(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for name, content in sorted(zip(p["part_name"], p["content"], strict=True), key=lambda x: x[0].encode()):
                 if name.endswith(".xml") and MC[1:-1].encode() in content:
-                    content = ET.tostring(alternatives(ET.fromstring(content), understood), "utf-8")
+                    content = ET.tostring(resolve(content, understood), "utf-8")
                 if name.startswith("ppt/charts/"):
                     content = renumbered(content)
                 info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))

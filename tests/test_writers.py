@@ -10,7 +10,7 @@ from plumbline.sources import package, writers
 
 
 def test_resolved_packages_are_the_same_bytes(spark):
-    mc = f'<p:sld {NS} xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><p:cSld><p:spTree><mc:AlternateContent><mc:Choice Requires="new"><p:sp/></mc:Choice><mc:Fallback><p:pic/></mc:Fallback></mc:AlternateContent></p:spTree></p:cSld></p:sld>'
+    mc = f'<p:sld {NS} xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:new="urn:new"><p:cSld><p:spTree><mc:AlternateContent><mc:Choice Requires="new"><p:sp/></mc:Choice><mc:Fallback><p:pic/></mc:Fallback></mc:AlternateContent></p:spTree></p:cSld></p:sld>'
     chart = '<c><axId val="77"/><axId val="5"/><crossAx val="77"/></c>'
     content = deck(**{"ppt/slides/c.xml": mc, "ppt/charts/x.xml": chart})
     df = spark.createDataFrame([("a", content), ("b", content)], "package_id string, content binary")
