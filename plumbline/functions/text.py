@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as a hard token (colour, file name, number with unit, back-ticked,
-#: quoted, run of Arabic letters, run of CJK or kana).
+#: quoted, run of Arabic letters, run of kana or CJK).
 HARD_TOKEN = "|".join((
-    r"#[0-9A-Fa-f]{6}\b",
-    r"\b[\w-]+\.(?:png|svg|jpg|json|csv|pptx)\b",
-    r"\b\d+(?:\.\d+)?(?:%|pt|px|cm|mm|in)?\b",
-    r"`[^`]+`",
-    r'"[^"]+"',
-    r"[\x{0600}-\x{06FF}]+",
-    r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]+",
+    r"#[0-9A-Fa-f]{6}",
+    r"[A-Za-z0-9_-]+\.(?:png|pptx)",
+    r"\d+(?:\.\d+)?(?:cm|pt|px|mm|%|°|×)",
+    r"`[^`\n]+`",
+    r'"[^"\n]+"',
+    r"[\x{0600}-\x{06ff}]+",
+    r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]+",
 ))
 
 
@@ -120,4 +120,4 @@ def relationship_source(name: Column) -> Column:
 
 def field_type(kind: Column) -> Column:
     low = F.lower(kind)
-    return F.when(low.contains("slidenum"), "slide_number").when(low.contains("datetime"), "datetime").otherwise(kind)
+    return F.when(low.contains("slidenum"), "slidenum").when(low.contains("datetime"), "datetime").otherwise(kind)

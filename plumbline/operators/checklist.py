@@ -15,19 +15,37 @@ from pyspark.sql import functions as F
 from plumbline.operators.rules import first_failure
 from plumbline.operators.score import weight
 
-#: Fonts that decks may use (lower case), the page, and a raster's share of it.
-FONTS = ("arial", "calibri", "cambria", "consolas", "courier new", "georgia", "helvetica", "times new roman", "verdana", "noto sans", "noto serif", "liberation sans", "liberation serif", "carlito", "caladea", "symbol")
+#: Bundled fonts (lower case; theme references start with + and never count), the
+#: page, a raster's share of it, and what the selector "shape" stands for.
+FONTS = (
+    "carlito",
+    "caladea",
+    "liberation sans",
+    "liberation serif",
+    "liberation mono",
+    "noto sans",
+    "noto sans arabic",
+    "noto sans jp",
+    "noto sans cjk",
+    "noto sans cjk jp",
+    "noto serif",
+    "noto serif cjk",
+    "noto serif cjk jp",
+)
 PAGE = 12_192_000 * 6_858_000
 RASTER = 0.4
-SHAPES = ("shape", "text", "placeholder", "field", "picture", "connector", "group")
+SHAPES = ("shape", "picture", "table", "chart", "group", "connector", "graphicFrame")
+#: Kinds that are shapes by their element.
+DRAWN = (*SHAPES, "text", "placeholder", "field")
+#: Last slide of tiers 1, 2 and 3.
+TIER_SLIDES = (5, 12, 20)
 DEFAULT_SSIM = 0.9999
 MOST_RULES = 100_000
 
 
-def selected(selector: Column, node: DataFrame) -> Column:
-    """Whether a node is what the selector names; unknown selectors name a kind."""
-    k = node["kind"]
-    return F.when(selector == "shape", k.isin(*SHAPES)).when(selector == "any", True).when(selector == "text_shape", F.size(node["runs"]) > 0).when(selector == "placeholder", node["placeholder_type"].isNotNull()).otherwise(k == selector)
+def tier_of(slide: Column) -> Column:
+    """The lowest tier that has a slide."""
+    return F.when(slide <= TIER_SLIDES[0], 1).when(slide <= TIER_SLIDES[1], 2).otherwise(3)
 
 
 def slide_facts(nodes: DataFrame, slides: DataFrame, media: DataFrame, visual: DataFrame) -> DataFrame:
@@ -38,7 +56,7 @@ def slide_facts(nodes: DataFrame, slides: DataFrame, media: DataFrame, visual: D
     text = F.array_join(F.transform("runs", lambda r: r["text"]), " ")
     g = nodes.groupBy(*keys).agg(
         F.collect_list("kind").alias("kinds"), F.collect_list(F.when(F.col("placeholder_type").isNotNull(), F.col("placeholder_type"))).alias("placeholders"),
-        F.array_distinct(F.flatten(F.collect_list("field_types"))).alias("fields"), F.count_if(F.size("runs") > 0).alias("texts"),
+        F.array_distinct(F.flatten(F.collect_list("field_types"))).alias("fields"), F.count_if(F.size("field_types") > 0).alias("n_fields"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.size("runs") > 0, F.struct("path", text.alias("t"))))), lambda x: x["t"]), " ").alias("text"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(fonts)))).alias("bad_fonts"), F.max(area).alias("raster"),
     )
@@ -48,8 +66,11 @@ def slide_facts(nodes: DataFrame, slides: DataFrame, media: DataFrame, visual: D
 
 
 def number(facts_kind: Column, selector: Column) -> Column:
-    kinds = F.coalesce(facts_kind, F.array().cast("array<string>"))
-    return F.when(selector == "any", F.size(kinds)).when(selector == "shape", F.size(F.filter(kinds, lambda k: k.isin(*SHAPES)))).when(selector == "text_shape", F.coalesce(F.col("texts"), F.lit(0))).when(selector == "placeholder", F.size(F.coalesce("placeholders", F.array().cast("array<string>")))).otherwise(F.size(F.filter(kinds, lambda k: k == selector)))
+    """How many nodes of a slide a selector names; any other selector names a kind."""
+    kinds, none = F.coalesce(facts_kind, F.array().cast("array<string>")), F.lit(0)
+    drawn = F.size(F.filter(kinds, lambda k: k.isin(*DRAWN)))
+    holders = F.size(F.coalesce("placeholders", F.array().cast("array<string>")))
+    return F.when(selector == "shape", drawn).when(selector == "placeholder", holders).when(selector == "field", F.coalesce("n_fields", none)).otherwise(F.size(F.filter(kinds, lambda k: k == selector)))
 
 
 def evaluate_slides(rules: DataFrame, facts: DataFrame, decks: DataFrame) -> DataFrame:

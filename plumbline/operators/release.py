@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Order of the states of a release.
-STATES = ("draft", "candidate", "released", "withdrawn")
+STATES = ("active", "frozen", "superseded")
 
 
 def chain_problems(index: DataFrame) -> DataFrame:

@@ -226,21 +226,38 @@ def orphans(part: DataFrame, rels: DataFrame) -> DataFrame:
     return body.join(found, "node", "left_anti").select("package_id", "part_name")
 
 
-#: Parts that change with every save.
-VOLATILE = frozenset({"docProps/core.xml", "docProps/app.xml", "docProps/thumbnail.jpeg"})
-
-
-def package_digest(part: DataFrame) -> DataFrame:
-    """digest over (length, name, length, content) in byte order of names, XML canonical, volatile
-    parts left out; and the digest of all bytes as they are."""
+#: The part, and the elements in it, whose text changes with every save.
+VOLATILE_PART = "docProps/core.xml"
+VOLATILE = (
+    "{http://purl.org/dc/terms/}created",
+    "{http://purl.org/dc/terms/}modified",
+    "{http://schemas.openxmlformats.org/package/2006/metadata/core-properties}lastModifiedBy",
+    "{http://schemas.openxmlformats.org/package/2006/metadata/core-properties}revision",
+)
+
+
+def canonical_part(name: str, content: bytes) -> bytes:
+    """Canonical XML without comments, and without volatile text; other parts as they are."""
+    if not name.endswith((".xml", ".rels")):
+        return content
+    if name == VOLATILE_PART:
+        root = ET.fromstring(content)
+        for el in root.iter():
+            if el.tag in VOLATILE:
+                el.text = None
+        content = ET.tostring(root, "utf-8")
+    return ET.canonicalize(content.decode()).encode()
+
+
+def package_digest(part: DataFrame, domain: bytes = b"package v1\0") -> DataFrame:
+    """digest over domain and (uint32 length, name, uint64 length, content) in byte order of names,
+    content canonical; and the digest of the same frames with all bytes as they are."""
 
     def fold(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        whole, canon = hashlib.sha256(), hashlib.sha256(b"plumbline:package:v1\n")
+        whole, canon = hashlib.sha256(domain), hashlib.sha256(domain)
         for name, content in sorted(zip(p["part_name"], p["content"], strict=True), key=lambda x: x[0].encode()):
-            whole.update(len(name).to_bytes(8, "big") + name.encode() + len(content).to_bytes(8, "big") + content)
-            if name not in VOLATILE:
-                body = ET.canonicalize(content.decode()).encode() if name.endswith((".xml", ".rels")) else content
-                canon.update(len(name.encode()).to_bytes(8, "big") + name.encode() + len(body).to_bytes(8, "big") + body)
+            for digest, body in ((whole, content), (canon, canonical_part(name, content))):
+                digest.update(len(name.encode()).to_bytes(4, "big") + name.encode() + len(body).to_bytes(8, "big") + body)
         return pd.DataFrame([{"package_id": key[0], "digest": f"sha256:{canon.hexdigest()}", "bytes_digest": f"sha256:{whole.hexdigest()}"}])
 
     return part.filter("problem is null").groupBy("package_id").applyInPandas(fold, "package_id string, digest string, bytes_digest string")

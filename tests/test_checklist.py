@@ -14,14 +14,14 @@ RULES = "id string, scope string, slide int, tier int, severity string, method s
 SHA = "sha256:" + "1" * 64
 
 
-def rule(id, scope="slide", slide=1, tier=1, severity="major", method="object_compare", selector="any", **more):
+def rule(id, scope="slide", slide=1, tier=1, severity="major", method="object_compare", selector="shape", **more):
     names = [c.split()[0] for c in RULES.split(", ")]
     v = dict(id=id, scope=scope, slide=slide if scope == "slide" else None, tier=tier, severity=severity, method=method, selector=selector, auto_fail=False) | more
     return tuple(v.get(n) for n in names)
 
 
 SLIDE_RULES = [
-    rule("shape", selector="shape", required=True), rule("pic", selector="picture", exact_count=1, severity="critical"), rule("table", selector="table", min_count=1, tier=2), rule("chart", selector="chart", min_count=1), rule("connector", selector="connector", min_count=1),
+    rule("shape", selector="shape", required=True, min_count=7), rule("pic", selector="picture", exact_count=1, severity="critical"), rule("table", selector="table", min_count=1, tier=2), rule("chart", selector="chart", min_count=1), rule("connector", selector="connector", min_count=1),
     rule("group", selector="group", min_count=1), rule("field", method="field_check"), rule("text", method="text_match", contains="Hello"), rule("no", method="text_match", not_contains="bye", severity="informational"),
     rule("ph", method="layout_check", selector="placeholder", placeholder_type="title"), rule("layout", method="layout_check", selector="master_ref"), rule("font", method="anti_cheat", selector="font_policy"), rule("raster", method="anti_cheat", selector="no_full_slide_raster", auto_fail=True, propagation="zero_slide"),
     rule("ssim", method="visual_ssim"), rule("hash", method="hash_match", sha256=SHA), rule("missing", slide=9), rule("odd", method="nonsense", severity="minor"),
@@ -34,7 +34,7 @@ DECK_RULES = [
 
 @pytest.fixture(scope="module")
 def deck(spark):
-    run = lambda t, f="Arial": [(t, f, 1800, None, None, None)]
+    run = lambda t, f="Carlito": [(t, f, 1800, None, None, None)]
     n = [("d", 1, [k], kind, None, [], [], 10, 10) for k, kind in enumerate(("picture", "table", "chart", "connector", "group", "shape"))]
     n += [("d", 1, [6], "placeholder", "title", ["slidenum"], run("Hello"), 5, 5), ("d", 1, [7], "field", None, ["datetime"], run("there"), 5, 5), ("d", 2, [0], "text", None, [], run("x"), 1, 1)]
     return {
@@ -99,7 +99,7 @@ def test_known_scores(spark):
 
 def test_release_chain(spark):
     t = [dt(2024, 1, d) for d in range(1, 9)]
-    rows = [("c", 1, "a", None, "candidate", t[0], t[0]), ("c", 2, "b", "a", "released", t[1], t[2]), ("c", 4, "d", "b", "released", t[2], t[3]), ("d", 1, "x", None, "released", t[0], t[0]), ("d", 2, "y", "z", "released", t[1], t[1]), ("d", 3, "w", "y", "candidate", t[2], t[2])]
+    rows = [("c", 1, "a", None, "active", t[0], t[0]), ("c", 2, "b", "a", "frozen", t[1], t[2]), ("c", 4, "d", "b", "frozen", t[2], t[3]), ("d", 1, "x", None, "frozen", t[0], t[0]), ("d", 2, "y", "z", "frozen", t[1], t[1]), ("d", 3, "w", "y", "active", t[2], t[2])]
     i = spark.createDataFrame(rows, "chain string, sequence int, sha256 string, previous string, state string, issued_at timestamp, effective_at timestamp")
     assert {(r.chain, r.sequence): r.problem for r in R.chain_problems(i).collect()} == {("c", 1): None, ("c", 2): None, ("c", 4): "gap", ("d", 1): None, ("d", 2): "fork", ("d", 3): "state goes back"}
     state = spark.createDataFrame([("c", 2, "b"), ("d", 2, "other"), ("e", 5, "q")], "chain string, sequence int, sha256 string")

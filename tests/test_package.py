@@ -16,7 +16,7 @@ def rels(*xs):
     return '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Type="{T}{t}" Target="{g}"/>' for i, t, g in xs) + "</Relationships>"
 
 
-def shape(name, text="", ph="", kind="sp", extra="", font="Arial"):
+def shape(name, text="", ph="", kind="sp", extra="", font="Carlito"):
     body = f'<p:txBody><a:p><a:r><a:rPr sz="1800" b="1" lang="en-US"><a:latin typeface="{font}"/></a:rPr><a:t>{text}</a:t></a:r></a:p></p:txBody>' if text else ""
     return f'<p:{kind}><p:nv{"Sp" if kind == "sp" else "Pic"}Pr><p:cNvPr id="1" name="{name}"/><p:nvPr>{ph}</p:nvPr></p:nv{"Sp" if kind == "sp" else "Pic"}Pr>{extra}<p:spPr><a:xfrm><a:off x="1" y="2"/><a:ext cx="100" cy="200"/></a:xfrm><a:solidFill/></p:spPr>{body}</p:{kind}>'
 
@@ -30,6 +30,10 @@ TABLE = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="3" name="t"/></p:nvGra
 PIC = shape("pic", kind="pic", extra='<p:blipFill><a:blip r:embed="rId9"/></p:blipFill>')
 
 
+def core(revision, title="t"):
+    return f'<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties"><cp:revision>{revision}</cp:revision><title>{title}</title></cp:coreProperties>'
+
+
 def deck(**changes):
     parts = {
         "[Content_Types].xml": "<Types/>",
@@ -43,7 +47,7 @@ def deck(**changes):
         "ppt/media/i.png": "PNG",
         "ppt/media/unused.png": "PNG2",
         "ppt/notes/n.xml": "<n/>",
-        "docProps/core.xml": "<c>1</c>",
+        "docProps/core.xml": core(1),
     } | changes
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -55,7 +59,7 @@ def deck(**changes):
 @pytest.fixture(scope="module")
 def read(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("decks")
-    for name, content in {"one.pptx": deck(), "same.pptx": deck(**{"docProps/core.xml": "<c>2</c>"}), "other.pptx": deck(**{"ppt/notes/n.xml": "<n>x</n>"}), "bad.pptx": b"no zip", "evil.pptx": deck(**{"../x": "y"})}.items():
+    for name, content in {"one.pptx": deck(), "same.pptx": deck(**{"docProps/core.xml": core(2)}), "other.pptx": deck(**{"ppt/notes/n.xml": "<n>x</n>"}), "bad.pptx": b"no zip", "evil.pptx": deck(**{"../x": "y"})}.items():
         (d / name).write_bytes(content)
     p = package.packages(spark, str(d))
     part = package.parts(p).cache()
@@ -70,7 +74,7 @@ def test_slides_nodes_and_order(read):
     n = {r.node_id: r for r in package.nodes(one, rel, slides).collect()}
     assert set(n) == {"s1:n0", "s1:n1", "s2:n0", "s2:n1", "s2:n1.0", "s2:n1.1", "s2:n2"}
     assert n["s1:n0"].kind == "picture" and n["s1:n0"].asset == "ppt/media/i.png" and n["s1:n0"].cy == 200
-    assert n["s2:n0"].kind == "placeholder" and n["s2:n0"].placeholder_type == "title" and n["s2:n0"].runs[0].asDict() == {"text": "Hello", "font": "Arial", "size": 1800, "bold": True, "italic": None, "language": "en-US"}
+    assert n["s2:n0"].kind == "placeholder" and n["s2:n0"].placeholder_type == "title" and n["s2:n0"].runs[0].asDict() == {"text": "Hello", "font": "Carlito", "size": 1800, "bold": True, "italic": None, "language": "en-US"}
     assert n["s2:n1"].kind == "group" and n["s2:n1"].runs == [] and n["s2:n1.1"].z_index == 1 and n["s2:n1.0"].depth == 2
     assert (n["s2:n2"].kind, n["s2:n2"].table_rows, n["s2:n2"].table_cols) == ("table", 3, 2)
     assert package.nodes(one, rel, slides.filter("slide = 1")).count() == 2
@@ -79,7 +83,7 @@ def test_slides_nodes_and_order(read):
 def test_parts_of_the_deck(read):
     _, part, one, rel, slides = read
     assert package.media(one).count() == 2
-    assert {r.font for r in package.typefaces(one).collect()} == {"Arial", "Comic"}
+    assert {r.font for r in package.typefaces(one).collect()} == {"Carlito", "Comic"}
     assert [(r.level, r.name) for r in package.layout_names(one).collect()] == [("Master", "Main")]
     assert {r.slide: (r.notes, r.comments) for r in package.notes_and_comments(rel, slides).collect()} == {1: (True, False), 2: (False, False)}
     assert {r.part_name for r in package.orphans(one, rel).collect()} == {"ppt/media/unused.png", "docProps/core.xml"}
