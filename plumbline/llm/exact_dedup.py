@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, UPPER, documents, lower_ascii
+from plumbline.llm.common import LOWER, UPPER, checkpoint, documents, lower_ascii
 
 #: Digests in a filter on average: what one task peels or probes at a time.
 FILTER_KEYS = 65_536
@@ -52,11 +52,16 @@ def keys_of(digests: pd.Series):
     return np.frombuffer(b"".join(bytes(d[:8]) for d in digests), ">u8").astype(np.uint64)
 
 
-def snapshot(docs: DataFrame) -> Snapshot:
-    """Buckets and filters of all rows of docs."""
-    rows = docs.count()
+def slim(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and finger (a second hash) of every row, kept: texts are read once for them."""
+    return checkpoint(digested(docs).select("doc_id", "digest", F.xxhash64("bytes").alias("finger")))
+
+
+def snapshot(docs: DataFrame, known: DataFrame | None = None) -> Snapshot:
+    """Buckets and filters of all rows of docs. known: slim(docs), where it is there already."""
+    known = slim(docs) if known is None else known
+    rows = known.count()
     shards = max(1, -(-rows // FILTER_KEYS))
-    base = digested(docs)
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -66,8 +71,8 @@ def snapshot(docs: DataFrame) -> Snapshot:
         f = FuseFilter.build(np.unique(keys_of(part["digest"])))
         return pd.DataFrame([{"shard": key[0], "seed": f"{f.seed}", "length": f.length, "segments": f.segments, "prints": f.prints.tobytes()}])
 
-    digests = base.select("digest").distinct().withColumn("shard", shard_of("digest", shards))
-    return Snapshot(grouped(base), digests.groupBy("shard").applyInPandas(build, "shard int, seed string, length int, segments int, prints binary"), shards, rows)
+    digests = known.select("digest").distinct().withColumn("shard", shard_of("digest", shards))
+    return Snapshot(grouped(digested(docs)), digests.groupBy("shard").applyInPandas(build, "shard int, seed string, length int, segments int, prints binary"), shards, rows)
 
 
 def screen(digests: DataFrame, rows: int, snap: Snapshot) -> DataFrame:
@@ -91,26 +96,28 @@ def screen(digests: DataFrame, rows: int, snap: Snapshot) -> DataFrame:
     return batch.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(probe, "digest binary")
 
 
-def dedup(batch: DataFrame, snap: Snapshot) -> DataFrame:
-    """digest, finger, keep_id, n: the groups of equal texts over the snapshot and the batch."""
-    rows = digested(batch)
-    passed = screen(rows.select("digest").distinct(), batch.count(), snap).withColumn("passed", F.lit(True))
-    new = grouped(rows).join(passed, "digest", "left")
+def dedup(batch: DataFrame, snap: Snapshot, known: DataFrame | None = None) -> DataFrame:
+    """digest, finger, keep_id, n: the groups of equal texts over the snapshot and the batch.
+
+    known: slim(batch), where it is there already.
+    """
+    known = slim(batch) if known is None else known
+    passed = screen(known.select("digest").distinct(), known.count(), snap).withColumn("passed", F.lit(True))
+    new = grouped(digested(batch)).join(passed, "digest", "left")
     old = snap.buckets.select(*(F.col(c).alias(f"old_{c}") for c in ("digest", "bytes", "keep_id", "n")))
-    hit = new.filter("passed")
-    met = old.join(hit, (F.col("digest") == F.col("old_digest")) & (F.col("bytes") == F.col("old_bytes")), "full_outer")
+    # What the filter didn't let pass meets no bucket; it stays a group of the batch.
+    met = old.join(new, (F.col("digest") == F.col("old_digest")) & (F.col("bytes") == F.col("old_bytes")) & F.coalesce("passed", F.lit(False)), "full_outer")
     text = F.coalesce("bytes", "old_bytes")
-    met = met.select(F.coalesce("digest", "old_digest").alias("digest"), F.xxhash64(text).alias("finger"), F.greatest("keep_id", "old_keep_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"))
-    alone = new.filter("passed is null").select("digest", F.xxhash64("bytes").alias("finger"), "keep_id", "n")
-    return met.unionByName(alone)
+    return met.select(F.coalesce("digest", "old_digest").alias("digest"), F.xxhash64(text).alias("finger"), F.greatest("keep_id", "old_keep_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Documents whose hashed id is even are the snapshot, the others the batch; all are returned."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    groups = dedup(docs.filter(~even), snapshot(docs.filter(even)))
-    rows = digested(docs).select("doc_id", "digest", F.xxhash64("bytes").alias("finger"))
+    even = F.coalesce(even, F.lit(False))
+    rows = slim(docs)
+    groups = dedup(docs.filter(~even), snapshot(docs.filter(even), rows.filter(even)), rows.filter(~even))
     return rows.join(groups, ["digest", "finger"]).select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
