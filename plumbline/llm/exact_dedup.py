@@ -105,8 +105,10 @@ def dedup(batch: DataFrame, snap: Snapshot, known: DataFrame | None = None) -> D
     passed = screen(known.select("digest").distinct(), known.count(), snap).withColumn("passed", F.lit(True))
     new = grouped(digested(batch)).join(passed, "digest", "left")
     old = snap.buckets.select(*(F.col(c).alias(f"old_{c}") for c in ("digest", "bytes", "keep_id", "n")))
-    # What the filter didn't let pass meets no bucket; it stays a group of the batch.
-    met = old.join(new, (F.col("digest") == F.col("old_digest")) & (F.col("bytes") == F.col("old_bytes")) & F.coalesce("passed", F.lit(False)), "full_outer")
+    # What the filter didn't let pass meets no bucket; it stays a group of the batch. The bytes are
+    # compared in a form that isn't a join key: both sides stay where their digests are.
+    same = F.least("bytes", "old_bytes") == F.greatest("bytes", "old_bytes")
+    met = old.join(new, (F.col("digest") == F.col("old_digest")) & same & F.coalesce("passed", F.lit(False)), "full_outer")
     text = F.coalesce("bytes", "old_bytes")
     return met.select(F.coalesce("digest", "old_digest").alias("digest"), F.xxhash64(text).alias("finger"), F.greatest("keep_id", "old_keep_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"))
 
