@@ -9,8 +9,8 @@ further clean examples, as short texts are noisier.
 Training reads about SAMPLE[y] rows of label y, chosen by the hash of the id. Scoring reads whole texts: once trained, the model is one weight for each bucket.
 
 Null, empty and wordless texts get the score of the bias alone, or 0 if no row is labelled.
-Null labels are not learned from, contradicting labels of one id each count. Repeated documents
-are separate rows. Empty tables give no rows; other columns are passed on, those named like
+Null labels are not learned from, contradicting labels of one id each count; of rows that repeat
+a doc_id one is learned from. They are scored as separate rows. Empty tables give no rows; other columns are passed on, those named like
 results are replaced.
 """
 
@@ -51,7 +51,8 @@ def chosen(labelled: DataFrame, label: str, sample: tuple[int, int] = SAMPLE) ->
     keep = F.lit(False)
     for value in (0, 1):
         keep = keep | ((F.col(label) == value) & (share < sample[value] / max(1, n.get(value, 0))))
-    return labelled.filter(keep)
+    # A doc_id that is repeated very often would be chosen with all its rows.
+    return labelled.filter(keep).dropDuplicates(["doc_id", label])
 
 
 def examples(rows: DataFrame, label: str) -> DataFrame:
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learns from labelled rows; the caller leaves out what must be held out."""
     few = chosen(labels.filter(f"doc_id is not null and {label} in (0, 1)").select("doc_id", label), label)
     # The sample's size bounds what is broadcast.
-    return train(examples(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), label).collect())
+    return train(examples(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", label]), label).collect())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
