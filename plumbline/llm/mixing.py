@@ -26,6 +26,7 @@ GOLDEN = 0.6180339887498949
 CYCLE = (1, 2, 3)
 MOST_TIMES = 3
 BINS = 4096
+CHUNK_BITS = 12
 
 
 def word_count(text):
@@ -65,8 +66,14 @@ def schedule(spark, sources: DataFrame, block: int, slots: int) -> DataFrame:
     cut = cut.select("_src", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * BINS), F.least(F.floor(F.col("_hi") * BINS), F.lit(BINS - 1)))).alias("_bin"))
     point = (F.col("id") + 0.5) * GOLDEN
     points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_u")).withColumn("_bin", F.floor(F.col("_u") * BINS))
-    met = points.join(cut, (points["_bin"] == cut["_bin"]) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-    return met.select("slot", "_src", (F.row_number().over(Window.partitionBy("_src").orderBy("slot")) - 1).cast("long").alias("rank"))
+    met = points.join(cut, (points["_bin"] == cut["_bin"]) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("slot", "_src")
+    # Ranks in two levels: within a chunk of the schedule, after what earlier chunks gave the source.
+    met = met.withColumn("_chunk", F.shiftright("slot", CHUNK_BITS))
+    up_to = Window.partitionBy("_src").orderBy("_chunk")
+    given = met.groupBy("_src", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    given = given.select("_src", "_chunk", (F.sum("_n").over(up_to) - F.col("_n")).alias("_given"))
+    own = F.row_number().over(Window.partitionBy("_src", "_chunk").orderBy("slot")) - 1
+    return met.withColumn("_own", own).join(given, ["_src", "_chunk"]).select("slot", "_src", (F.col("_own") + F.col("_given")).cast("long").alias("rank"))
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES, slots: int = SLOTS) -> DataFrame:
