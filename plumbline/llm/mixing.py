@@ -57,6 +57,20 @@ def targets(totals: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_
     return found.withColumn("target", F.least(most * F.col("source_size").cast("double"), F.col("weight") * first["_level"])).select("_src", "source_size", "weight", "target")
 
 
+def before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of a source's values before each row, by a whole number `order`.
+
+    In two levels: within chunks of the order, after the sums of earlier chunks. A source's rows
+    needn't go through one task.
+    """
+    df = df.withColumn("_chunk", F.shiftright(order, CHUNK_BITS))
+    earlier = Window.partitionBy("_src").orderBy("_chunk")
+    chunks = df.groupBy("_src", "_chunk").agg(F.sum(value).alias("_all"))
+    chunks = chunks.select("_src", "_chunk", (F.sum("_all").over(earlier) - F.col("_all")).alias("_earlier"))
+    own = F.sum(value).over(Window.partitionBy("_src", "_chunk").orderBy(order)) - F.col(value)
+    return df.withColumn(out, own).join(chunks, ["_src", "_chunk"]).withColumn(out, F.col(out) + F.col("_earlier")).drop("_chunk", "_earlier")
+
+
 def schedule(spark, sources: DataFrame, block: int, slots: int) -> DataFrame:
     """(slot, _src, rank): rank counts a source's slots from 0."""
     w = Window.orderBy("_src")
@@ -67,13 +81,7 @@ def schedule(spark, sources: DataFrame, block: int, slots: int) -> DataFrame:
     point = (F.col("id") + 0.5) * GOLDEN
     points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_u")).withColumn("_bin", F.floor(F.col("_u") * BINS))
     met = points.join(cut, (points["_bin"] == cut["_bin"]) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("slot", "_src")
-    # Ranks in two levels: within a chunk of the schedule, after what earlier chunks gave the source.
-    met = met.withColumn("_chunk", F.shiftright("slot", CHUNK_BITS))
-    up_to = Window.partitionBy("_src").orderBy("_chunk")
-    given = met.groupBy("_src", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    given = given.select("_src", "_chunk", (F.sum("_n").over(up_to) - F.col("_n")).alias("_given"))
-    own = F.row_number().over(Window.partitionBy("_src", "_chunk").orderBy("slot")) - 1
-    return met.withColumn("_own", own).join(given, ["_src", "_chunk"]).select("slot", "_src", (F.col("_own") + F.col("_given")).cast("long").alias("rank"))
+    return before(met.withColumn("_one", F.lit(1).cast("long")), "slot", "_one", "rank").select("slot", "_src", "rank")
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES, slots: int = SLOTS) -> DataFrame:
@@ -98,7 +106,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES,
     counts = taken.groupBy("_src", (F.col("rank") % F.col("_blocks")).alias("_block")).agg(F.count(F.lit(1)).alias("_times"))
     every = sources.filter("source_size > 0").select("_src", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("_block"))
     blocks = every.join(counts, ["_src", "_block"], "left").fillna(0, ["_times"])
-    blocks = checkpoint(blocks.withColumn("_sum", (F.sum("_times").over(Window.partitionBy("_src").orderBy("_block")) - F.col("_times")) * block))
+    blocks = checkpoint(before(blocks, "_block", "_times", "_sum").withColumn("_sum", F.col("_sum") * block))
 
     within = Window.partitionBy("_src", "_bucket").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = slim.withColumn("_end", F.sum("size").over(within)).join(buckets, ["_src", "_bucket"])
