@@ -1,3 +1,4 @@
+import base64
 import zlib
 
 import numpy as np
@@ -77,6 +78,33 @@ def test_secrets(spark, docs, odd):
     assert secrets.scan(docs([]), model).count() == 0
 
 
+def test_long_secrets_and_private_keys_are_redacted_whole(spark, docs):
+    rng = np.random.default_rng(5)
+    b64 = lambda n: base64.b64encode(rng.bytes(n)).decode()
+    lines = lambda body, gap: gap.join(body[i : i + 64] for i in range(0, len(body), 64))
+    long, bare, body = b64(300), b64(189), b64(1190)
+    pem = lambda gap: f"-----BEGIN RSA PRIVATE KEY-----{gap}{lines(body, gap)}{gap}-----END RSA PRIVATE KEY-----"
+    rows = [
+        (1, f"token={long} end"),
+        (2, f"bearer {bare} end"),
+        (3, f"see {pem(chr(10))} end"),
+        (4, f'"private_key": "{pem(chr(92) + "n")}" end'),
+        (5, f"key: -----BEGIN PRIVATE KEY-----{body} end"),
+        (6, f"key: -----BEGIN PRIVATE KEY-----\n{lines(body, chr(10))}\n\nend of the text"),
+        (7, f"{pem(chr(10))}\n{pem(chr(10))}"),
+        (8, f"token=data:{pem(chr(10))} end"),
+    ]
+    assert len(bare) == 252 and len(body) % 64 < 64
+    whole = {1: long, 2: bare, 3: pem("\n"), 4: pem("\\n"), 5: f"-----BEGIN PRIVATE KEY-----{body}", 6: f"-----BEGIN PRIVATE KEY-----\n{lines(body, chr(10))}"}
+    for i, text in rows[:6]:
+        assert [text[a:b] for a, b, _ in secrets.candidates(text)] == [whole[i]]
+    assert len(secrets.candidates(rows[6][1])) == 2 and [k for *_, k in secrets.candidates(rows[7][1])][-1] == "private-key"
+    got = {r.doc_id: r.redacted for r in secrets.scan(docs(rows), secrets.train(secrets.labelled_findings())).collect()}
+    assert got[1] == "token=[assigned] end" and got[2] == "bearer [bare-token] end" and got[3] == "see [private-key] end"
+    assert got[4] == '"private_key": "[private-key]" end' and got[5] == "key: [private-key] end"
+    assert got[6] == "key: [private-key]\n\nend of the text" and got[7] == "[private-key]\n[private-key]" and body[:60] not in got[8]
+
+
 def test_forest_on_held_out_findings():
     findings = secrets.labelled_findings(1200, seed=11)
     model = secrets.train(secrets.labelled_findings(2000, seed=12))
