@@ -1,7 +1,8 @@
 """License scans with ordered signature rules.
 
 Rules are regexes over a document's words (lower-cased, one blank between). A rule is tried only
-where its keyword is among the document's words. Rules have priorities: matches are taken in
+where one of its keywords is among the document's words (or a © in the text): whatever a rule
+matches has one of them. Rules have priorities: matches are taken in
 order of priority, then length, then place, and a match that lies inside one already taken is
 suppressed. Base phrases are found wherever their words stand one after another; they keep their
 labels whatever the rules say.
@@ -30,26 +31,26 @@ BASE_WEIGHT = 0.95
 
 #: label, its identifier as words, names as regexes over words, keyword of the names.
 LICENSES = (
-    ("mit", "mit", r"mit licen[sc]e|expat licen[sc]e|the mit", "mit"),
+    ("mit", "mit", r"mit licen[sc]e|expat licen[sc]e|the mit", "mit|expat"),
     ("mit-0", "mit 0", r"mit no attribution(?: licen[sc]e)?", "attribution"),
     ("x11", "x11", r"x11 licen[sc]e|mit x11(?: licen[sc]e)?", "x11"),
     ("apache-1", "apache 1 1", r"apache(?: software)? licen[sc]e(?: version)? 1(?: [01])?", "apache"),
     ("apache-2", "apache 2 0", r"apache(?: software)? licen[sc]e(?: version)? (?:v ?)?2(?: 0)?|apache 2 0", "apache"),
-    ("bsd-2", "bsd 2 clause", r"(?:2|two) clause bsd(?: licen[sc]e)?|bsd (?:2|two) clause(?: licen[sc]e)?|simplified bsd licen[sc]e|freebsd licen[sc]e", "bsd"),
+    ("bsd-2", "bsd 2 clause", r"(?:2|two) clause bsd(?: licen[sc]e)?|bsd (?:2|two) clause(?: licen[sc]e)?|simplified bsd licen[sc]e|freebsd licen[sc]e", "bsd|freebsd"),
     ("bsd-3", "bsd 3 clause", r"(?:3|three) clause bsd(?: licen[sc]e)?|bsd (?:3|three) clause(?: licen[sc]e)?|(?:new|revised|modified) bsd licen[sc]e", "bsd"),
     ("bsd-4", "bsd 4 clause", r"(?:4|four) clause bsd(?: licen[sc]e)?|bsd (?:4|four) clause(?: licen[sc]e)?|original bsd licen[sc]e", "bsd"),
     ("bsd-0", "0bsd", r"zero clause bsd(?: licen[sc]e)?|bsd zero clause(?: licen[sc]e)?", "zero"),
     ("isc", "isc", r"isc licen[sc]e|internet systems consortium licen[sc]e", "licen"),
-    ("gpl-1", "gpl 1 0", r"gnu general public licen[sc]e version 1|gpl ?v?1(?: 0)?", "gpl|gnu"),
+    ("gpl-1", "gpl 1 0", r"gnu general public licen[sc]e version 1|gpl ?v?1(?: 0)?", "gpl|gnu|gplv1|gpl1"),
     ("gpl-2", "gpl 2 0", r"gnu general public licen[sc]e(?: version)? v?2(?: 0)?|gnu gpl(?: version)? v?2|gpl ?v2(?: 0)?|gpl (?:version )?2(?: 0)?", "gpl|gnu|gplv2"),
     ("gpl-3", "gpl 3 0", r"gnu general public licen[sc]e(?: version)? v?3(?: 0)?|gnu gpl(?: version)? v?3|gpl ?v3(?: 0)?|gpl (?:version )?3(?: 0)?", "gpl|gnu|gplv3"),
-    ("lgpl-2", "lgpl 2 0", r"gnu library general public licen[sc]e(?: version)? 2(?: 0)?|lgpl ?v?2(?: 0)?", "library|lgpl|lgplv2"),
-    ("lgpl-2.1", "lgpl 2 1", r"gnu lesser general public licen[sc]e(?: version)? v?2 1|lgpl ?v?2 1", "lesser|lgpl|lgplv2"),
-    ("lgpl-3", "lgpl 3 0", r"gnu lesser general public licen[sc]e(?: version)? v?3(?: 0)?|lgpl ?v?3(?: 0)?", "lesser|lgpl|lgplv3"),
-    ("agpl-3", "agpl 3 0", r"(?:gnu )?affero general public licen[sc]e(?: version)? v?3(?: 0)?|agpl ?v?3(?: 0)?", "affero|agpl|agplv3"),
+    ("lgpl-2", "lgpl 2 0", r"gnu library general public licen[sc]e(?: version)? 2(?: 0)?|lgpl ?v?2(?: 0)?", "library|lgpl|lgplv2|lgpl2"),
+    ("lgpl-2.1", "lgpl 2 1", r"gnu lesser general public licen[sc]e(?: version)? v?2 1|lgpl ?v?2 1", "lesser|lgpl|lgplv2|lgpl2"),
+    ("lgpl-3", "lgpl 3 0", r"gnu lesser general public licen[sc]e(?: version)? v?3(?: 0)?|lgpl ?v?3(?: 0)?", "lesser|lgpl|lgplv3|lgpl3"),
+    ("agpl-3", "agpl 3 0", r"(?:gnu )?affero general public licen[sc]e(?: version)? v?3(?: 0)?|agpl ?v?3(?: 0)?", "affero|agpl|agplv3|agpl3"),
     ("gfdl", "gfdl 1 3", r"gnu free documentation licen[sc]e(?: version 1 [123])?", "documentation"),
     ("mpl-1.1", "mpl 1 1", r"mozilla public licen[sc]e(?: version)? 1 1|mpl 1 1", "mozilla|mpl"),
-    ("mpl-2", "mpl 2 0", r"mozilla public licen[sc]e(?: version)? v?2(?: 0)?|mpl ?v?2(?: 0)?", "mozilla|mpl"),
+    ("mpl-2", "mpl 2 0", r"mozilla public licen[sc]e(?: version)? v?2(?: 0)?|mpl ?v?2(?: 0)?", "mozilla|mpl|mplv2|mpl2"),
     ("epl-1", "epl 1 0", r"eclipse public licen[sc]e(?: version)? v?1(?: 0)?", "eclipse"),
     ("epl-2", "epl 2 0", r"eclipse public licen[sc]e(?: version)? v?2(?: 0)?", "eclipse"),
     ("cddl-1", "cddl 1 0", r"common development and distribution licen[sc]e|cddl(?: 1 0)?", "cddl|distribution"),
@@ -180,13 +181,22 @@ def by_keyword() -> dict[bytes, tuple[Rule, ...]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
+def gated(present: set[bytes], text: str) -> dict[int, Rule]:
+    """The rules that can match a text with these words, by order."""
+    gates = by_keyword()
+    tried = {r.order: r for w in gates.keys() & present for r in gates[w]}
+    if "©" in text:  # a word may begin with it
+        tried |= {r.order: r for r in gates["©".encode()]}
+    return tried
+
+
 def find(text: str | None):
     """(words, base places [(word, label)], taken matches [(first word, end word, label, weight)])."""
     words = text.encode().translate(WORD_BYTES).split() if text else []
     if not words:
         return 0, [], []
-    gates, present = by_keyword(), set(words)
-    tried = {r.order: r for w in gates.keys() & present for r in gates[w]}
+    present = set(words)
+    tried = gated(present, text)
     starts = [(p, label) for p, label in BASE if present.issuperset(p.encode().split())]
     if not tried and not starts:
         return len(words), [], []

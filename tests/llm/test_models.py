@@ -1,5 +1,9 @@
 import base64
+import re
+import re._constants as C
+import re._parser
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -139,3 +143,45 @@ def test_license_rules():
     assert label("nothing to see") == set()
     for rule in licenses.rules():  # each rule's keyword is in what it matches, or it could never be tried
         assert all(k for k in rule.keywords)
+
+
+def examples(tree):
+    """One text for every choice of alternatives and of optional parts."""
+    parts = []
+    for op, arg in tree:
+        if op is C.LITERAL:
+            parts.append([chr(arg)])
+        elif op is C.ANY:
+            parts.append(["x"])
+        elif op is C.IN:
+            parts.append([chr(x[1]) if x[0] is C.LITERAL else chr(x[1][0]) if x[0] is C.RANGE else "0" for x in arg])
+        elif op is C.BRANCH:
+            parts.append([e for branch in arg[1] for e in examples(branch)])
+        elif op is C.SUBPATTERN:
+            parts.append(list(examples(arg[-1])))
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            least, most, of = arg
+            assert least < 2
+            parts.append([*([""] if least == 0 else []), *examples(of)])
+        else:
+            assert op is C.ASSERT
+    return ("".join(p) for p in product(*parts))
+
+
+def test_the_license_gate_loses_no_alternative(monkeypatch):
+    """With the keyword gate as without it, for every alternative of every rule."""
+    bare, n = [], 0
+    for rule in licenses.rules():
+        for text in examples(re._parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.search(f" {text} "), text
+            assert rule.order in licenses.gated(set(text.encode().translate(licenses.WORD_BYTES).split()), text), (rule.label, text)
+            n += 1
+            if 45 <= rule.priority < 50 or rule.priority in (10, 15):
+                bare.append(text)
+    assert n > 10_000
+    named = ["Expat License", "FreeBSD license", "©2020", "mpl2", "mplv2", "agpl3", "gplv1", "lgpl2"]
+    assert all(licenses.find(t)[2] for t in named)
+    bare = [*named, *bare[::25]]
+    gate = [licenses.find(t) for t in bare]
+    monkeypatch.setattr(licenses, "gated", lambda present, text: {r.order: r for r in licenses.rules()})
+    assert [licenses.find(t) for t in bare] == gate
