@@ -6,6 +6,9 @@ of a source are ranked and walk through its blocks (equal numbers of words of it
 hashed order) again and again, so that a source's share is met within a few blocks in every
 stretch of the schedule. Only DataFrame operations run.
 
+Whole slots are too coarse for a source whose target is under FINE blocks. Such a source is taken
+exactly: its documents in hashed order, again and again, up to its target in words.
+
 Rows: nulls in text count as 0 words, a null source is a source of its own (last), a null doc_id
 is hashed like an empty text. Repeated rows are separate documents. An empty table gives no rows.
 Other columns of the input are not looked at.
@@ -20,6 +23,8 @@ from plumbline.llm.common import SPACED_WORD, checkpoint
 
 #: Slots in a schedule at most; a block holds 1 / SLOTS of all words, 1 word at least.
 SLOTS = 1 << 18
+#: Sources with a target of fewer blocks are taken to the word instead of by slots.
+FINE = 256
 #: Rows of a source that one task puts in order, on average.
 ROWS_PER_BUCKET = 50_000
 GOLDEN = 0.6180339887498949
@@ -117,7 +122,12 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES,
         of = blocks.select("_src", *(F.col(c).alias(f"{c}_{side}") for c in ("_block", "_times", "_sum")))
         placed = placed.join(of, ["_src", f"_block_{side}"], "left")
     reach = lambda side, at: F.col(f"_sum_{side}") + F.col(f"_times_{side}") * (at - F.col(f"_block_{side}") * block)
-    return placed.select("doc_id", "_src", "size", "source_size", "target", F.coalesce(reach("b", F.col("_end")) - reach("a", F.col("_start")), F.lit(0)).cast("long").alias("taken"))
+    by_slots = F.coalesce(reach("b", F.col("_end")) - reach("a", F.col("_start")), F.lit(0))
+    goal, once = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    passes, part = F.floor(goal / once), goal % once
+    to_the_word = passes * F.col("size") + F.least("_end", part) - F.least("_start", part)
+    taken = F.when(F.col("target") < FINE * block, to_the_word).otherwise(by_slots)
+    return placed.select("doc_id", "_src", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_targets_and_taken(spark, docs, prose):
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
 
 
+def test_sources_smaller_than_a_block(spark, docs, prose):
+    rows = [(k, prose(100, k), None, f"s{k % 2}") for k in range(400)]
+    rows += [(1000 + 10 * s + k, prose(1 + s % 5, s), None, f"t{s:02}") for s in range(30) for k in range(2)]
+    got = mix(docs(rows), slots=64).collect()  # a block holds over 600 words, a small source 2 to 10
+    taken, target = defaultdict(int), {r._src: r.target for r in got}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r._src] += r.taken
+    assert len(target) == 32
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 0.5, s
+
+
 def test_no_words(spark, docs):
     assert mix(docs([])).count() == 0
     assert [r.taken for r in mix(docs([(1, None), (2, " ")])).collect()] == [0, 0]
