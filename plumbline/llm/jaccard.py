@@ -40,7 +40,7 @@ from plumbline.llm.shingles import shingle_sets
 
 FEW = 96
 FRAGMENTS = 8
-BINS = 64
+BINS = 64  # a power of two
 SAMPLE_DOCS = 32_768
 SAMPLE_COMMON = 2
 MOST_COMMON = 1_000_000
@@ -203,14 +203,14 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), width)
-                bins = [np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BINS).tolist() for h in sets]
+                bins = [np.bincount((h >> np.uint64(65 - BINS.bit_length())).astype(np.int64), minlength=BINS).tolist() for h in sets]
                 marks = [int.from_bytes((set_key(h) or b"")[:8], "little", signed=True) for h in sets]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(marks, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(bins, pa.list_(pa.int16())), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "s", "n", "bins", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(marks, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(bins, pa.list_(pa.int32())), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "s", "n", "bins", "shingles"])
 
     nodes = checkpoint(nodes)
     few = size_checked(nodes.select(F.col("node").alias("doc_id")), nodes.count(), FEW_IDS)
     found = docs.join(few, "doc_id").select(F.col("doc_id").alias("node"), "text")
-    return checkpoint(found.mapInArrow(cut, "node long, s long, n long, bins array<smallint>, shingles binary"))
+    return checkpoint(found.mapInArrow(cut, "node long, s long, n long, bins array<int>, shingles binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

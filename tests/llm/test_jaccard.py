@@ -54,6 +54,13 @@ def test_components_as_by_brute_force(spark, docs, prose, odd, monkeypatch, widt
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, width, percent)
 
 
+def test_more_shingles_in_a_bin_than_16_bits_hold(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BINS", 2)
+    text = " ".join(f"w{k}" for k in range(70_000))
+    got = jaccard.join(docs([(1, text), (2, f"{text} more"), (3, "other words of one text")]), 3, 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 69_998, 1), (2, 69_999, 1), (3, 3, 3)]
+
+
 def test_shingles_of_slices():
     import pyarrow as pa
 
