@@ -24,7 +24,7 @@ select conv_id, max(tokens) filter (where turn = 0) is not distinct from max(tok
 
 def code_blocks(spark, sf):
     """Blocks between quotes-like fences (here ". ") of a text and of its copy without line breaks."""
-    d = load(spark, sf, "documents").filter("length(text) < 2000")
+    d = load(spark, sf, "documents")
     blocks = lambda t: F.regexp_extract_all(t, F.lit("(?s)\\. .*?\\. "), F.lit(0))
     a, b = blocks(F.col("text")), blocks(F.regexp_replace("text", "\n", " "))
     return d.select("doc_id", F.size(a).alias("blocks"), (a == b).alias("same"))
@@ -88,7 +88,7 @@ select doc_id, len(t)::int as n, array_to_string(t, ' ') as tokens from t"""
 
 def paraphrase(spark, sf):
     """Words replaced in order, but not within code spans (here between | and |)."""
-    d = load(spark, sf, "documents").filter("length(text) < 1000").select("doc_id", F.regexp_replace("text", " \\| ", "`").alias("t"))
+    d = load(spark, sf, "documents").select("doc_id", F.regexp_replace("text", " \\| ", "`").alias("t"))
     return d.select("doc_id", F.sha2(T.protected_replace(F.col("t"), [("the", "a"), ("a", "one")]), 256).alias("sha"), F.size(F.regexp_extract_all("t", F.lit("`[^`]*`"), F.lit(0))).alias("spans"))
 
 
