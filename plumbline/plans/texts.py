@@ -49,9 +49,9 @@ select doc_id, case when contains(text, 'AKIA') or contains(text, 'password') th
 
 
 def strip_markup(spark, sf):
-    """Length and hash of the text of every page."""
+    """Length and hash of the text of every page, hash of its whole markup escaped."""
     t = T.strip_tags(F.col("html"))
-    return load(spark, sf, "pages").select("page_id", F.length(t).alias("n_chars"), F.sha2(t, 256).alias("sha"), F.sha2(T.html_escape(F.substring("html", 1, 200)), 256).alias("escaped_sha"))
+    return load(spark, sf, "pages").select("page_id", F.length(t).alias("n_chars"), F.sha2(t, 256).alias("sha"), F.sha2(T.html_escape(F.col("html")), 256).alias("escaped_sha"))
 
 
 STRIP = """
@@ -76,8 +76,8 @@ from n where n <= 999"""
 
 
 def hard_tokens(spark, sf):
-    """Hard tokens of the first lines of documents."""
-    t = F.array_sort(F.regexp_extract_all(F.element_at(F.split("text", "\n"), 1), F.lit('#[0-9A-Fa-f]{6}\\b|[0-9]+(?:\\.[0-9]+)?(?:%|pt|px)?|`[^`]+`|"[^"]+"'), F.lit(0)))
+    """Hard tokens of documents."""
+    t = T.hard_tokens(F.col("text"))
     return load(spark, sf, "documents").select("doc_id", F.size(t).alias("n"), F.array_join(t, " ").alias("tokens"))
 
 

@@ -47,3 +47,17 @@ def test_paraphrase_of_long_texts(table):
     texts = ("the | a | a", LONG, None)
     want = {(k, *((None, None) if t is None else brute(t))) for k, t in enumerate(texts)}
     assert {(r.doc_id, r.sha, r.spans) for r in table("paraphrase", documents=documents(*texts))} == want
+
+
+def test_hard_tokens_of_whole_texts(table):
+    (got,) = table("hard_tokens", documents=documents('plain\n#a0B1c2 and deck.pptx\n12.5cm, 3° "two words" `code` شكل 図形'))
+    want = sorted(["#a0B1c2", "deck.pptx", "12.5cm", "3°", '"two words"', "`code`", "شكل", "図形"])
+    assert (got.n, got.tokens) == (8, " ".join(want))
+
+
+def test_strip_markup_escapes_whole_pages(table):
+    import html
+
+    page = "<p class='a'>A & B</p>" * 50
+    (got,) = table("strip_markup", pages=([(1, page)], "page_id long, html string"))
+    assert got.escaped_sha == sha(html.escape(page))
