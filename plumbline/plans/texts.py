@@ -65,7 +65,7 @@ def unitize_lines(spark, sf):
     l = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("trim(t) <> ''")  # noqa: E741
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     kind = F.when(F.col("t").contains(" | "), "table").when(F.col("t").rlike("^[-*#] ?"), "list").when(F.length("t") < 40, "short").otherwise("paragraph")
-    return l.select("doc_id", (F.col("line") + 1).alias("line"), kind.alias("kind"), n.alias("n")).withColumn("id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".prompt-r"), F.lpad(F.col("n").cast("string"), 3, "0"))).filter("n <= 999")
+    return l.select("doc_id", (F.col("line") + 1).alias("line"), kind.alias("kind"), n.alias("n")).withColumn("id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".prompt-r"), F.expr("lpad(cast(n as string), greatest(3, length(cast(n as string))), '0')")))
 
 
 UNITIZE = """

@@ -61,3 +61,8 @@ def test_strip_markup_escapes_whole_pages(table):
     page = "<p class='a'>A & B</p>" * 50
     (got,) = table("strip_markup", pages=([(1, page)], "page_id long, html string"))
     assert got.escaped_sha == sha(html.escape(page))
+
+
+def test_unitize_lines_past_999(table):
+    got = sorted(table("unitize_lines", documents=documents("\n".join(f"line {k}" for k in range(1, 1205)))), key=lambda r: r.n)
+    assert [r.id for r in got] == [f"d0.prompt-r{k:03d}" for k in range(1, 1205)]
