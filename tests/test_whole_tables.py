@@ -66,3 +66,20 @@ def test_strip_markup_escapes_whole_pages(table):
 def test_unitize_lines_past_999(table):
     got = sorted(table("unitize_lines", documents=documents("\n".join(f"line {k}" for k in range(1, 1205)))), key=lambda r: r.n)
     assert [r.id for r in got] == [f"d0.prompt-r{k:03d}" for k in range(1, 1205)]
+
+
+def test_projection_has_the_nodes_of_every_supplier(table):
+    rows = [(997, 1, 7, 2), (997, 2, 8, 3), (5, 1, 9, 4)]
+    got = {r.subject for r in table("projection_equality", lineitem=(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"))}
+    assert got == {f'{{"l_orderkey":997,"l_linenumber":{n},"l_partkey":{p}}}' for n, p in ((1, 7), (11, 7), (2, 8), (12, 8))}
+
+
+def test_brands_are_unique_over_all_parts(table):
+    got = table(
+        "integrity_violations",
+        orders=([(1, 1)], "o_orderkey long, o_custkey long"),
+        customer=([(1, 0.0)], "c_custkey long, c_acctbal double"),
+        lineitem=([(1, 1, 0.0, 0.0)], "l_orderkey long, l_linenumber int, l_tax double, l_discount double"),
+        part=([(1, "a", 9), (60, "b", 9), (70, "b", 9), (80, "a", 9), (90, "c", 9)], "p_partkey long, p_brand string, p_size int"),
+    )
+    assert sorted((r.broken_rule, r.subject) for r in got) == [("unique brand", "a"), ("unique brand", "b")]
