@@ -7,15 +7,7 @@ from pyspark.sql import functions as F
 
 #: What counts as a hard token (colour, file name, number with unit, back-ticked,
 #: quoted, run of Arabic letters, run of kana or CJK).
-HARD_TOKEN = "|".join((
-    r"#[0-9A-Fa-f]{6}",
-    r"[A-Za-z0-9_-]+\.(?:png|pptx)",
-    r"\d+(?:\.\d+)?(?:cm|pt|px|mm|%|°|×)",
-    r"`[^`\n]+`",
-    r'"[^"\n]+"',
-    r"[\x{0600}-\x{06ff}]+",
-    r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]+",
-))
+HARD_TOKEN = r'#[0-9A-Fa-f]{6}|[A-Za-z0-9_-]+\.(?:png|pptx)|\d+(?:\.\d+)?(?:cm|pt|px|mm|%|°|×)|`[^`\n]+`|"[^"\n]+"|[\x{0600}-\x{06ff}]+|[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]+'
 
 
 def hard_tokens(text: Column) -> Column:

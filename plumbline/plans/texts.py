@@ -31,7 +31,7 @@ def code_blocks(spark, sf):
 
 
 CODE_BLOCKS = """
-with b as (select doc_id, regexp_extract_all(text, '(?s)\\. .*?\\. ') as a, regexp_extract_all(replace(text, chr(10), ' '), '(?s)\\. .*?\\. ') as b from documents where length(text) < 2000)
+with b as (select doc_id, regexp_extract_all(text, '(?s)\\. .*?\\. ') as a, regexp_extract_all(replace(text, chr(10), ' '), '(?s)\\. .*?\\. ') as b from documents)
 select doc_id, len(a)::int as blocks, a = b as same from b"""
 
 
@@ -57,7 +57,7 @@ def strip_markup(spark, sf):
 STRIP = """
 with t as (select page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') as t from pages)
 select page_id, length(t)::int as n_chars, sha256(t) as sha,
- sha256(replace(replace(replace(replace(replace(html[1:200], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) as escaped_sha from t"""
+ sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) as escaped_sha from t"""
 
 
 def unitize_lines(spark, sf):
@@ -71,8 +71,8 @@ def unitize_lines(spark, sf):
 UNITIZE = """
 with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1)::int as line from documents),
 n as (select *, (row_number() over (partition by doc_id order by line))::int as n from l where trim(t, ' ') <> '')
-select doc_id, line, case when contains(t, ' | ') then 'table' when regexp_matches(t, '^[-*#] ?') then 'list' when length(t) < 40 then 'short' else 'paragraph' end as kind, n, 'd' || doc_id || '.prompt-r' || lpad(n::varchar, 3, '0') as id
-from n where n <= 999"""
+select doc_id, line, case when contains(t, ' | ') then 'table' when regexp_matches(t, '^[-*#] ?') then 'list' when length(t) < 40 then 'short' else 'paragraph' end as kind, n, 'd' || doc_id || '.prompt-r' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') as id
+from n"""
 
 
 def hard_tokens(spark, sf):
@@ -82,7 +82,7 @@ def hard_tokens(spark, sf):
 
 
 HARD = """
-with t as (select doc_id, list_sort(regexp_extract_all(split_part(text, chr(10), 1), '#[0-9A-Fa-f]{6}\\b|[0-9]+(?:\\.[0-9]+)?(?:%|pt|px)?|`[^`]+`|"[^"]+"')) as t from documents)
+with t as (select doc_id, list_sort(regexp_extract_all(text, '#[0-9A-Fa-f]{6}|[A-Za-z0-9_-]+\\.(?:png|pptx)|[0-9]+(?:\\.[0-9]+)?(?:cm|pt|px|mm|%|°|×)|`[^`\\n]+`|"[^"\\n]+"|[\\x{0600}-\\x{06ff}]+|[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]+')) as t from documents)
 select doc_id, len(t)::int as n, array_to_string(t, ' ') as tokens from t"""
 
 
@@ -93,7 +93,7 @@ def paraphrase(spark, sf):
 
 
 PARAPHRASE = """
-with d as (select doc_id, replace(text, ' | ', '`') as t from documents where length(text) < 1000),
+with d as (select doc_id, replace(text, ' | ', '`') as t from documents),
 p as (select doc_id, string_split_regex(t, '`[^`]*`') as b, regexp_extract_all(t, '`[^`]*`') as s from d)
 select doc_id, sha256(array_to_string(list_transform(range(1, len(b) + 1), lambda i: replace(replace(b[i], 'the', 'a'), 'a', 'one') || coalesce(s[i], '')), '')) as sha, len(s)::int as spans from p"""
 
