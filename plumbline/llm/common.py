@@ -85,6 +85,25 @@ def size_checked(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Rows of one key beyond which a table's rows with it are joined by broadcast.
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with a table of one row for each key and the number of rows with it (size).
+
+    Keys of over HOT rows, of which there are at most rows / HOT, are broadcast: no task gets all
+    rows of one. rows and table are read twice then and should be checkpoints.
+    """
+    often = table.filter(F.col("size") > HOT)
+    if not often.take(1):
+        return rows.join(table, key, "left")
+    marked = rows.join(F.broadcast(often.select(key, F.lit(True).alias("_often"))), key, "left")
+    mine = marked.filter("_often").drop("_often").join(F.broadcast(often), key)
+    rest = marked.filter("_often is null").drop("_often").join(table.filter(F.col("size") <= HOT), key, "left")
+    return rest.unionByName(mine)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.sources import load
 

@@ -4,7 +4,7 @@ All shingles stand in one global order, and every document's set is a sorted lis
 order is cut into FRAGMENTS ranges of hashes; a candidate pair's overlap is counted in each
 fragment by itself and summed per pair, and histograms of the fragments bound the overlap before.
 
-1. Equal sets are one class; its smallest doc_id is compared, the others aren't.
+1. Equal sets are one class; one document stands for it, the others aren't compared.
 2. The global order puts shingles that are common in a bounded sample of documents last and
    otherwise goes by hash. Any order gives the same links; this one keeps common phrases out.
 3. Two linked sets share a shingle among the first n - ceil(t n) + 1 of both (prefix). Prefix
@@ -13,28 +13,36 @@ fragment by itself and summed per pair, and histograms of the fragments bound th
 4. Documents with a more frequent prefix shingle are compared once more among themselves: with
    exact frequencies, rarest first, so that copies that differ in many places share nothing.
    Here a shingle links all its documents to one centre first. Pairs that are in different
-   components after that are compared too, within the same bounds: no link between components is
-   lost, and pairs within one aren't spelled out.
+   components after that are compared too, within the same bounds, in blocks of a shingle's
+   documents: no link between components is lost.
+5. Links are counted where asked: those that 3 and 4 found one by one, and those between two
+   documents of 4 by blocks. A component's documents are dealt into blocks, two blocks meet in one
+   group, and the group sums the overlaps of all its pairs fragment by fragment. Only a number for
+   each document leaves it. A component of m different sets costs m * m / 2 overlaps.
 
 A map task that sees one shingle more than FEW times sends a mark instead of its rows, so that a
-shingle of very many documents is not one task's work.
+shingle of very many documents is not one task's work. Classes of over HOT rows are joined by
+broadcast (there are at most rows / HOT).
 
-Null, empty and wordless texts have an empty set, are linked with nothing and are components by
-themselves. A null doc_id belongs to the component of its text's class (null if that has no id).
-Rows that repeat a doc_id are compared by their own texts; an id that is the smallest of several
-classes joins them. Empty tables give no rows. Other columns are ignored.
+Rows, not ids, are linked. Null, empty and wordless texts have an empty set, are linked with nothing
+and are components by themselves. Rows whose doc_id is null or repeated are compared by their own
+texts like any other; a component has the smallest doc_id in it as its id, null if it has none.
+Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpoint, documents, size_checked, slices
+from plumbline.llm.common import checkpoint, documents, join_hot, size_checked, slices
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
@@ -47,6 +55,10 @@ MOST_COMMON = 1_000_000
 #: Ids that are broadcast at most; more are shuffled.
 FEW_IDS = 1_000_000
 SLICE = 1 << 20
+#: Rows of one shingle in a block, where its pairs are compared.
+BLOCK_ROWS = 512
+#: Sets, and bytes of sets, in a block of a component.
+BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 
 
 def set_key(h: np.ndarray) -> bytes | None:
@@ -60,7 +72,7 @@ def least_overlap(n, percent: int):
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least SAMPLE_COMMON of about SAMPLE_DOCS documents, and how many have them."""
     rows = docs.count()
-    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, SAMPLE_DOCS / max(1, rows)) * (1 << 30)).select("text")
+    few = docs.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < min(1.0, SAMPLE_DOCS / max(1, rows)) * (1 << 30)).select("text")
 
     def tally(batches):
         for batch in batches:
@@ -92,16 +104,18 @@ def prefix_of(h: np.ndarray, percent: int, common, maybe: np.ndarray) -> np.ndar
     return h[:p]
 
 
-def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and set_key of docs."""
+def keyed(rows: DataFrame, width: int) -> DataFrame:
+    """The rows without their text, with n_shingles and set_key (null without words)."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key"])
+                more = [pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *more], names=[*(f.name for f in kept), "n_shingles", "set_key"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n_shingles long, set_key binary")
+    return rows.mapInArrow(cut, T.StructType([*kept, T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType())]))
 
 
 def possible(n_a, at_a, n_b, at_b, percent: int, least=F.least):
@@ -128,7 +142,7 @@ def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
                     sizes.append(len(h))
             length = np.array([len(k) for k in keys], np.int64)
             key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            node = np.repeat(batch.column("doc_id").to_numpy(), length)
+            node = np.repeat(batch.column("node").to_numpy(), length)
             # A set's size and the place in it share a number; -1 marks a shingle as frequent, -2
             # a document that has a frequent one.
             place = (np.repeat(np.array(sizes, np.int64), length) << 32) + np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
@@ -208,8 +222,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(marks, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(bins, pa.list_(pa.int32())), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "s", "n", "bins", "shingles"])
 
     nodes = checkpoint(nodes)
-    few = size_checked(nodes.select(F.col("node").alias("doc_id")), nodes.count(), FEW_IDS)
-    found = docs.join(few, "doc_id").select(F.col("doc_id").alias("node"), "text")
+    found = docs.join(size_checked(nodes, nodes.count(), FEW_IDS), "node").select("node", "text")
     return checkpoint(found.mapInArrow(cut, "node long, s long, n long, bins array<int>, shingles binary"))
 
 
@@ -288,8 +301,16 @@ def rare_first(sets: DataFrame, nodes: DataFrame, held, percent: int) -> DataFra
     return found.select("key", "node", (F.col("alone") + F.col("at")).alias("at"), "n")
 
 
-def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, root: components of the linked documents of docs, which has every set once."""
+@dataclass(frozen=True)
+class Links:
+    roots: DataFrame  # node, root of every node that isn't the smallest of its component
+    pairs: DataFrame  # a, b: links, all but some between two documents of `often`
+    often: DataFrame  # node: documents with a frequent prefix shingle
+    sets: DataFrame  # of all documents in links, as sets_of has them
+
+
+def linked(docs: DataFrame, width: int, percent: int) -> Links:
+    """Links among docs (node, text), which has every set once."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
     found = checkpoint(candidates(docs, width, percent, held).distinct())
     often = checkpoint(found.filter("b is null").select(F.col("a").alias("node")))
@@ -305,35 +326,178 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = checkpoint(verified(pairs.unionByName(stars).distinct(), sets, percent))
     roots = components(links)
 
-    # Pairs of frequent shingles whose documents are still in different components.
+    # Pairs of frequent shingles whose documents are still in different components, by blocks.
     placed = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    torn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    placed = placed.join(torn, "key", "left_semi")
-    one = placed.select("key", F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    two = placed.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = one.join(two, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near("_a", "_b")).select("a", "b").distinct()
+    torn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")).filter("lo <> hi").select("key", "blocks")
+    placed = placed.join(torn, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    one = placed.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    two = placed.select("key", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    rest = one.join(two, ["key", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("root_a") != F.col("root_b")) & near("_a", "_b"))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = checkpoint(verified(rest.join(links, ["a", "b"], "left_anti"), sets, percent))
-    return components(links.unionByName(more)) if more.take(1) else roots
-
-
-def join(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not more.take(1):
+        return Links(roots, links, often, sets)
+    links = links.unionByName(more)
+    return Links(components(links), links, often, sets)
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `one` shares with each of `two`, summed over the fragments."""
+    n, m = len(one), len(two)
+    total = np.zeros((n, m))
+    owner = np.repeat(np.arange(n + m), [len(h) for h in (*one, *two)])
+    every = np.concatenate([*one, *two]) if owner.size else np.zeros(0, np.uint64)
+    fragment = (every >> np.uint64(61)).astype(np.int8)
+    for f in range(FRAGMENTS):
+        mine = fragment == f
+        _, column = np.unique(every[mine], return_inverse=True)
+        row = owner[mine]
+        left = row < n
+        size_1, size_2 = (np.bincount(column[x], minlength=column.max(initial=-1) + 1) for x in (left, ~left))
+        work = size_1 * size_2
+        # Shingles of many pairs are multiplied as columns of 0 and 1, others counted pair by pair.
+        wide = np.flatnonzero(work * 200 > n * m)
+        for k in range(0, len(wide), 1024):
+            place = np.full(len(work), -1)
+            place[wide[k : k + 1024]] = np.arange(len(wide[k : k + 1024]))
+            at = place[column]
+            a, b = np.zeros((n, 1024), np.float32), np.zeros((m, 1024), np.float32)
+            a[row[left & (at >= 0)], at[left & (at >= 0)]] = 1
+            b[row[~left & (at >= 0)] - n, at[~left & (at >= 0)]] = 1
+            total += a @ b.T
+        work[wide] = 0
+        a, b = np.flatnonzero(left & (work[column] > 0)), np.flatnonzero(~left & (work[column] > 0))
+        b = b[np.argsort(column[b], kind="stable")]
+        first, times = np.searchsorted(column[b], column[a]), size_2[column[a]]
+        up_to = np.cumsum(times)
+        at = 0
+        while at < len(a):  # some 4 million pairs at a time
+            to = max(at + 1, int(np.searchsorted(up_to, (up_to[at - 1] if at else 0) + (4 << 20), "right")))
+            t = times[at:to]
+            inside = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+            pair = np.repeat(row[a[at:to]], t) * m + row[b[np.repeat(first[at:to], t) + inside]] - n
+            total += np.bincount(pair, minlength=n * m).reshape(n, m)
+            at = to
+    return total.astype(np.int64)
+
+
+def counted(members: DataFrame, percent: int) -> DataFrame:
+    """node, n: how many rows the links of a node reach within its root. members: root, node, size (rows
+    of the set), shingles."""
+    blocks = members.groupBy("root").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.octet_length("shingles")).alias("_bytes")).filter("_m > 1")
+    blocks = blocks.select("root", F.greatest(F.ceil(F.col("_m") / BLOCK_SETS), F.ceil(F.col("_bytes") / BLOCK_BYTES)).alias("blocks"))
+    dealt = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), "node", "size", "shingles")
+
+    def count(group):
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        node, size = group["node"].to_numpy(), group["size"].to_numpy()
+        n = np.array([len(h) for h in sets])
+        one = np.flatnonzero(group["first"].to_numpy())
+        alone = bool(group["i"].iloc[0] == group["j"].iloc[0])
+        two = one if alone else np.flatnonzero(~group["first"].to_numpy())
+        met = (100 + percent) * overlaps([sets[k] for k in one], [sets[k] for k in two]) >= percent * (n[one][:, None] + n[two][None, :])
+        if alone:
+            np.fill_diagonal(met, False)
+            return pd.DataFrame({"node": node[one], "n": met @ size[two]})
+        return pd.DataFrame({"node": np.concatenate([node[one], node[two]]), "n": np.concatenate([met @ size[two], met.T @ size[one]])})
+
+    return dealt.groupBy("root", "i", "j").applyInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def reached(found: Links, sizes: DataFrame, percent: int) -> DataFrame:
+    """node, n: how many rows of other sets are linked with a node. sizes: node, size."""
+    mark = found.often.withColumn("_often", F.lit(True))
+    pairs = found.pairs
+    for side in "ab":
+        pairs = pairs.join(mark.select(F.col("node").alias(side), F.col("_often").alias(f"_{side}")), side, "left")
+    pairs = checkpoint(pairs.filter("_a is null or _b is null").select("a", "b"))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    single = ends.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("n"))
+    placed = found.often.join(found.roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("root").count().filter("count > 1").select("root")
+    placed = checkpoint(placed.join(several, "root", "left_semi").join(sizes, "node"))
+    sets = found.sets.select("node", "shingles").join(size_checked(placed, placed.count(), FEW_IDS), "node")
+    return single.unionByName(counted(sets, percent)).groupBy("node").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Classes:
+    rows: DataFrame  # doc_id, n_shingles, set_key, _plain (whether the id is this row's alone)
+    table: DataFrame  # set_key, node, least (smallest doc_id), size (rows)
+    first: DataFrame  # node, text: one document of each class
+    repeated: DataFrame  # doc_id that several rows have
+    n_repeated: int
+    nameless: int  # rows without a doc_id
+
+
+def classes(texts: DataFrame, width: int) -> Classes:
+    """Classes of equal sets among texts (doc_id, text). A class goes by the id of one of its rows,
+    or by a hash of the set, far below any id, where all its ids are null or repeated."""
     rows = checkpoint(keyed(texts, width))
-    classes = checkpoint(rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    # Documents that aren't the first of their class: left out of what follows.
-    copies = checkpoint(rows.join(classes, "set_key", "left").filter("set_key is null or doc_id <> rep").select("doc_id").distinct())
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"))
-    left = checkpoint(copies.join(reps, "doc_id", "left_anti"))  # a repeated doc_id may be both
-    first = texts.filter("doc_id is not null").join(size_checked(left, left.count(), FEW_IDS), "doc_id", "left_anti")
-    roots = linked(first, width, percent)
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("_component"))
-    out = rows.join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"))
+    repeated = checkpoint(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    n_repeated = repeated.count()
+    again = size_checked(repeated.withColumn("_again", F.lit(True)), n_repeated, FEW_IDS)
+    rows = rows.join(again, "doc_id", "left").select("doc_id", "n_shingles", "set_key", (F.col("doc_id").isNotNull() & F.col("_again").isNull()).alias("_plain"))
+    table = rows.filter("set_key is not null").groupBy("set_key").agg(F.min(F.when(F.col("_plain"), F.col("doc_id"))).alias("own"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    by_hash = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("set_key"), F.lit(1 << 61))
+    table = checkpoint(table.withColumn("node", F.coalesce("own", by_hash)))
+    out = rows.filter("_plain").select("doc_id").join(table.select(F.col("own").alias("doc_id")), "doc_id", "left_anti")
+    out = checkpoint(out.unionByName(repeated))
+    first = texts.filter("doc_id is not null").join(size_checked(out, out.count(), FEW_IDS), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
+    nameless, unnamed = rows.filter("doc_id is null").count(), table.filter("own is null")
+    if n_unnamed := unnamed.count():
+        odd = texts.filter("doc_id is null").unionByName(texts.join(size_checked(repeated, n_repeated, FEW_IDS), "doc_id", "left_semi"))
+        odd = keyed(odd.select("text", F.col("text").alias("_text")), width).join(size_checked(unnamed.select("set_key", "node"), n_unnamed, FEW_IDS), "set_key")
+        first = first.unionByName(checkpoint(odd.groupBy("node").agg(F.any_value("_text").alias("text"))))
+    return Classes(rows, table.drop("own"), first, repeated, n_repeated, nameless)
+
+
+def grouped(known: Classes, found: Links) -> DataFrame:
+    """set_key, node, least, size and _root (of the component) of each class."""
+    return known.table.join(found.roots, "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("root")
+
+
+def join(docs: DataFrame, width: int, percent: int, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and, unless count_links
+    is false, n_links (how many other rows are linked with this one) of every row."""
+    known = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    found = linked(known.first, width, percent)
+    named = grouped(known, found)
+    named = named.join(named.groupBy("_root").agg(F.min("least").alias("component_id")), "_root")
+    if count_links:
+        named = named.join(reached(found, known.table.select("node", "size"), percent), "node", "left")
+        named = named.withColumn("n_links", F.col("size") - 1 + F.coalesce("n", F.lit(0)))
+    names = ["component_id", "n_links"][: 1 + count_links]
+    out = join_hot(known.rows, checkpoint(named.select("set_key", "size", *names)), "set_key")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names[1:]])
+
+
+def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id, of several such rows any one.
+
+    Rows without words stay. All columns are passed on, whatever their names.
+    """
+    known = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    found = linked(known.first, width, percent)
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "set_key")).alias("best")
+    stay = checkpoint(grouped(known, found).groupBy("_root").agg(best).select("best.set_key", "best.least"))
+    gone = known.rows.filter("_plain and set_key is not null").select("doc_id").join(stay.select(F.col("least").alias("doc_id")), "doc_id", "left_anti")
+    gone = checkpoint(gone.unionByName(known.repeated))
+    out = docs.filter("doc_id is not null").join(size_checked(gone, gone.count(), FEW_IDS), "doc_id", "left_anti").select(*docs.columns)
+    if known.n_repeated or known.nameless:
+        odd = docs.filter("doc_id is null").unionByName(docs.join(size_checked(known.repeated, known.n_repeated, FEW_IDS), "doc_id", "left_semi").select(*docs.columns))
+        odd = checkpoint(keyed(odd.select(F.struct(*docs.columns).alias("row"), "text"), width))
+        met = odd.filter("set_key is not null").join(stay, "set_key").filter(F.col("row.doc_id").cast("long").eqNullSafe(F.col("least")))
+        met = met.groupBy("set_key").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
+        out = out.unionByName(odd.filter("set_key is null").select("row").unionByName(met).select("row.*"))
+    return out
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
-    """Components of documents with 3-word shingle sets of Jaccard similarity 0.9 or more."""
+    """Components and numbers of links of documents with 3-word shingle sets of Jaccard similarity 0.9 or more."""
     return join(documents(spark, sf_dir), 3, 90)
 
 
@@ -346,5 +510,7 @@ n as (select doc_id, count(*) as n from s group by 1),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
 l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
 e as (select a, b from l union all select b, a from l),
+k as (select a as doc_id, count(*) as n_links from e group by 1),
 r(doc_id, reached) as (select doc_id, doc_id from d union select r.doc_id, b from r join e on r.reached = e.a)
-select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(reached) as component_id from r left join n using (doc_id) group by r.doc_id"""
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(reached) as component_id, coalesce(any_value(n_links), 0) as n_links
+from r left join n using (doc_id) left join k using (doc_id) group by r.doc_id"""

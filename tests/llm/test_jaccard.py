@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from plumbline.llm import jaccard
+from plumbline.llm import common, jaccard
 from plumbline.llm.components import components
 from plumbline.llm.common import LOWER_BYTES
 from plumbline.llm.shingles import shingle_sets
@@ -30,10 +31,15 @@ def brute(rows, width, percent):
             for x in near[todo.pop()] - seen:
                 seen.add(x)
                 todo.append(x)
-        out.append((rows[a][0], len(s[a]), min((rows[x][0] for x in seen if rows[x][0] is not None), default=None)))
+        out.append((rows[a][0], len(s[a]), min((rows[x][0] for x in seen if rows[x][0] is not None), default=None), len(near[a])))
     return sorted(map(str, out))
 
 
+def found(spark, docs, rows, width, percent):
+    got = jaccard.join(docs(rows), width, percent).collect()
+    return sorted(str((r.doc_id, r.n_shingles, r.component_id, r.n_links)) for r in got)
+
+
 def edited(text, k, seed):
     rng, w = random.Random(seed), text.split()
     for _ in range(k):
@@ -41,17 +47,63 @@ def edited(text, k, seed):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("width,percent,few", [(3, 90, 48), (5, 80, 48), (3, 90, 3), (5, 80, 4)])
-def test_components_as_by_brute_force(spark, docs, prose, odd, monkeypatch, width, percent, few):
+@pytest.mark.parametrize("width,percent,few,block", [(3, 90, 48, 1024), (5, 80, 48, 5), (3, 90, 3, 7), (5, 80, 4, 1024)])
+def test_components_and_links_as_by_brute_force(spark, docs, prose, odd, monkeypatch, width, percent, few, block):
     monkeypatch.setattr(jaccard, "FEW", few)  # also drives the way for frequent shingles
-    rows = [r for r in odd if r[0] != 6] + [(11, "A b"), (12, "a B")]
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    monkeypatch.setattr(common, "HOT", 4)
+    rows = [*odd, (11, "A b"), (12, "a B")]
     for g in range(4):
         base = prose(120 + 40 * g, 50 + g, 5000)
         rows += [(1000 * (g + 1) + k, edited(base, k % 7, k)) for k in range(25)]
     rows += [(9000 + k, prose(60, k, 5000) + " " + prose(55, 99)) for k in range(20)]
     rows += [(9500 + k, f"copy of one text {'z ' * 30}") for k in range(12)]
-    got = jaccard.join(docs(rows), width, percent).collect()
-    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, width, percent)
+    assert found(spark, docs, rows, width, percent) == brute(rows, width, percent)
+
+
+def test_rows_without_or_with_a_repeated_id(spark, docs, prose):
+    """Links pass through rows without an id; a repeated id links nothing."""
+    w = prose(100, 3, 5000).split()
+    chain = [" ".join(w[:k] + [f"n{j}" for j in range(k, 5)] + w[5:]) for k in (5, 3, 1)]  # neighbours only are linked
+    rows = [(20, chain[0]), (None, chain[1]), (10, chain[2]), (None, chain[1].upper()), (30, "one text"), (30, "another text here"), (31, "another text here"), (30, "one text")]
+    rows += [(None, "no id at all"), (None, "no id at all"), (30, None), (5, prose(40, 8)), (5, prose(40, 9))]
+    assert found(spark, docs, rows, 3, 90) == brute(rows, 3, 90)
+    got = jaccard.keep_one(docs(rows), 3, 90).collect()
+    left = sorted((str(r.doc_id), (r.text or "").lower()) for r in got)
+    assert left == sorted([("10", chain[2]), ("30", "one text"), ("30", "another text here"), ("None", "no id at all"), ("30", ""), ("5", prose(40, 8)), ("5", prose(40, 9))])
+    assert got[0].shard == "x" and got[0].n_words == "y"
+
+
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+@pytest.mark.parametrize("n", [16, 64, 128, 1024])
+def test_words_that_polynomials_confuse(spark, docs, n):
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"{one} {two} x {two} {one} x {one}"), (4, f"{two} x x"), (5, f"{one} x x")]
+    assert found(spark, docs, rows, 3, 90) == brute(rows, 3, 90)
+
+
+def test_very_long_near_copies(spark, docs):
+    text = " ".join(f"w{k * 7919 % 1_000_003}" for k in range(2_400_000))
+    got = jaccard.join(docs([(1, text), (2, f"{text} more"), (3, "other words of one text")]), 3, 90).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
+@pytest.mark.parametrize("n,m,words", [(1, 1, 5), (30, 20, 40), (200, 3, 3000), (3, 300, 60)])
+def test_overlaps(n, m, words):
+    rng = np.random.default_rng(n * m)
+    hashes = rng.integers(0, 2**64, words, np.uint64)
+    pick = lambda: np.sort(rng.choice(hashes, rng.integers(0, words), replace=False))
+    one, two = [pick() for _ in range(n)], [pick() for _ in range(m)]
+    want = [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    assert jaccard.overlaps(one, two).tolist() == want
 
 
 def test_more_shingles_in_a_bin_than_16_bits_hold(spark, docs, monkeypatch):
