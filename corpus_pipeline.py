@@ -30,16 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays.
+    """Of each component of near duplicates the row with the smallest doc_id stays.
 
-    Rows without a doc_id stay unless their text's class has one. Of rows with one doc_id, one stays.
+    Rows without words stay. Rows with a repeated or no doc_id are compared by their own texts; of
+    a component without any id, or of rows that repeat id and words, one stays.
     """
-    placed = checkpoint(jaccard.join(docs, WIDTH, PERCENT).select("doc_id", "component_id"))
-    gone = checkpoint(placed.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
-    stay = docs.join(size_checked(gone, gone.count(), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    if placed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
-        stay = stay.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id is null"))
-    return stay
+    return jaccard.keep_one(docs, WIDTH, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
