@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.arrow import canonical_json
 from plumbline.operators import checklist as C
 from plumbline.operators.diff import tree_diff
-from plumbline.sources import package
+from plumbline.operators.selectors import Registry, affected, default_registry
+from plumbline.sources import package, quarantine
 from plumbline.sources.sinks import check_output
 
 COMPARED = ["kind", "name", "x", "y", "cx", "cy", "rotation", "placeholder_type", "placeholder_idx", "table_rows", "table_cols", "chart", "field_types", "fill", "shadow", "asset", "runs"]
@@ -26,9 +29,10 @@ class Decks:
         self.nodes = package.nodes(good, self.relationships, self.slides)
         self.media, self.names = package.media(good), package.layout_names(good)
         self.notes = package.notes_and_comments(self.relationships, self.slides)
-        self.safety = package.safety(self.packages, self.parts)
+        self.safety = quarantine.safety(self.packages)
         self.digests = package.package_digest(self.parts)
         self.orphans = package.orphans(good, self.relationships)
+        self.problems = package.xml_problems(good).unionByName(package.slide_problems(good, self.relationships).withColumn("part_name", F.lit(package.PRESENTATION)))
 
     def as_checked(self) -> dict[str, DataFrame]:
         """Tables named as operators.checklist wants them."""
@@ -57,9 +61,19 @@ def scene_graph(decks: Decks, slides: list[int] | None = None) -> DataFrame:
     return g.select("package_id", "slide", canonical_json(text).alias("scene"))
 
 
-def grade(tables: dict[str, DataFrame], rules: DataFrame, visual: DataFrame, tier: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(item results, scores of the decks) for a checklist. tables: Decks.as_checked()."""
+class Graded(NamedTuple):
+    results: DataFrame  # items: deck_id, id, slide, severity, passed, detail, outcome, weight
+    scores: DataFrame  # of the decks: fidelity, passed_items, total_items
+    flags: DataFrame  # anti-cheat rules that failed items stand for, with the slides they affect
+
+
+def grade(tables: dict[str, DataFrame], rules: DataFrame, visual: DataFrame, tier: int = 3, registry: Registry | None = None) -> Graded:
+    """A checklist on the slides of a tier. tables: Decks.as_checked(); rules: columns of checklist.RULE."""
+    last = C.TIER_SLIDES[tier - 1]
+    rules = C.completed(rules).filter(F.col("tier") <= tier).filter(F.col("slide").isNull() | F.col("slide").between(1, last))
     facts = C.slide_facts(tables["nodes"], tables["slides"], tables["media"], visual)
-    rules = rules.filter(F.col("tier") <= tier)
-    results = C.propagate(C.evaluate_slides(rules, facts, tables["decks"]), C.evaluate_decks(rules, facts, tables["decks"], tables["names"], tables["notes"]))
-    return results, C.tier_score(results, tier)
+    slide_results = C.evaluate_slides(rules, facts, tables["decks"])
+    deck_results = C.evaluate_decks(rules, facts, tables["decks"], tables["names"], tables["notes"], visual, tables["media"])
+    failed = affected(slide_results.unionByName(deck_results), registry or default_registry(), tables, list(range(1, last + 1)))
+    results = C.propagate(slide_results, deck_results, failed)
+    return Graded(results, C.tier_score(results, tier), C.flags(failed))

@@ -67,8 +67,8 @@ def protected_replace(text: Column, words: list[tuple[str, str]], code: str = "`
 
 
 def strip_unicode(text: Column) -> Column:
-    """Trims all Unicode white space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trims all Unicode white space and the four separators U+001C to U+001F."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def is_sha256(text: Column) -> Column:

@@ -1,10 +1,10 @@
 """Whole checklists over flattened decks: dispatch by method, propagation, score, mutation faults.
 
 Inputs: nodes (deck_id, slide, kind, placeholder_type, field_types, runs, cx, cy, asset, path),
-slides (deck_id, slide, layout_ref), media (deck_id, sha256), visual (deck_id, slide, ssim) and
-rules (id, scope, slide, tier, severity, method, selector, min_count, exact_count, required,
-contains, exact, not_contains, placeholder_type, min_ssim, sha256, fonts, auto_fail, propagation).
-Nodes are aggregated once; rules are few and are broadcast behind a count.
+slides (deck_id, slide, layout_ref), media (deck_id, sha256), visual (deck_id, slide, ssim and, where
+a slide has several results, their ordinal: the last counts) and rules, with the columns of RULE.
+A rule column that isn't there is null. Nodes are aggregated once; rules are few and are broadcast
+behind a count.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import strip_unicode
 from plumbline.operators.rules import first_failure
 from plumbline.operators.score import weight
 
@@ -41,6 +42,18 @@ DRAWN = (*SHAPES, "text", "placeholder", "field")
 TIER_SLIDES = (5, 12, 20)
 DEFAULT_SSIM = 0.9999
 MOST_RULES = 100_000
+#: What a failed item does: the anti-cheat rules it stands for (none: nothing), whether slides are
+#: zeroed (zero_slide), and which are affected: those of a named selector, else a list, else its own.
+FAILURE = {"automatic_fail_if": "array<string>", "propagation": "string", "affected_mode": "string", "affected_slides": "array<int>", "selector_id": "string", "selector_sha256": "string"}
+RULE = {
+    "id": "string", "scope": "string", "slide": "int", "tier": "int", "severity": "string", "method": "string", "selector": "string", "min_count": "int", "exact_count": "int", "required": "boolean",
+    "contains": "string", "exact": "string", "not_contains": "string", "field_type": "string", "placeholder_type": "string", "min_ssim": "double", "sha256": "string", "asset_hashes": "map<string,string>",
+} | FAILURE
+
+
+def completed(rules: DataFrame) -> DataFrame:
+    """The columns of RULE, null where rules lacks one."""
+    return rules.select(*((F.col(c) if c in rules.columns else F.lit(None)).cast(t).alias(c) for c, t in RULE.items()))
 
 
 def tier_of(slide: Column) -> Column:
@@ -61,8 +74,14 @@ def slide_facts(nodes: DataFrame, slides: DataFrame, media: DataFrame, visual: D
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(fonts)))).alias("bad_fonts"), F.max(area).alias("raster"),
     )
     hashes = media.groupBy("deck_id").agg(F.collect_set("sha256").alias("hashes"))
-    seen = visual.groupBy(*keys).agg(F.last("ssim").alias("ssim"))
-    return slides.join(g, keys, "left").join(hashes, "deck_id", "left").join(seen, keys, "left")
+    return slides.withColumn("present", F.lit(True)).join(g, keys, "left").join(hashes, "deck_id", "left").join(last_results(visual), keys, "left")
+
+
+def last_results(visual: DataFrame) -> DataFrame:
+    """deck_id, slide, ssim: the result with the largest ordinal, of equal or no ordinals the larger one."""
+    if "ordinal" not in visual.columns:
+        visual = visual.withColumn("ordinal", F.lit(0))
+    return visual.groupBy("deck_id", "slide").agg(F.max(F.struct("ordinal", "ssim")).alias("x")).select("deck_id", "slide", F.col("x.ssim").alias("ssim"))
 
 
 def number(facts_kind: Column, selector: Column) -> Column:
@@ -74,83 +93,119 @@ def number(facts_kind: Column, selector: Column) -> Column:
 
 
 def evaluate_slides(rules: DataFrame, facts: DataFrame, decks: DataFrame) -> DataFrame:
-    """Results of slide rules for every deck: deck_id, id, slide, severity, passed, detail, auto_fail, propagation."""
-    r = rules.filter("scope = 'slide'")
+    """Results of slide rules for every deck: deck_id, id, slide, tier, severity, passed, detail and FAILURE."""
+    r = completed(rules).filter("scope <> 'deck' and slide is not null")
     r = F.broadcast(r) if r.count() <= MOST_RULES else r
     j = decks.crossJoin(r).join(facts, ["deck_id", "slide"], "left")
     n = number(F.col("kinds"), F.col("selector"))
     none = F.array().cast("array<string>")
     text, holders = F.coalesce("text", F.lit("")), F.coalesce("placeholders", none)
-    ph = F.when(F.col("placeholder_type").isNull(), F.size(holders)).otherwise(F.size(F.filter(holders, lambda x: x == F.col("placeholder_type"))))
+    ph = F.when(F.coalesce("placeholder_type", F.lit("")) == "", F.size(holders)).otherwise(F.size(F.filter(holders, lambda x: x == F.col("placeholder_type"))))
     m = F.col("method")
     want = lambda c: F.coalesce(F.col(c), F.lit(""))
     passed, detail = first_failure(
-        (F.col("layout_ref").isNull() & F.col("kinds").isNull() & (m != "visual_ssim"), "slide not found"),
+        (F.col("present").isNull(), "slide not found"),
         ((m == "object_compare") & F.coalesce("required", F.lit(False)) & (n == 0), "required but missing"),
         ((m == "object_compare") & (n != F.col("exact_count")), "exact count differs"),
         ((m == "object_compare") & (n < F.coalesce("min_count", F.lit(0))), "too few"),
         ((m == "text_match") & (want("contains") != "") & ~text.contains(want("contains")), "missing text"),
-        ((m == "text_match") & (want("exact") != "") & (F.trim(text) != want("exact")), "text differs"),
+        ((m == "text_match") & (want("exact") != "") & (strip_unicode(text) != want("exact")), "text differs"),
         ((m == "text_match") & (want("not_contains") != "") & text.contains(want("not_contains")), "forbidden text"),
         ((m == "hash_match") & (F.size(F.filter(F.coalesce("kinds", none), lambda k: k == "picture")) == 0), "no picture"),
-        ((m == "hash_match") & F.col("sha256").isNotNull() & ~F.array_contains(F.coalesce("hashes", none), F.col("sha256")), "hash not found"),
-        ((m == "field_check") & (F.size(F.coalesce("fields", none)) == 0), "no field"),
+        ((m == "hash_match") & (want("sha256") != "") & ~F.array_contains(F.coalesce("hashes", none), F.col("sha256")), "hash not found"),
+        ((m == "field_check") & (want("field_type") != "") & ~F.array_contains(F.coalesce("fields", none), F.col("field_type")), "field not found"),
+        ((m == "field_check") & (want("field_type") == "") & (F.size(F.coalesce("fields", none)) == 0), "no field"),
         ((m == "layout_check") & (F.col("selector") == "master_ref") & (F.coalesce("layout_ref", F.lit("")) == ""), "no layout"),
-        ((m == "layout_check") & (F.col("selector") != "master_ref") & (ph < F.coalesce("min_count", F.lit(1))), "too few placeholders"),
+        ((m == "layout_check") & (F.col("selector") == "placeholder") & (ph < F.coalesce("min_count", F.lit(1))), "too few placeholders"),
+        ((m == "layout_check") & ~want("selector").isin("master_ref", "placeholder"), "unknown selector"),
         ((m == "anti_cheat") & (F.col("selector") == "font_policy") & (F.size(F.coalesce("bad_fonts", none)) > 0), F.concat(F.lit("fonts "), F.array_join("bad_fonts", ","))),
         ((m == "anti_cheat") & (F.col("selector") == "no_full_slide_raster") & (F.col("raster") > RASTER), "full-slide raster"),
-        ((m == "visual_ssim") & (F.coalesce("ssim", F.lit(-1.0)) < F.coalesce("min_ssim", F.lit(DEFAULT_SSIM))), "below threshold"),
-        (~m.isin("object_compare", "text_match", "hash_match", "field_check", "layout_check", "anti_cheat", "visual_ssim"), "unknown method"),
+        ((m == "visual_ssim") & F.col("ssim").isNull(), "no visual result"),
+        ((m == "visual_ssim") & (F.col("ssim") < F.coalesce("min_ssim", F.lit(DEFAULT_SSIM))), "below threshold"),
+        (~F.coalesce(m, F.lit("")).isin("object_compare", "text_match", "hash_match", "field_check", "layout_check", "anti_cheat", "visual_ssim"), "unknown method"),
     )
-    return j.select("deck_id", "id", "slide", "tier", "severity", passed.alias("passed"), detail.alias("detail"), "auto_fail", "propagation")
+    return j.select("deck_id", "id", "slide", "tier", "severity", passed.alias("passed"), detail.alias("detail"), *FAILURE)
 
 
-def evaluate_decks(rules: DataFrame, facts: DataFrame, decks: DataFrame, names: DataFrame, notes: DataFrame) -> DataFrame:
+def evaluate_decks(rules: DataFrame, facts: DataFrame, decks: DataFrame, names: DataFrame, notes: DataFrame, visual: DataFrame, media: DataFrame) -> DataFrame:
     """Results of deck rules. names: deck_id, level, name (layouts, masters); notes: deck_id, slide, notes, comments."""
-    f = facts.groupBy("deck_id").agg(F.count(F.lit(1)).alias("slides"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("bad_fonts")))).alias("bad_fonts"), F.first("hashes", True).alias("hashes"), F.count_if(F.coalesce("ssim", F.lit(-1.0)) >= DEFAULT_SSIM).alias("n_ok"), F.count("ssim").alias("n_ssim"))
+    f = facts.groupBy("deck_id").agg(F.count(F.lit(1)).alias("slides"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("bad_fonts")))).alias("bad_fonts"))
+    v = last_results(visual).groupBy("deck_id").agg(F.min("ssim").alias("least_ssim"))
+    h = media.groupBy("deck_id").agg(F.collect_set("sha256").alias("hashes"))
     l = names.groupBy("deck_id").agg(F.count_if(F.col("level") == "Master").alias("masters"), F.count_if(F.col("level") == "Layout").alias("layouts"))  # noqa: E741
     o = notes.groupBy("deck_id").agg(F.bool_or(F.col("notes") | F.col("comments")).alias("noted"))
-    r = rules.filter("scope = 'deck'")
+    r = completed(rules).filter("scope = 'deck'")
     r = F.broadcast(r) if r.count() <= MOST_RULES else r
-    j = decks.crossJoin(r).join(f, "deck_id", "left").join(l, "deck_id", "left").join(o, "deck_id", "left")
-    m, s, none = F.col("method"), F.col("selector"), F.array().cast("array<string>")
+    j = decks.crossJoin(r)
+    for table in (f, l, o, v, h):
+        j = j.join(table, "deck_id", "left")
+    m, s, none = F.coalesce("method", F.lit("")), F.coalesce("selector", F.lit("")), F.array().cast("array<string>")
+    wanted = F.coalesce("asset_hashes", F.create_map().cast("map<string,string>"))
+    missing = F.array_sort(F.map_keys(F.map_filter(wanted, lambda k, x: ~F.array_contains(F.coalesce("hashes", none), x))))
     at_least = lambda c: F.coalesce(F.col(c), F.lit(0)) < F.coalesce("min_count", F.lit(1))
     passed, detail = first_failure(
+        ((m == "object_compare") & (s != "slide_count"), "unknown selector"),
         ((m == "object_compare") & (F.coalesce("slides", F.lit(0)) != F.coalesce("exact_count", F.lit(20))), "slide count differs"),
         ((m == "layout_check") & (s == "master_count") & at_least("masters"), "too few masters"),
         ((m == "layout_check") & (s == "layout_count") & at_least("layouts"), "too few layouts"),
         ((m == "anti_cheat") & (s == "font_policy") & (F.size(F.coalesce("bad_fonts", none)) > 0), F.concat(F.lit("fonts "), F.array_join("bad_fonts", ","))),
         ((m == "anti_cheat") & (s == "no_notes") & F.coalesce("noted", F.lit(False)), "notes or comments"),
-        ((m == "hash_match") & F.col("sha256").isNotNull() & ~F.array_contains(F.coalesce("hashes", none), F.col("sha256")), "hash not found"),
-        ((m == "hash_match") & F.col("sha256").isNull() & (F.size(F.coalesce("hashes", none)) == 0), "no media"),
-        ((m == "visual_ssim") & ((F.coalesce("n_ssim", F.lit(0)) == 0) | (F.col("n_ok") < F.col("slides"))), "below threshold"),
+        ((m == "layout_check") & ~s.isin("master_count", "layout_count"), "unknown selector"),
+        ((m == "hash_match") & (F.size(missing) > 0), F.concat(F.lit("missing "), F.array_join(missing, ","))),
+        ((m == "hash_match") & (F.size(wanted) == 0) & (F.size(F.coalesce("hashes", none)) == 0), "no media"),
+        ((m == "visual_ssim") & F.col("least_ssim").isNull(), "no visual result"),
+        ((m == "visual_ssim") & (F.col("least_ssim") < F.coalesce("min_ssim", F.lit(DEFAULT_SSIM))), "below threshold"),
         (~m.isin("object_compare", "layout_check", "anti_cheat", "hash_match", "visual_ssim"), "unknown method"),
     )
-    return j.select("deck_id", "id", F.lit(None).cast("int").alias("slide"), "tier", "severity", passed.alias("passed"), detail.alias("detail"), "auto_fail", "propagation")
-
-
-def propagate(slide_results: DataFrame, deck_results: DataFrame) -> DataFrame:
-    """Zeroes passed slide items: all of a deck whose deck item with auto_fail fails (whatever its
-    propagation), and those of a slide whose item fails with auto_fail and propagation zero_slide."""
-    bad = deck_results.filter("not passed and auto_fail").select("deck_id").distinct().withColumn("_deck", F.lit(True))
-    torn = slide_results.filter("not passed and auto_fail and propagation = 'zero_slide'").select("deck_id", "slide").distinct().withColumn("_slide", F.lit(True))
-    s = slide_results.join(bad, "deck_id", "left").join(torn, ["deck_id", "slide"], "left")
-    taken = F.col("passed") & (F.coalesce("_deck", F.lit(False)) | F.coalesce("_slide", F.lit(False)))
-    s = s.withColumn("outcome", F.when(taken, "zeroed_by_anti_cheat").when(F.col("passed"), "passed").otherwise("failed")).withColumn("passed", F.col("passed") & ~taken).drop("_deck", "_slide")
+    return j.select("deck_id", "id", F.lit(None).cast("int").alias("slide"), "tier", "severity", passed.alias("passed"), detail.alias("detail"), *FAILURE)
+
+
+def failures(results: DataFrame, slides: DataFrame, named: DataFrame, tier_slides: list[int] | None = None) -> DataFrame:
+    """Failed items that stand for anti-cheat rules, with the slides they affect (affected) and those of
+    the tier among them (tier_affected). named: deck_id, selector_id, selector_sha256, slides (array).
+
+    The tier's slides are all of the deck's unless given. A selector that is not named under the
+    rule's hash is an error.
+    """
+    failed = results.filter(~F.col("passed") & (F.size(F.coalesce("automatic_fail_if", F.array().cast("array<string>"))) > 0))
+    by_name = F.coalesce(F.col("affected_mode") == "named_selector", F.lit(False))
+    none = F.array().cast("array<int>")
+    own = F.when(F.col("slide").isNotNull(), F.array("slide")).otherwise(none)
+    listed = F.when(F.size(F.coalesce("affected_slides", none)) > 0, F.array_sort(F.array_distinct("affected_slides"))).otherwise(own)
+    found = failed.join(named.select("deck_id", "selector_id", "selector_sha256", F.col("slides").alias("_named")), ["deck_id", "selector_id", "selector_sha256"], "left")
+    found = found.withColumn("affected", F.when(by_name, F.coalesce("_named", none)).otherwise(listed)).drop("_named")
+    if tier_slides is not None:
+        within = F.array(*(F.lit(s) for s in tier_slides)).cast("array<int>")
+    else:
+        found = found.join(slides.groupBy("deck_id").agg(F.collect_set("slide").alias("_slides")), "deck_id", "left")
+        within = F.coalesce("_slides", none)
+    return found.withColumn("tier_affected", F.array_sort(F.array_intersect("affected", within))).drop("_slides")
+
+
+def propagate(slide_results: DataFrame, deck_results: DataFrame, failed: DataFrame) -> DataFrame:
+    """Zeroes the passed items of slides that failures affect: those of deck items whatever their
+    propagation, those of slide items with zero_slide. Items of the deck itself stay."""
+    taking = failed.filter("slide is null or propagation = 'zero_slide'")
+    zeroed = taking.select("deck_id", F.explode("tier_affected").alias("slide")).distinct().withColumn("_zeroed", F.lit(True))
+    s = slide_results.join(zeroed, ["deck_id", "slide"], "left")
+    taken = F.col("passed") & F.coalesce("_zeroed", F.lit(False))
+    s = s.withColumn("outcome", F.when(taken, "zeroed_by_anti_cheat").when(F.col("passed"), "passed").otherwise("failed"))
+    s = s.withColumn("detail", F.when(taken, F.concat(F.lit("zeroed on slide "), F.col("slide").cast("string"))).otherwise(F.col("detail"))).withColumn("passed", F.col("passed") & ~taken).drop("_zeroed")
     d = deck_results.withColumn("outcome", F.when(F.col("passed"), "passed").otherwise("failed"))
     return s.unionByName(d).withColumn("weight", weight(F.col("severity")))
 
 
-def flags(results: DataFrame) -> DataFrame:
-    """A row for each failed item that may fail a deck, with its disposition."""
-    return results.filter("not passed and auto_fail").select("deck_id", F.col("id").alias("rule_id"), F.when(F.col("propagation") == "zero_slide", "zero").otherwise("warning").alias("disposition"), "slide")
+def flags(failed: DataFrame) -> DataFrame:
+    """A row for each anti-cheat rule of each failure: what becomes of the slides, and which."""
+    kept = F.col("propagation").isin("zero_slide", "zero_affected_slides")
+    return failed.select("deck_id", "id", "slide", F.explode("automatic_fail_if").alias("rule_id"), F.when(kept, F.col("propagation")).otherwise("warning").alias("disposition"), "affected", "tier_affected", "detail")
 
 
 def tier_score(results: DataFrame, tier: int, keys: tuple[str, ...] = ("deck_id",)) -> DataFrame:
-    """Weighted fidelity of a tier (its rules and those of lower tiers), and its item counts."""
+    """Weighted fidelity of a tier (its rules and those of lower tiers, on its slides), and its item counts."""
     from plumbline.operators.score import fidelity
 
-    return fidelity(results.filter(F.col("tier") <= tier), list(keys))
+    return fidelity(results.filter((F.col("tier") <= tier) & (F.col("slide").isNull() | F.col("slide").between(1, TIER_SLIDES[tier - 1]))), list(keys))
 
 
 #: What each kind of fault does to a deck's nodes: name -> (nodes, rule) -> nodes.

@@ -20,14 +20,12 @@ def weight(severity: Column) -> Column:
 def fidelity(results: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
     """sum(weight of passed) / sum(weight) for each key, 0.0 without weight.
 
-    results: keys..., severity, passed. Informational rows count nowhere.
+    results: keys..., severity, passed. Informational rows count nowhere; a key with no others has 0.0.
     Integer sums keep the ratio independent of row order.
     """
-    w = weight(F.col("severity"))
-    kept = results.withColumn("_w", w).filter("_w > 0")
-    hit = F.coalesce(F.col("passed"), F.lit(False))
-    return kept.groupBy(*keys).agg(
-        F.round(F.coalesce(F.try_divide(F.sum(F.when(hit, F.col("_w")).otherwise(0)), F.sum("_w")), F.lit(0.0)), digits).alias("fidelity"),
-        F.count_if(hit).alias("passed_items"),
-        F.count(F.lit(1)).alias("total_items"),
+    scored = results.withColumn("_w", weight(F.col("severity"))).withColumn("_hit", F.coalesce(F.col("passed"), F.lit(False)) & (F.col("_w") > 0))
+    return scored.groupBy(*keys).agg(
+        F.round(F.coalesce(F.try_divide(F.sum(F.when(F.col("_hit"), F.col("_w")).otherwise(0)), F.sum("_w")), F.lit(0.0)), digits).alias("fidelity"),
+        F.count_if("_hit").alias("passed_items"),
+        F.count_if(F.col("_w") > 0).alias("total_items"),
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.arrow import jcs
-from plumbline.operators.checklist import FONTS
+from plumbline.operators.checklist import FONTS, failures
 
 Selector = Callable[[dict[str, DataFrame]], DataFrame]
 
@@ -32,6 +33,10 @@ class Registry:
         self._known[descriptor["selector_id"]] = (found, build)
         return found
 
+    def known(self) -> dict[str, tuple[str, Selector]]:
+        """Hash and selector by id."""
+        return dict(self._known)
+
     def slides(self, tables: dict[str, DataFrame], selector_id: str, sha256: str) -> DataFrame:
         """deck_id, slide. Unknown ids and other hashes are errors."""
         found, build = self._known.get(selector_id, (None, None))
@@ -49,16 +54,31 @@ def unlisted_fonts(tables: dict[str, DataFrame]) -> DataFrame:
     return f.filter((F.col("font") != "") & ~F.col("font").startswith("+") & ~F.lower("font").isin(*FONTS))
 
 
-def affected(failures: DataFrame, registry: Registry, tables: dict[str, DataFrame], tier_slides: DataFrame) -> DataFrame:
-    """failures: deck_id, id, slide, mode (selector, configured, current), slides (array), selector_id,
-    selector_sha256. deck_id, id, affected slide, among the tier's slides (slide)."""
-    current = failures.filter("mode = 'current'").select("deck_id", "id", "slide")
-    listed = failures.filter("mode = 'configured'").select("deck_id", "id", F.explode("slides").alias("slide"))
-    out = current.unionByName(listed)
-    for r in failures.filter("mode = 'selector'").select("selector_id", "selector_sha256").distinct().collect():  # few: as many as selectors
-        mine = failures.filter((F.col("mode") == "selector") & (F.col("selector_id") == r.selector_id)).select("deck_id", "id")
-        out = out.unionByName(mine.join(registry.slides(tables, r.selector_id, r.selector_sha256), "deck_id").select("deck_id", "id", "slide"))
-    return out.distinct().join(tier_slides.select("slide").distinct(), "slide", "left_semi").select("deck_id", "id", "slide")
+def default_registry() -> Registry:
+    """The two selectors that automatic failures of a deck use."""
+    known = Registry()
+    known.register({"selector_id": "non-bundled-font", "version": 1}, unlisted_fonts)
+    known.register({"selector_id": "notes-comments", "version": 1}, notes_or_comments)
+    return known
+
+
+def named_slides(tables: dict[str, DataFrame], registry: Registry, failed: DataFrame) -> DataFrame:
+    """deck_id, selector_id, selector_sha256, slides (sorted array): what all selectors of the registry
+    name, one plan for any number of rules. A failure that names another selector or hash is an error."""
+    known = F.create_map(*(F.lit(x) for i, (sha, _) in registry.known().items() for x in (i, sha))) if registry.known() else F.create_map().cast("map<string,string>")
+    asked = failed.filter("affected_mode = 'named_selector'").select("deck_id", "selector_id", "selector_sha256").distinct()
+    wrong = ~known[F.coalesce("selector_id", F.lit(""))].eqNullSafe(F.col("selector_sha256")) | F.col("selector_id").isNull()
+    error = F.raise_error(F.concat(F.coalesce("selector_id", F.lit("null")), F.lit(": unknown selector or other hash"))).cast("string")
+    asked = asked.withColumn("selector_sha256", F.when(wrong, error).otherwise(F.col("selector_sha256")))
+    parts = [build(tables).select("deck_id", "slide").withColumn("selector_id", F.lit(i)) for i, (_, build) in registry.known().items()]
+    out = reduce(DataFrame.unionByName, parts, tables["slides"].select("deck_id", "slide").withColumn("selector_id", F.lit(None).cast("string")).limit(0))
+    slides = out.groupBy("deck_id", "selector_id").agg(F.array_sort(F.collect_set("slide")).alias("slides"))
+    return asked.join(slides, ["deck_id", "selector_id"], "left")
+
+
+def affected(failed: DataFrame, registry: Registry, tables: dict[str, DataFrame], tier_slides: list[int] | None = None) -> DataFrame:
+    """Failed items with the slides they affect, and those of the tier among them (checklist.failures)."""
+    return failures(failed, tables["slides"], named_slides(tables, registry, failed.filter(~F.col("passed"))), tier_slides)
 
 
 def canary(expected: DataFrame, got: DataFrame) -> DataFrame:

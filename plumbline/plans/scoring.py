@@ -16,9 +16,8 @@ def fidelity_score(spark, sf_dir):
 
 
 FIDELITY = """
-select l_suppkey, round(sum(case when l_returnflag <> 'R' then w else 0 end) / sum(w), 4) as fidelity,
-  count(*) filter (where l_returnflag <> 'R') as passed_items, count(*) as total_items
-from lineitem join (select p_partkey, 3 - p_size % 4 as w from part) on l_partkey = p_partkey
-where w > 0 group by l_suppkey"""
+select l_suppkey, coalesce(round(sum(case when l_returnflag <> 'R' then w else 0 end) / nullif(sum(w), 0), 4), 0.0) as fidelity,
+  count(*) filter (where l_returnflag <> 'R' and w > 0) as passed_items, count(*) filter (where w > 0) as total_items
+from lineitem join (select p_partkey, 3 - p_size % 4 as w from part) on l_partkey = p_partkey group by l_suppkey"""
 
 QUERIES = {"fidelity_score": (fidelity_score, FIDELITY)}

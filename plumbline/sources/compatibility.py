@@ -41,7 +41,21 @@ def namespace(tag: str) -> str:
     return tag[1:].partition("}")[0] if tag.startswith("{") else ""
 
 
-def resolve(xml: bytes, understood: frozenset[str] = frozenset()) -> ET.Element:
+def alternatives_problem(el: ET.Element) -> str | None:
+    """Why the branches of an AlternateContent aren't well ordered."""
+    tags = [c.tag for c in el]
+    if set(tags) - {f"{MC}Choice", f"{MC}Fallback"}:
+        return "unexpected branch"
+    if f"{MC}Choice" not in tags:
+        return "no choice"
+    if f"{MC}Fallback" in tags[:-1]:
+        return "a branch after the fallback"
+    return None
+
+
+def resolve(xml: bytes, understood: frozenset[str] = frozenset(), strict: bool = False) -> ET.Element:
+    """The tree without markup compatibility. Alternatives of which no branch can be used vanish; if
+    strict they, and branches out of order or without Requires, are an error."""
     root, scopes = parsed(xml)
 
     def names(el: ET.Element, attribute: str) -> list[tuple[str, str]]:
@@ -65,8 +79,14 @@ def resolve(xml: bytes, understood: frozenset[str] = frozenset()) -> ET.Element:
         if dropped and not {(ns, local), (ns, "*")} & process:
             return []
         if el.tag == f"{MC}AlternateContent":
+            if strict and (problem := alternatives_problem(el)):
+                raise NotUnderstood(problem)
+            if strict and not all(c.get("Requires", "").split() for c in el if c.tag == f"{MC}Choice"):
+                raise NotUnderstood("a choice requires nothing")
             pick = next((c for c in el if c.tag == f"{MC}Choice" and all(scopes[c].get(p) in understood for p in c.get("Requires", "").split())), None)
             pick = el.find(f"{MC}Fallback") if pick is None else pick
+            if strict and pick is None:
+                raise NotUnderstood("no branch can be used")
             return [] if pick is None else [x for c in pick for x in visit(c, ignorable, process)]
         inner = [x for c in list(el) for x in visit(c, ignorable, process)]
         if dropped:

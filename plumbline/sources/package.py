@@ -8,17 +8,17 @@ everything after that is DataFrame code.
 from __future__ import annotations
 
 import hashlib
-import io
 import posixpath
 import re
-import unicodedata
 import xml.etree.ElementTree as ET
-import zipfile
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.quarantine import BROKEN, Limits, opened, unsafe_name, weight_problem
+
 #: Namespaces of the formats.
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -28,9 +28,9 @@ MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 CHART_URI = "http://schemas.openxmlformats.org/drawingml/2006/chart"
 
 PART = "package_id string, part_name string, content binary, problem string"
-NODE = """package_id string, slide int, part_name string, path array<int>, parent_path array<int>, depth int, node_id string, z_index int, kind string, name string,
+NODE = """package_id string, slide int, part_name string, path array<int>, parent_path array<int>, depth int, node_id string, z_index int, occurrence int, locator string, kind string, name string,
     x long, y long, cx long, cy long, rotation long, placeholder_type string, placeholder_idx int, table_rows int, table_cols int, chart boolean,
-    field_types array<string>, fill string, stroke boolean, shadow boolean, hyperlinks array<string>, asset string,
+    field_types array<string>, fill string, opacity string, stroke boolean, shadow boolean, crop struct<l:int,t:int,r:int,b:int>, cropped_to_shape boolean, hyperlinks array<string>, asset string,
     runs array<struct<text:string,font:string,size:int,bold:boolean,italic:boolean,language:string>>"""
 
 
@@ -40,43 +40,70 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -1).alias("package_id"), "content")
 
 
-def name_problem(name: str, seen: set[str], encrypted: bool) -> str | None:
-    """Why a member can't be a part: the first of encrypted, unsafe, not NFC, repeated."""
-    if encrypted:
-        return "encrypted"
-    if name.startswith(("/", "\\")) or "\\" in name or ":" in name or ".." in name.split("/") or "" in name.split("/"):
-        return "unsafe name"
-    if not unicodedata.is_normalized("NFC", name):
-        return "name not NFC"
-    if name.lower() in seen:
-        return "repeated name"
-    return None
-
+def parts(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row for each member of the packages (package_id, content), with its problem if any.
 
-def parts(df: DataFrame) -> DataFrame:
-    """One row for each member of the packages (package_id, content), with its problem if any."""
+    A package over the limits is not inflated and has one row without a name; a member that can't be
+    read has no content.
+    """
 
     def read(batches):
         for batch in batches:
             rows = []
             for pid, content in zip(batch["package_id"], batch["content"], strict=True):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(content))
-                except (zipfile.BadZipFile, TypeError):
-                    rows.append((pid, None, None, "not a ZIP"))
+                z = opened(content if content is None else bytes(content))
+                problem = z if isinstance(z, str) else weight_problem(z.infolist(), limits)
+                if problem:
+                    rows.append((pid, None, None, problem))
                     continue
                 seen: set[str] = set()
                 for info in z.infolist():
                     if info.is_dir():
                         continue
-                    problem = name_problem(info.filename, seen, bool(info.flag_bits & 1))
-                    seen.add(info.filename.lower())
-                    rows.append((pid, info.filename, None if problem == "encrypted" else z.read(info), problem))
+                    name = info.filename
+                    problem = "encrypted" if info.flag_bits & 1 else unsafe_name(name) or ("repeated name" if name.lower() in seen else None)
+                    seen.add(name.lower())
+                    body = None
+                    if problem != "encrypted":
+                        try:
+                            body = z.read(info)
+                        except BROKEN:
+                            problem = problem or "unreadable"
+                    rows.append((pid, name, body, problem))
             yield pd.DataFrame(rows, columns=["package_id", "part_name", "content", "problem"])
 
     return df.select("package_id", "content").mapInPandas(read, PART)
 
 
+def parsed(content: bytes) -> ET.Element | None:
+    """The tree of an XML part; None where it is malformed (xml_problems names it)."""
+    try:
+        return ET.fromstring(content)
+    except ET.ParseError:
+        return None
+
+
+def xml_problems(part: DataFrame, strict: bool = False) -> DataFrame:
+    """package_id, part_name, problem of XML parts that are malformed or, if strict, use markup
+    compatibility in a way that can't be resolved."""
+    from plumbline.sources.compatibility import NotUnderstood, resolve
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for pid, name, content in zip(batch["package_id"], batch["part_name"], batch["content"], strict=True):
+                try:
+                    resolve(content, strict=True) if strict else ET.fromstring(content)
+                except ET.ParseError:
+                    rows.append((pid, name, "malformed XML"))
+                except NotUnderstood as e:
+                    rows.append((pid, name, f"not understood: {e}"))
+            yield pd.DataFrame(rows, columns=["package_id", "part_name", "problem"])
+
+    xml = part.filter("problem is null and (part_name like '%.xml' or part_name like '%.rels')")
+    return xml.select("package_id", "part_name", "content").mapInPandas(read, "package_id string, part_name string, problem string")
+
+
 def resolve(base: str, target: str) -> str:
     return posixpath.normpath(posixpath.join("/", posixpath.dirname(base), target)).lstrip("/")
 
@@ -89,7 +116,8 @@ def relationships(part: DataFrame) -> DataFrame:
             rows = []
             for pid, name, content in zip(batch["package_id"], batch["part_name"], batch["content"], strict=True):
                 source = re.sub(r"(^|/)_rels/([^/]*)\.rels$", r"\1\2", name)
-                for r in ET.fromstring(content).iter(f"{REL}Relationship"):
+                tree = parsed(content)
+                for r in tree.iter(f"{REL}Relationship") if tree is not None else ():
                     external = r.get("TargetMode") == "External"
                     rows.append((pid, source, r.get("Id"), r.get("Type", "").rsplit("/", 1)[-1].lower(), r.get("Target") if external else resolve(source, r.get("Target", "")), external))
             yield pd.DataFrame(rows, columns=["package_id", "source", "rel_id", "type", "target", "external"])
@@ -97,11 +125,46 @@ def relationships(part: DataFrame) -> DataFrame:
     return part.filter("problem is null and part_name like '%.rels'").mapInPandas(read, "package_id string, source string, rel_id string, type string, target string, external boolean")
 
 
+PRESENTATION = "ppt/presentation.xml"
+
+
+def slide_list(part: DataFrame) -> DataFrame:
+    """package_id, slide (from 1), rel_id: the slide list of each presentation in its order."""
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for pid, content in zip(batch["package_id"], batch["content"], strict=True):
+                tree = parsed(content)
+                found = tree.iter(f"{P}sldId") if tree is not None else ()
+                rows += [(pid, n, el.get(f"{R}id")) for n, el in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["package_id", "slide", "rel_id"])
+
+    return part.filter(F.col("part_name") == PRESENTATION).select("package_id", "content").mapInPandas(read, "package_id string, slide int, rel_id string")
+
+
+def listed(part: DataFrame, rels: DataFrame) -> DataFrame:
+    """The slide list with the part each entry leads to, null where it leads to no slide."""
+    of = rels.filter((F.col("source") == PRESENTATION) & (F.col("type") == "slide")).select("package_id", "rel_id", F.col("target").alias("part_name"))
+    return slide_list(part).join(of, ["package_id", "rel_id"], "left")
+
+
 def slides(part: DataFrame, rels: DataFrame) -> DataFrame:
     """package_id, slide (from 1, in the order of the slide list), part_name; entries without a part are left out."""
-    ids = part.filter("part_name = 'ppt/presentation.xml'").select("package_id", F.posexplode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r'<p:sldId\b[^>]*\br:id="([^"]+)"'), F.lit(1))).alias("slide", "rel_id"))
-    of = rels.filter("source = 'ppt/presentation.xml' and type = 'slide'").select("package_id", "rel_id", F.col("target").alias("part_name"))
-    return ids.join(of, ["package_id", "rel_id"]).select("package_id", (F.col("slide") + 1).alias("slide"), "part_name")
+    return listed(part, rels).filter("part_name is not null").select("package_id", "slide", "part_name")
+
+
+def slide_problems(part: DataFrame, rels: DataFrame) -> DataFrame:
+    """package_id, problem: why a package's slide list isn't normative (no slides, an entry without a
+    slide, a slide part twice, or one that isn't there)."""
+    there = part.filter("problem is null").select("package_id", "part_name", F.lit(True).alias("_there"))
+    x = listed(part, rels).join(there, ["package_id", "part_name"], "left")
+    g = x.groupBy("package_id").agg(F.count(F.lit(1)).alias("n"), F.count("part_name").alias("known"), F.count_distinct("part_name").alias("distinct"), F.count("_there").alias("there"))
+    from plumbline.operators.rules import first_failure
+
+    g = part.select("package_id").distinct().join(g, "package_id", "left")
+    fine, why = first_failure((F.col("n").isNull(), "no slides"), (F.col("known") < F.col("n"), "slide id without a slide"), (F.col("distinct") < F.col("known"), "slide part twice"), (F.col("there") < F.col("known"), "slide part missing"))
+    return g.select("package_id", why.alias("problem")).filter(~fine)
 
 
 KINDS = {f"{P}sp": "shape", f"{P}pic": "picture", f"{P}graphicFrame": "frame", f"{P}cxnSp": "connector", f"{P}grpSp": "group"}
@@ -124,6 +187,17 @@ def kind_of(el: ET.Element) -> str:
     return "text" if any((t.text or "").strip() for t in el.iter(f"{A}t")) else "shape"
 
 
+#: Fills and shadows among the properties of a shape.
+FILLS = tuple(f"{A}{x}" for x in ("solidFill", "gradFill", "pattFill", "noFill", "blipFill"))
+SHADOWS = (f"{A}outerShdw", f"{A}innerShdw")
+
+
+def ratio(value: str, whole: int = 100_000) -> str:
+    """value / whole as a plain decimal without trailing zeros."""
+    text = f"{Decimal(value) / whole:f}"
+    return (text.rstrip("0").rstrip(".") if "." in text else text) or "0"
+
+
 def number(el, key):
     return int(el.get(key)) if el is not None and el.get(key) not in (None, "") else None
 
@@ -136,7 +210,9 @@ def node(el: ET.Element, path: list[int], z: int, targets: dict[str, str]) -> di
     ph = el.find(f"./*/{P}nvPr/{P}ph")
     table = el.find(f".//{A}tbl")
     own = el.find(f"{P}spPr") if el.find(f"{P}spPr") is not None else el.find(f"{P}grpSpPr")
-    fill = next((x.tag.split("}")[1] for x in (own if own is not None else ()) if x.tag.endswith("Fill")), "inherited")
+    fill = next((x for x in (own if own is not None else ()) if x.tag in FILLS), None)
+    alpha = next((x.get("val") for x in fill.iter(f"{A}alpha") if x.get("val")), None) if fill is not None else None
+    line, cut, form = own.find(f"{A}ln") if own is not None else None, el.find(f".//{A}srcRect"), el.find(f".//{A}prstGeom")
     blip = el.find(f"{P}blipFill/{A}blip")
     flag = lambda r, k: None if r is None or r.get(k) is None else r.get(k) in ("1", "true", "on")
     runs = []
@@ -150,41 +226,49 @@ def node(el: ET.Element, path: list[int], z: int, targets: dict[str, str]) -> di
         "x": number(off, "x"), "y": number(off, "y"), "cx": number(ext, "cx"), "cy": number(ext, "cy"), "rotation": number(box, "rot"),
         "placeholder_type": ph.get("type", "obj") if ph is not None else None, "placeholder_idx": number(ph, "idx"),
         "table_rows": len(table.findall(f"{A}tr")) if table is not None else None, "table_cols": len(table.findall(f"{A}tblGrid/{A}gridCol")) if table is not None else None,
-        "chart": kind_of(el) == "chart", "field_types": sorted({f.get("type", "") for f in el.iter(f"{A}fld")}), "fill": fill,
-        "stroke": own is not None and own.find(f"{A}ln") is not None, "shadow": own is not None and own.find(f"{A}effectLst/{A}outerShdw") is not None,
+        "chart": kind_of(el) == "chart", "field_types": sorted({f.get("type", "") for f in el.iter(f"{A}fld")}),
+        "fill": fill.tag.removeprefix(A) if fill is not None else "inherited", "opacity": ratio(alpha) if alpha else "1",
+        "stroke": line is not None and line.find(f"{A}noFill") is None, "shadow": own is not None and any(x.tag in SHADOWS for x in own.iter()),
+        "crop": {side: number(cut, side) or 0 for side in "ltrb"} if cut is not None else None, "cropped_to_shape": form is not None and form.get("prst", "rect") != "rect",
         "hyperlinks": sorted({targets.get(h.get(f"{R}id"), "") for h in el.iter(f"{A}hlinkClick")}), "asset": targets.get(blip.get(f"{R}embed")) if blip is not None else None, "runs": runs,
     }
 
 
-def nodes(part: DataFrame, rels: DataFrame, slide: DataFrame) -> DataFrame:
+def nodes(part: DataFrame, rels: DataFrame, slide: DataFrame, strict: bool = False) -> DataFrame:
     """The object trees of the given slides as rows; a filter on `slide` is a filter on what is parsed.
 
-    path counts from 0 in each parent, z_index over the supported kinds only.
+    path counts from 0 in each parent, z_index over the supported kinds only; occurrence counts from 1
+    among the siblings with the same element, and locator is the path of these. A slide that can't be
+    parsed has no rows (xml_problems names it); if strict, nor has one whose alternatives can't be resolved.
     """
     links = rels.groupBy("package_id", F.col("source").alias("part_name")).agg(F.map_from_entries(F.collect_list(F.struct("rel_id", "target"))).alias("targets"))
     todo = slide.join(part.select("package_id", "part_name", "content"), ["package_id", "part_name"]).join(links, ["package_id", "part_name"], "left")
     names = [c.strip().split(" ")[0] for c in re.split(r",\s*(?![^<]*>)", NODE)]
 
     def read(batches):
-        from plumbline.sources.compatibility import resolve
+        from plumbline.sources.compatibility import NotUnderstood, resolve
 
         for batch in batches:
             rows = []
 
-            def walk(parent, path, slide, pid, name, targets, rows=rows):
-                z = 0
-                for el in parent:
-                    if el.tag in KINDS:
-                        at = [*path, z]
-                        rows.append({"package_id": pid, "slide": int(slide), "part_name": name, "node_id": f"s{slide}:n{'.'.join(map(str, at))}"} | node(el, at, z, targets))
-                        z += 1
-                        if el.tag == f"{P}grpSp":
-                            walk(el, at, slide, pid, name, targets)
+            def walk(parent, path, above, slide, pid, name, targets, rows=rows):
+                seen: dict[str, int] = {}
+                for el in (x for x in parent if x.tag in KINDS):
+                    z = sum(seen.values())
+                    seen[el.tag] = seen.get(el.tag, 0) + 1
+                    at, locator = [*path, z], f"{above}/p:{el.tag.removeprefix(P)}[{seen[el.tag]}]"
+                    own = {"package_id": pid, "slide": int(slide), "part_name": name, "node_id": f"s{slide}:n{'.'.join(map(str, at))}", "occurrence": seen[el.tag], "locator": locator}
+                    rows.append(own | node(el, at, z, targets))
+                    if el.tag == f"{P}grpSp":
+                        walk(el, at, locator, slide, pid, name, targets)
 
             for pid, name, n, content, targets in zip(batch["package_id"], batch["part_name"], batch["slide"], batch["content"], batch["targets"], strict=True):
-                tree = resolve(content).find(f"{P}cSld/{P}spTree")
+                try:
+                    tree = resolve(content, strict=strict).find(f"{P}cSld/{P}spTree")
+                except (ET.ParseError, NotUnderstood):
+                    continue
                 if tree is not None:
-                    walk(tree, [], n, pid, name, dict(targets) if targets is not None else {})
+                    walk(tree, [], "/p:sld/p:cSld/p:spTree", n, pid, name, dict(targets) if targets is not None else {})
             yield pd.DataFrame(rows, columns=names)
 
     return todo.select("package_id", "part_name", "slide", "content", "targets").mapInPandas(read, NODE)
@@ -204,8 +288,18 @@ def typefaces(part: DataFrame) -> DataFrame:
 def layout_names(part: DataFrame) -> DataFrame:
     """Names of layouts and masters: that of the slide data, else the part's, by part."""
     x = part.filter(F.col("part_name").rlike(r"^ppt/slide(Layout|Master)s/[^/]+\.xml$"))
-    name = F.nullif(F.regexp_extract(F.decode("content", "UTF-8"), r'<p:cSld\b[^>]*\bname="([^"]*)"', 1), F.lit(""))
-    return x.select("package_id", F.regexp_extract("part_name", "^ppt/slide(Layout|Master)s", 1).alias("level"), "part_name", F.coalesce(name, "part_name").alias("name"))
+
+    def read(batches):
+        for batch in batches:
+            names = []
+            for name, content in zip(batch["part_name"], batch["content"], strict=True):
+                tree = parsed(content)
+                data = tree.find(f"{P}cSld") if tree is not None else None
+                names.append((data.get("name") if data is not None else None) or name)
+            yield pd.DataFrame({"package_id": batch["package_id"], "part_name": batch["part_name"], "name": names})
+
+    found = x.select("package_id", "part_name", "content").mapInPandas(read, "package_id string, part_name string, name string")
+    return found.select("package_id", F.regexp_extract("part_name", "^ppt/slide(Layout|Master)s", 1).alias("level"), "part_name", "name")
 
 
 def notes_and_comments(rels: DataFrame, slide: DataFrame) -> DataFrame:
@@ -237,16 +331,18 @@ VOLATILE = (
 
 
 def canonical_part(name: str, content: bytes) -> bytes:
-    """Canonical XML without comments, and without volatile text; other parts as they are."""
+    """Canonical XML without comments, and without volatile text; other and malformed parts as they are."""
     if not name.endswith((".xml", ".rels")):
         return content
     if name == VOLATILE_PART:
-        root = ET.fromstring(content)
+        root = parsed(content)
+        if root is None:
+            return content
         for el in root.iter():
             if el.tag in VOLATILE:
                 el.text = None
         content = ET.tostring(root, "utf-8")
-    return ET.canonicalize(content.decode()).encode()
+    return content if parsed(content) is None else ET.canonicalize(content).encode()
 
 
 def package_digest(part: DataFrame, domain: bytes = b"package v1\0") -> DataFrame:
@@ -261,13 +357,3 @@ def package_digest(part: DataFrame, domain: bytes = b"package v1\0") -> DataFram
         return pd.DataFrame([{"package_id": key[0], "digest": f"sha256:{canon.hexdigest()}", "bytes_digest": f"sha256:{whole.hexdigest()}"}])
 
     return part.filter("problem is null").groupBy("package_id").applyInPandas(fold, "package_id string, digest string, bytes_digest string")
-
-
-def safety(df: DataFrame, part: DataFrame, most_bytes: int = 500 << 20, most_ratio: float = 20.0, most_parts: int = 10_000) -> DataFrame:
-    """Verdict of each package: the first failure in order, else ok."""
-    from plumbline.operators.rules import first_failure
-
-    g = part.groupBy("package_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("bytes"), F.min("problem").alias("problem"), F.bool_or(F.coalesce(F.col("part_name") == "[Content_Types].xml", F.lit(False))).alias("typed"), F.bool_or(F.coalesce(F.lower("part_name").rlike(r"\.(exe|dll|js|vbs|bin)$|vbaproject"), F.lit(False))).alias("active"))
-    j = df.select("package_id", F.length("content").alias("size")).join(g, "package_id", "left")
-    ok, why = first_failure((F.col("n").isNull(), "empty"), (F.col("problem").isNotNull(), F.col("problem")), (F.col("n") > most_parts, "too many parts"), (F.col("bytes") > most_bytes, "too large"), (F.col("bytes") / F.col("size") > most_ratio, "ratio too high"), (~F.col("typed"), "no content types"), (F.col("active"), "active content"))
-    return j.select("package_id", ok.alias("safe"), why.alias("verdict"))

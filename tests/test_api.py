@@ -21,9 +21,9 @@ def test_check_scene_and_grade(spark, tmp_path):
     assert [n["node_id"] for n in scene[2]] == ["s2:n0", "s2:n1", "s2:n1.0", "s2:n1.1", "s2:n2"]
     assert api.scene_graph(a, [1]).count() == 1
     rules = spark.createDataFrame([rule("title", slide=2, method="text_match", contains="Hello"), rule("font", slide=1, method="anti_cheat", selector="font_policy"), rule("notes", "deck", method="anti_cheat", selector="no_notes")], RULES)
-    results, score = api.grade(a.as_checked(), rules, spark.createDataFrame([], "deck_id string, slide int, ssim double"))
+    results, score, flags = api.grade(a.as_checked(), rules, spark.createDataFrame([], "deck_id string, slide int, ssim double"))
     assert {r.id: r.passed for r in results.collect()} == {"title": True, "font": False, "notes": False}
-    assert score.first().fidelity == round(1 / 3, 4)
+    assert score.first().fidelity == round(1 / 3, 4) and flags.count() == 0
     assert integrity.scene_numbering(a.nodes).count() == 0
     assert integrity.scene_numbering(a.nodes.filter("node_id <> 's2:n1'")).count() > 0
     assert a.safety.first().verdict == "ok" and a.digests.count() == 1 and a.orphans.count() == 2

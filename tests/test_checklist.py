@@ -3,32 +3,36 @@ from datetime import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import api
 from plumbline.operators import checklist as C
+from plumbline.operators import selectors
 from plumbline.operators import release as R
 from plumbline.operators import board as B
 from plumbline.operators import service as S
 
 RUN = "array<struct<text:string,font:string,size:int,bold:boolean,italic:boolean,language:string>>"
 NODES = f"deck_id string, slide int, path array<int>, kind string, placeholder_type string, field_types array<string>, runs {RUN}, cx long, cy long"
-RULES = "id string, scope string, slide int, tier int, severity string, method string, selector string, min_count int, exact_count int, required boolean, contains string, exact string, not_contains string, placeholder_type string, min_ssim double, sha256 string, auto_fail boolean, propagation string"
+RULES = ", ".join(f"{c} {t}" for c, t in C.RULE.items())
 SHA = "sha256:" + "1" * 64
+OTHER = "sha256:" + "2" * 64
 
 
 def rule(id, scope="slide", slide=1, tier=1, severity="major", method="object_compare", selector="shape", **more):
-    names = [c.split()[0] for c in RULES.split(", ")]
-    v = dict(id=id, scope=scope, slide=slide if scope == "slide" else None, tier=tier, severity=severity, method=method, selector=selector, auto_fail=False) | more
-    return tuple(v.get(n) for n in names)
+    v = dict(id=id, scope=scope, slide=slide if scope == "slide" else None, tier=tier, severity=severity, method=method, selector=selector) | more
+    assert set(v) <= set(C.RULE)
+    return tuple(v.get(n) for n in C.RULE)
 
 
+NOTES = selectors.descriptor_hash({"selector_id": "notes-comments", "version": 1})
 SLIDE_RULES = [
     rule("shape", selector="shape", required=True, min_count=7), rule("pic", selector="picture", exact_count=1, severity="critical"), rule("table", selector="table", min_count=1, tier=2), rule("chart", selector="chart", min_count=1), rule("connector", selector="connector", min_count=1),
     rule("group", selector="group", min_count=1), rule("field", method="field_check"), rule("text", method="text_match", contains="Hello"), rule("no", method="text_match", not_contains="bye", severity="informational"),
-    rule("ph", method="layout_check", selector="placeholder", placeholder_type="title"), rule("layout", method="layout_check", selector="master_ref"), rule("font", method="anti_cheat", selector="font_policy"), rule("raster", method="anti_cheat", selector="no_full_slide_raster", auto_fail=True, propagation="zero_slide"),
+    rule("ph", method="layout_check", selector="placeholder", placeholder_type="title"), rule("layout", method="layout_check", selector="master_ref"), rule("font", method="anti_cheat", selector="font_policy"), rule("raster", method="anti_cheat", selector="no_full_slide_raster", automatic_fail_if=["full_raster", "flattened"], propagation="zero_slide"),
     rule("ssim", method="visual_ssim"), rule("hash", method="hash_match", sha256=SHA), rule("missing", slide=9), rule("odd", method="nonsense", severity="minor"),
 ]
 DECK_RULES = [
-    rule("count", "deck", method="object_compare", exact_count=2), rule("masters", "deck", method="layout_check", selector="master_count"), rule("layouts", "deck", method="layout_check", selector="layout_count"), rule("notes", "deck", method="anti_cheat", selector="no_notes", auto_fail=True),
-    rule("fonts", "deck", method="anti_cheat", selector="font_policy"), rule("assets", "deck", method="hash_match", sha256=SHA), rule("all_ssim", "deck", method="visual_ssim"),
+    rule("count", "deck", method="object_compare", selector="slide_count", exact_count=2), rule("masters", "deck", method="layout_check", selector="master_count"), rule("layouts", "deck", method="layout_check", selector="layout_count"), rule("notes", "deck", method="anti_cheat", selector="no_notes", automatic_fail_if=["notes"], affected_mode="named_selector", selector_id="notes-comments", selector_sha256=NOTES),
+    rule("fonts", "deck", method="anti_cheat", selector="font_policy"), rule("assets", "deck", method="hash_match", asset_hashes={"logo": SHA}), rule("all_ssim", "deck", method="visual_ssim"),
 ]
 
 
@@ -45,18 +49,17 @@ def deck(spark):
     }
 
 
-def grade(t):
-    facts = C.slide_facts(t["nodes"], t["slides"], t["media"], t["visual"])
-    return C.propagate(C.evaluate_slides(t["rules"], facts, t["decks"]), C.evaluate_decks(t["rules"], facts, t["decks"], t["names"], t["notes"]))
+def grade(t, tier=3):
+    return api.grade(t, t["rules"], t["visual"], tier)
 
 
 def test_positive(deck):
-    got = {r.id: r for r in grade(deck).collect()}
+    got = {r.id: r for r in grade(deck).results.collect()}
     assert {i for i, r in got.items() if not r.passed} == {"missing", "odd"}
     assert got["missing"].detail == "slide not found" and got["odd"].detail == "unknown method"
-    s = C.tier_score(grade(deck), 3).first()
+    s = grade(deck).scores.first()
     assert s.total_items == len(got) - 1 and s.fidelity == round(1 - 3 / sum(r.weight for r in got.values()), 4)
-    assert C.tier_score(grade(deck), 1).first().total_items == s.total_items - 1
+    assert grade(deck, 1).scores.first().total_items == s.total_items - 2  # without a rule of tier 2 and one of slide 9
 
 
 FAULTS = [
@@ -70,16 +73,53 @@ FAULTS = [
 @pytest.mark.parametrize("table,fault,want", FAULTS)
 def test_single_faults_are_found(deck, table, fault, want):
     changed = deck | {table: (C.FAULTS | C.TABLE_FAULTS)[fault](deck[table])}
-    assert {r.id for r in grade(changed).filter("not passed").collect()} - {"missing", "odd"} == want
+    assert {r.id for r in grade(changed).results.filter("not passed").collect()} - {"missing", "odd"} == want
 
 
 def test_propagation(deck, spark):
-    noted = {r.id: r for r in grade(deck | {"notes": C.TABLE_FAULTS["add-speaker-notes-relationship"](deck["notes"])}).collect()}
-    assert not noted["pic"].passed and noted["pic"].outcome == "zeroed_by_anti_cheat" and noted["count"].passed and noted["odd"].outcome == "failed"
+    """Zeroed are the affected slides, not the deck."""
+    more = spark.createDataFrame([rule("two", slide=2, selector="text"), rule("three", slide=3, selector="text")], RULES)
+    deck = deck | {"rules": deck["rules"].unionByName(more)}
+    on_2 = deck | {"notes": spark.createDataFrame([("d", 1, False, False), ("d", 2, True, False)], "deck_id string, slide int, notes boolean, comments boolean")}
+    graded = grade(on_2)
+    got = {r.id: r for r in graded.results.collect()}
+    assert got["pic"].passed and got["two"].outcome == "zeroed_by_anti_cheat" and got["count"].passed and got["odd"].outcome == "failed"
+    assert [(r.rule_id, r.disposition, r.affected, r.tier_affected, r.slide) for r in graded.flags.collect()] == [("notes", "warning", [2], [2], None)]
+    plain = on_2 | {"rules": on_2["rules"].withColumn("affected_mode", F.lit(None).cast("string"))}
+    graded = grade(plain)  # nothing configured: no slide of a deck item is affected
+    assert {r.id: r.outcome for r in graded.results.collect()}["two"] == "passed" and graded.flags.first().affected == []
+
     big = deck["nodes"].withColumns({"cx": F.when(F.col("kind") == "picture", 12_000_000).otherwise(F.col("cx")), "cy": F.when(F.col("kind") == "picture", 6_000_000).otherwise(F.col("cy"))})
-    got = grade(deck | {"nodes": big})
-    assert {r.id for r in got.filter("passed and slide is not null").collect()} == set()
-    assert [(r.rule_id, r.disposition) for r in C.flags(got).collect()] == [("raster", "zero")]
+    graded = grade(deck | {"nodes": big})
+    assert {r.id for r in graded.results.filter("passed and slide is not null").collect()} == {"two"}
+    assert sorted((r.rule_id, r.disposition, r.tier_affected) for r in graded.flags.collect()) == [("flattened", "zero_slide", [1]), ("full_raster", "zero_slide", [1])]
+    for way, zeroed, disposition in (("zero_affected_slides", False, "zero_affected_slides"), ("zero_item", False, "warning"), ("zero_slide", True, "zero_slide")):
+        rules = deck["rules"].withColumn("affected_slides", F.array(F.lit(2), F.lit(30))).withColumn("propagation", F.when(F.col("id") == "raster", way))
+        graded = grade(deck | {"nodes": big, "rules": rules})
+        got = {r.id: r.outcome for r in graded.results.collect()}
+        assert (got["two"] == "zeroed_by_anti_cheat") == zeroed and got["table"] == "passed"
+        assert {(r.disposition, tuple(r.affected), tuple(r.tier_affected)) for r in graded.flags.collect()} == {(disposition, (2, 30), (2,))}
+
+
+def test_expectations(deck, spark):
+    rows = [
+        rule("kind", method="field_check", field_type="datetime"), rule("no kind", method="field_check", field_type="footer"), rule("exact", slide=2, method="text_match", exact="x"), rule("bogus", method="layout_check", selector="bogus"),
+        rule("deck bogus", "deck", method="layout_check", selector="bogus"), rule("deck odd", "deck", method="object_compare", selector="bogus"), rule("deck other", "deck", method="anti_cheat", selector="bogus"),
+        rule("some", "deck", method="hash_match", asset_hashes={"a": SHA, "b": OTHER, "c": OTHER}), rule("any", "deck", method="hash_match", asset_hashes={}), rule("low", "deck", method="visual_ssim", min_ssim=0.4), rule("high", "deck", method="visual_ssim"),
+        rule("seen", slide=2, method="visual_ssim", min_ssim=0.4), rule("unseen", slide=7, method="visual_ssim", min_ssim=0.4),
+    ]
+    nodes = deck["nodes"].withColumn("runs", F.transform("runs", lambda r: r.withField("text", F.when(r["text"] == "x", F.lit("\n\u00a0 x\u001f\t")).otherwise(r["text"]))))
+    visual = spark.createDataFrame([("d", 2, 0.9, 1), ("d", 2, 0.5, 2), ("d", 2, 0.7, 0)], "deck_id string, slide int, ssim double, ordinal int")
+    got = {r.id: r.detail for r in grade(deck | {"rules": spark.createDataFrame(rows, RULES), "nodes": nodes, "visual": visual}).results.collect()}
+    assert got == {"kind": "ok", "no kind": "field not found", "exact": "ok", "bogus": "unknown selector", "deck bogus": "unknown selector", "deck odd": "unknown selector", "deck other": "ok", "some": "missing b,c", "any": "ok", "low": "ok", "high": "below threshold", "seen": "ok", "unseen": "slide not found"}
+    empty = deck | {"media": deck["media"].limit(0), "visual": visual.limit(0), "rules": spark.createDataFrame(rows, RULES)}
+    assert {r.id: r.detail for r in grade(empty).results.collect()}.items() >= {"any": "no media", "low": "no visual result", "seen": "no visual result"}.items()
+
+
+def test_only_informational_items_score_zero(deck, spark):
+    rows = [rule("a", severity="informational"), rule("b", severity="odd")]
+    s = grade(deck | {"rules": spark.createDataFrame(rows, RULES)}).scores.first()
+    assert (s.fidelity, s.passed_items, s.total_items) == (0.0, 0, 0)
 
 
 def test_known_scores(spark):

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.sources import files, package, sinks
+from plumbline.sources import compatibility, files, package, quarantine, sinks
 
 NS = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 T = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
@@ -94,10 +94,89 @@ def test_digests_and_safety(read):
     d = {r.package_id: r for r in package.package_digest(part).collect()}
     assert d["one.pptx"].digest == d["same.pptx"].digest != d["other.pptx"].digest
     assert d["one.pptx"].bytes_digest != d["same.pptx"].bytes_digest
-    v = {r.package_id: r.verdict for r in package.safety(p, part).collect()}
+    v = {r.package_id: r.verdict for r in quarantine.safety(p).collect()}
     assert v == {"one.pptx": "ok", "same.pptx": "ok", "other.pptx": "ok", "bad.pptx": "not a ZIP", "evil.pptx": "unsafe name"}
 
 
+TYPES = "[Content_Types].xml"
+
+
+def workbook(**changes):
+    parts = {TYPES: quarantine.WORKBOOK_TYPE.decode(), "xl/workbook.xml": "<w/>"} | changes
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, v in parts.items():
+            z.writestr(k, v)
+    return out.getvalue()
+
+
+SHEETS = {TYPES: f"<Types>{quarantine.SHEET_TYPE.decode()}</Types>"}
+WRONG = {
+    "empty": b"", "not a ZIP": b"no zip", "unreadable": deck().replace(b"<Types/>", b"<Types#>"), "unsafe name": deck(**{"a/../b.xml": ""}), "name not NFC": deck(**{"e\u0301.xml": ""}),
+    "executable": deck(**{"x.PS1": "y"}), "nested archive": deck(**{"x.zip": "y"}), "active content": deck(**{"ppt/activeX/a.xml": ""}), "active content type": deck(**{TYPES: "macroEnabled"}),
+    "external relationship": deck(**{"x.rels": "<r targetmode = 'external'/>"}), "hidden OLE": deck(**{"ppt/media/x.png": quarantine.OLE + b"x"}), "embedded: not a workbook": deck(**SHEETS, **{"ppt/embeddings/a.bin": "x"}),
+    "embedded: not a ZIP": deck(**SHEETS, **{"ppt/embeddings/a.xlsx": "x"}), "embedded: missing xl/workbook.xml": deck(**SHEETS, **{"ppt/embeddings/a.xlsx": workbook(**{"xl/workbook.xml": ""}).replace(b"xl/workbook", b"xl/workbooc")}),
+    "embedded: ratio too high": deck(**SHEETS, **{"ppt/embeddings/a.xlsx": workbook(**{"xl/a.xml": "x" * 100_000})}), "embedded: nested package": deck(**SHEETS, **{"ppt/embeddings/a.xlsx": workbook(**{"xl/embeddings/b.bin": "x"})}),
+    "embedded: external relationship": deck(**SHEETS, **{"ppt/embeddings/a.xlsx": workbook(**{"xl/a.rels": 'TargetMode="External"'})}), "0 slides": deck(), "ok": deck(**SHEETS, **{"ppt/slides/slide1.xml": slide(), "ppt/embeddings/a.xlsx": workbook()}),
+}
+
+
+def test_verdicts():
+    limit = quarantine.Limits()
+    for want, content in WRONG.items():
+        assert quarantine.verdict(content, limit, 0 if want == "0 slides" else None).replace("4 slides", "0 slides") == ("ok" if want == "0 slides" else want)
+    assert quarantine.verdict(deck(), limit, 5) == "0 slides"
+    assert quarantine.verdict(deck(), quarantine.Limits(members=3)) == "too many parts" and quarantine.verdict(deck(), quarantine.Limits(size=100)) == "too large"
+    with_sheet = WRONG["ok"]
+    assert quarantine.verdict(with_sheet, quarantine.Limits(members=14)) == "too many parts"
+
+
+def test_bad_packages_and_parts_fail_alone(spark):
+    bomb = workbook(**{"a.xml": "x" * 1_000_000})
+    broken = deck(**{"ppt/slides/b.xml": "<p:sld", "ppt/_rels/presentation.xml.rels": rels(("rId1", "slide", "slides/a.xml"), ("rId2", "slide", "slides/b.xml")), "x.rels": "<"})
+    torn = deck().replace(b"<Types/>", b"<Types#>")
+    df = spark.createDataFrame([("bomb", bomb), ("broken", broken), ("torn", torn), ("none", None), ("fine", deck())], "package_id string, content binary")
+    part = package.parts(df).cache()
+    assert {(r.package_id, r.part_name): r.problem for r in part.filter("problem is not null").collect()} == {("bomb", None): "ratio too high", ("torn", TYPES): "unreadable", ("none", None): "empty"}
+    good = part.filter("problem is null")
+    rel = package.relationships(good)
+    seen = package.nodes(good, rel, package.slides(good, rel)).groupBy("package_id", "slide").count().collect()
+    assert {(r.package_id, r.slide) for r in seen} == {("broken", 2), ("torn", 1), ("torn", 2), ("fine", 1), ("fine", 2)}
+    assert {(r.package_id, r.part_name, r.problem) for r in package.xml_problems(good).collect()} == {("broken", "ppt/slides/b.xml", "malformed XML"), ("broken", "x.rels", "malformed XML")}
+    assert package.package_digest(part).count() == 3
+
+
+def test_slide_lists_by_namespace(spark):
+    other = deck()[:0] + deck(**{"ppt/presentation.xml": f'<q:presentation {NS.replace("xmlns:p", "xmlns:q").replace("xmlns:r", "xmlns:rel")}><q:sldIdLst><q:sldId rel:id=\'rId1\' id="1"/></q:sldIdLst></q:presentation>', "ppt/slideMasters/m.xml": f"<q:sldMaster {NS.replace('xmlns:p', 'xmlns:q')}><q:cSld name='Other &amp; more'/></q:sldMaster>"})
+    lists = {"other": other, "twice": deck(**{"ppt/_rels/presentation.xml.rels": rels(("rId1", "slide", "slides/a.xml"), ("rId2", "slide", "slides/a.xml"))}), "lost": deck(**{"ppt/_rels/presentation.xml.rels": rels(("rId1", "slide", "slides/a.xml"), ("rId2", "image", "slides/b.xml"))}), "gone": deck(**{"ppt/_rels/presentation.xml.rels": rels(("rId1", "slide", "slides/a.xml"), ("rId2", "slide", "slides/z.xml"))}), "none": deck(**{"ppt/presentation.xml": f"<p:presentation {NS}/>"})}
+    part = package.parts(spark.createDataFrame(list(lists.items()), "package_id string, content binary")).cache()
+    rel = package.relationships(part)
+    assert [(r.slide, r.part_name) for r in package.slides(part, rel).filter("package_id = 'other'").collect()] == [(1, "ppt/slides/a.xml")]
+    assert [r.name for r in package.layout_names(part).filter("package_id = 'other'").collect()] == ["Other & more"]
+    assert {r.package_id: r.problem for r in package.slide_problems(part, rel).collect()} == {"twice": "slide part twice", "lost": "slide id without a slide", "gone": "slide part missing", "none": "no slides"}
+
+
+def test_occurrences_and_looks(spark):
+    look = shape("pic", kind="pic", extra='<p:blipFill><a:blip r:embed="rId9"/><a:srcRect l="1000" b="25"/></p:blipFill>').replace("<a:solidFill/>", '<a:prstGeom prst="ellipse"/><a:solidFill><a:srgbClr val="0"><a:alpha val="40500"/></a:srgbClr></a:solidFill><a:ln><a:noFill/></a:ln><a:effectLst><a:innerShdw/></a:effectLst>')
+    content = deck(**{"ppt/slides/b.xml": slide(shape("a"), look, shape("b"), GROUP)})
+    part = package.parts(spark.createDataFrame([("d", content)], "package_id string, content binary"))
+    rel = package.relationships(part)
+    n = {r.node_id: r for r in package.nodes(part, rel, package.slides(part, rel).filter("slide = 1")).collect()}
+    top = "/p:sld/p:cSld/p:spTree"
+    assert {k: (r.z_index, r.occurrence, r.locator) for k, r in n.items()} == {"s1:n0": (0, 1, f"{top}/p:sp[1]"), "s1:n1": (1, 1, f"{top}/p:pic[1]"), "s1:n2": (2, 2, f"{top}/p:sp[2]"), "s1:n3": (3, 1, f"{top}/p:grpSp[1]"), "s1:n3.0": (0, 1, f"{top}/p:grpSp[1]/p:sp[1]"), "s1:n3.1": (1, 2, f"{top}/p:grpSp[1]/p:sp[2]")}
+    p = n["s1:n1"]
+    assert (p.crop.asDict(), p.cropped_to_shape, p.fill, p.opacity, p.stroke, p.shadow) == ({"l": 1000, "t": 0, "r": 0, "b": 25}, True, "solidFill", "0.405", False, True)
+    assert (n["s1:n0"].crop, n["s1:n0"].cropped_to_shape, n["s1:n0"].opacity) == (None, False, "1")
+
+
+@pytest.mark.parametrize("branches", ["<mc:Choice Requires='n'/>", "<mc:Fallback/>", "<mc:Choice Requires=''/>", "<mc:Fallback/><mc:Choice Requires='n'/>", "<mc:Choice Requires='n'/><mc:Fallback/><mc:Fallback/>", "<mc:Choice Requires='n'/><x/>"])
+def test_alternatives_that_cannot_be_resolved(branches):
+    xml = f"<a xmlns:mc='{package.MC[1:-1]}' xmlns:n='urn:n'><mc:AlternateContent>{branches}</mc:AlternateContent></a>".encode()
+    assert len(compatibility.resolve(xml)) == 0
+    with pytest.raises(compatibility.NotUnderstood):
+        compatibility.resolve(xml, strict=True)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c/deck.yaml").write_text('---\n{"id": "a", "tier": 1}\n---\n[{"id": "b", "tier": 2}, {"id": "c", "tier": 3}]\n')

@@ -3,6 +3,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_package import NS, deck
 
 from plumbline.operators import selectors as S
@@ -37,12 +38,15 @@ def test_affected_slides(spark):
     sha = reg.register({"selector_id": "noted", "version": 1}, S.notes_or_comments)
     with pytest.raises(ValueError):
         reg.register({"selector_id": "noted", "version": 2}, S.notes_or_comments, sha)
-    tables = {"notes": spark.createDataFrame([("d", 1, True, False), ("d", 2, False, False), ("d", 9, False, True)], "deck_id string, slide int, notes boolean, comments boolean")}
-    f = spark.createDataFrame([("d", "a", 2, "current", None, None, None), ("d", "b", None, "configured", [1, 3, 7], None, None), ("d", "c", None, "selector", None, "noted", sha)], "deck_id string, id string, slide int, mode string, slides array<int>, selector_id string, selector_sha256 string")
-    tier = spark.range(1, 6).selectExpr("cast(id as int) as slide")
-    assert {(r.id, r.slide) for r in S.affected(f, reg, tables, tier).collect()} == {("a", 2), ("b", 1), ("b", 3), ("c", 1)}
-    with pytest.raises(ValueError):
-        S.affected(f.filter("id = 'c'").withColumn("selector_sha256", f["id"]), reg, tables, tier)
+    tables = {"notes": spark.createDataFrame([("d", 1, True, False), ("d", 2, False, False), ("d", 9, False, True)], "deck_id string, slide int, notes boolean, comments boolean"), "slides": spark.createDataFrame([("d", k) for k in (1, 2, 3, 9)], "deck_id string, slide int")}
+    rows = [("d", "a", 2, False, ["x"], None, None, None, None), ("d", "b", None, False, ["x", "y"], None, [7, 3, 1, 1], None, None), ("d", "c", None, False, ["x"], "named_selector", None, "noted", sha), ("d", "no", 4, True, ["x"], None, None, None, None), ("d", "none", 4, False, [], None, None, None, None), ("d", "deck", None, False, ["x"], None, [], None, None)]
+    f = spark.createDataFrame(rows, "deck_id string, id string, slide int, passed boolean, automatic_fail_if array<string>, affected_mode string, affected_slides array<int>, selector_id string, selector_sha256 string")
+    got = {r.id: (r.affected, r.tier_affected) for r in S.affected(f, reg, tables, [1, 2, 3, 4, 5]).collect()}
+    assert got == {"a": ([2], [2]), "b": ([1, 3, 7], [1, 3]), "c": ([1, 9], [1]), "deck": ([], [])}
+    assert {r.id: r.tier_affected for r in S.affected(f, reg, tables).collect()}["c"] == [1, 9]
+    for other in (f.withColumn("selector_sha256", F.lit("sha256:0")), f.withColumn("selector_id", F.lit("new"))):
+        with pytest.raises(Exception, match="unknown selector or other hash"):
+            S.affected(other.filter("id = 'c'"), reg, tables, [1]).collect()
     e = spark.createDataFrame([("x", "p", "s", 1.0), ("y", "p", "s", 1.0)], "cohort string, pages string, scene string, score double")
     g = spark.createDataFrame([("x", "p", "t", 1.0)], "cohort string, pages string, scene string, score double")
     assert {r.cohort: r.differs for r in S.canary(e, g).collect()} == {"x": "scene", "y": "pages,scene,score"}
