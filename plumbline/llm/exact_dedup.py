@@ -1,13 +1,17 @@
 """Exact deduplication of a batch of documents against immutable snapshots.
 
-A snapshot is made once: for every distinct text its digest, the bytes, the largest doc_id and
-the number of rows (the exact buckets), and binary-fuse filters of the digests, one for each
-shard of the digest space. Digests of a batch are grouped by themselves first, then screened by
-the filters. Only what a filter lets pass is joined with the buckets, where the bytes decide.
+A snapshot never changes once made: for every distinct text its digest, the largest doc_id and the
+number of rows, and binary-fuse filters of the digests, one for each shard of the digest space. Its
+texts stay where they are (the exact buckets).
+
+A batch's rows are grouped by digest among themselves first, without their texts. Its digests are
+screened by the filters. What a filter lets not pass is new: it meets nothing, and no text of it is
+moved. For the digests that pass (repeats, and 1 in 256 others) both sides bring one text each to
+their bucket, and the bytes decide.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
-row with the largest doc_id stays (null is below any id). Rows that repeat both text and doc_id
-are the same document and share its fate. Empty tables give no rows; other columns are ignored.
+row with the largest doc_id stays (null is below any id); of several such rows, one. Empty tables
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,28 +22,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, UPPER, checkpoint, documents, lower_ascii
+from plumbline.llm.common import LOWER, UPPER, checkpoint, documents, join_hot, lower_ascii, size_checked
 
 #: Digests in a filter on average: what one task peels or probes at a time.
 FILTER_KEYS = 65_536
+#: Digests whose texts are looked up by broadcast at most; with more, the texts are shuffled.
+FEW_DIGESTS = 500_000
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    buckets: DataFrame  # digest, bytes, keep_id, n
+    docs: DataFrame  # text and more: the exact buckets are read from it
+    known: DataFrame  # doc_id, digest, mark of its rows
     filters: DataFrame  # shard, seed, length, segments, prints
     shards: int
     rows: int
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256, 32 bytes), bytes (normalised text)."""
-    return docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("bytes")).select("doc_id", F.unhex(F.sha2("bytes", 256)).alias("digest"), "bytes")
+    """docs with bytes (normalised text) and digest (its SHA-256)."""
+    return docs.withColumn("bytes", lower_ascii(F.coalesce("text", F.lit("")))).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
+
+
+def slim(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, digest and mark (a number of its own) of every row, and other columns, kept: no text."""
+    return checkpoint(digested(docs).select("doc_id", "digest", *more).withColumn("mark", F.monotonically_increasing_id()))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """One row for each digest; equal texts of a task meet before they are sent."""
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.any_value("bytes").alias("bytes"))
+    """digest, keep (doc_id and mark of the row that stays), n: a row for each digest."""
+    return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "mark")).alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
 def shard_of(digest, shards: int):
@@ -52,13 +64,8 @@ def keys_of(digests: pd.Series):
     return np.frombuffer(b"".join(bytes(d[:8]) for d in digests), ">u8").astype(np.uint64)
 
 
-def slim(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and finger (a second hash) of every row, kept: texts are read once for them."""
-    return checkpoint(digested(docs).select("doc_id", "digest", F.xxhash64("bytes").alias("finger")))
-
-
 def snapshot(docs: DataFrame, known: DataFrame | None = None) -> Snapshot:
-    """Buckets and filters of all rows of docs. known: slim(docs), where it is there already."""
+    """Filters of all rows of docs. known: slim(docs), where it is there already."""
     known = slim(docs) if known is None else known
     rows = known.count()
     shards = max(1, -(-rows // FILTER_KEYS))
@@ -72,7 +79,8 @@ def snapshot(docs: DataFrame, known: DataFrame | None = None) -> Snapshot:
         return pd.DataFrame([{"shard": key[0], "seed": f"{f.seed}", "length": f.length, "segments": f.segments, "prints": f.prints.tobytes()}])
 
     digests = known.select("digest").distinct().withColumn("shard", shard_of("digest", shards))
-    return Snapshot(grouped(digested(docs)), digests.groupBy("shard").applyInPandas(build, "shard int, seed string, length int, segments int, prints binary"), shards, rows)
+    filters = checkpoint(digests.groupBy("shard").applyInPandas(build, "shard int, seed string, length int, segments int, prints binary"))
+    return Snapshot(docs, known, filters, shards, rows)
 
 
 def screen(digests: DataFrame, rows: int, snap: Snapshot) -> DataFrame:
@@ -96,34 +104,50 @@ def screen(digests: DataFrame, rows: int, snap: Snapshot) -> DataFrame:
     return batch.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(probe, "digest binary")
 
 
+def bucketed(docs: DataFrame, digests: DataFrame, n: int) -> DataFrame:
+    """digest and bytes of one text for each of these n digests; equal texts of a task meet before they are sent."""
+    texts = digested(docs.select("text")).select("digest", "bytes").join(size_checked(digests, n, FEW_DIGESTS), "digest", "left_semi")
+    return texts.groupBy("digest").agg(F.any_value("bytes").alias("bytes"))
+
+
 def dedup(batch: DataFrame, snap: Snapshot, known: DataFrame | None = None) -> DataFrame:
-    """digest, finger, keep_id, n: the groups of equal texts over the snapshot and the batch.
+    """digest, keep, n, old_keep, old_n, same: groups of equal texts of the batch and of the snapshot;
+    same says whether both are one.
 
     known: slim(batch), where it is there already.
     """
     known = slim(batch) if known is None else known
-    passed = screen(known.select("digest").distinct(), known.count(), snap).withColumn("passed", F.lit(True))
-    new = grouped(digested(batch)).join(passed, "digest", "left")
-    old = snap.buckets.select(*(F.col(c).alias(f"old_{c}") for c in ("digest", "bytes", "keep_id", "n")))
-    # What the filter didn't let pass meets no bucket; it stays a group of the batch. The bytes are
-    # compared in a form that isn't a join key: both sides stay where their digests are.
-    same = F.least("bytes", "old_bytes") == F.greatest("bytes", "old_bytes")
-    met = old.join(new, (F.col("digest") == F.col("old_digest")) & same & F.coalesce("passed", F.lit(False)), "full_outer")
-    text = F.coalesce("bytes", "old_bytes")
-    return met.select(F.coalesce("digest", "old_digest").alias("digest"), F.xxhash64(text).alias("finger"), F.greatest("keep_id", "old_keep_id").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"))
+    new, old = grouped(known), grouped(snap.known)
+    passed = checkpoint(screen(known.select("digest").distinct(), known.count(), snap))
+    n = passed.count()
+    one, two = bucketed(batch, passed, n), bucketed(snap.docs, passed, n).withColumnRenamed("bytes", "old_bytes")
+    same = one.join(two, "digest").filter(F.col("bytes") == F.col("old_bytes")).select("digest", F.lit(True).alias("same"))
+    both = new.join(old.select("digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n")), "digest", "full_outer")
+    return both.join(same, "digest", "left").withColumn("same", F.coalesce("same", F.lit(False)))
+
+
+def decided(docs: DataFrame, old) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and digest of every row of docs; rows where `old` holds are the
+    snapshot, the others the batch."""
+    docs = docs.select("doc_id", "text", F.coalesce(old, F.lit(False)).alias("old"))
+    rows = slim(docs, "old")
+    snap = snapshot(docs.filter("old"), rows.filter("old"))
+    groups = dedup(docs.filter("not old"), snap, rows.filter("not old"))
+    size = F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))
+    met = join_hot(rows, checkpoint(groups.withColumn("size", size)), "digest")
+    keep = F.when(F.col("same"), F.greatest("keep", "old_keep")).when(F.col("old"), F.col("old_keep")).otherwise(F.col("keep"))
+    n = F.when(F.col("same"), F.col("size")).when(F.col("old"), F.col("old_n")).otherwise(F.col("n"))
+    met = met.withColumns({"_keep": keep, "group_size": n})
+    return met.select("doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("mark") == F.col("_keep.mark")).alias("kept"), "digest")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Documents whose hashed id is even are the snapshot, the others the batch; all are returned."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    even = F.coalesce(even, F.lit(False))
-    rows = slim(docs)
-    groups = dedup(docs.filter(~even), snapshot(docs.filter(even), rows.filter(even)), rows.filter(~even))
-    return rows.join(groups, ["digest", "finger"]).select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = decided(documents(spark, sf_dir), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
 SQL = f"""
-with d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
-g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
-select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256 from d join g using (t)"""
+with d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+    row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from d"""
