@@ -85,6 +85,17 @@ def size_checked(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of docs has them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of one key beyond which a table's rows with it are joined by broadcast.
 HOT = 10_000
 

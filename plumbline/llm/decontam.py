@@ -6,8 +6,9 @@ that ends a window the windows by their first word, and those are compared word
 that end in no window are skipped, so that about one word in m - 1 is looked at.
 
 Test strings are read in blocks of items of about ITEM_BYTES of text. One block's tables are on
-an executor at a time, so their memory doesn't grow with the benchmark; documents pass by once
-for each block and hits add up.
+an executor at a time, so their memory doesn't grow with the benchmark. With several blocks the
+documents are written once, each under a number of its own, and read by every block, which gives
+only the hits of the documents that have some; these add up by number.
 
 A null or wordless text has no words and no hits. Items without words or without an id never
 occur; rows that repeat an item_id are one item. Repeated documents are separate rows. Empty
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import WORD_BYTES, checkpoint, documents, slices
+from plumbline.llm.common import WORD_BYTES, checkpoint, documents, size_checked, slices, unused
 
 WINDOW = 10
 ITEM_BYTES = 1 << 20
@@ -75,58 +76,88 @@ def tables(items: list[tuple[str, str]], width: int = WINDOW) -> list[WindowTabl
     return [WindowTable(m, {w: tuple(ids) for w, ids in found.items()}) for m, found in sorted(windows.items())]
 
 
-def hits(words: list[bytes], found: list[WindowTable], spans=(), items=()):
-    """Merged [start, end) spans of hit words and the sorted ids of items, with earlier ones."""
-    spans, items = list(spans), set(items)
+def merged(spans) -> list[list[int]]:
+    """Sorted [start, end) spans without overlaps."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def hits(words: list[bytes], found: list[WindowTable]):
+    """Merged spans of hit words and the sorted ids of items."""
+    spans, items = [], set()
     for table in found:
         for start, ids in table.search(words):
             spans.append((start, start + table.m))
             items.update(ids)
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    return merged, sorted(items)
+    return merged(spans), sorted(items)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+RESULTS = T.StructType().add("n_words", "long").add("hit_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("hit_items", T.ArrayType(T.StringType()))
+
+
+def searched(docs: DataFrame, held, only: str | None = None) -> DataFrame:
+    """docs with the results for one block of items. held: its tables, broadcast; without any, words are
+    counted. only: the one column to keep, and then only of rows with a hit."""
+    kept = [f for f in docs.schema.fields if only in (None, f.name)]
+
+    def search(batches):
+        found = held.value if held is not None else []
+        for batch in batches:
+            for part in slices(batch, "text"):
+                n, spans, names = [], [], []
+                for text in part.column("text").to_pylist():
+                    words = words_of(text)
+                    merged, ids = hits(words, found)
+                    n.append(len(words))
+                    spans.append([{"start": s, "end": e} for s, e in merged])
+                    names.append(ids)
+                made = [pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(names, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *made], names=[*(f.name for f in kept), *RESULTS.names])
+                yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if only else out
+
+    return docs.mapInArrow(search, T.StructType([*kept, *RESULTS]))
 
 
 def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """docs with n_words, hit_spans (words from 0, end excluded) and hit_items (ids as text, sorted)."""
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "hit_spans", "hit_items")
-    docs = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), "hit_items": F.lit(None).cast("array<string>")})
+    docs = docs.drop(*RESULTS.names)
+    (mark,) = unused(docs, "_mark")
     ids = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = ids.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // item_bytes))
-    schema = T.StructType(docs.schema.fields)
-    for k in range(blocks):
-        # Items without a common id share a block by hash: a bounded part of the benchmark at a time.
+
+    def block(k: int):
+        """Tables of a bounded part of the benchmark: items by the hash of their id."""
         mine = ids if blocks == 1 else ids.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(tables([(r.item, r.text) for r in mine.distinct().toLocalIterator()], width))
-
-        def search(batches, held=held):
-            found = held.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    n, spans, names = [], [], []
-                    before = part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist()
-                    for text, a, b in zip(part.column("text").to_pylist(), *before, strict=True):
-                        words = words_of(text)
-                        merged, ids = hits(words, found, [(x["start"], x["end"]) for x in a or ()], b or ())
-                        n.append(len(words))
-                        spans.append([{"start": s, "end": e} for s, e in merged])
-                        names.append(ids)
-                    made = {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(spans, SPANS), "hit_items": pa.array(names, pa.list_(pa.string()))}
-                    yield pa.RecordBatch.from_arrays([made.get(c, part.column(i)) for i, c in enumerate(part.schema.names)], names=part.schema.names)
-
-        docs = docs.mapInArrow(search, schema)
-        if k + 1 < blocks:
-            docs = checkpoint(docs)
-    return docs
+        return spark.sparkContext.broadcast(tables([(r.item, r.text) for r in mine.distinct().toLocalIterator()], width))
+
+    if blocks == 1:
+        return searched(docs, block(0))
+    marked = checkpoint(docs.withColumn(mark, F.monotonically_increasing_id()))
+    found = None
+    for k in range(blocks):
+        held = block(k)
+        some = checkpoint(searched(marked.select(mark, "text"), held, mark).drop("n_words"))
+        held.unpersist()
+        found = some if found is None else found.unionByName(some)
+    every = found.groupBy(mark).agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+
+    def joined(batches):
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in merged((x["start"], x["end"]) for x in row)] for row in batch.column("hit_spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(mark), pa.array(spans, SPANS), batch.column("hit_items")], names=[mark, "hit_spans", "hit_items"])
+
+    every = checkpoint(every.mapInArrow(joined, f"{mark} long, hit_spans array<struct<start:bigint,end:bigint>>, hit_items array<string>"))
+    counted = searched(marked, None).drop("hit_spans", "hit_items").join(size_checked(every, every.count()), mark, "left")
+    none = [F.coalesce(c, F.array().cast(RESULTS[c].dataType)).alias(c) for c in ("hit_spans", "hit_items")]
+    return counted.select(*docs.columns, "n_words", *none)
 
 
 def op1_decontam(spark, sf_dir: str) -> DataFrame:

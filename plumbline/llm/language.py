@@ -5,7 +5,7 @@ ASCII punctuation as blanks), scaled to length 1. A softmax over families decide
 the family one linear support vector machine (squared hinge) for each pair of languages votes.
 
 Training reads about SAMPLE_ROWS texts in all, shared evenly by the languages and chosen by the
-hash of the id; of rows that repeat a doc_id one is learned from. Prediction reads whole texts. Texts that are null or have no letter are `und`
+hash of the id; of rows that repeat a doc_id that with the smallest hash of its text is learned from. Prediction reads whole texts. Texts that are null or have no letter are `und`
 with score 0. Without any labelled text every text is `und`. Repeated documents are separate rows,
 empty tables give no rows; other columns are passed on, those named like results are replaced.
 """
@@ -111,13 +111,16 @@ def train(x: np.ndarray, langs: list[str], penalty: float = 1e-4) -> Model:
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learns from docs with a lang and a text; the caller leaves out what must be held out."""
+    from plumbline.llm.toxicity import one_text
+
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     n = known.groupBy("lang").count().collect()
     each = max(10, rows // max(1, len(n)))
     if not n:
         return train(np.zeros((0, (1 << BITS) + 1), np.float32), [])
     share = known.sparkSession.createDataFrame([(r[0], each / r[1]) for r in n], "lang string, _share double")
-    few = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).dropDuplicates(["doc_id", "lang"]).select("lang", "text")
+    few = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select("doc_id", "lang", "text")
+    few = one_text(few, "doc_id", "lang")
 
     def bags(batches):
         for batch in batches:

@@ -31,7 +31,7 @@ BASE_WEIGHT = 0.95
 
 #: label, its identifier as words, names as regexes over words, keyword of the names.
 LICENSES = (
-    ("mit", "mit", r"mit licen[sc]e|expat licen[sc]e|the mit", "mit|expat"),
+    ("mit", "mit", r"mit licen[sc]e|expat licen[sc]e", "mit|expat"),
     ("mit-0", "mit 0", r"mit no attribution(?: licen[sc]e)?", "attribution"),
     ("x11", "x11", r"x11 licen[sc]e|mit x11(?: licen[sc]e)?", "x11"),
     ("apache-1", "apache 1 1", r"apache(?: software)? licen[sc]e(?: version)? 1(?: [01])?", "apache"),
@@ -40,7 +40,7 @@ LICENSES = (
     ("bsd-3", "bsd 3 clause", r"(?:3|three) clause bsd(?: licen[sc]e)?|bsd (?:3|three) clause(?: licen[sc]e)?|(?:new|revised|modified) bsd licen[sc]e", "bsd"),
     ("bsd-4", "bsd 4 clause", r"(?:4|four) clause bsd(?: licen[sc]e)?|bsd (?:4|four) clause(?: licen[sc]e)?|original bsd licen[sc]e", "bsd"),
     ("bsd-0", "0bsd", r"zero clause bsd(?: licen[sc]e)?|bsd zero clause(?: licen[sc]e)?", "zero"),
-    ("isc", "isc", r"isc licen[sc]e|internet systems consortium licen[sc]e", "licen"),
+    ("isc", "isc", r"isc licen[sc]e|internet systems consortium licen[sc]e", "isc|consortium"),
     ("gpl-1", "gpl 1 0", r"gnu general public licen[sc]e version 1|gpl ?v?1(?: 0)?", "gpl|gnu|gplv1|gpl1"),
     ("gpl-2", "gpl 2 0", r"gnu general public licen[sc]e(?: version)? v?2(?: 0)?|gnu gpl(?: version)? v?2|gpl ?v2(?: 0)?|gpl (?:version )?2(?: 0)?", "gpl|gnu|gplv2"),
     ("gpl-3", "gpl 3 0", r"gnu general public licen[sc]e(?: version)? v?3(?: 0)?|gnu gpl(?: version)? v?3|gpl ?v3(?: 0)?|gpl (?:version )?3(?: 0)?", "gpl|gnu|gplv3"),
@@ -70,7 +70,7 @@ LICENSES = (
     ("postgresql", "postgresql", r"postgresql licen[sc]e", "postgresql"),
     ("python-2", "python 2 0", r"python software foundation licen[sc]e(?: version 2)?|psf licen[sc]e", "python|psf"),
     ("php-3", "php 3 01", r"php licen[sc]e(?: version)?(?: 3(?: 01)?)?", "php"),
-    ("ruby", "ruby", r"ruby licen[sc]e", "ruby"),
+    ("ruby", "ruby", r"the ruby licen[sc]e", "ruby"),
     ("w3c", "w3c", r"w3c software(?: notice and)? licen[sc]e", "w3c"),
     ("ncsa", "ncsa", r"university of illinois ncsa open source licen[sc]e|ncsa licen[sc]e", "ncsa"),
     ("afl-3", "afl 3 0", r"academic free licen[sc]e(?: version)?(?: 3 0)?", "academic"),
@@ -89,7 +89,7 @@ LICENSES = (
     ("odc-by-1", "odc by 1 0", r"open data commons attribution licen[sc]e", "commons"),
     ("pddl-1", "pddl 1 0", r"open data commons public domain dedication", "commons"),
     ("cc0", "cc0 1 0", r"cc0(?: 1 0)?|creative commons zero(?: 1 0)?|cc zero", "cc0|zero"),
-    ("cc-by", "cc by 4 0", r"creative commons attribution(?: licen[sc]e)?|cc by(?: [1-4] [05])?", "cc|attribution"),
+    ("cc-by", "cc by 4 0", r"creative commons attribution(?: licen[sc]e)?|cc by [1-4] [05]|cc by licen[sc]e", "cc|attribution"),
     ("cc-by-sa", "cc by sa 4 0", r"creative commons attribution share ?alike|cc by sa(?: [1-4] [05])?", "cc|attribution"),
     ("cc-by-nd", "cc by nd 4 0", r"creative commons attribution no ?deriv(?:ative)?s|cc by nd(?: [1-4] [05])?", "cc|attribution"),
     ("cc-by-nc", "cc by nc 4 0", r"creative commons attribution non ?commercial|cc by nc(?: [1-4] [05])?", "cc|attribution"),
@@ -98,6 +98,8 @@ LICENSES = (
     ("rail-m", "openrail", r"(?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)?", "openrail|rail"),
     ("llama-2", "llama2", r"llama 2 community licen[sc]e", "llama"),
 )
+#: Names that are one only where the wording around them is about a license.
+LOOSE = {"mit": "mit", "x11": "x11", "isc": "isc", "cc-by": "cc by", "ruby": r"ruby licen[sc]e", "vim": "vim", "zlib": "zlib", "curl": "curl"}
 #: label, regex, keyword, priority, weight: wording of notices and license texts.
 NOTICES = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby", 70, 0.95),
@@ -164,7 +166,8 @@ def rules() -> tuple[Rule, ...]:
         for form, priority, weight in FORMS:
             # A form that only needs the identifier is gated by its first word.
             gate = ident.split()[0] if "I" in form and "N" not in form else f"{keys}|{ident.split()[0]}" if "I" in form else keys
-            found.append((label, form.replace("N", names).replace("I", ident), gate, priority + min(4, len(ident.split())), weight))
+            known = f"{names}|{LOOSE[label]}" if label in LOOSE and "licen[sc]e" in form.replace("(?:N)", "") else names
+            found.append((label, form.replace("N", known).replace("I", ident), gate, priority + min(4, len(ident.split())), weight))
     found += NOTICES
     found.sort(key=lambda x: -x[3])
     return tuple(Rule(k, label, re.compile(rf"(?<= )(?:{body})(?= )"), tuple(w.encode() for w in keys.split("|")), priority, weight) for k, (label, body, keys, priority, weight) in enumerate(found))

@@ -9,9 +9,12 @@ stretch of the schedule. Only DataFrame operations run.
 Whole slots are too coarse for a source whose target is under FINE blocks. Such a source is taken
 exactly: its documents in hashed order, again and again, up to its target in words.
 
-Rows: nulls in text count as 0 words, a null source is a source of its own (last), a null doc_id
-is hashed like an empty text. Repeated rows are separate documents. An empty table gives no rows.
-Other columns of the input are not looked at.
+Any number of sources may be there: what is summed over all of them in an order (targets, places
+on [0, 1)) is summed within ranges of the order first, then over the ranges.
+
+Rows: nulls in text count as 0 words, a null source is a source of its own (last), rows without a
+doc_id are ordered by the hash of their text. Repeated rows are separate documents. An empty table
+gives no rows. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -40,26 +43,43 @@ def word_count(text):
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, _src (source, nulls last), size (words), _at (place in the hashed order)."""
-    return docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("_src"), word_count("text").alias("size")).withColumn("_at", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))))
+    known = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("_src"), word_count("text").alias("size"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    return known.withColumn("_at", F.md5(F.concat_ws(":", name, F.col("size").cast("string")))).drop("text")
+
+
+def ordered(df: DataFrame, order: list[str], **sums) -> DataFrame:
+    """Adds _k (place in the order, from 1) and, by name, the sum of a column over the rows before.
+
+    Rows are dealt by ranges of the order and summed within each; only a row for each range is summed
+    in one task.
+    """
+    dealt = checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_all_{x}") for x, c in sums.items()))
+    up_to = Window.orderBy("_range")
+    ahead = ranges.select("_range", (F.sum("_n").over(up_to) - F.col("_n")).alias("_ahead"), *((F.sum(f"_all_{x}").over(up_to) - F.col(f"_all_{x}")).alias(f"_ahead_{x}") for x in sums))
+    within = Window.partitionBy("_range").orderBy(*order)
+    out = dealt.withColumns({"_k": F.row_number().over(within)} | {x: F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(c) for x, c in sums.items()})
+    out = out.join(F.broadcast(ahead), "_range")  # as many rows as ranges
+    return out.select(*df.columns, (F.col("_k") + F.col("_ahead")).alias("_k"), *((F.col(x) + F.col(f"_ahead_{x}")).alias(x) for x in sums))
 
 
 def targets(totals: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES) -> DataFrame:
     """Adds weight and target to (_src, source_size), one row per source.
 
     Water filling in closed form: in order of most * size / weight, sources are full until the
-    level that the rest shares by weight is not above. One row per source goes through one task.
+    level that the rest shares by weight is not above.
     """
-    everything = Window.partitionBy()
-    by_name, by_ratio = Window.orderBy("_src"), Window.orderBy("_ratio", "_src")
-    w = F.element_at(F.array(*map(F.lit, cycle)), ((F.row_number().over(by_name) - 1) % len(cycle) + 1).cast("int"))
-    ranked = totals.withColumn("weight", w).withColumn("_ratio", most * F.col("source_size") / F.col("weight"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    full = F.coalesce(F.sum(most * F.col("source_size")).over(before), F.lit(0))
-    level = (F.sum("source_size").over(everything) - full) / F.sum("weight").over(after)
-    found = ranked.withColumn("_level", level).withColumn("_k", F.row_number().over(by_ratio))
-    first = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_k", "_level"))).over(everything)
-    return found.withColumn("target", F.least(most * F.col("source_size").cast("double"), F.col("weight") * first["_level"])).select("_src", "source_size", "weight", "target")
+    w = F.element_at(F.array(*map(F.lit, cycle)), ((F.col("_k") - 1) % len(cycle) + 1).cast("int"))
+    ranked = ordered(totals, ["_src"]).withColumn("weight", w).drop("_k")
+    ranked = ranked.withColumns({"_ratio": most * F.col("source_size") / F.col("weight"), "_most": most * F.col("source_size")})
+    found = checkpoint(ordered(ranked, ["_ratio", "_src"], _full="_most", _lighter="weight"))
+    words, weights = found.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not words:
+        return found.withColumn("target", F.lit(0.0)).select("_src", "source_size", "weight", "target")
+    share = (F.lit(words) - F.col("_full")) / (F.lit(weights) - F.col("_lighter"))
+    level = found.filter(F.col("_ratio") >= share).agg(F.min_by(share, "_k")).first()[0]
+    return found.withColumn("target", F.least(F.col("_most").cast("double"), F.col("weight") * F.lit(level))).select("_src", "source_size", "weight", "target")
 
 
 def before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
@@ -78,10 +98,9 @@ def before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
 
 def schedule(spark, sources: DataFrame, block: int, slots: int) -> DataFrame:
     """(slot, _src, rank): rank counts a source's slots from 0."""
-    w = Window.orderBy("_src")
-    total = F.sum("target").over(Window.partitionBy())
-    cut = sources.filter("target > 0").withColumn("_hi", F.sum("target").over(w) / total).withColumn("_lo", F.coalesce(F.lag("_hi").over(w), F.lit(0.0)))
-    cut = cut.withColumn("_hi", F.when(F.lead("_src").over(w).isNull(), 1.0).otherwise(F.col("_hi")))
+    goals = ordered(sources.select("_src", F.round("target").cast("long").alias("_goal")).filter("_goal > 0"), ["_src"], _before="_goal")
+    total = F.lit(goals.agg(F.coalesce(F.sum("_goal"), F.lit(1))).first()[0])
+    cut = goals.select("_src", (F.col("_before") / total).alias("_lo"), ((F.col("_before") + F.col("_goal")) / total).alias("_hi"))
     cut = cut.select("_src", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * BINS), F.least(F.floor(F.col("_hi") * BINS), F.lit(BINS - 1)))).alias("_bin"))
     point = (F.col("id") + 0.5) * GOLDEN
     points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_u")).withColumn("_bin", F.floor(F.col("_u") * BINS))
@@ -139,8 +158,8 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 with d as (select doc_id, case when source is null then '~' else '=' || source end as src,
-    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
-h as (select *, md5(concat_ws(':', coalesce(doc_id::varchar, ''), size::varchar)) as place from d),
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, text from documents),
+h as (select *, md5(concat_ws(':', coalesce(doc_id::varchar, md5(coalesce(text, ''))), size::varchar)) as place from d),
 t as (select sum(size)::bigint as words, greatest(1, ceil(sum(size) / {SLOTS}))::bigint as block from d),
 s0 as (select src, sum(size)::bigint as source_size from d group by src),
 s1 as (select *, [1, 2, 3][(row_number() over (order by src) - 1) % 3 + 1] as weight from s0),
@@ -149,14 +168,15 @@ s3 as (select *, row_number() over (order by ratio, src) as k, (sum(source_size)
     - coalesce(sum(3 * source_size) over (order by ratio, src rows between unbounded preceding and 1 preceding), 0))::double
     / (sum(weight) over (order by ratio, src rows between current row and unbounded following))::double as level from s2),
 s4 as (select src, source_size, least(3.0::double * source_size, weight * (select arg_min(level, k) from s3 where ratio >= level)) as target from s3),
-c0 as (select *, sum(target) over (order by src) / sum(target) over () as hi from s4 where target > 0),
-c1 as (select src, coalesce(lag(hi) over (order by src), 0) as lo, case when lead(src) over (order by src) is null then 1.0::double else hi end as hi from c0),
+c0 as (select *, round(target)::bigint as goal from s4 where round(target) > 0),
+c1 as (select src, (sum(goal) over (order by src) - goal)::double / sum(goal) over () as lo, (sum(goal) over (order by src))::double / sum(goal) over () as hi from c0),
 p as (select range as slot, (range + 0.5)::double * {GOLDEN}::double as x from range((select words // block from t))),
 r as (select slot, src, row_number() over (partition by src order by slot) - 1 as rank from p join c1 on x - floor(x) >= lo and x - floor(x) < hi),
 n as (select src, count(*) as slots from r group by src),
 m as (select s4.src, source_size, target, least(coalesce(slots, 0), 3 * ceil(source_size / block)::bigint) as slots,
     greatest(1, ceil(source_size / block))::bigint as blocks, block from s4 left join n using (src), t),
 q as (select doc_id, src, size, sum(size) over (partition by src order by place, doc_id nulls first, size rows between unbounded preceding and current row)::bigint as e from h)
-select doc_id, size, source_size, target, ((slots // blocks) * size + least(e, (slots % blocks) * block)
-    - least(e - size, (slots % blocks) * block))::bigint as taken
+select doc_id, size, source_size, target, case when target < {FINE} * block
+    then (round(target)::bigint // greatest(source_size, 1)) * size + least(e, round(target)::bigint % greatest(source_size, 1)) - least(e - size, round(target)::bigint % greatest(source_size, 1))
+    else (slots // blocks) * size + least(e, (slots % blocks) * block) - least(e - size, (slots % blocks) * block) end::bigint as taken
 from q join m using (src)"""

@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import checkpoint, crc_mod_column, documents, slices, text_bytes
+from plumbline.llm.common import checkpoint, crc_mod_column, documents, size_checked, slices, text_bytes, unused
 
 #: Labelled rows to learn from, about, by label.
 SAMPLE = (2000, 2000)
 SLICE = 1 << 20
 KEEP = 0.5
+#: Sites that are broadcast at most; the documents are shuffled by more.
+FEW_SITES = 500_000
 #: Classes of bytes: lower, upper, digit, non-ASCII, blank, line break, and 26 of punctuation by place.
 _CLASS = np.array([5 if c in (10, 13) else 4 if c in (9, 11, 12, 32) else 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c >= 128 else 6 + c % 26 for c in range(256)], np.int64)
 FEATURES = 1024 + 5
@@ -78,15 +80,16 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 400) -> Classifier:
 
 
 def fit(labelled: DataFrame, label: str) -> Classifier:
-    """labelled: doc_id, text, label 0 or 1. Trains on about SAMPLE[y] rows of label y."""
-    from plumbline.llm.toxicity import chosen
+    """labelled: doc_id, text, label 0 or 1. Trains on about SAMPLE[y] rows of label y, of a repeated
+    doc_id on that with the smallest hash of its text."""
+    from plumbline.llm.toxicity import chosen, one_text
 
     def rows(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(label), pa.array([r.tobytes() for r in features(part.column("text"))], pa.binary())], names=["y", "x"])
 
-    few = chosen(labelled, label, SAMPLE).select("text", F.col(label).cast("int").alias(label))
+    few = one_text(chosen(labelled.select("doc_id", "text", label), label, SAMPLE), "doc_id", label).select("text", F.col(label).cast("int").alias(label))
     found = sorted((r.y, bytes(r.x)) for r in few.mapInArrow(rows, "y int, x binary").collect())
     return train(np.stack([np.frombuffer(b, np.float32) for _, b in found]) if found else np.zeros((0, FEATURES), np.float32), np.array([y for y, _ in found], np.int64))
 
@@ -129,21 +132,23 @@ def score(docs: DataFrame, model: Classifier, rate: float, sites: list[DataFrame
     """docs with text_score, site_rate and quality_score, 0 to 1 each."""
     docs = docs.drop("text_score", "site_rate", "quality_score")
     held = docs.sparkSession.sparkContext.broadcast(model)
+    z, *keys = unused(docs, "_z", *(f"_site_{k + 1}" for k in range(len(levels))))
+    rates = unused(docs, *(f"rate_{k + 1}" for k in range(len(levels))))
 
     def scored(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                z = features(part.column("text")) @ held.value.weights + held.value.bias
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(z, -30, 30).astype(float))], names=[*part.schema.names, "_z"])
+                found = features(part.column("text")) @ held.value.weights + held.value.bias
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(found, -30, 30).astype(float))], names=[*part.schema.names, z])
 
-    out = docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("_z", T.DoubleType())]))
-    keys = [f"_site_{k + 1}" for k in range(len(levels))]
+    out = docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(z, T.DoubleType())]))
     out = out.withColumns({k: site(c) for c, k in zip(levels, keys, strict=True)})
     for depth, table in enumerate(sites, 1):
-        out = out.join(table, keys[:depth], "left")
-    p = F.coalesce(*(F.col(f"rate_{d}") for d in range(len(levels), 0, -1)), F.lit(rate))
-    join = lambda z: 1 / (1 + F.exp(-z))
-    return out.select(*docs.columns, join(F.col("_z")).alias("text_score"), p.alias("site_rate"), join(F.col("_z") + F.log(p / (1 - p))).alias("quality_score"))
+        table = table.toDF(*keys[:depth], rates[depth - 1])
+        out = out.join(size_checked(table, table.count(), FEW_SITES), keys[:depth], "left")
+    p = F.coalesce(*map(F.col, reversed(rates)), F.lit(rate))
+    join = lambda x: 1 / (1 + F.exp(-x))
+    return out.select(*docs.columns, join(F.col(z)).alias("text_score"), p.alias("site_rate"), join(F.col(z) + F.log(p / (1 - p))).alias("quality_score"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -162,7 +167,7 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
     rate, sites = site_rates(counted, "quality", ["source", "lang"])
     from plumbline.llm.toxicity import chosen
 
-    few = chosen(labels, "quality", SAMPLE)
+    few = chosen(labels.distinct(), "quality", SAMPLE)  # its size is bounded by SAMPLE
     model = fit(docs.join(F.broadcast(few), "doc_id"), "quality")
     found = score(docs, model, rate, sites, ["source", "lang"])
     return found.select("doc_id", (crc_mod_column(F.col("doc_id"), 5) == 0).alias("held_out"), "text_score", "site_rate", F.col("quality_score").alias("score"), (F.col("quality_score") >= KEEP).cast("int").alias("predicted"), (F.col("quality_score") >= KEEP).alias("kept"))

@@ -95,7 +95,7 @@ def features(found: list[tuple[str, str, str, str]], moves: np.ndarray, words: f
         counts = np.bincount(np.frombuffer(text.encode(errors="replace"), np.uint8), minlength=256)
         share = counts[counts > 0] / n
         low = [w for w in re.split(r"[^a-z0-9]+", before.lower()) if w][-4:]
-        near = low + [w for w in re.split(r"[^a-z0-9]+", after.lower()) if w][:3]
+        near = low[-2:] + [w for w in re.split(r"[^a-z0-9]+", after.lower()) if w][:1]
         kinds = np.array([0 if x < 26 else 1 if x == 26 else 2 for x in c])
         rows.append((
             len(text), math.log1p(len(text)), -(share * np.log2(share)).sum(), float(moves[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0,

@@ -3,11 +3,13 @@
 A document's key is hashed to 60 bits. Bytes are summed for short prefixes (cells) first; a
 shard is the shortest prefix whose documents fit the limit. Cells that are over the limit by
 themselves are cut by further bits, and only their rows are read again. Rows with one hash that
-together exceed the limit cannot be told apart by bits: they go to overflow pages of the bucket.
+together exceed the limit cannot be told apart by bits: they go to overflow pages of the bucket, each
+partition of such rows to pages of its own, so that one id's rows are not one task's work.
 Only DataFrame operations run; the directory stays a table.
 
 A null text has 0 bytes, a null doc_id is hashed like an empty text, repeated rows are separate.
-A document above the limit gets a shard of its own. An empty table gives no rows.
+A document above the limit gets a shard of its own. An empty table gives no rows. Other columns are
+passed on whatever their names; those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -66,34 +68,34 @@ def directory(keyed: DataFrame, limit: int) -> list[tuple[int, DataFrame, int]]:
 
 def shard(docs: DataFrame, limit: int = MAX_SHARD_BYTES) -> DataFrame:
     """docs with shard (prefix bits, page after a dot), depth, doc_bytes, shard_bytes, global_depth."""
-    mine = {"shard", "depth", "doc_bytes", "shard_bytes", "global_depth"}
-    docs = docs.drop(*mine)
-    found = directory(docs.select(hashed(docs["doc_id"]).alias("_h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes")), limit)
-    out = docs.withColumns({"_h": hashed(docs["doc_id"]), "doc_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    docs = docs.drop("shard", "depth", "doc_bytes", "shard_bytes", "global_depth")
+    # The row is carried in one column, so that no name in it can clash.
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    out = docs.select(F.struct(*docs.columns).alias("_row"), hashed(docs["doc_id"]).alias("_h"), size.alias("doc_bytes"))
+    found = directory(docs.select(hashed(docs["doc_id"]).alias("_h"), size.alias("_bytes")), limit)
     names = ("_depth", "_prefix", "_shard_bytes")
     for k, (bits, table, rows) in enumerate(found):
         out = out.withColumn(f"_cell_{k}", prefix("_h", bits))
         out = out.join(size_checked(table.select(F.col("_cell").alias(f"_cell_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in names)), rows), f"_cell_{k}", "left")
     pick = lambda c: F.coalesce(*(F.col(f"{c}_{k}") for k in range(len(found))))
     deepest = max((r[0] or 0) for r in (t.agg(F.max("_depth")).first() for _, t, _ in found))
-    rest = [c for c in docs.columns]
-    out = out.select(*rest, "_h", "doc_bytes", pick("_depth").alias("depth"), pick("_prefix").alias("_prefix"), pick("_shard_bytes").alias("shard_bytes"))
+    out = out.select("_row", "_h", "doc_bytes", pick("_depth").alias("depth"), pick("_prefix").alias("_prefix"), pick("_shard_bytes").alias("shard_bytes"))
     named = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("_prefix"), F.col("depth"), F.lit("0")))
     last_bits, last, _ = found[-1]
-    if last_bits == HASH_BITS and (stuck := last.filter("_depth is null").count()):
+    columns = ["_row", "shard", "depth", "doc_bytes", "shard_bytes"]
+    if last_bits == HASH_BITS and last.filter("_depth is null").take(1):
         deepest = HASH_BITS
-        keep = out.filter("depth is not null").withColumn("shard", named)
-        over = out.filter("depth is null").withColumn("depth", F.lit(HASH_BITS))
+        over = checkpoint(out.filter("depth is null")).withColumns({"depth": F.lit(HASH_BITS), "_part": F.spark_partition_id()})
         small = F.col("doc_bytes") * 2 <= limit
-        w = Window.partitionBy("_h").orderBy("doc_bytes", "text")
+        w = Window.partitionBy("_h", "_part").orderBy("doc_bytes")
         start = F.sum(F.when(small, F.col("doc_bytes")).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("doc_bytes")
         page = F.when(small, F.floor(start / max(1, limit // 2))).otherwise(F.row_number().over(w) + F.lit(1 << 40))
-        over = over.withColumn("_page", page).withColumn("shard", F.concat(F.lpad(F.bin("_h"), HASH_BITS, "0"), F.lit("."), F.col("_page").cast("string")))
-        over = over.withColumn("shard_bytes", F.sum("doc_bytes").over(Window.partitionBy("_h", "_page"))).drop("_page")
-        out = keep.unionByName(over)
+        over = over.withColumn("_page", page).withColumn("shard", F.concat_ws(".", F.lpad(F.bin("_h"), HASH_BITS, "0"), F.col("_part").cast("string"), F.col("_page").cast("string")))
+        over = over.withColumn("shard_bytes", F.sum("doc_bytes").over(Window.partitionBy("_h", "_part", "_page")))
+        out = out.filter("depth is not null").withColumn("shard", named).select(*columns).unionByName(over.select(*columns))
     else:
         out = out.withColumn("shard", named)
-    return out.select(*rest, "shard", F.col("depth").cast("int").alias("depth"), "doc_bytes", F.col("shard_bytes").cast("long").alias("shard_bytes"), F.lit(int(deepest)).alias("global_depth"))
+    return out.select("_row.*", "shard", F.col("depth").cast("int").alias("depth"), "doc_bytes", F.col("shard_bytes").cast("long").alias("shard_bytes"), F.lit(int(deepest)).alias("global_depth"))
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

@@ -4,14 +4,16 @@ A text is the bag of the byte 3- to 5-grams of its words (blanks mark where word
 A-Z are lowered), hashed to BUCKETS. Embeddings and softmax are trained together in numpy with
 Adam; rows of the embedding shrink as a group, so that n-grams without evidence carry nothing.
 Unseen spellings are scored by the n-grams they share. Stretches of clean training texts are
-further clean examples, as short texts are noisier.
+further clean examples, as short texts are noisier. Where 0.5 lies is learned as well: models of
+each half of the training rows score the other half, and the bias moves to the best F1 of these.
 
-Training reads about SAMPLE[y] rows of label y, chosen by the hash of the id. Scoring reads whole texts: once trained, the model is one weight for each bucket.
+Training reads about SAMPLE[y] rows of label y, chosen by the hash of the id. Scoring reads whole
+texts: once trained, the model is one weight for each bucket.
 
 Null, empty and wordless texts get the score of the bias alone, or 0 if no row is labelled.
 Null labels are not learned from, contradicting labels of one id each count; of rows that repeat
-a doc_id one is learned from. They are scored as separate rows. Empty tables give no rows; other columns are passed on, those named like
-results are replaced.
+a doc_id that with the smallest hash of its text is learned from. They are scored as separate rows.
+Empty tables give no rows; other columns are passed on, those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import WORD_BYTES, crc_mod_column, documents, slices, text_bytes
-from plumbline.llm.ngrams import counts, gram_hashes
+from plumbline.llm.ngrams import gram_hashes
 
-BITS, LENGTHS, DIM = 13, (3, 4, 5), 16
+BITS, LENGTHS, DIM = 16, (3, 4, 5), 16
 BUCKETS = 1 << BITS
 #: Labelled rows to learn from, about, by label.
 SAMPLE = (3000, 1500)
 STRETCHES = 2
 EPOCHS, BATCH, RATE, SHRINK = 20, 64, 0.01, 0.3
+#: Texts that must share a bucket for it to be learned, and what is added to its frequency.
+LEAST_TEXTS, FLOOR = 2, 1e-5
 SLICE = 1 << 20
 
 
@@ -51,78 +55,131 @@ def chosen(labelled: DataFrame, label: str, sample: tuple[int, int] = SAMPLE) ->
     keep = F.lit(False)
     for value in (0, 1):
         keep = keep | ((F.col(label) == value) & (share < sample[value] / max(1, n.get(value, 0))))
-    # A doc_id that is repeated very often would be chosen with all its rows.
-    return labelled.filter(keep).dropDuplicates(["doc_id", label])
+    return labelled.filter(keep)
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows (with a text) of each key that with the smallest hash of its text: the same one in every run."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select(*keys, F.col("x.text").alias("text"))
 
 
 def examples(rows: DataFrame, label: str) -> DataFrame:
-    """label, buckets and counts (as bytes) of each text, and of stretches of those labelled 0."""
+    """half (by the hash of the text), label, buckets and counts (as bytes) of each text, and of
+    stretches of those labelled 0, whose half is 2 or 3."""
 
     def bags(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                texts, marks = part.column("text").to_pylist(), part.column(label).to_pylist()
-                more = [(t or "", m) for t, m in zip(texts, marks, strict=True)]
-                for text, mark in list(more):
+                more = []
+                for text, mark in zip(part.column("text").to_pylist(), part.column(label).to_pylist(), strict=True):
+                    text = text or ""
+                    seed = zlib.crc32(text.encode())
+                    more.append((seed % 2, int(mark), text))
                     words = text.split(" ") if mark == 0 else ()
-                    rng = random.Random(zlib.crc32(text.encode()))
+                    rng = random.Random(seed)
                     for _ in range(STRETCHES if len(words) > 4 else 0):
                         size = rng.randint(4, 60)
                         at = rng.randrange(max(1, len(words) - size))
-                        more.append((" ".join(words[at : at + size]), 0))
-                made = counts(pa.array([t for t, _ in more], pa.large_string()), LENGTHS, BITS, WORD_BYTES, True)
-                found = [np.flatnonzero(c) for c in made]
-                yield pa.RecordBatch.from_arrays([pa.array([int(m) for _, m in more], pa.int32()), pa.array([f.astype(np.uint16).tobytes() for f in found], pa.binary()), pa.array([np.minimum(c[f], 65535).astype(np.uint16).tobytes() for c, f in zip(made, found, strict=True)], pa.binary())], names=["label", "buckets", "counts"])
-
-    return rows.select("text", F.col(label).cast("int").alias(label)).mapInArrow(bags, "label int, buckets binary, counts binary")
-
-
-def train(bags: list, epochs: int = EPOCHS, seed: int = 0) -> Model:
-    """bags: (label, buckets, counts) rows, in any order."""
-    bags = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in bags)
-    y = np.array([b[0] for b in bags], np.int64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else 20.0 * (2 * int(y[0]) - 1))
-    x = np.zeros((len(y), BUCKETS), np.uint16)
-    for k, (_, at, n) in enumerate(bags):
-        x[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint16)
-    total = np.maximum(1, x.sum(1, dtype=np.int64)).astype(np.float32)[:, None]
-    often = np.zeros(BUCKETS, np.float32)
-    for k in range(0, len(y), 256):
-        often += (x[k : k + 256] / total[k : k + 256]).sum(0)
-    scale = 1 / np.sqrt(often / len(y) + 1e-4).astype(np.float32)
+                        more.append((2 + seed % 2, 0, " ".join(words[at : at + size])))
+                at, n = zip(*(bag(text) for _, _, text in more), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in more], pa.int32()), pa.array([m for _, m, _ in more], pa.int32()), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], names=["half", "label", "buckets", "counts"])
+
+    return rows.select("text", F.col(label).cast("int").alias(label)).mapInArrow(bags, "half int, label int, buckets binary, counts binary")
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams (uint32, sorted) and how often each occurs (float32)."""
+    data, offsets = text_bytes(pa.array([text], pa.large_string()))
+    with np.errstate(over="ignore"):
+        found = [bucket for _, bucket in gram_hashes(data, offsets, LENGTHS, BITS, WORD_BYTES, True)]
+    at, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+    return at.astype(np.uint32), n.astype(np.float32)
+
+
+def joint(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, seed: int = 0) -> Model:
+    """Embeddings and softmax of bags (buckets, counts) with labels, trained together."""
+    total = np.array([max(1.0, n.sum()) for _, n in bags], np.float32)
+    texts, often = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for (at, n), t in zip(bags, total, strict=True):
+        texts[at] += 1
+        often[at] += n / t
+    held = np.flatnonzero(texts >= LEAST_TEXTS)  # the others have no embedding
+    place = np.full(BUCKETS, -1)
+    place[held] = np.arange(len(held))
+    scale = (1 / np.sqrt(often[held] / len(bags) + FLOOR)).astype(np.float32)
+    rows = []
+    for (at, n), t in zip(bags, total, strict=True):
+        k = place[at]
+        rows.append((k[k >= 0], n[k >= 0] / t * scale[k[k >= 0]]))
     rng = np.random.default_rng(seed)
-    params = [(rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32), (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)]
+    params = [(rng.standard_normal((len(held), DIM)) * 0.01).astype(np.float32), (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     embed, soft, bias = params
     balance = np.sqrt(len(y) / 2 / np.maximum(1, np.bincount(y, minlength=2))).astype(np.float32)
+    gradient = np.zeros_like(embed)
     steps = 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             at = order[k : k + BATCH]
-            bag = x[at] / total[at] * scale
-            mean = bag @ embed
+            used, column = np.unique(np.concatenate([rows[i][0] for i in at]), return_inverse=True)
+            x = np.zeros((len(at), len(used)), np.float32)
+            x[np.repeat(np.arange(len(at)), [len(rows[i][0]) for i in at]), column] = np.concatenate([rows[i][1] for i in at])
+            mean = x @ embed[used]
             z = mean @ soft + bias
             z = np.exp(z - z.max(1, keepdims=True))
             grad = z / z.sum(1, keepdims=True)
             grad[np.arange(len(at)), y[at]] -= 1
             grad *= balance[y[at]][:, None] / len(at)
+            gradient[:] = 0
+            gradient[used] = x.T @ (grad @ soft.T)
             steps += 1
-            for p, m, s, g in zip(params, first, second, (bag.T @ (grad @ soft.T), mean.T @ grad, grad.sum(0)), strict=True):
+            for p, m, s, g in zip(params, first, second, (gradient, mean.T @ grad, grad.sum(0)), strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 p -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(s / (1 - 0.999**steps)) + 1e-8)
             embed *= np.maximum(0, 1 - rate * SHRINK / np.maximum(1e-9, np.sqrt((embed * embed).sum(1, keepdims=True))))
-    return Model((scale * (embed @ (soft[:, 1] - soft[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[held] = scale * (embed @ (soft[:, 1] - soft[:, 0]))
+    return Model(weights, float(bias[1] - bias[0]))
+
+
+def logits(model: Model, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.array([(model.weights[at] * n).sum() / max(1.0, n.sum()) + model.bias for at, n in bags])
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The logit at which F1 is best, between two neighbouring ones."""
+    order = np.argsort(-z, kind="stable")
+    hit = np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    k = int(f1.argmax())
+    return float(z[order[k]] + z[order[min(k + 1, len(y) - 1)]]) / 2
+
+
+def train(found: list, epochs: int = EPOCHS) -> Model:
+    """found: (half, label, buckets, counts) rows, in any order."""
+    found = sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in found)
+    half, y = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(BUCKETS, np.float32), -30.0 if not len(y) else 20.0 * (2 * int(y[0]) - 1))
+    bags = [(np.frombuffer(at, np.uint32), np.frombuffer(n, np.float32)) for _, _, at, n in found]
+    model = joint(bags, y, epochs)
+    z = np.zeros(len(y))
+    for side in (0, 1):
+        mine, rest = np.flatnonzero(half % 2 != side), np.flatnonzero(half == side)
+        if len(np.unique(y[mine])) < 2 or not y[rest].any():
+            return model  # too few rows to learn where to cut
+        z[rest] = logits(joint([bags[k] for k in mine], y[mine], epochs), [bags[k] for k in rest])
+    return Model(model.weights, model.bias - best_cut(z[half < 2], y[half < 2]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learns from labelled rows; the caller leaves out what must be held out."""
-    few = chosen(labels.filter(f"doc_id is not null and {label} in (0, 1)").select("doc_id", label), label)
+    few = chosen(labels.filter(f"doc_id is not null and {label} in (0, 1)").select("doc_id", label).distinct(), label)
     # The sample's size bounds what is broadcast.
-    return train(examples(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", label]), label).collect())
+    return train(examples(one_text(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "doc_id", label), label).collect())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

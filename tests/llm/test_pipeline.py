@@ -1,6 +1,13 @@
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
 import pytest
+from test_mixing import fill
 
 import corpus_pipeline as pipeline
+from plumbline.llm import mixing, sharding
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,9 +42,51 @@ def test_stages_as_by_brute_force(spark, small):
     assert {r.doc_id for r in out3.collect()} == {i for i, r in kept2.items() if not leaks(r.text, items)[1]}
 
     out4 = pipeline.mixture(spark, out3, small)
-    assert out4.columns == docs.columns and {r.doc_id for r in out4.collect()} <= {r.doc_id for r in out3.collect()}
-    assert max(r[1] for r in out4.groupBy("doc_id").count().collect()) <= 3
-    assert pipeline.shards(spark, out4, small).count() == out4.count()
+    rows3 = out3.collect()
+    want = mixed([(r.doc_id, r.text, r.source) for r in rows3])
+    assert out4.columns == docs.columns and Counter(r.doc_id for r in out4.collect()) == +Counter(want)
+
+    out5 = pipeline.shards(spark, out4, small).collect()
+    total = sum(len((r.text or "").encode()) for r in out5)
+    assert Counter(r.doc_id for r in out5) == +Counter(want) and total < sharding.MAX_SHARD_BYTES and {r.shard for r in out5} == {""}
+
+
+def mixed(rows):
+    """{doc_id: times}: each source's documents by the MD5 of id and size, again and again up to its target."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by["~" if s is None else "=" + s].append((hashlib.md5(f"{i}:{size(t)}".encode()).hexdigest(), i, size(t)))
+    sizes = {s: sum(n for *_, n in v) for s, v in by.items()}
+    target = fill(sizes, {s: k % 3 + 1 for k, s in enumerate(sorted(by))}, sum(sizes.values()))
+    assert sum(sizes.values()) < mixing.SLOTS  # blocks of one word
+    out = {}
+    for s, v in by.items():
+        walk = sorted(v)
+        goal = round(target[s])
+        if target[s] >= mixing.FINE:
+            goal = min(slots(target, s, sum(sizes.values())), 3 * sizes[s])
+        for _, i, n in walk:
+            out[i] = 0
+        at, taken = 0, Counter()
+        while at < goal:
+            for _, i, n in walk:
+                taken[i] += max(0, min(n, goal - at))
+                at += n
+        for _, i, n in walk:
+            out[i] = math.floor(taken[i] / n + 0.5) if n else 0
+    return out
+
+
+def slots(target, source, words):
+    """How many of the golden-ratio points fall to a source, at most three passes."""
+    goal = {s: math.floor(t + 0.5) for s, t in sorted(target.items())}
+    edge, before, total = {}, 0, sum(goal.values())
+    for s, n in goal.items():
+        edge[s] = before / total, (before + n) / total
+        before += n
+    lo, hi = edge[source]
+    return sum(lo <= math.modf((k + 0.5) * mixing.GOLDEN)[0] < hi for k in range(words))
 
 
 def test_run(spark, small):

@@ -29,6 +29,17 @@ def test_rows_with_one_id_go_to_pages(spark, docs):
     assert len(got) == 21 and max(by.values()) <= 1000
 
 
+def test_rows_without_an_id_are_not_one_task(spark, docs):
+    """A third of all rows has no id: pages are filled within each partition of them."""
+    got = shard(docs([(None, "x" * 10)] * 200 + [(k, "y" * 10) for k in range(400)]), 500).collect()
+    by = defaultdict(int)
+    for r in got:
+        by[r.shard] += r.doc_bytes
+        assert r.shard_bytes <= 500
+    assert len(got) == 600 and max(by.values()) <= 500 and all(by[r.shard] == r.shard_bytes for r in got)
+    assert len({r.shard.split(".")[1] for r in got if r.doc_id is None}) > 1
+
+
 def test_empty_and_single(spark, docs):
     assert shard(docs([])).count() == 0
     assert shard(docs([(1, None)])).first().shard == ""
