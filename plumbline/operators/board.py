@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import cut
+
 REQUIRED_RUNS = 3
 
 
@@ -34,8 +36,16 @@ def robustness(campaigns: DataFrame, group: list[str], variant: str, required: t
 
 
 def rank(entries: DataFrame, board: list[str], order: list[Column]) -> DataFrame:
-    """position in each board; the order must end with a unique key."""
-    return entries.withColumn("position", F.row_number().over(Window.partitionBy(*board).orderBy(*order)))
+    """position in each board; the order must end with a unique key.
+
+    Entries are dealt by ranges of the order, so that a board is not one task: a position is the place in
+    the range after the numbers of the ranges before.
+    """
+    dealt = cut(entries.repartitionByRange(*board, *order).withColumn("_part", F.spark_partition_id()))
+    ranges = dealt.groupBy(*board, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = ranges.withColumn("_before", F.sum("_n").over(Window.partitionBy(*board).orderBy("_part")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*board, "_part").orderBy(*order))
+    return dealt.withColumn("_place", place).join(F.broadcast(before), [*board, "_part"]).withColumn("position", (F.col("_place") + F.col("_before")).cast("int")).select(*entries.columns, "position")
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

@@ -27,6 +27,32 @@ def exact_count(df: DataFrame, name: str, keys: list[str], want: int) -> DataFra
     return g.select(F.lit(name).alias("broken_rule"), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).alias("subject"))
 
 
+def thresholds(rules: DataFrame, want: float, name: str = "ssim threshold") -> DataFrame:
+    """Visual rules (id, method, min_ssim) whose threshold isn't the one all must have."""
+    return where(rules.filter("method = 'visual_ssim'"), name, ~F.col("min_ssim").eqNullSafe(F.lit(want)), F.col("id"))
+
+
+def members(df: DataFrame, name: str, key: str, member: str, want: list | None = None) -> DataFrame:
+    """Keys whose members aren't just the wanted ones, each once or more; without any wanted, the whole
+    numbers from 1 to as many as the key has rows (a prefix, each once)."""
+    g = df.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    right = F.array(*(F.lit(x) for x in sorted(want))) if want is not None else F.sequence(F.lit(1).cast("long"), "_n")
+    have = F.col("_m") if want is not None else F.transform("_m", lambda x: x.cast("long"))
+    return where(g, name, have != right, F.col(key))
+
+
+def recorded_means(df: DataFrame, name: str, key: str, value: str, recorded: DataFrame, digits: int = 4) -> DataFrame:
+    """Keys whose mean over the rows isn't what recorded (key, mean) says, or that one side lacks."""
+    g = df.groupBy(key).agg(F.round(F.avg(value), digits).alias("_mean"))
+    return same_values(g.select(key, F.col("_mean").alias("mean")), recorded.select(key, "mean"), name, key, "mean")
+
+
+def pairwise(df: DataFrame, name: str, group: str, item: str, want: int) -> DataFrame:
+    """Groups that don't have `want` different items, hence not all their want (want - 1) / 2 pairs."""
+    g = df.groupBy(group).agg(F.count_distinct(item).alias("_n"))
+    return where(g, name, F.col("_n") != want, F.col(group))
+
+
 def references(df: DataFrame, name: str, key: str, target: DataFrame, target_key: str) -> DataFrame:
     """Keys that the target lacks; nulls refer to nothing."""
     t = target.select(F.col(target_key).alias("_t")).distinct()

@@ -34,18 +34,17 @@ def accepted_head(index: DataFrame, state: DataFrame) -> DataFrame:
 def matrix_problems(pairs: DataFrame, recorded_pairs: DataFrame, recorded_pages: DataFrame, runs: int, pages: int, least: float) -> DataFrame:
     """pairs: run_a, run_b, page, ssim. Rows (check, found) of what doesn't hold: complete ordered
     pairs, recorded minima equal those recomputed, nothing below the least score."""
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    differ = ~F.col("m").eqNullSafe(F.col("r"))
+    rows = pairs.agg(count(F.col("run_a") >= F.col("run_b")).alias("disordered pairs"), count(F.col("ssim") < least).alias("below threshold"))
     by_pair = pairs.groupBy("run_a", "run_b").agg(F.min("ssim").alias("m"), F.count(F.lit(1)).alias("n"))
-    by_page = pairs.groupBy("page").agg(F.min("ssim").alias("m"))
-    differ = lambda a, b, keys: a.join(b.withColumnRenamed("minimum_ssim", "r"), keys, "full_outer").filter(~F.col("m").eqNullSafe(F.col("r"))).count()
-    checks = [
-        ("disordered pairs", pairs.filter("run_a >= run_b").count()),
-        ("missing pairs", runs * (runs - 1) // 2 - by_pair.count()),
-        ("incomplete pairs", by_pair.filter(F.col("n") != pages).count()),
-        ("pair minima differ", differ(by_pair, recorded_pairs, ["run_a", "run_b"])),
-        ("page minima differ", differ(by_page, recorded_pages, ["page"])),
-        ("below threshold", pairs.filter(F.col("ssim") < least).count()),
-    ]
-    return pairs.sparkSession.createDataFrame([c for c in checks if c[1]], "check string, found long")
+    by_pair = by_pair.join(recorded_pairs.withColumnRenamed("minimum_ssim", "r"), ["run_a", "run_b"], "full_outer")
+    by_pair = by_pair.agg((runs * (runs - 1) // 2 - F.count("n")).alias("missing pairs"), count(F.col("n") != pages).alias("incomplete pairs"), count(differ).alias("pair minima differ"))
+    by_page = pairs.groupBy("page").agg(F.min("ssim").alias("m")).join(recorded_pages.withColumnRenamed("minimum_ssim", "r"), ["page"], "full_outer")
+    by_page = by_page.agg(count(differ).alias("page minima differ"))
+    every = rows.crossJoin(by_pair).crossJoin(by_page)  # one row each
+    found = F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("found")) for c in every.columns)))
+    return every.select(found.alias("x")).select("x.*").filter("found <> 0")
 
 
 def constraint(df: DataFrame, name: str, broken, key) -> DataFrame:

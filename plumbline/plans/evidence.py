@@ -12,13 +12,8 @@ from plumbline.sources import load
 
 def pair_matrix(spark, sf):
     """All pairs of vectors of a label; least cosine for each first vector, label, and in all."""
-    e = load(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("norm", F.sqrt(dot("v", "v")))
-    a, b = (e.select(*(F.col(c).alias(f"{c}_{k}") for c in e.columns)) for k in "ab")
-    p = a.join(b, (F.col("label_a") == F.col("label_b")) & (F.col("vec_id_a") < F.col("vec_id_b")))
-    p = p.select(F.col("label_a").alias("label"), F.col("vec_id_a").alias("run_a"), (dot("v_a", "v_b") / (F.col("norm_a") * F.col("norm_b"))).alias("score"))
-    return E.pair_minima(p, [["label", "run_a"], ["label"], []], "score")
+    rows = E.cosine_minima(load(spark, sf, "embeddings"), "label", "vec_id", "embedding")
+    return E.pair_minima(rows, [["label", "run_a"], ["label"], []], "minimum", pairs="pairs")
 
 
 PAIR_MATRIX = """
@@ -146,7 +141,7 @@ select p_partkey from part where p_partkey not in (select node from r)"""
 def tree_paths(spark, sf):
     """Path, depth and descendants in the part tree (parent = key / 4, key 0 is the root)."""
     p = load(spark, sf, "part").select("p_partkey")
-    up = F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.floor(F.col("p_partkey") / F.pow(F.lit(4.0), i)).cast("long")), lambda x: x > 0), lambda x: x)
+    up = F.filter(F.array(*(F.shiftrightunsigned(F.col("p_partkey").cast("long"), 2 * k) for k in range(32))), lambda x: x > 0)
     t = p.withColumn("up", up)
     below = t.select(F.explode(F.array_union(F.col("up"), F.array(F.lit(0).cast("long")))).alias("a"), "p_partkey").filter("a <> p_partkey").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     z = Window.partitionBy(F.expr("p_partkey div 4"), F.col("p_partkey") == 0).orderBy("p_partkey")
@@ -195,20 +190,6 @@ def cohort_id(spark, sf):
 COHORT = """select o_orderkey, 'sha256:' || sha256('{"benchmark":"' || o_orderpriority || '","model":"' || o_custkey || '","status":"' || o_orderstatus || '","tier":"3"}') as cohort from orders"""
 
 
-def mutation_matrix(spark, sf):
-    """Every rule (part) passes its positive variant and fails the one with a single fault."""
-    p = load(spark, sf, "part").select("p_partkey", "p_size", F.element_at(F.array(*map(F.lit, ("decrement", "replace", "remove", "none"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("operator"))
-    v = p.select("p_partkey", "operator", "p_size", F.explode(F.array(F.lit("positive"), F.lit("negative"))).alias("variant"))
-    fault = F.col("variant") == "negative"
-    got = F.when(fault & (F.col("operator") == "decrement"), F.col("p_size") - 1).when(fault & (F.col("operator") == "replace"), F.lit(-1)).when(fault & (F.col("operator") == "remove"), F.lit(None)).otherwise(F.col("p_size"))
-    passed = F.coalesce(got == F.col("p_size"), F.lit(False))
-    g = v.groupBy("p_partkey", "operator").agg(F.bool_and(F.when(~fault, passed)).alias("positive_passes"), F.bool_and(F.when(fault, ~passed)).alias("killed"))
-    return g.withColumn("ok", F.col("positive_passes") & F.col("killed"))
-
-
-MUTATION = """
-select p_partkey, ['decrement', 'replace', 'remove', 'none'][p_partkey % 4 + 1] as operator, true as positive_passes, p_partkey % 4 <> 3 as killed, p_partkey % 4 <> 3 as ok from part"""
-
 QUERIES = {
     "pair_matrix": (pair_matrix, PAIR_MATRIX),
     "matrix_completeness": (matrix_completeness, COMPLETENESS),
@@ -224,5 +205,4 @@ QUERIES = {
     "dup_detection": (dup_detection, DUP),
     "ordered_digest": (ordered_digest, ORDERED_DIGEST),
     "cohort_id": (cohort_id, COHORT),
-    "mutation_matrix": (mutation_matrix, MUTATION),
 }

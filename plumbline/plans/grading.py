@@ -6,6 +6,9 @@ shape; open ones are placeholders), discount = how far a rendering is from its r
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import api
@@ -150,4 +153,64 @@ FLAGS = f"""with {FACTS}, k(id, rule_id, disposition) as (values ('notes', 'note
  ('raster 2', 'raster', 'zero_affected_slides'), ('fonts', 'font', 'zero_slide'))
 select d as deck_id, id, s as slide, rule_id, disposition, array_to_string(affected, ',') as affected, array_to_string(list_filter(affected, lambda x: x <= 5), ',') as tier_affected, fault as detail from f join k using (id)"""
 
-QUERIES = {"grade_items": (grade_items, ITEMS), "grade_scores": (grade_scores, SCORES), "grade_flags": (grade_flags, FLAGS)}
+KINDS = ("picture", "table", "chart", "connector", "group", "shape", "field")
+
+
+def fault_rules():
+    """A rule for each fault, by the fault's name."""
+    import hashlib
+
+    sha = "sha256:" + hashlib.sha256(b"1-URGENT").hexdigest()
+    looks = {"method": "visual_ssim", "min_ssim": 0.9999}
+    return [
+        *(rule(f"decrement-{k}-count", 1, method="object_compare", selector=k, min_count=1) for k in KINDS),
+        rule("replace-required-text", 1, method="text_match", contains="p"),
+        rule("remove-required-placeholder", 1, method="layout_check", selector="placeholder"),
+        rule("substitute-non-bundled-font", 1, method="anti_cheat", selector="font_policy"),
+        rule("clear-layout-reference", 1, method="layout_check", selector="master_ref"),
+        rule("lower-one-slide-ssim", 1, **looks),
+        rule("lower-ssim-below-threshold", **looks),
+        rule("replace-approved-asset-hash", method="hash_match", asset_hashes={"a": sha}),
+        rule("replace-one-approved-asset-hash", method="hash_match", asset_hashes={"a": sha}),
+        rule("change-exact-slide-count", method="object_compare", selector="slide_count", exact_count=4),
+        rule("decrement-master-count", method="layout_check", selector="master_count"),
+        rule("decrement-layout-count", method="layout_check", selector="layout_count"),
+        rule("add-speaker-notes-relationship", method="anti_cheat", selector="no_notes"),
+    ]
+
+
+def mutation_matrix(spark, sf):
+    """Every fault in every deck: how many decks pass its rule, and how many of these fail it with the
+    fault in them. All variants of all decks are graded in one plan."""
+    t = tables(spark, sf)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("path")[0] % len(KINDS) + 1).cast("int"))
+    t["nodes"] = t["nodes"].withColumn("kind", kind).withColumn("field_types", F.when(F.col("kind") == "field", F.array(F.lit("slidenum"))).otherwise(F.array().cast("array<string>")))
+    table_of = {"replace-approved-asset-hash": "media", "replace-one-approved-asset-hash": "media", "clear-layout-reference": "slides", "change-exact-slide-count": "slides", "lower-ssim-below-threshold": "visual", "lower-one-slide-ssim": "visual"}
+    table_of |= {"decrement-master-count": "names", "decrement-layout-count": "names", "add-speaker-notes-relationship": "notes"} | dict.fromkeys(C.FAULTS, "nodes")
+    faults = C.FAULTS | C.TABLE_FAULTS
+    tagged = lambda df, v: df.withColumn("deck_id", F.concat_ws("|", F.col("deck_id").cast("string"), F.lit(v)))
+    variants = {name: reduce(DataFrame.unionByName, [tagged(faults[v](df) if table_of.get(v) == name else df, v) for v in ("", *table_of)]) for name, df in t.items()}
+    rules = spark.createDataFrame(fault_rules(), ", ".join(f"{c} {kind}" for c, kind in C.RULE.items()))
+    facts = C.slide_facts(variants["nodes"], variants["slides"], variants["media"], variants["visual"])
+    results = C.evaluate_slides(rules, facts, variants["decks"]).unionByName(C.evaluate_decks(rules, facts, variants["decks"], variants["names"], variants["notes"], variants["visual"], variants["media"]))
+    variant = F.element_at(F.split("deck_id", r"\|"), -1)
+    results = results.filter((variant == "") | (variant == F.col("id"))).select("id", F.element_at(F.split("deck_id", r"\|"), 1).alias("deck"), (variant == "").alias("base"), "passed")
+    each = results.groupBy("id", "deck").agg(F.bool_and(F.when(F.col("base"), F.col("passed"))).alias("good"), F.bool_and(F.when(~F.col("base"), F.col("passed"))).alias("bad"))
+    return each.groupBy(F.col("id").alias("fault")).agg(F.count(F.lit(1)).alias("decks"), F.count_if("good").alias("positives"), F.count_if(F.col("good") & ~F.col("bad")).alias("killed"))
+
+
+MUTATIONS = f"""
+with {FACTS},
+c as (select d, {", ".join(f"count(*) filter (where l_partkey % {len(KINDS)} = {k}) as c_{x}" for k, x in enumerate(KINDS))}, count(*) as total, count(*) filter (where l_linestatus = 'O') as holders from n where s = 1 group by 1),
+e as (select df.*, c.* exclude (d), sf.d is not null as first, sf.comic as comic_1, sf.bare, v.ssim from df left join c on c.d = df.d left join sf on sf.d = df.d and sf.s = 1 left join v on v.d = df.d and v.s = 1),
+m(fault, good, killed) as ({" union all ".join(f"select 'decrement-{x}-count', coalesce(c_{x}, 0) >= 1, c_{x} = 1 from e" for x in KINDS if x != "shape")}
+ union all select 'decrement-shape-count', coalesce(total, 0) >= 1, total = 1 and c_shape = 1 from e
+ union all select 'replace-required-text', first, true from e union all select 'remove-required-placeholder', coalesce(holders, 0) >= 1, true from e
+ union all select 'substitute-non-bundled-font', first and not comic_1, true from e union all select 'clear-layout-reference', first and not bare, true from e
+ union all select 'lower-one-slide-ssim', first and coalesce(ssim, 0) >= 0.9999, true from e union all select 'lower-ssim-below-threshold', coalesce(least_ssim, 0) >= 0.9999, true from e
+ union all select 'replace-approved-asset-hash', coalesce(media, '') = '1-URGENT', true from e union all select 'replace-one-approved-asset-hash', coalesce(media, '') = '1-URGENT', false from e
+ union all select 'change-exact-slide-count', slides = 4, first from e union all select 'decrement-master-count', status <> 'P', true from e union all select 'decrement-layout-count', true, true from e
+ union all select 'add-speaker-notes-relationship', not noted, slides > 0 from e)
+select fault, count(*) as decks, count(*) filter (where good) as positives, count(*) filter (where good and killed) as killed from m group by 1"""
+
+QUERIES = {"grade_items": (grade_items, ITEMS), "grade_scores": (grade_scores, SCORES), "grade_flags": (grade_flags, FLAGS), "mutation_matrix": (mutation_matrix, MUTATIONS)}

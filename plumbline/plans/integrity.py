@@ -43,4 +43,28 @@ PROJECTION = """
 with l as (select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey % 997 = 0), b as (select * from l union all select l_orderkey, l_linenumber + 10, l_partkey from l)
 select 'projection' as broken_rule, '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}' as subject from b"""
 
-QUERIES = {"integrity_violations": (integrity_violations, INTEGRITY), "projection_equality": (projection_equality, PROJECTION)}
+def corpus_constraints(spark, sf):
+    """Constraints of a rule corpus: one threshold for all visual rules (order = rule), slides that are a
+    prefix (lines of an order), all variants of a part, authors of a customer, and means of suppliers
+    as recorded, where every tenth was recorded wrongly."""
+    o, l = load(spark, sf, "orders"), load(spark, sf, "lineitem")  # noqa: E741
+    rules = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "visual_ssim").otherwise("text_match").alias("method"), F.when(F.col("o_orderkey") % 1000 == 7, 0.99).when(F.col("o_orderkey") % 1000 != 8, 0.9999).alias("min_ssim"))
+    means = l.groupBy("l_suppkey").agg(F.round(F.avg("l_quantity"), 2).alias("mean")).select("l_suppkey", (F.col("mean") + F.when(F.col("l_suppkey") % 10 == 3, 0.5).otherwise(0.0)).alias("mean"))
+    return I.violations(
+        I.thresholds(rules, 0.9999),
+        I.members(l, "slides of a tier", "l_orderkey", "l_linenumber"),
+        I.members(l, "variants of a fixture", "l_partkey", "l_returnflag", ["A", "N", "R"]),
+        I.pairwise(o, "authors", "o_custkey", "o_orderpriority", 3),
+        I.recorded_means(l, "recorded mean", "l_suppkey", "l_quantity", means, 2),
+    )
+
+
+CORPUS = """
+with m as (select l_suppkey, round(avg(l_quantity), 2) as a from lineitem group by 1)
+select 'ssim threshold' as broken_rule, o_orderkey::varchar as subject from orders where o_orderstatus = 'F' and o_orderkey % 1000 in (7, 8)
+union all select 'slides of a tier', l_orderkey::varchar from lineitem group by l_orderkey having list_sort(list(distinct l_linenumber)) <> range(1, count(*) + 1)
+union all select 'variants of a fixture', l_partkey::varchar from lineitem group by l_partkey having count(distinct l_returnflag) <> 3
+union all select 'authors', o_custkey::varchar from orders group by o_custkey having count(distinct o_orderpriority) <> 3
+union all select 'recorded mean', l_suppkey::varchar from m where l_suppkey % 10 = 3"""
+
+QUERIES = {"integrity_violations": (integrity_violations, INTEGRITY), "projection_equality": (projection_equality, PROJECTION), "corpus_constraints": (corpus_constraints, CORPUS)}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import tarfile
 
 import pandas as pd
@@ -47,53 +46,6 @@ def sections(df: DataFrame, text: str, key: list[str]) -> DataFrame:
     return s.select(*key, F.regexp_extract("s", r"^### SLIDE (\d+):", 1).cast("int").alias("slide"), F.regexp_extract("s", r"^### SLIDE \d+:[ \t]*([^\n]*)", 1).alias("title"), strip_unicode(F.regexp_replace("s", r"^[^\n]*\n?", "")).alias("body"))
 
 
-def units(df: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """Markdown as requirement units: line_start, line_end, kind, statement. One document at a time.
-
-    Headings give context, fenced blocks and paragraphs are one unit, list items and table rows one
-    each (rules of tables are skipped); a paragraph that ends in a colon labels the list below it.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in df.select(*key).schema}
-
-    def split(value: str):
-        out, lines, k, label = [], (value or "").split("\n"), 0, ""
-        while k < len(lines):
-            line = lines[k]
-            if not line.strip():
-                k += 1
-            elif line.lstrip().startswith("```"):
-                end = next((j for j in range(k + 1, len(lines)) if lines[j].lstrip().startswith("```")), len(lines) - 1)
-                out.append((k + 1, end + 1, "fence", "\n".join(lines[k : end + 1])))
-                k = end + 1
-            elif line.startswith("#"):
-                label = ""
-                out.append((k + 1, k + 1, "heading", line.lstrip("#").strip()))
-                k += 1
-            elif line.lstrip().startswith("|"):
-                if not re.fullmatch(r"[\s|:\-]+", line):
-                    out.append((k + 1, k + 1, "row", " | ".join(c.strip() for c in line.strip().strip("|").split("|"))))
-                k += 1
-            elif m := re.match(r"\s*(?:[-*+]|\d+[.)])\s+(.*)", line):
-                out.append((k + 1, k + 1, "item", f"{label} {m[1]}".strip()))
-                k += 1
-            else:
-                end = k
-                while end + 1 < len(lines) and lines[end + 1].strip() and not re.match(r"\s*(?:[-*+]\s|\d+[.)]\s|#|\||```)", lines[end + 1]):
-                    end += 1
-                text = " ".join(x.strip() for x in lines[k : end + 1])
-                label = text if text.endswith(":") else ""
-                out.append((k + 1, end + 1, "paragraph", text))
-                k = end + 1
-        return out
-
-    def read(batches):
-        for batch in batches:
-            rows = [(*k, *u) for *k, value in batch[[*key, text]].itertuples(index=False) for u in split(value)]
-            yield pd.DataFrame(rows, columns=[*key, "line_start", "line_end", "kind", "statement"])
-
-    return df.select(*key, text).mapInPandas(read, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", line_start int, line_end int, kind string, statement string")
-
-
 def tree(spark: SparkSession, path: str, exclude: str = r"(^|/)(\.git|__pycache__)(/|$)") -> DataFrame:
     """path (relative), length, sha256 of every file below, without excluded ones."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -82,9 +82,16 @@ def delivery_log(deliveries: DataFrame, send, key: str = "delivery_id", waits: t
     return deliveries.select(key, "url", "body").mapInPandas(run, f"{key} {kind}, attempt int, wait int, status int, outcome string")
 
 
-def check_output(changes: DataFrame) -> tuple[int, str]:
-    """(exit code, JSON) of a structural check; the changes are what differs, collected as output."""
+def check_output(changes: DataFrame, most: int = 10_000, path: str | None = None) -> tuple[int, str]:
+    """(exit code, JSON) of a structural check: how many changes there are and the first `most` of them.
+    Where there are more, all are written as JSON lines to `path`, which must be given then."""
     import json
 
-    rows = [r.asDict(recursive=True) for r in changes.orderBy(*changes.columns).collect()]
-    return int(bool(rows)), json.dumps({"status": "changed" if rows else "same", "changed_objects": len(rows), "changes": rows}, ensure_ascii=False, default=str)
+    total = changes.count()
+    if total > most:
+        if path is None:
+            raise ValueError(f"{total} changes: a path to write them to is needed")
+        json_report(changes, path)
+    rows = [r.asDict(recursive=True) for r in changes.orderBy(*changes.columns).limit(most).collect()]
+    out = {"status": "changed" if total else "same", "changed_objects": total, "changes": rows} | ({"all_changes": path} if total > most else {})
+    return int(bool(total)), json.dumps(out, ensure_ascii=False, default=str)

@@ -119,6 +119,73 @@ def state_machine(events: DataFrame, key: str) -> DataFrame:
     return e.groupBy("key").transformWithStateInPandas(Machine(), "key long, event_id long, status string, attempt int, accepted boolean", "append", "None")
 
 
+class Jobs(StatefulProcessor):
+    """Grading jobs that recover by themselves: a claim sets a timer, and a job that is still grading
+    when it rings has failed (after `most` attempts), waits for a lease that runs, goes back to
+    quarantine (its verdict was consumed) or back to the queue."""
+
+    def __init__(self, seconds: int, most: int):
+        self.millis, self.most = seconds * 1000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "status string, attempt int, due long, lease long, verdict string")
+
+    def get(self) -> tuple:
+        return self.state.get() if self.state.exists() else (None, 0, 0, 0, None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, attempt, due, lease, verdict = self.get()
+        out = []
+        for r in sorted((r for part in rows for r in part.itertuples(index=False)), key=lambda r: (r.ts, r.event_id)):
+            at = int(r.ts.timestamp() * 1000)
+            if r.kind == "claimed" and status == "queued":
+                status, attempt, due = "grading", attempt + 1, at + self.millis
+                self.handle.registerTimer(due)
+            elif r.kind == "leased":
+                verdict, lease = "leased", at + int(r.seconds * 1000)
+            elif r.kind == "consumed":
+                verdict = "consumed"
+            elif r.kind == "queued" and status in (None, "quarantining"):
+                status = "queued"
+            elif r.kind == "completed" and status == "grading":
+                self.handle.deleteTimer(due)
+                status = "completed"
+            else:
+                continue
+            out.append((key[0], r.event_id, status, attempt, r.kind))
+        self.state.update((status, attempt, due, lease, verdict))
+        yield pd.DataFrame(out, columns=["key", "event_id", "status", "attempt", "reason"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, attempt, due, lease, verdict = self.get()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if status != "grading" or now < due:
+            return
+        if attempt >= self.most:
+            status, reason = "failed", "grading_timeout"
+        elif verdict == "leased" and lease > now:
+            due, reason = lease, "lease runs"
+            self.handle.registerTimer(due)
+        elif verdict == "consumed":
+            status, verdict, reason = "quarantining", None, "stale"
+        else:
+            status, reason = "queued", "stale"
+        self.state.update((status, attempt, due, lease, verdict))
+        yield pd.DataFrame([(key[0], None, status, attempt, reason)], columns=["key", "event_id", "status", "attempt", "reason"]).astype({"event_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def recovering_jobs(events: DataFrame, key: str, seconds: int = 900, most: int = 3, late: str = "0 seconds") -> DataFrame:
+    """events: key (long), event_id, ts, kind (queued, claimed, leased, consumed, completed), seconds (of a
+    lease). One row for each event that changes its job, and for each timer that does (event_id null);
+    timers ring as the watermark passes them, `late` after the newest event."""
+    e = events.select(F.col(key).alias("key"), "event_id", "ts", "kind", "seconds").withWatermark("ts", late)
+    return e.groupBy("key").transformWithStateInPandas(Jobs(seconds, most), "key long, event_id long, status string, attempt int, reason string", "append", "EventTime")
+
+
 def retained(artifacts: DataFrame, now, expires: str = "expires_at") -> DataFrame:
     """Artifacts that haven't expired (hidden from their last moment on)."""
     return artifacts.filter(F.col(expires) > now)

@@ -185,8 +185,6 @@ def test_files(spark, tmp_path):
     md = spark.createDataFrame([("d", '<!-- {"v": 1} -->\n# Head\n\nIntro line\nmore:\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n```\ncode\n```\n### SLIDE 1: First\nbody\n### SLIDE 2: Second\nmore')], "k string, t string")
     assert json.loads(md.select(files.json_header("t")).first()[0]) == {"v": 1}
     assert [(r.slide, r.title, r.body) for r in files.sections(md, "t", ["k"]).collect()] == [(1, "First", "body"), (2, "Second", "more")]
-    u = [(r.kind, r.line_start, r.line_end, r.statement) for r in files.units(md, "t", ["k"]).collect()]
-    assert ("item", 6, 6, "Intro line more: one") in u and ("row", 11, 11, "1 | 2") in u and ("fence", 12, 14, "```\ncode\n```") in u
     strict = files.strict_json(spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "b": 2}',), ("{}",), ("x",)], "j string"), "j", "a int", ("a",))
     assert [r.problem for r in strict.collect()] == [None, "unknown b", "missing a", "not an object"]
     t = files.tree(spark, f"file:{tmp_path}")

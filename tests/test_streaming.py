@@ -56,6 +56,35 @@ def test_state_machine(spark, tmp_path):
     assert {(r.key, r.event_id): (r.status, r.accepted) for r in got.collect()} == {(1, 1): ("quarantining", True), (1, 2): ("queued", True), (1, 3): ("queued", False), (1, 4): ("grading", True), (1, 5): ("completed", True), (2, 1): (None, False)}
 
 
+def test_stale_jobs_recover_by_timers(spark, tmp_path):
+    """Each file is a micro-batch; the ticks of job 9 move the watermark on."""
+    from datetime import datetime as dt, timedelta
+
+    t = lambda s: dt(2024, 1, 1) + timedelta(seconds=s)
+    batches = [
+        [(k, 10 * k, t(0), "queued", 0.0) for k in (1, 2, 3, 4)] + [(k, 10 * k + 1, t(k), "claimed", 0.0) for k in (1, 2, 3, 4)] + [(2, 22, t(3), "consumed", 0.0), (3, 32, t(4), "leased", 1500.0), (4, 42, t(10), "completed", 0.0)],
+        [(9, 90, t(1000), "queued", 0.0)],
+        [(1, 13, t(1001), "claimed", 0.0), (9, 91, t(1600), "tick", 0.0)],
+        [(1, 14, t(1601), "claimed", 0.0), (9, 92, t(2000), "tick", 0.0)],
+        [(1, 15, t(2100), "claimed", 0.0), (9, 93, t(4000), "tick", 0.0)],
+        [(9, 94, t(5000), "tick", 0.0)],
+    ]
+    like = None
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k long, event_id long, ts timestamp, kind string, seconds double").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        like = df
+        q = E.recovering_jobs(E.stream(spark, str(tmp_path / "in"), like), "k").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.setdefault(r.key, []).append((r.event_id, r.status, r.attempt, r.reason))
+    stale = {k: [x for x in v if x[0] is None] for k, v in got.items()}
+    assert stale[2] == [(None, "quarantining", 1, "stale")] and stale[4] == [] and (42, "completed", 1, "completed") in got[4]
+    assert stale[3] == [(None, "grading", 1, "lease runs"), (None, "queued", 1, "stale")]
+    assert [x[1:] for x in stale[1]] == [("queued", 1, "stale"), ("queued", 2, "stale"), ("failed", 3, "grading_timeout")]
+
+
 def test_admission_and_retention(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-02 00:00:00")], "c int, t string").withColumn("t", F.to_timestamp("t"))
     w = spark.sql("select 1 as c, timestamp '2024-01-01' as opens_at, timestamp '2024-01-02' as closes_at")
