@@ -31,8 +31,8 @@ def cosine_minima(vectors: DataFrame, group: str, key: str, vector: str) -> Data
     import pandas as pd
 
     v = vectors.select(F.col(group).alias("_g"), F.col(key).cast("long").alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
-    n = v.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    v = v.join(n, F.col("_g").eqNullSafe(n["_g"])).drop(n["_g"]).withColumn("_b", F.pmod(F.xxhash64("_k"), "_blocks"))
+    n = v.groupBy(F.col("_g").alias("_same")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    v = v.join(n, F.col("_g").eqNullSafe(F.col("_same"))).withColumn("_b", F.pmod(F.xxhash64("_k"), "_blocks"))
     v = v.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     v = v.select("_g", F.least("_b", "_other").alias("_i"), F.greatest("_b", "_other").alias("_j"), (F.col("_b") <= F.col("_other")).alias("_first"), "_k", "_v")
 

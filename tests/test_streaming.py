@@ -81,8 +81,8 @@ def test_stale_jobs_recover_by_timers(spark, tmp_path):
         got.setdefault(r.key, []).append((r.event_id, r.status, r.attempt, r.reason))
     stale = {k: [x for x in v if x[0] is None] for k, v in got.items()}
     assert stale[2] == [(None, "quarantining", 1, "stale")] and stale[4] == [] and (42, "completed", 1, "completed") in got[4]
-    assert stale[3] == [(None, "grading", 1, "lease runs"), (None, "queued", 1, "stale")]
-    assert [x[1:] for x in stale[1]] == [("queued", 1, "stale"), ("queued", 2, "stale"), ("failed", 3, "grading_timeout")]
+    assert sorted(x[1:] for x in stale[3]) == [("grading", 1, "lease runs"), ("queued", 1, "stale")]
+    assert sorted((x[1:] for x in stale[1]), key=lambda x: x[1]) == [("queued", 1, "stale"), ("queued", 2, "stale"), ("failed", 3, "grading_timeout")]
 
 
 def test_admission_and_retention(spark):
