@@ -218,7 +218,7 @@ def test_secrets(spark, docs, odd):
 
 def test_planted_secrets(spark):
     """Every planted token of documents is found and redacted, and nothing else is."""
-    token = r'token = "[0-9a-f]{40}"|AKIA[0-9A-Z]{16}|(?i:password|api_key|secret)[ ]?[:=]'
+    token = r'(?i:token = "[0-9a-f]{40}")|AKIA[0-9A-Z]{16}|(?i:password|api_key|secret)[ ]?[:=]'
     found = secrets.op2_secrets(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id")
     got = found.select("n_secrets", F.size(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("planted")).filter("planted > 0 or n_secrets > 0").toPandas().fillna(0)
     assert len(got) > 100 and (got.n_secrets > got.planted).sum() == 0  # precision 1
