@@ -31,14 +31,14 @@ from pyspark.sql import types as T
 from plumbline.llm.common import WORD_BYTES, crc_mod_column, documents, slices, text_bytes
 from plumbline.llm.ngrams import gram_hashes
 
-BITS, LENGTHS, DIM = 16, (3, 4, 5), 16
+BITS, LENGTHS, DIM = 16, (3, 4, 5), 8
 BUCKETS = 1 << BITS
 #: Labelled rows to learn from, about, by label.
 SAMPLE = (3000, 1500)
 STRETCHES = 2
-EPOCHS, BATCH, RATE, SHRINK = 20, 64, 0.01, 0.3
+EPOCHS, BATCH, RATE, SHRINK = 12, 64, 0.02, 0.3
 #: Texts that must share a bucket for it to be learned, and what is added to its frequency.
-LEAST_TEXTS, FLOOR = 2, 1e-5
+LEAST_TEXTS, FLOOR = 3, 1e-5
 SLICE = 1 << 20
 
 
@@ -116,26 +116,23 @@ def joint(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int,
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     embed, soft, bias = params
     balance = np.sqrt(len(y) / 2 / np.maximum(1, np.bincount(y, minlength=2))).astype(np.float32)
-    gradient = np.zeros_like(embed)
     steps = 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             at = order[k : k + BATCH]
-            used, column = np.unique(np.concatenate([rows[i][0] for i in at]), return_inverse=True)
-            x = np.zeros((len(at), len(used)), np.float32)
-            x[np.repeat(np.arange(len(at)), [len(rows[i][0]) for i in at]), column] = np.concatenate([rows[i][1] for i in at])
-            mean = x @ embed[used]
+            x = np.zeros((len(at), len(held)), np.float32)
+            for j, i in enumerate(at):
+                x[j, rows[i][0]] = rows[i][1]
+            mean = x @ embed
             z = mean @ soft + bias
             z = np.exp(z - z.max(1, keepdims=True))
             grad = z / z.sum(1, keepdims=True)
             grad[np.arange(len(at)), y[at]] -= 1
             grad *= balance[y[at]][:, None] / len(at)
-            gradient[:] = 0
-            gradient[used] = x.T @ (grad @ soft.T)
             steps += 1
-            for p, m, s, g in zip(params, first, second, (gradient, mean.T @ grad, grad.sum(0)), strict=True):
+            for p, m, s, g in zip(params, first, second, (x.T @ (grad @ soft.T), mean.T @ grad, grad.sum(0)), strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 p -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(s / (1 - 0.999**steps)) + 1e-8)
