@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import boards, diffs, evidence, grading, integrity, rules, scoring, services, texts
+from plumbline.plans import boards, diffs, evidence, grading, integrity, projections, rules, scoring, services, texts
 
-MODULES = (scoring, grading, rules, diffs, boards, evidence, integrity, texts, services)
+MODULES = (scoring, grading, projections, rules, diffs, boards, evidence, integrity, texts, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

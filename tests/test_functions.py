@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,18 @@ def test_text_functions(spark):
     assert one(spark, T.html_escape(c), t="<a & 'b'>") == "&lt;a &amp; &#x27;b&#x27;&gt;"
     assert one(spark, T.strip_unicode(c), t=" x ") == "x"
     assert one(spark, T.is_uuid(c), t="00000000-0000-0000-0000-00000000000g") is False
+
+
+def test_projections(spark):
+    import random
+
+    from plumbline.operators import projection as P
+
+    docs = spark.createDataFrame([(1, '{"b": 1, "reviews": [2], "a": "é"}'), (2, "[1]"), (3, None), (4, "x")], "k long, t string")
+    got = {r.k: r.d for r in docs.select("k", P.review_digest(F.col("t"), "d v1", "doc", "reviews").alias("d")).collect()}
+    want = hashlib.sha256('{"doc":{"a":"é","b":1},"domain":"d v1"}'.encode()).hexdigest()
+    assert got == {1: f"sha256:{want}", 2: None, 3: None, 4: None}
+    drawn = spark.createDataFrame([(5,), (None,)], "s int").select(P.jitter(F.col("s"), 2.0, 0.5).alias("x")).collect()
+    assert [r.x for r in drawn] == [random.Random(5).uniform(-2, 2) + 0.5, None]
+    frozen = P.freeze(spark.createDataFrame([('{"l": [{"name": "n", "f": "1"}, {"name": "n", "f": "2"}]}',), ('{"l": [{"name": "n", "f": "1"}]}',), ("x",)], "t string"), "t", {}, {"one": ("$.l", "n", "f")})
+    assert [(r.one, r.problem) for r in frozen.collect()] == [(None, "one"), ("1", None), (None, "one")]
