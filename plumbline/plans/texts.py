@@ -130,10 +130,17 @@ select vec_id, round((2 * ma * mb + 0.0001) * (2 * ab + 0.0009) / ((ma * ma + mb
 
 
 def ssim_window(spark, sf):
-    """SSIM with 7 x 7 windows over 8 x 8 rasters (Arrow batches; no SQL)."""
+    """SSIM with 7 x 7 windows over 8 x 8 rasters (Arrow batches)."""
     return pairs(spark, sf).select("vec_id", F.round(A.ssim_of(8, 1.0)("embedding", "other"), 6).alias("ssim"))
 
 
+SSIM_WINDOW = """
+with p as (select a.vec_id, generate_subscripts(a.embedding, 1) - 1 as i, unnest(a.embedding)::double as x, unnest(b.embedding)::double as y from embeddings a join embeddings b on b.vec_id = a.vec_id - 1),
+w as (select vec_id, dx, dy, avg(x) as ma, avg(y) as mb, var_samp(x) as va, var_samp(y) as vb, covar_samp(x, y) as ab from p, (values (0, 0), (0, 1), (1, 0), (1, 1)) as t(dx, dy)
+ where i % 8 between dx and dx + 6 and i // 8 between dy and dy + 6 group by all)
+select vec_id, round(avg((2 * ma * mb + 0.0001) * (2 * ab + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009))), 6) as ssim from w group by vec_id"""
+
+
 def format_checks(spark, sf):
     """Hashes, timestamps and exact ratios as texts, with some that are malformed."""
     o = load(spark, sf, "orders")
@@ -155,6 +162,6 @@ QUERIES = {
     "paraphrase": (paraphrase, PARAPHRASE),
     "vector_exact": (vector_exact, VECTOR_EXACT),
     "ssim_global": (ssim_global, SSIM_GLOBAL),
-    "ssim_window": (ssim_window, None),
+    "ssim_window": (ssim_window, SSIM_WINDOW),
     "format_checks": (format_checks, FORMATS),
 }

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import html_escape
 
 
+def report(scores: DataFrame, items: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+    """One JSON report for each key: its score, items by id, flags by rule; what is null is left out."""
+    sorted_list = lambda df, by: F.array_sort(F.collect_list(F.struct(*by, *(c for c in df.columns if c not in (*by, *keys)))))
+    i = items.groupBy(*keys).agg(sorted_list(items, ["id"]).alias("items"))
+    f = flags.groupBy(*keys).agg(sorted_list(flags, ["rule_id", "disposition"]).alias("anti_cheat_flags"))
+    j = scores.join(i, keys, "left").join(f, keys, "left")
+    return j.select(*keys, F.to_json(F.struct(*j.columns)).alias("report"))
+
+
+def manifest(df: DataFrame, path: str, content: str) -> DataFrame:
+    """path, size and SHA-256 of contents, in byte order of the paths: what a bundle's manifest lists."""
+    body = F.col(content).cast("binary")
+    return df.select(path, F.octet_length(body).alias("size"), F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("sha256")).orderBy(F.col(path))
+
+
 def json_report(df: DataFrame, path: str) -> None:
     """One JSON document a line."""
     df.write.mode("errorifexists").json(path)
@@ -60,10 +78,16 @@ def snapshots(stream: DataFrame, path: str, checkpoint: str, board):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def delivery_log(deliveries: DataFrame, send, key: str = "delivery_id", waits: tuple[int, ...] = (0, 1, 4, 16)) -> DataFrame:
+def signature(secret: str, timestamp: int, body: str) -> str:
+    """HMAC-SHA256 of "timestamp.body" as a header value."""
+    return f"t={timestamp},v1={hmac.new(secret.encode(), f'{timestamp}.{body}'.encode(), hashlib.sha256).hexdigest()}"
+
+
+def delivery_log(deliveries: DataFrame, send, key: str = "delivery_id", waits: tuple[int, ...] = (0, 1, 4, 16), secret: str | None = None, clock: int = 0) -> DataFrame:
     """Attempts of deliveries (key, url, body): send(url, body) -> status, until one is below 500.
 
-    Rows: key, attempt, wait, status, outcome. The caller's send decides about the network.
+    With a secret send(url, body, signature) is called, signed for the attempt's time: clock and the
+    waits so far. Rows: key, attempt, wait, status, outcome. The caller's send decides about the network.
     """
     import pandas as pd
 
@@ -72,7 +96,7 @@ def delivery_log(deliveries: DataFrame, send, key: str = "delivery_id", waits: t
             rows = []
             for k, url, body in batch[[key, "url", "body"]].itertuples(index=False):
                 for n, wait in enumerate(waits, 1):
-                    status = send(url, body)
+                    status = send(url, body, signature(secret, clock + sum(waits[:n]), body)) if secret else send(url, body)
                     rows.append((k, n, wait, status, "delivered" if status < 300 else "rejected" if status < 500 else "failed"))
                     if status < 500:
                         break

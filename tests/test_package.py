@@ -221,5 +221,17 @@ def test_sinks(spark, tmp_path):
     log = sinks.delivery_log(spark.createDataFrame([(1, "u", "b"), (2, "down", "b")], "delivery_id long, url string, body string"), lambda url, body: 503 if url == "down" else 204)
     got = log.collect()
     assert [(r.delivery_id, r.attempt, r.outcome) for r in got] == [(1, 1, "delivered")] + [(2, n, "failed") for n in (1, 2, 3, 4)]
+    signed = sinks.delivery_log(spark.createDataFrame([(1, "u", "b")], "delivery_id long, url string, body string"), lambda url, body, sign: 204 if sign == sinks.signature("s", 111, "b") else 503, waits=(1, 10, 20), secret="s", clock=100)
+    assert [r.status for r in signed.collect()] == [503, 204]
+    many = spark.range(30).selectExpr("id as k", "id as v")
+    with pytest.raises(ValueError):
+        sinks.check_output(many, 10)
+    found = json.loads(sinks.check_output(many, 10, str(tmp_path / "changes"))[1])
+    assert found["changed_objects"] == 30 and len(found["changes"]) == 10 and spark.read.json(found["all_changes"]).count() == 30
+    listed = sinks.manifest(spark.createDataFrame([("b", "x"), ("a", "é")], "path string, body string"), "path", "body").collect()
+    assert [(r.path, r.size) for r in listed] == [("a", 2), ("b", 1)]
+    items = spark.createDataFrame([("d", "y", True), ("d", "x", None)], "deck_id string, id string, passed boolean")
+    text = sinks.report(spark.createDataFrame([("d", 0.5)], "deck_id string, fidelity double"), items, items.limit(0).select("deck_id", F.col("id").alias("rule_id"), F.col("id").alias("disposition")), ["deck_id"]).first().report
+    assert json.loads(text) == {"deck_id": "d", "fidelity": 0.5, "items": [{"id": "x"}, {"id": "y", "passed": True}]}
     assert sinks.check_output(runs.filter("false")) == (0, '{"status": "same", "changed_objects": 0, "changes": []}')
     assert sinks.check_output(runs.filter("id = 1"))[0] == 1
