@@ -44,6 +44,11 @@ PATTERNS = (
     ("jwt", re.compile(r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,})")),
     ("bare-token", re.compile(r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_=-])")),
 )
+#: What is in every text that a pattern can match (of the first and last: see possible()).
+LITERALS = {"assigned": ("pass", "pwd", "secret", "token", "cred", "key"), "aws-key": ("AKIA", "ASIA"), "github-token": ("gh",), "slack-token": ("xox",), "google-key": ("AIza",), "jwt": ("eyJ",)}
+#: Everything but what a bare token is made of to a blank, and the least length of one.
+TOKEN_BYTES = bytes(c if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for c in range(256))
+LEAST_TOKEN = 20
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: What follows a BEGIN line without an END line: header lines, base64 in lines (real or escaped), a short last line.
@@ -197,12 +202,20 @@ def private_keys(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def possible(text: str) -> list[tuple[str, re.Pattern]]:
+    """The patterns that can match a text, by what it must contain: most texts need none of them."""
+    folded = text.casefold()
+    has = {kind: any(x in (folded if kind == "assigned" else text) for x in literals) for kind, literals in LITERALS.items()}
+    has["bare-token"] = any(len(w) >= LEAST_TOKEN for w in text.encode(errors="replace").translate(TOKEN_BYTES).split())
+    return [(kind, pattern) for kind, pattern in PATTERNS if has[kind]]
+
+
 def candidates(text: str, path: str | None = "") -> list[tuple[int, int, str]]:
     """(start, end, kind), in order, without overlaps."""
-    keys = private_keys(text)
+    keys = private_keys(text) if "-----BEGIN " in text else []
     starts = [a for a, _ in keys]
     taken = [(a, b, "private-key") for a, b in keys]
-    for kind, pattern in PATTERNS:
+    for kind, pattern in possible(text):
         for m in pattern.finditer(text):
             a, b = m.span(1)
             if keys:  # a value that begins before a key ends where the key begins

@@ -216,6 +216,18 @@ def test_secrets(spark, docs, odd):
     assert secrets.scan(docs([]), model).count() == 0
 
 
+def test_the_gate_of_the_patterns_loses_nothing(monkeypatch):
+    import random
+
+    parts = ["pass", "PaSSword=", "paſſword: ", "toKen = ", "ſecret:", "credentıals=", "api", "_", "key", "=", ": ", "'", "AKIA", "ABCDEFGH", "IJKLMNOP", "ghp_", "x" * 20, "1", "xoxb-", "AIza", "eyJ", ".", " ", "\n", "é", "a1" * 9, "+/", "-----BEGIN PRIVATE KEY-----", "QUJD" * 9]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    gated = [secrets.candidates(t) for t in texts]
+    assert sum(map(bool, gated)) > 1000 and {k for found in gated for *_, k in found} >= {"assigned", "aws-key", "github-token", "bare-token", "private-key"}
+    monkeypatch.setattr(secrets, "possible", lambda text: secrets.PATTERNS)
+    assert [secrets.candidates(t) for t in texts] == gated
+
+
 def test_planted_secrets(spark):
     """Every planted token of documents is found and redacted, and nothing else is."""
     token = r'(?i:token = "[0-9a-f]{40}")|AKIA[0-9A-Z]{16}|(?i:password|api_key|secret)[ ]?[:=]'
