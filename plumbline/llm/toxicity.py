@@ -104,7 +104,7 @@ def joint(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int,
         texts[at] += 1
         often[at] += n / t
     held = np.flatnonzero(texts >= LEAST_TEXTS)  # the others have no embedding
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[held] = np.arange(len(held))
     scale = (1 / np.sqrt(often[held] / len(bags) + FLOOR)).astype(np.float32)
     rows = []
