@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, exact_dedup, jaccard, language, licenses, mixing, quality, secrets, sharding, toxicity
+from plumbline.llm import decontam, exact_dedup, jaccard, language, licenses, mixing, quality, search, secrets, sharding, spelling, toxicity, warc
 
 QUERIES = {
     "op1_decontam": (decontam.op1_decontam, decontam.SQL),
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_licenses": (licenses.op8_licenses, None),
     "op9_sharding": (sharding.op9_sharding, sharding.SQL),
     "op10_language": (language.op10_language, None),
+    "op11_warc": (warc.op11_warc, warc.SQL),
+    "op12_spelling": (spelling.op12_spelling, spelling.SQL),
+    "op13_search": (search.op13_search, search.SQL),
 }
 
 
