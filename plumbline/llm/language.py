@@ -4,15 +4,14 @@ A text is the square roots of its hashed byte 2- and 3-gram counts (A-Z lowered,
 ASCII punctuation as blanks), scaled to length 1. A softmax over families decides first. Within
 the family one linear support vector machine (squared hinge) for each pair of languages votes.
 
-Training reads about SAMPLE_ROWS texts in all, shared evenly by the languages and chosen by the
-hash of the id; of rows that repeat a doc_id that with the smallest hash of its text is learned from. Prediction reads whole texts. Texts that are null or have no letter are `und`
-with score 0. Without any labelled text every text is `und`. Repeated documents are separate rows,
+Training reads about SAMPLE_ROWS texts in all, shared evenly by the MOST_LANGS most frequent languages
+(rarer ones are not learned) and chosen by the hash of the id; of rows that repeat a doc_id that with the smallest hash of its text is learned from. Prediction reads whole texts. Texts that are null or have no letter
+(Unicode category L; numerals such as the fraction one half are none) are `und` with score 0. Without any labelled text every text is `und`. Repeated documents are separate rows,
 empty tables give no rows; other columns are passed on, those named like results are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -29,7 +28,8 @@ BITS, LENGTHS = 12, (2, 3)
 SAMPLE_ROWS = 2000
 SLICE = 1 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned at most: the most frequent ones.
+MOST_LANGS = 100
 #: Digits are no evidence of a language.
 TABLE = bytes(32 if 48 <= c <= 57 else w for c, w in enumerate(WORD_BYTES))
 #: Languages by family; any other language is a family of its own.
@@ -114,8 +114,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     from plumbline.llm.toxicity import one_text
 
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = known.groupBy("lang").count().collect()
-    each = max(10, rows // max(1, len(n)))
+    n = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    each = max(1, rows // max(1, len(n)))
     if not n:
         return train(np.zeros((0, (1 << BITS) + 1), np.float32), [])
     share = known.sparkSession.createDataFrame([(r[0], each / r[1]) for r in n], "lang string, _share double")
@@ -165,7 +165,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     seen = np.concatenate([[0], np.cumsum((np.frombuffer(TABLE, np.uint8)[part] >= 97) & (part < 128))])
     ascii_letters = seen[offsets[1:] - offsets[0]] - seen[offsets[:-1] - offsets[0]]
     for k in np.flatnonzero(ascii_letters == 0):
-        if not LETTER.search(column[int(k)].as_py() or ""):
+        if not any(map(str.isalpha, column[int(k)].as_py() or "")):
             langs[k], score[k] = UNKNOWN, 0.0
     return list(langs), score
 

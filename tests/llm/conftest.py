@@ -31,4 +31,4 @@ def prose():
 def odd(prose):
     """Rows with nulls, empty, blank, very long and repeated texts."""
     long = prose(30_000, 1)
-    return [(1, None), (2, ""), (3, " \t\n"), (4, long), (5, long), (6, "Same text"), (6, "Same text"), (None, "same text"), (None, None), (7, "%%% !!!"), (8, "ä ß ñ"), (9, "one")]
+    return [(1, None), (2, ""), (3, " \t\n"), (4, long), (5, long), (6, "Same text"), (6, "Same text"), (None, "same text"), (None, None), (7, "%%% !!!"), (8, "ä ß ñ"), (9, "one"), (10, "½ ²"), (11, "Ⅷ"), (12, "①②")]
