@@ -1,13 +1,13 @@
 """Mixing sources to target weights with a low-discrepancy schedule of equal-token blocks.
 
-The sources' targets lie one after another on [0, 1). Slot k of the schedule is the point
-frac((k + 1/2) * golden ratio) and belongs to the source whose interval it falls in. The slots
-of a source are ranked and walk through its blocks (equal numbers of words of its documents in
-hashed order) again and again, so that a source's share is met within a few blocks in every
-stretch of the schedule. Only DataFrame operations run.
-
-Whole slots are too coarse for a source whose target is under FINE blocks. Such a source is taken
-exactly: its documents in hashed order, again and again, up to its target in words.
+A source's documents in hashed order are cut into blocks of equal numbers of words (the last may be
+shorter): 1 / SLOTS of all words each, or LEAST_BLOCKS to a target where that is less, one word at
+least. A source needs as many slots as blocks reach its target, walking through them again and again;
+the last slot is cut to the word. The sources' slots lie one after another on [0, 1). Slot k of the
+schedule is the point frac((k + 1/2) * golden ratio) and belongs to the source whose interval it falls
+in, so that a source's share is met within a few slots in every stretch. The slots of a source are
+ranked; those beyond its number are left out, and the few that the points leave a source short of come
+at the end. Only DataFrame operations run, and the same ones for every source.
 
 Any number of sources may be there: what is summed over all of them in an order (targets, places
 on [0, 1)) is summed within ranges of the order first, then over the ranges.
@@ -22,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACED_WORD, checkpoint
+from plumbline.llm.common import SPACED_WORD, checkpoint, size_checked
 
 #: Slots in a schedule at most; a block holds 1 / SLOTS of all words, 1 word at least.
 SLOTS = 1 << 18
-#: Sources with a target of fewer blocks are taken to the word instead of by slots.
-FINE = 256
+#: Blocks in a source's target at least, while a block has a word.
+LEAST_BLOCKS = 16
+#: Blocks that are broadcast at most: those of the schedule, and of a good many small sources.
+MOST_BLOCKS = 2 * SLOTS
 #: Rows of a source that one task puts in order, on average.
 ROWS_PER_BUCKET = 50_000
 GOLDEN = 0.6180339887498949
@@ -96,24 +98,50 @@ def before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     return df.withColumn(out, own).join(chunks, ["_src", "_chunk"]).withColumn(out, F.col(out) + F.col("_earlier")).drop("_chunk", "_earlier")
 
 
-def schedule(spark, sources: DataFrame, block: int, slots: int) -> DataFrame:
-    """(slot, _src, rank): rank counts a source's slots from 0."""
-    goals = ordered(sources.select("_src", F.round("target").cast("long").alias("_goal")).filter("_goal > 0"), ["_src"], _before="_goal")
-    total = F.lit(goals.agg(F.coalesce(F.sum("_goal"), F.lit(1))).first()[0])
-    cut = goals.select("_src", (F.col("_before") / total).alias("_lo"), ((F.col("_before") + F.col("_goal")) / total).alias("_hi"))
+def planned(sources: DataFrame, block: int) -> DataFrame:
+    """Adds goal (words), block (words in one of the source's), blocks, part (words of the last, begun pass) and slots."""
+    goal = F.round("target").cast("long")
+    own = F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), F.ceil(goal / LEAST_BLOCKS)))
+    sources = sources.withColumn("goal", goal).withColumn("block", own)
+    part = F.expr("goal % greatest(source_size, 1)")
+    sources = sources.withColumns({"blocks": F.expr("(source_size + block - 1) div block"), "part": part})
+    return sources.withColumn("slots", F.expr("(goal div greatest(source_size, 1)) * blocks + (part + block - 1) div block"))
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """(slot, _src, rank): rank counts a source's slots from 0 up to its number of slots."""
+    goals = ordered(sources.select("_src", "slots").filter("slots > 0"), ["_src"], _before="slots")
+    total = goals.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    share = lambda c: c / F.lit(max(1, total))
+    cut = goals.select("_src", share(F.col("_before")).alias("_lo"), share(F.col("_before") + F.col("slots")).alias("_hi"))
     cut = cut.select("_src", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * BINS), F.least(F.floor(F.col("_hi") * BINS), F.lit(BINS - 1)))).alias("_bin"))
     point = (F.col("id") + 0.5) * GOLDEN
-    points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_u")).withColumn("_bin", F.floor(F.col("_u") * BINS))
+    points = sources.sparkSession.range(total).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_u")).withColumn("_bin", F.floor(F.col("_u") * BINS))
     met = points.join(cut, (points["_bin"] == cut["_bin"]) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("slot", "_src")
-    return before(met.withColumn("_one", F.lit(1).cast("long")), "slot", "_one", "rank").select("slot", "_src", "rank")
+    ranks = checkpoint(before(met.withColumn("_one", F.lit(1).cast("long")), "slot", "_one", "rank").select("slot", "_src", "rank"))
+    given = ranks.groupBy("_src").agg(F.count(F.lit(1)).alias("_given"))
+    short = sources.select("_src", "slots").join(given, "_src", "left").withColumn("_given", F.coalesce("_given", F.lit(0))).filter("_given < slots")
+    late = short.select("_src", F.explode(F.sequence("_given", F.col("slots") - 1)).alias("rank")).select((F.lit(total) + F.col("rank")).alias("slot"), "_src", "rank")
+    return ranks.join(sources.select("_src", "slots"), "_src").filter("rank < slots").select("slot", "_src", "rank").unionByName(late)
+
+
+def taken_blocks(sources: DataFrame) -> DataFrame:
+    """_src, _block, _times (slots that take it), _cut (where the last slot ends, in its block) and _sum (words taken of the blocks before)."""
+    slots = schedule(sources).join(sources.select("_src", "blocks"), "_src")
+    counts = slots.groupBy("_src", (F.col("rank") % F.col("blocks")).alias("_block")).agg(F.count(F.lit(1)).alias("_times"))
+    every = sources.filter("source_size > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = every.join(counts, ["_src", "_block"], "left").fillna(0, ["_times"])
+    start = F.col("_block") * F.col("block")
+    end = F.least(start + F.col("block"), F.col("source_size"))
+    every = every.withColumn("_cut", F.when((F.col("part") > start) & (F.col("part") < end), F.col("part")))
+    words = F.col("_times") * (end - start) - F.coalesce(end - F.col("_cut"), F.lit(0))
+    return before(every.withColumn("_words", words), "_block", "_words", "_sum").select("_src", "_block", "_times", "_cut", "_sum")
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES, slots: int = SLOTS) -> DataFrame:
     """doc_id, source key, size, source_size, target and taken of every document."""
-    spark = docs.sparkSession
     slim = checkpoint(sized(docs))
     rows, words = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    block = max(1, -(-words // slots))
     digits = 0
     while rows > ROWS_PER_BUCKET * 16**digits:
         digits += 1
@@ -121,31 +149,28 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST_TIMES,
 
     # Prefix sums in two levels: the buckets of a source, then the rows of a bucket.
     buckets = checkpoint(slim.groupBy("_src", "_bucket").agg(F.sum("size").alias("_words")))
-    sources = checkpoint(targets(buckets.groupBy("_src").agg(F.sum("_words").alias("source_size")), cycle, most))
+    totals = targets(buckets.groupBy("_src").agg(F.sum("_words").alias("source_size")), cycle, most)
+    sources = checkpoint(planned(totals, max(1, -(-words // slots))))
     up_to = Window.partitionBy("_src").orderBy("_bucket")
-    buckets = buckets.select("_src", "_bucket", (F.sum("_words").over(up_to) - F.col("_words")).alias("_before")).join(sources, "_src")
-
-    times = F.ceil(F.col("source_size") / block)
-    taken = schedule(spark, sources, block, words // block).join(sources.select("_src", times.alias("_blocks")), "_src").filter(F.col("rank") < most * F.col("_blocks"))
-    counts = taken.groupBy("_src", (F.col("rank") % F.col("_blocks")).alias("_block")).agg(F.count(F.lit(1)).alias("_times"))
-    every = sources.filter("source_size > 0").select("_src", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("_block"))
-    blocks = every.join(counts, ["_src", "_block"], "left").fillna(0, ["_times"])
-    blocks = checkpoint(before(blocks, "_block", "_times", "_sum").withColumn("_sum", F.col("_sum") * block))
+    buckets = buckets.select("_src", "_bucket", (F.sum("_words").over(up_to) - F.col("_words")).alias("_ahead")).join(sources.select("_src", "source_size", "target", "block"), "_src")
+    blocks = checkpoint(taken_blocks(sources))
+    n = blocks.count()
 
     within = Window.partitionBy("_src", "_bucket").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = slim.withColumn("_end", F.sum("size").over(within)).join(buckets, ["_src", "_bucket"])
-    placed = placed.withColumn("_end", F.col("_end") + F.col("_before")).withColumn("_start", F.col("_end") - F.col("size"))
+    placed = placed.withColumn("_end", F.col("_end") + F.col("_ahead")).withColumn("_start", F.col("_end") - F.col("size"))
     nowhere = -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1000))  # documents without words, spread over tasks
-    for side, at in (("a", F.col("_start")), ("b", F.col("_end") - 1)):
-        placed = placed.withColumn(f"_block_{side}", F.when(F.col("size") > 0, F.floor(at / block)).otherwise(nowhere))
-        of = blocks.select("_src", *(F.col(c).alias(f"{c}_{side}") for c in ("_block", "_times", "_sum")))
-        placed = placed.join(of, ["_src", f"_block_{side}"], "left")
-    reach = lambda side, at: F.col(f"_sum_{side}") + F.col(f"_times_{side}") * (at - F.col(f"_block_{side}") * block)
-    by_slots = F.coalesce(reach("b", F.col("_end")) - reach("a", F.col("_start")), F.lit(0))
-    goal, once = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
-    passes, part = F.floor(goal / once), goal % once
-    to_the_word = passes * F.col("size") + F.least("_end", part) - F.least("_start", part)
-    taken = F.when(F.col("target") < FINE * block, to_the_word).otherwise(by_slots)
+    for side, at in (("a", "_start"), ("b", "_end - 1")):
+        placed = placed.withColumn(f"_block_{side}", F.when(F.col("size") > 0, F.expr(f"({at}) div block")).otherwise(nowhere))
+        of = blocks.select("_src", *(F.col(c).alias(f"{c}_{side}") for c in ("_block", "_times", "_cut", "_sum")))
+        placed = placed.join(size_checked(of, n, MOST_BLOCKS), ["_src", f"_block_{side}"], "left")
+
+    def reach(side: str, at):
+        """Words taken of a source up to a place in a block."""
+        over = F.coalesce(F.greatest(at - F.col(f"_cut_{side}"), F.lit(0)), F.lit(0))
+        return F.col(f"_sum_{side}") + F.col(f"_times_{side}") * (at - F.col(f"_block_{side}") * F.col("block")) - over
+
+    taken = F.coalesce(reach("b", F.col("_end")) - reach("a", F.col("_start")), F.lit(0))
     return placed.select("doc_id", "_src", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
@@ -160,7 +185,6 @@ SQL = f"""
 with d as (select doc_id, case when source is null then '~' else '=' || source end as src,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, text from documents),
 h as (select *, md5(concat_ws(':', coalesce(doc_id::varchar, md5(coalesce(text, ''))), size::varchar)) as place from d),
-t as (select sum(size)::bigint as words, greatest(1, ceil(sum(size) / {SLOTS}))::bigint as block from d),
 s0 as (select src, sum(size)::bigint as source_size from d group by src),
 s1 as (select *, [1, 2, 3][(row_number() over (order by src) - 1) % 3 + 1] as weight from s0),
 s2 as (select *, 3 * source_size / weight as ratio from s1),
@@ -168,15 +192,7 @@ s3 as (select *, row_number() over (order by ratio, src) as k, (sum(source_size)
     - coalesce(sum(3 * source_size) over (order by ratio, src rows between unbounded preceding and 1 preceding), 0))::double
     / (sum(weight) over (order by ratio, src rows between current row and unbounded following))::double as level from s2),
 s4 as (select src, source_size, least(3.0::double * source_size, weight * (select arg_min(level, k) from s3 where ratio >= level)) as target from s3),
-c0 as (select *, round(target)::bigint as goal from s4 where round(target) > 0),
-c1 as (select src, (sum(goal) over (order by src) - goal)::double / sum(goal) over () as lo, (sum(goal) over (order by src))::double / sum(goal) over () as hi from c0),
-p as (select range as slot, (range + 0.5)::double * {GOLDEN}::double as x from range((select words // block from t))),
-r as (select slot, src, row_number() over (partition by src order by slot) - 1 as rank from p join c1 on x - floor(x) >= lo and x - floor(x) < hi),
-n as (select src, count(*) as slots from r group by src),
-m as (select s4.src, source_size, target, least(coalesce(slots, 0), 3 * ceil(source_size / block)::bigint) as slots,
-    greatest(1, ceil(source_size / block))::bigint as blocks, block from s4 left join n using (src), t),
+m as (select src, source_size, target, round(target)::bigint // greatest(source_size, 1) as passes, round(target)::bigint % greatest(source_size, 1) as part from s4),
 q as (select doc_id, src, size, sum(size) over (partition by src order by place, doc_id nulls first, size rows between unbounded preceding and current row)::bigint as e from h)
-select doc_id, size, source_size, target, case when target < {FINE} * block
-    then (round(target)::bigint // greatest(source_size, 1)) * size + least(e, round(target)::bigint % greatest(source_size, 1)) - least(e - size, round(target)::bigint % greatest(source_size, 1))
-    else (slots // blocks) * size + least(e, (slots % blocks) * block) - least(e - size, (slots % blocks) * block) end::bigint as taken
+select doc_id, size, source_size, target, (passes * size + least(e, part) - least(e - size, part))::bigint as taken
 from q join m using (src)"""

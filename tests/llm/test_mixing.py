@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm import mixing
 from plumbline.llm.mixing import mix
 
 
@@ -55,6 +56,39 @@ def test_sources_smaller_than_a_block(spark, docs, prose):
         assert abs(taken[s] - t) <= 0.5, s
 
 
+@pytest.mark.parametrize("slots", [8, 200, 1 << 18])
+def test_taken_as_by_brute_force(spark, docs, prose, slots):
+    """Sources of 1, 10 and 1000 words and more: every word of a source's stream is taken goal / size times, the first ones once more."""
+    rows = [(k, prose(1 + k % 37, k), None, "big") for k in range(300)] + [(1000, "a", None, "one"), (1001, "a b c d e f g h i j", None, "ten"), (1002, "", None, "zero")]
+    rows += [(2000 + k, prose(10, k), None, "thousand") for k in range(100)] + [(3000 + k, "x y", None, None) for k in range(3)]
+    table = docs(rows)
+    got = {r.doc_id: r for r in mix(table, slots=slots).collect()}
+    streams = defaultdict(list)
+    for r in sorted(mixing.sized(table).collect(), key=lambda r: r._at):
+        streams[r._src].append((r.doc_id, r.size))
+    for ids in streams.values():
+        size = sum(n for _, n in ids)
+        goal, at = int(got[ids[0][0]].target + 0.5), 0
+        for i, n in ids:
+            want = sum(goal // size + (w < goal % size) for w in range(at, at + n))
+            assert got[i].taken == want, (i, goal, size)
+            at += n
+
+
+def test_shares_are_met_in_every_stretch_of_the_schedule(spark):
+    sources = spark.createDataFrame([(f"s{k}", 40_000 // (k + 1), 10_000.0 * (1 + k % 3)) for k in range(6)] + [("tiny", 4, 3.0)], "_src string, source_size long, target double")
+    plan = mixing.planned(sources, 20)
+    need = {r._src: r.slots for r in plan.collect()}
+    slots = sorted((r.slot, r._src, r["rank"]) for r in mixing.schedule(plan).collect())
+    total, seen = len(slots), defaultdict(int)
+    assert total == sum(need.values()) and need["tiny"] == 3
+    for place, (_, src, rank) in enumerate(slots, 1):
+        assert rank == seen[src]
+        seen[src] += 1
+        if place % 100 == 0:
+            assert all(abs(seen[s] - place * n / total) < 8 for s, n in need.items())
+
+
 def test_no_words(spark, docs):
     assert mix(docs([])).count() == 0
     assert [r.taken for r in mix(docs([(1, None), (2, " ")])).collect()] == [0, 0]
