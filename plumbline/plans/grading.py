@@ -106,18 +106,19 @@ def grade_flags(spark, sf):
 FACTS = f"""
 n as (select l_orderkey as d, l_linenumber as s, *, 'p' || l_partkey || l_returnflag as t,
   floor(l_quantity * 100000)::double * floor(l_extendedprice * 100)::double / {C.PAGE}::double as ratio from lineitem),
-sf as (select d, s, count(*) filter (where l_returnflag = 'R') as pics, count(*) as shapes, string_agg(t, ' ' order by l_partkey, l_suppkey, t) as text, bool_or(l_partkey % 11 = 0) as comic,
+sf as materialized (select d, s, count(*) filter (where l_returnflag = 'R') as pics, count(*) as shapes, string_agg(t, ' ' order by l_partkey, l_suppkey, t) as text, bool_or(l_partkey % 11 = 0) as comic,
   bool_or(l_returnflag = 'R' and ratio > 0.4) as raster, count(*) filter (where l_linestatus = 'O' and l_suppkey % 2 = 0) as titles, bool_or(l_partkey % 3 = 0) as numbered,
   bool_or(l_partkey % 3 < 2) as fielded, min(l_suppkey) % 5 = 0 as bare, bool_or(l_tax >= 0.08) as noted from n group by all),
-v as (select l_orderkey as d, l_linenumber as s, 1 - l_discount / 1000 as ssim from lineitem where l_suppkey % 10 <> 0
+v as materialized (select l_orderkey as d, l_linenumber as s, 1 - l_discount / 1000 as ssim from lineitem where l_suppkey % 10 <> 0
   qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, 1 - l_discount / 1000 desc) = 1),
-df as (select o_orderkey as d, o_orderstatus as status, case when o_custkey % 7 <> 0 then o_orderpriority end as media, (select count(*) from sf where sf.d = o_orderkey) as slides,
-  coalesce((select bool_or(comic) from sf where sf.d = o_orderkey), false) as comic, coalesce((select bool_or(noted) from sf where sf.d = o_orderkey), false) as noted,
-  (select min(ssim) from v where v.d = o_orderkey) as least_ssim from orders),
+dg as materialized (select d, count(*) as slides, bool_or(comic) as comic, bool_or(noted) as noted, list(s order by s) filter (where noted) as noted_slides, list(s order by s) filter (where comic) as comic_slides from sf group by d),
+vg as materialized (select d, min(ssim) as least_ssim from v group by d),
+df as materialized (select o_orderkey as d, o_orderstatus as status, case when o_custkey % 7 <> 0 then o_orderpriority end as media, coalesce(slides, 0) as slides,
+  coalesce(comic, false) as comic, coalesce(noted, false) as noted, noted_slides, comic_slides, least_ssim from orders left join dg on dg.d = o_orderkey left join vg on vg.d = o_orderkey),
 r(id, s, w) as (values ('pictures', 1, 3), ('shapes', 1, 2), ('words', 2, 1), ('exact', 2, 1), ('asset', 3, 2), ('number', 3, 1), ('any field', 3, 0), ('titles', 4, 2), ('layout', 4, 2), ('bogus', 4, 1),
   ('fonts', 5, 2), ('raster', 1, 3), ('raster 2', 2, 2), ('look', 3, 2), ('odd', 1, 1),
   ('slides', null, 3), ('masters', null, 2), ('layouts', null, 1), ('notes', null, 3), ('deck fonts', null, 2), ('assets', null, 2), ('looks', null, 2)),
-j as (select df.d, r.id, r.s, r.w, case when r.s is not null and sf.d is null then 'slide not found' else case id
+j as materialized (select df.d, r.id, noted_slides, comic_slides, r.s, r.w, case when r.s is not null and sf.d is null then 'slide not found' else case id
   when 'pictures' then case when pics <> 0 then 'exact count differs' end
   when 'shapes' then case when shapes < 2 then 'too few' end
   when 'words' then case when not contains(text, 'N') then 'missing text' when contains(text, '1') then 'forbidden text' end
@@ -141,9 +142,9 @@ j as (select df.d, r.id, r.s, r.w, case when r.s is not null and sf.d is null th
   when 'assets' then case when media = '1-URGENT' then 'missing second' when media = '2-HIGH' then 'missing first' else 'missing first,second' end
   when 'looks' then case when least_ssim is null then 'no visual result' when least_ssim < 0.99993 then 'below threshold' end end end as fault
   from df cross join r left join sf on sf.d = df.d and sf.s = r.s left join v on v.d = df.d and v.s = r.s),
-f as (select d, id, s, fault, case id when 'notes' then coalesce((select list(x.s order by x.s) from sf x where x.d = j.d and x.noted), []) when 'deck fonts' then (select list(x.s order by x.s) from sf x where x.d = j.d and x.comic)
+f as materialized (select d, id, s, fault, case id when 'notes' then coalesce(noted_slides, []) when 'deck fonts' then comic_slides
   when 'raster' then [1, 2, 6] when 'raster 2' then [3] else [5] end as affected from j where fault is not null and id in ('notes', 'deck fonts', 'raster', 'raster 2', 'fonts')),
-z as (select distinct d, unnest(affected) as s from f where id <> 'raster 2'),
+z as materialized (select distinct d, unnest(affected) as s from f where id <> 'raster 2'),
 i as (select j.d as deck_id, j.id, j.s as slide, w as weight, fault is null and z.d is null as passed, case when fault is not null then 'failed' when z.d is not null then 'zeroed_by_anti_cheat' else 'passed' end as outcome,
   case when fault is not null then fault when z.d is not null then 'zeroed on slide ' || j.s else 'ok' end as detail from j left join z on z.d = j.d and z.s = j.s)"""
 ITEMS = f"with {FACTS} select deck_id, id, slide, passed, outcome, detail, weight from i"
