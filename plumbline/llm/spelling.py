@@ -3,11 +3,11 @@
 Rare-first prefix filter. A word's bigrams are put in one global order, rarest first (ties by bigram,
 then place). One edit touches two bigrams of a word at most, so two near words have one of their three
 rarest in common, at places that differ by one at most: only those three are joined. The edit lies on
-one side of the bigram they share, and the other side is the same in both words. So each bigram goes
-into the join twice, with all that is before it and with all that follows it, its place and the
-word's length, and a word meets those of its own length at the same place, and those longer by one at
-the same place (inserted behind) or one further (inserted before). What meets is verified by the
-edit distance. No bucket holds all words with a common bigram.
+one side of the bigram they share: the other side is the same in both words, and so is one half of
+the side with the edit. So a word comes into the join under four keys for each bigram: its place and
+the word's length, one side with the bigram, and a half of the other side. It meets words of its own
+length under the same keys, and words longer by one with the place and the halves as the insertion
+moves them. What meets is verified by the edit distance. No bucket holds all words with a common bigram.
 
 A word's form is its near word of largest n, by ties the smallest in code-point order, if that n is
 `ratio` times its own; forms are followed to the last, by doubling: n grows at each step, so there
@@ -87,46 +87,46 @@ def places(words: DataFrame) -> list[int]:
     return out
 
 
-def hashed(part: str) -> int:
-    return int.from_bytes(blake2b(part.encode(), digest_size=8).digest())
+def hashed(*parts) -> int:
+    return int.from_bytes(blake2b("\0".join(map(str, parts)).encode(), digest_size=8).digest(), signed=True)
 
 
 def keys_of(word: str, places: list[int]):
-    """(role, key) of a word's rarest bigrams. Role 0 is met, role 1 meets: words of its own length or longer by one."""
+    """(longer, key) of a word's rarest bigrams: its own keys, and those of words longer by one that it meets."""
     n = len(word)
     if n < 2:
         return
     rarest = heapq.nsmallest(RAREST, ((places[bucket_of(g)], g, p) for p, g in enumerate(map(str.__add__, word, word[1:]))))
     for *_, p in rarest:
-        before, behind = hashed(word[: p + 2]), hashed(word[p:])
-        # The same before it: the edit is behind, and the place is the same. The same behind it: one further, if inserted.
-        for part, side, moved in ((before, 0, 0), (behind, 1, 1)):
-            own = (part * 31 + p * 2 + side) * 1_000_003 + n
-            yield 0, own & (2**64 - 1)
-            yield 1, own & (2**64 - 1)
-            yield 1, ((part * 31 + (p + moved) * 2 + side) * 1_000_003 + n + 1) & (2**64 - 1)
+        # The side that is the same, the side with the edit, and how far an insertion there moves the bigram.
+        for side, same, other, moved in (("<", word[: p + 2], word[p + 2 :], 0), (">", word[p:], word[:p], 1)):
+            half = len(other) // 2
+            yield False, hashed(side, p, n, same, 0, other[:half])
+            yield False, hashed(side, p, n, same, 1, other[half:])
+            half = (len(other) + 1) // 2  # of the longer side
+            yield True, hashed(side, p + moved, n + 1, same, 0, other[:half])
+            if half:
+                yield True, hashed(side, p + moved, n + 1, same, 1, other[half - 1 :])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b, a_n, b_n: all pairs of words (word, n) that are one edit apart, once."""
     order = words.sparkSession.sparkContext.broadcast(places(words))
 
-    def keyed(batches):
-        import numpy as np
+    def entries(meeting: bool) -> DataFrame:
+        """A row for each key of a word; those of longer words only for the side that meets them."""
 
-        for batch in batches:
-            at, roles, keys = [], [], []
-            for k, w in enumerate(batch.column("word").to_pylist()):
-                for role, key in keys_of(w, order.value):
-                    at.append(k)
-                    roles.append(role)
-                    keys.append(key)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(roles, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["word", "n", "role", "key"])
-
-    entries = checkpoint(words.select("word", "n").mapInArrow(keyed, "word string, n long, role int, key long"))
-    a = entries.filter("role = 1").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
-    b = entries.filter("role = 0").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
+        def keyed(batches):
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2000):
+                    part = batch.slice(start, 2000)
+                    found = [(k, key) for k, w in enumerate(part.column("word").to_pylist()) for longer, key in keys_of(w, order.value) if meeting or not longer]
+                    taken = part.take(pa.array([k for k, _ in found], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([key for _, key in found], pa.int64())], names=["word", "n", "key"])
+
+        return words.select("word", "n").mapInArrow(keyed, "word string, n long, key long")
+
+    a, b = entries(True).withColumnsRenamed({"word": "a", "n": "a_n"}), entries(False).withColumnsRenamed({"word": "b", "n": "b_n"})
     # Of one length each pair meets from both sides: one is enough.
     ordered = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
     met = a.join(b, "key").filter(ordered & (F.levenshtein("a", "b", 1) == 1))
@@ -155,7 +155,7 @@ def roots(formed: DataFrame) -> DataFrame:
 def group(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n, n_near, form, form_n and root of a table of distinct words and their counts."""
     words = checkpoint(words)
-    formed = checkpoint(forms(words, near_pairs(words), ratio))
+    formed = checkpoint(forms(words, checkpoint(near_pairs(words)), ratio))
     last = roots(formed)
     return formed.join(last, "word", "left").withColumn("root", F.coalesce("root", "word"))
 

@@ -83,8 +83,8 @@ def test_near_words_meet(word, k, letter, kind, counts):
     if other == word:
         return
     short, long = sorted((word, other), key=len)
-    keys = lambda w, role: {key for r, key in spelling.keys_of(w, places) if r == role}
-    assert keys(short, 1) & keys(long, 0)
+    keys = lambda w, kind: {key for longer, key in spelling.keys_of(w, places) if longer == kind}
+    assert keys(short, len(short) < len(long)) & keys(long, False)
 
 
 def test_words_of_texts(spark, docs, odd):
@@ -112,8 +112,8 @@ def test_one_bucket_is_not_all_words_with_a_common_bigram(spark):
     df = spark.createDataFrame(list(words.items()), "word string, n long")
     places, keys = spelling.places(df), Counter()
     for w in words:
-        keys.update(k for r, k in spelling.keys_of(w, places) if r == 0)
-    assert max(keys.values()) < 60
+        keys.update({k for longer, k in spelling.keys_of(w, places) if not longer})
+    assert max(keys.values()) < 40
 
 
 def test_empty_and_too_short(spark):
