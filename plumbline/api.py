@@ -8,25 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.arrow import canonical_json
+from plumbline.functions.lineage import cut
 from plumbline.operators import checklist as C
 from plumbline.operators.diff import tree_diff
 from plumbline.operators.selectors import Registry, affected, default_registry
-from plumbline.sources import package, quarantine
+from plumbline.sources import datasource, package, quarantine
 from plumbline.sources.sinks import check_output
 
 COMPARED = ["kind", "name", "x", "y", "cx", "cy", "rotation", "placeholder_type", "placeholder_idx", "table_rows", "table_cols", "chart", "field_types", "fill", "shadow", "asset", "runs"]
 
 
 class Decks:
-    """The tables of all packages under a path; they are read lazily, once per query that needs them."""
+    """The tables of all packages under a path.
 
-    def __init__(self, spark: SparkSession, path: str):
+    Each package is opened once, by the data source: its parts are written to the shared folder, and all
+    tables but `packages` and `safety` read them there. The source reads stores that pyarrow knows; for
+    others (any_store) whole files are read by Spark.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, any_store: bool = False):
         self.packages = package.packages(spark, path)
-        self.parts = package.parts(self.packages)
+        self.parts = cut(package.parts(self.packages) if any_store else datasource.parts(spark, path))
         good = self.parts.filter("problem is null")
         self.relationships = package.relationships(good)
         self.slides = package.slides(good, self.relationships)
-        self.nodes = package.nodes(good, self.relationships, self.slides)
+        self.nodes = package.nodes(good, self.relationships, self.slides) if any_store else datasource.nodes(good)
         self.media, self.names = package.media(good), package.layout_names(good)
         self.notes = package.notes_and_comments(self.relationships, self.slides)
         self.safety = quarantine.safety(self.packages)
@@ -54,7 +60,7 @@ def check_result(submission: Decks, reference: Decks) -> tuple[int, str]:
 
 def scene_graph(decks: Decks, slides: list[int] | None = None) -> DataFrame:
     """Canonical JSON of every slide: package_id, slide, scene; nodes in the order of their paths."""
-    n = decks.nodes if slides is None else package.nodes(decks.parts.filter("problem is null"), decks.relationships, decks.slides.filter(F.col("slide").isin(*slides)))
+    n = decks.nodes if slides is None else decks.nodes.filter(F.col("slide").isin(*slides))
     node = F.struct("path", *[c for c in n.columns if c not in ("package_id", "slide", "path", "part_name")])
     g = n.groupBy("package_id", "slide").agg(F.array_sort(F.collect_list(F.struct("path", F.to_json(node).alias("j")))).alias("nodes"))
     text = F.concat(F.lit("["), F.array_join(F.transform("nodes", lambda x: x["j"]), ","), F.lit("]"))

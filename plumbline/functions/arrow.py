@@ -6,9 +6,7 @@ import hashlib
 import hmac
 import json
 import math
-import posixpath
 import unicodedata
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -84,14 +82,9 @@ def resolve_target(base: pd.Series, target: pd.Series) -> pd.Series:
 
     Null for external ones (with a scheme) and for those that leave the package."""
 
-    def one(b, t):
-        if b is None or t is None or "://" in t or t.startswith("//"):
-            return None
-        t = unquote(t.split("#")[0])
-        path = posixpath.normpath(posixpath.join("/", posixpath.dirname(b), t) if not t.startswith("/") else t)
-        return None if t.count("../") > posixpath.dirname(b).count("/") + 1 else path.lstrip("/")
+    from plumbline.sources.markup import target_of
 
-    return pd.Series([one(b, t) for b, t in zip(base, target, strict=True)])
+    return pd.Series([None if b is None else target_of(b, t) for b, t in zip(base, target, strict=True)])
 
 
 def ssim(a: np.ndarray, b: np.ndarray, span: float = 255.0, window: int = 7) -> float:

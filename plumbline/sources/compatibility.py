@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
+from plumbline.sources.markup import deeper
 from plumbline.sources.package import MC
 
 
@@ -21,11 +22,14 @@ class NotUnderstood(ValueError):
 def parsed(xml: bytes) -> tuple[ET.Element, dict[ET.Element, dict[str, str]]]:
     """The tree, and the prefixes in scope at each element."""
     parser = ET.XMLPullParser(["start", "end", "start-ns", "end-ns"])
-    parser.feed(xml)
-    parser.close()
+    try:
+        parser.feed(xml or b"")
+        parser.close()
+    except (ValueError, LookupError) as e:
+        raise ET.ParseError(str(e)) from e
     stack: list[tuple[str, str]] = []
     scopes: dict[ET.Element, dict[str, str]] = {}
-    root = None
+    root, depth = None, 0
     for event, x in parser.read_events():
         if event == "start-ns":
             stack.append(x)
@@ -33,7 +37,10 @@ def parsed(xml: bytes) -> tuple[ET.Element, dict[ET.Element, dict[str, str]]]:
             stack.pop()
         elif event == "start":
             root = x if root is None else root
+            depth = deeper(depth)
             scopes[x] = dict(stack)
+        else:
+            depth -= 1
     return root, scopes
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,20 +56,30 @@ def tree(spark: SparkSession, path: str, exclude: str = r"(^|/)(\.git|__pycache_
 
 
 def tar_members(df: DataFrame) -> DataFrame:
-    """Members of tar files (archive, content): path, length, executable, sha256, problem."""
+    """Members of tar files (archive, content): path, length, executable, sha256, problem.
+
+    A tar file that can't be read, or not to its end, has a row without a path for that; its members up
+    to there have theirs. A name that comes again is a problem of its later members.
+    """
     import hashlib
 
+    def listed(name, content):
+        seen: set[str] = set()
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content or b"")) as t:
+                for m in t:
+                    if m.isdir():
+                        continue
+                    bad = "not a file" if not m.isfile() else "leaves the archive" if m.name.startswith("/") or ".." in m.name.split("/") else "repeated name" if m.name in seen else None
+                    seen.add(m.name)
+                    body = t.extractfile(m).read() if m.isfile() else b""
+                    yield name, m.name, m.size, bool(m.mode & 0o111), f"sha256:{hashlib.sha256(body).hexdigest()}", bad
+        except (tarfile.TarError, zlib.error, EOFError, OSError, ValueError):
+            yield name, None, None, None, None, "unreadable"
+
     def read(batches):
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["archive"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                    for m in t:
-                        if m.isdir():
-                            continue
-                        bad = "not a file" if not m.isfile() else "leaves the archive" if m.name.startswith("/") or ".." in m.name.split("/") else None
-                        body = t.extractfile(m).read() if m.isfile() else b""
-                        rows.append((name, m.name, m.size, bool(m.mode & 0o111), f"sha256:{hashlib.sha256(body).hexdigest()}", bad))
+            rows = [row for name, content in zip(batch["archive"], batch["content"], strict=True) for row in listed(name, content)]
             yield pd.DataFrame(rows, columns=["archive", "path", "length", "executable", "sha256", "problem"])
 
     return df.select("archive", "content").mapInPandas(read, "archive string, path string, length long, executable boolean, sha256 string, problem string")

@@ -1,22 +1,26 @@
 """OPC packages (ZIP of XML): parts, relationships, slides, flattened object trees, media, fonts.
 
-Packages are read by the binaryFile source; one Arrow batch holds few packages. A recursive tree
-can't be a column, so nodes are rows with their path. Python only opens the ZIP and walks the XML;
-everything after that is DataFrame code.
+Packages are read by the binaryFile source, or by the source of datasource.py, which inflates only
+what filters ask for. A recursive tree can't be a column, so nodes are rows with their path. Python
+only opens the ZIP and walks the XML; everything after that is DataFrame code. No part fails a job: a
+part that can't be parsed has a row in xml_problems, an attribute without a legal value is null and
+named in the node's problems.
 """
 
 from __future__ import annotations
 
 import hashlib
-import posixpath
 import re
 import xml.etree.ElementTree as ET
+import zipfile
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.markup import TooDeep, parsed, target_of, tree_of, whole_number
 from plumbline.sources.quarantine import BROKEN, Limits, opened, unsafe_name, weight_problem
 
 #: Namespaces of the formats.
@@ -31,7 +35,7 @@ PART = "package_id string, part_name string, content binary, problem string"
 NODE = """package_id string, slide int, part_name string, path array<int>, parent_path array<int>, depth int, node_id string, z_index int, occurrence int, locator string, kind string, name string,
     x long, y long, cx long, cy long, rotation long, placeholder_type string, placeholder_idx int, table_rows int, table_cols int, chart boolean,
     field_types array<string>, fill string, opacity string, stroke boolean, shadow boolean, crop struct<l:int,t:int,r:int,b:int>, cropped_to_shape boolean, hyperlinks array<string>, asset string,
-    runs array<struct<text:string,font:string,size:int,bold:boolean,italic:boolean,language:string>>"""
+    runs array<struct<text:string,font:string,size:int,bold:boolean,italic:boolean,language:string>>, problems array<string>"""
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
@@ -40,6 +44,30 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -1).alias("package_id"), "content")
 
 
+def members(z: zipfile.ZipFile | str, limits: Limits, wanted: Callable[[str], bool] = lambda name: True) -> Iterator[tuple]:
+    """(name, content, problem) of a package's members that are wanted; only these are inflated."""
+    problem = z if isinstance(z, str) else weight_problem(z.infolist(), limits)
+    if problem:
+        yield None, None, problem
+        return
+    seen: set[str] = set()
+    for info in z.infolist():
+        if info.is_dir():
+            continue
+        name = info.filename
+        problem = "encrypted" if info.flag_bits & 1 else unsafe_name(name) or ("repeated name" if name.lower() in seen else None)
+        seen.add(name.lower())
+        if not wanted(name):
+            continue
+        body = None
+        if problem != "encrypted":
+            try:
+                body = z.read(info)
+            except BROKEN:
+                problem = problem or "unreadable"
+        yield name, body, problem
+
+
 def parts(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each member of the packages (package_id, content), with its problem if any.
 
@@ -49,43 +77,15 @@ def parts(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            rows = []
-            for pid, content in zip(batch["package_id"], batch["content"], strict=True):
-                z = opened(content if content is None else bytes(content))
-                problem = z if isinstance(z, str) else weight_problem(z.infolist(), limits)
-                if problem:
-                    rows.append((pid, None, None, problem))
-                    continue
-                seen: set[str] = set()
-                for info in z.infolist():
-                    if info.is_dir():
-                        continue
-                    name = info.filename
-                    problem = "encrypted" if info.flag_bits & 1 else unsafe_name(name) or ("repeated name" if name.lower() in seen else None)
-                    seen.add(name.lower())
-                    body = None
-                    if problem != "encrypted":
-                        try:
-                            body = z.read(info)
-                        except BROKEN:
-                            problem = problem or "unreadable"
-                    rows.append((pid, name, body, problem))
+            rows = [(pid, *m) for pid, content in zip(batch["package_id"], batch["content"], strict=True) for m in members(opened(content if content is None else bytes(content)), limits)]
             yield pd.DataFrame(rows, columns=["package_id", "part_name", "content", "problem"])
 
     return df.select("package_id", "content").mapInPandas(read, PART)
 
 
-def parsed(content: bytes) -> ET.Element | None:
-    """The tree of an XML part; None where it is malformed (xml_problems names it)."""
-    try:
-        return ET.fromstring(content)
-    except ET.ParseError:
-        return None
-
-
 def xml_problems(part: DataFrame, strict: bool = False) -> DataFrame:
-    """package_id, part_name, problem of XML parts that are malformed or, if strict, use markup
-    compatibility in a way that can't be resolved."""
+    """package_id, part_name, problem of XML parts that are malformed, nested too deep or, if strict, use
+    markup compatibility in a way that can't be resolved."""
     from plumbline.sources.compatibility import NotUnderstood, resolve
 
     def read(batches):
@@ -93,7 +93,9 @@ def xml_problems(part: DataFrame, strict: bool = False) -> DataFrame:
             rows = []
             for pid, name, content in zip(batch["package_id"], batch["part_name"], batch["content"], strict=True):
                 try:
-                    resolve(content, strict=True) if strict else ET.fromstring(content)
+                    resolve(content, strict=True) if strict else tree_of(content)
+                except TooDeep:
+                    rows.append((pid, name, "nested too deep"))
                 except ET.ParseError:
                     rows.append((pid, name, "malformed XML"))
                 except NotUnderstood as e:
@@ -104,40 +106,49 @@ def xml_problems(part: DataFrame, strict: bool = False) -> DataFrame:
     return xml.select("package_id", "part_name", "content").mapInPandas(read, "package_id string, part_name string, problem string")
 
 
-def resolve(base: str, target: str) -> str:
-    return posixpath.normpath(posixpath.join("/", posixpath.dirname(base), target)).lstrip("/")
+def source_of(name: str) -> str:
+    """The part whose relationships a part holds."""
+    return re.sub(r"(^|/)_rels/([^/]*)\.rels$", r"\1\2", name)
+
+
+def links_of(source: str, content: bytes) -> list[tuple]:
+    """(rel_id, type, target, external, problem) of a relationship part."""
+    tree, rows = parsed(content), []
+    for r in tree.iter(f"{REL}Relationship") if tree is not None else ():
+        external = r.get("TargetMode") == "External"
+        target = r.get("Target") if external else target_of(source, r.get("Target"))
+        rows.append((r.get("Id"), r.get("Type", "").rsplit("/", 1)[-1].lower(), target, external, None if target is not None else "target is no part"))
+    return rows
 
 
 def relationships(part: DataFrame) -> DataFrame:
-    """package_id, source, rel_id, type (last segment), target, external; in order of ids."""
+    """package_id, source, rel_id, type (last segment), target, external, problem; in order of ids. A target
+    that leaves the package or is no part's name is null and has a problem."""
 
     def read(batches):
         for batch in batches:
-            rows = []
-            for pid, name, content in zip(batch["package_id"], batch["part_name"], batch["content"], strict=True):
-                source = re.sub(r"(^|/)_rels/([^/]*)\.rels$", r"\1\2", name)
-                tree = parsed(content)
-                for r in tree.iter(f"{REL}Relationship") if tree is not None else ():
-                    external = r.get("TargetMode") == "External"
-                    rows.append((pid, source, r.get("Id"), r.get("Type", "").rsplit("/", 1)[-1].lower(), r.get("Target") if external else resolve(source, r.get("Target", "")), external))
-            yield pd.DataFrame(rows, columns=["package_id", "source", "rel_id", "type", "target", "external"])
+            rows = [(pid, source_of(name), *link) for pid, name, content in zip(batch["package_id"], batch["part_name"], batch["content"], strict=True) for link in links_of(source_of(name), content)]
+            yield pd.DataFrame(rows, columns=["package_id", "source", "rel_id", "type", "target", "external", "problem"])
 
-    return part.filter("problem is null and part_name like '%.rels'").mapInPandas(read, "package_id string, source string, rel_id string, type string, target string, external boolean")
+    found = part.filter("problem is null and part_name like '%.rels'").select("package_id", "part_name", "content")
+    return found.mapInPandas(read, "package_id string, source string, rel_id string, type string, target string, external boolean, problem string")
 
 
 PRESENTATION = "ppt/presentation.xml"
 
 
+def slide_ids(content: bytes) -> list[str | None]:
+    """Relationship ids of a presentation's slide list in its order."""
+    tree = parsed(content)
+    return [el.get(f"{R}id") for el in tree.iter(f"{P}sldId")] if tree is not None else []
+
+
 def slide_list(part: DataFrame) -> DataFrame:
     """package_id, slide (from 1), rel_id: the slide list of each presentation in its order."""
 
     def read(batches):
         for batch in batches:
-            rows = []
-            for pid, content in zip(batch["package_id"], batch["content"], strict=True):
-                tree = parsed(content)
-                found = tree.iter(f"{P}sldId") if tree is not None else ()
-                rows += [(pid, n, el.get(f"{R}id")) for n, el in enumerate(found, 1)]
+            rows = [(pid, n, rel) for pid, content in zip(batch["package_id"], batch["content"], strict=True) for n, rel in enumerate(slide_ids(content), 1)]
             yield pd.DataFrame(rows, columns=["package_id", "slide", "rel_id"])
 
     return part.filter(F.col("part_name") == PRESENTATION).select("package_id", "content").mapInPandas(read, "package_id string, slide int, rel_id string")
@@ -192,18 +203,27 @@ FILLS = tuple(f"{A}{x}" for x in ("solidFill", "gradFill", "pattFill", "noFill",
 SHADOWS = (f"{A}outerShdw", f"{A}innerShdw")
 
 
-def ratio(value: str, whole: int = 100_000) -> str:
-    """value / whole as a plain decimal without trailing zeros."""
-    text = f"{Decimal(value) / whole:f}"
+def ratio(thousandths: int) -> str:
+    """Thousandths of a percent as a plain decimal without trailing zeros."""
+    text = f"{Decimal(thousandths) / 100_000:f}"
     return (text.rstrip("0").rstrip(".") if "." in text else text) or "0"
 
 
-def number(el, key):
-    return int(el.get(key)) if el is not None and el.get(key) not in (None, "") else None
-
-
 def node(el: ET.Element, path: list[int], z: int, targets: dict[str, str]) -> dict:
-    """One object's row; what isn't there is null."""
+    """One object's row; what isn't there is null, and so is what isn't legal, which problems names."""
+    problems: list[str] = []
+
+    def number(el, key, bits=63, **forms):
+        value = el.get(key) if el is not None else None
+        try:
+            n = whole_number(value, **forms)
+            if n is None or -(1 << bits) <= n < 1 << bits:
+                return n
+        except ValueError:
+            pass
+        problems.append(f"{key}={value[:40]}")
+        return None
+
     c = next((x for x in el.iter(f"{P}cNvPr")), None)
     box = next((x for x in el.iter() if x.tag in (f"{A}xfrm", f"{P}xfrm")), None)
     off, ext = (box.find(f"{A}off"), box.find(f"{A}ext")) if box is not None else (None, None)
@@ -211,7 +231,7 @@ def node(el: ET.Element, path: list[int], z: int, targets: dict[str, str]) -> di
     table = el.find(f".//{A}tbl")
     own = el.find(f"{P}spPr") if el.find(f"{P}spPr") is not None else el.find(f"{P}grpSpPr")
     fill = next((x for x in (own if own is not None else ()) if x.tag in FILLS), None)
-    alpha = next((x.get("val") for x in fill.iter(f"{A}alpha") if x.get("val")), None) if fill is not None else None
+    alpha = number(next((x for x in fill.iter(f"{A}alpha") if x.get("val")), None), "val", thousandths=True) if fill is not None else None
     line, cut, form = own.find(f"{A}ln") if own is not None else None, el.find(f".//{A}srcRect"), el.find(f".//{A}prstGeom")
     blip = el.find(f"{P}blipFill/{A}blip")
     flag = lambda r, k: None if r is None or r.get(k) is None else r.get(k) in ("1", "true", "on")
@@ -220,20 +240,56 @@ def node(el: ET.Element, path: list[int], z: int, targets: dict[str, str]) -> di
         for r in (x for x in el.iter() if x.tag in (f"{A}r", f"{A}fld")):
             pr, t = r.find(f"{A}rPr"), r.find(f"{A}t")
             latin = pr.find(f"{A}latin") if pr is not None else None
-            runs.append({"text": (t.text or "") if t is not None else "", "font": latin.get("typeface") if latin is not None else None, "size": number(pr, "sz"), "bold": flag(pr, "b"), "italic": flag(pr, "i"), "language": pr.get("lang") if pr is not None else None})
+            runs.append({"text": (t.text or "") if t is not None else "", "font": latin.get("typeface") if latin is not None else None, "size": number(pr, "sz", 31), "bold": flag(pr, "b"), "italic": flag(pr, "i"), "language": pr.get("lang") if pr is not None else None})
     return {
         "path": path, "parent_path": path[:-1], "depth": len(path), "z_index": z, "kind": kind_of(el), "name": c.get("name") if c is not None else None,
-        "x": number(off, "x"), "y": number(off, "y"), "cx": number(ext, "cx"), "cy": number(ext, "cy"), "rotation": number(box, "rot"),
-        "placeholder_type": ph.get("type", "obj") if ph is not None else None, "placeholder_idx": number(ph, "idx"),
+        "x": number(off, "x", measure=True), "y": number(off, "y", measure=True), "cx": number(ext, "cx", measure=True), "cy": number(ext, "cy", measure=True), "rotation": number(box, "rot"),
+        "placeholder_type": ph.get("type", "obj") if ph is not None else None, "placeholder_idx": number(ph, "idx", 31),
         "table_rows": len(table.findall(f"{A}tr")) if table is not None else None, "table_cols": len(table.findall(f"{A}tblGrid/{A}gridCol")) if table is not None else None,
         "chart": kind_of(el) == "chart", "field_types": sorted({f.get("type", "") for f in el.iter(f"{A}fld")}),
-        "fill": fill.tag.removeprefix(A) if fill is not None else "inherited", "opacity": ratio(alpha) if alpha else "1",
+        "fill": fill.tag.removeprefix(A) if fill is not None else "inherited", "opacity": ratio(alpha) if alpha is not None else "1",
         "stroke": line is not None and line.find(f"{A}noFill") is None, "shadow": own is not None and any(x.tag in SHADOWS for x in own.iter()),
-        "crop": {side: number(cut, side) or 0 for side in "ltrb"} if cut is not None else None, "cropped_to_shape": form is not None and form.get("prst", "rect") != "rect",
-        "hyperlinks": sorted({targets.get(h.get(f"{R}id"), "") for h in el.iter(f"{A}hlinkClick")}), "asset": targets.get(blip.get(f"{R}embed")) if blip is not None else None, "runs": runs,
+        "crop": {side: number(cut, side, 31, thousandths=True) or 0 for side in "ltrb"} if cut is not None else None, "cropped_to_shape": form is not None and form.get("prst", "rect") != "rect",
+        "hyperlinks": sorted({targets.get(h.get(f"{R}id")) or "" for h in el.iter(f"{A}hlinkClick")}), "asset": targets.get(blip.get(f"{R}embed")) if blip is not None else None, "runs": runs, "problems": problems,
     }
 
 
+NODE_COLUMNS = [c.strip().split(" ")[0] for c in re.split(r",\s*(?![^<]*>)", NODE)]
+
+
+def objects(pid: str, slide: int, name: str, content: bytes, targets: dict[str, str], strict: bool) -> Iterator[dict]:
+    """Rows of a slide's objects; none where it can't be parsed."""
+    from plumbline.sources.compatibility import NotUnderstood, resolve
+
+    try:
+        tree = resolve(content, strict=strict).find(f"{P}cSld/{P}spTree")
+    except (ET.ParseError, NotUnderstood):
+        return
+    waiting = [(tree, [], "/p:sld/p:cSld/p:spTree")] if tree is not None else []
+    while waiting:
+        parent, path, above = waiting.pop()
+        seen: dict[str, int] = {}
+        for el in (x for x in parent if x.tag in KINDS):
+            z = sum(seen.values())
+            seen[el.tag] = seen.get(el.tag, 0) + 1
+            at, locator = [*path, z], f"{above}/p:{el.tag.removeprefix(P)}[{seen[el.tag]}]"
+            own = {"package_id": pid, "slide": slide, "part_name": name, "node_id": f"s{slide}:n{'.'.join(map(str, at))}", "occurrence": seen[el.tag], "locator": locator}
+            yield own | node(el, at, z, targets)
+            if el.tag == f"{P}grpSp":
+                waiting.append((el, at, locator))
+
+
+def slide_nodes(todo: DataFrame, strict: bool = False) -> DataFrame:
+    """The object trees of slides (package_id, part_name, slide, content, targets) as rows."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [row for pid, name, n, content, targets in batch.itertuples(index=False) for row in objects(pid, int(n), name, content, dict(targets) if targets is not None else {}, strict)]
+            yield pd.DataFrame(rows, columns=NODE_COLUMNS)
+
+    return todo.select("package_id", "part_name", "slide", "content", "targets").mapInPandas(read, NODE)
+
+
 def nodes(part: DataFrame, rels: DataFrame, slide: DataFrame, strict: bool = False) -> DataFrame:
     """The object trees of the given slides as rows; a filter on `slide` is a filter on what is parsed.
 
@@ -241,37 +297,10 @@ def nodes(part: DataFrame, rels: DataFrame, slide: DataFrame, strict: bool = Fal
     among the siblings with the same element, and locator is the path of these. A slide that can't be
     parsed has no rows (xml_problems names it); if strict, nor has one whose alternatives can't be resolved.
     """
-    links = rels.groupBy("package_id", F.col("source").alias("part_name")).agg(F.map_from_entries(F.collect_list(F.struct("rel_id", "target"))).alias("targets"))
+    once = rels.filter("rel_id is not null and target is not null").groupBy("package_id", F.col("source").alias("part_name"), "rel_id").agg(F.min("target").alias("target"))
+    links = once.groupBy("package_id", "part_name").agg(F.map_from_entries(F.collect_list(F.struct("rel_id", "target"))).alias("targets"))
     todo = slide.join(part.select("package_id", "part_name", "content"), ["package_id", "part_name"]).join(links, ["package_id", "part_name"], "left")
-    names = [c.strip().split(" ")[0] for c in re.split(r",\s*(?![^<]*>)", NODE)]
-
-    def read(batches):
-        from plumbline.sources.compatibility import NotUnderstood, resolve
-
-        for batch in batches:
-            rows = []
-
-            def walk(parent, path, above, slide, pid, name, targets, rows=rows):
-                seen: dict[str, int] = {}
-                for el in (x for x in parent if x.tag in KINDS):
-                    z = sum(seen.values())
-                    seen[el.tag] = seen.get(el.tag, 0) + 1
-                    at, locator = [*path, z], f"{above}/p:{el.tag.removeprefix(P)}[{seen[el.tag]}]"
-                    own = {"package_id": pid, "slide": int(slide), "part_name": name, "node_id": f"s{slide}:n{'.'.join(map(str, at))}", "occurrence": seen[el.tag], "locator": locator}
-                    rows.append(own | node(el, at, z, targets))
-                    if el.tag == f"{P}grpSp":
-                        walk(el, at, locator, slide, pid, name, targets)
-
-            for pid, name, n, content, targets in zip(batch["package_id"], batch["part_name"], batch["slide"], batch["content"], batch["targets"], strict=True):
-                try:
-                    tree = resolve(content, strict=strict).find(f"{P}cSld/{P}spTree")
-                except (ET.ParseError, NotUnderstood):
-                    continue
-                if tree is not None:
-                    walk(tree, [], "/p:sld/p:cSld/p:spTree", n, pid, name, dict(targets) if targets is not None else {})
-            yield pd.DataFrame(rows, columns=names)
-
-    return todo.select("package_id", "part_name", "slide", "content", "targets").mapInPandas(read, NODE)
+    return slide_nodes(todo, strict)
 
 
 def media(part: DataFrame) -> DataFrame:
@@ -280,8 +309,18 @@ def media(part: DataFrame) -> DataFrame:
 
 
 def typefaces(part: DataFrame) -> DataFrame:
-    """Distinct typefaces named in any XML part under ppt/, without theme references (+...)."""
-    x = part.filter("part_name like 'ppt/%.xml'").select("package_id", F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit('typeface="([^"]*)"'), F.lit(1))).alias("font"))
+    """Distinct typefaces named in any XML part under ppt/, without theme references (+...); parts that can't
+    be parsed name none."""
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for pid, content in zip(batch["package_id"], batch["content"], strict=True):
+                tree = parsed(content)
+                rows += [(pid, font) for font in ({el.get("typeface") for el in tree.iter()} if tree is not None else ())]
+            yield pd.DataFrame(rows, columns=["package_id", "font"])
+
+    x = part.filter("part_name like 'ppt/%.xml'").select("package_id", "content").mapInPandas(read, "package_id string, font string")
     return x.filter("font <> '' and not startswith(font, '+')").distinct()
 
 
