@@ -136,7 +136,7 @@ def test_partitions_by_size(folder):
     assert len(datasource.PackageReader({"path": folder, "partition_bytes": "1"}).partitions()) == 4
     assert len(datasource.PackageReader({"path": f"file://{folder}"}).partitions()) == 1
     names = datasource.PackageReader({"path": f"{folder}/one.pptx", "content": "false"})
-    assert [r[4] for p in names.partitions() for r in names.read(p)] == [None] * 11
+    assert [r[4] for p in names.partitions() for r in names.read(p)] == [None] * 12
 
 
 def test_decks_open_each_package_once(spark, folder):
