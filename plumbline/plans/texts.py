@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import arrow as A
 from plumbline.functions import text as T
-from plumbline.sources import load
+from plumbline.sources import load, units
 
 
 def parity_tokens(spark, sf):
@@ -75,6 +75,47 @@ select doc_id, line, case when contains(t, ' | ') then 'table' when regexp_match
 from n"""
 
 
+#: Forms of the lines of a prompt made from an order, by l_partkey % 16; {k} is the part.
+FORMS = ("# Part {k}", "**Label {k}:**", "| a | {k} |", "|---|:--:|", "- item {k} MUST", "1. **Inline {k}:** native `x`", "   - nested {k}", "```", "", "prose {k} font", "more **bold** {k}",
+         "| open {k}", "**Why this slide is hard: {k}", "The natural-language requirements below {k}", "**Tier: {k}**", "* star {k}")
+
+
+def prompt_units(spark, sf):
+    """Every order as a Markdown prompt, a line for each of its items: its units as the library's unitizer reads them."""
+    part = F.col("l_partkey").cast("string")
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("l_partkey") % len(FORMS) + 1).cast("int"))
+    lines = load(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.replace(form, F.lit("{k}"), part).alias("line")).alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    found = units.requirements(units.units(lines.groupBy("l_orderkey").agg(text.alias("text")), "text", ["l_orderkey"]), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")))
+    return found.select("l_orderkey", "requirement_id", "line_start", "line_end", "kind", "statement", "mode", "severity", "source_of_truth", "excerpt_sha256")
+
+
+_CASES = " ".join(f"when {k} then '" + f.replace("{k}", "' || l_partkey || '") + "'" for k, f in enumerate(FORMS))
+_HAS = lambda words, s: " or ".join(f"contains({s}, '{w}')" for w in words)
+PROMPT_UNITS = f"""
+with l as (select l_orderkey as o, l_partkey as k, l_partkey % 16 as f, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, case l_partkey % 16 {_CASES} end as line from lineitem
+  qualify not (f = 8 and pos = count(*) over (partition by l_orderkey))),
+a as (select *, sum(case when f = 7 then 1 else 0 end) over (partition by o order by pos) % 2 = 1 as odd from l),
+b as (select *, case when odd and f <> 7 then 'inside' when f = 7 then case when odd then 'fence' else 'close' end when f in (0, 8, 14) then 'none' when f = 1 then 'label' when f = 2 then 'row' when f = 3 then 'divider'
+  when f in (4, 5, 6, 15) then 'item' when f in (12, 13) then 'loose' when f = 11 then 'bar' else 'prose' end as kind from a),
+c as (select *, coalesce(last_value(case when kind <> 'loose' then kind in ('prose', 'bar') end ignore nulls) over (partition by o order by pos rows between unbounded preceding and current row), false) as para, lead(kind) over (partition by o order by pos) as nx from b),
+d as (select *, bool_or(kind = 'loose' and f = 12 and not para) over (partition by o order by pos rows between unbounded preceding and current row) as done, coalesce(lag(para) over (partition by o order by pos), false) as on_, kind = 'row' and coalesce(nx = 'divider', false) as head from c),
+e as (select *, last_value(case when kind = 'label' then 'Label ' || k when head then 'a / ' || k when f = 5 and kind = 'item' then 'Inline ' || k end ignore nulls) over (partition by o order by pos rows between unbounded preceding and 1 preceding) as ctx,
+  kind in ('fence', 'item') or (kind = 'row' and not head) or (para and (kind = 'bar' or not on_)) as start from d where not done),
+g as (select *, sum(case when start then 1 else 0 end) over (partition by o order by pos) as u from e),
+u as (select o, u, min(pos)::int as line_start, max(pos)::int as line_end, arg_min(f, pos) as f, arg_min(k, pos) as k, arg_min(kind, pos) as kind, bool_or(para) as para, arg_max(kind, pos) = 'close' as closed, arg_min(ctx, pos) as ctx,
+  string_agg(line, chr(10) order by pos) as excerpt, string_agg(case when kind = 'inside' then line end, chr(10) order by pos) as body from g where start or para or kind in ('inside', 'close') group by o, u),
+s as (select *, row_number() over (partition by o order by u)::int as n, coalesce(ctx || ': ', '') as pre from u),
+t as (select *, case when kind = 'row' then pre || 'Use this exact table data row: | a | ' || k || ' |' when kind = 'item' and f = 4 then 'item ' || k || ' MUST' when kind = 'item' and f = 5 then 'Inline ' || k || ': native `x`' when kind = 'item' and f = 6 then pre || 'nested ' || k
+  when kind = 'item' then 'star ' || k when kind = 'fence' and closed then 'Use this fenced prompt content as directed' || coalesce(' for ' || ctx, '') || ':' || chr(10) || regexp_replace(coalesce(body, ''), '^\n+|\n+$', '', 'g')
+  when para then trim(replace(excerpt, '**', ''), ' ' || chr(10)) end as statement from s)
+select o as l_orderkey, 'o' || o || '.prompt-r' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') as requirement_id, line_start, line_end,
+  case when para then 'paragraph' when kind = 'fence' and not closed then 'unterminated fence' else kind end as kind, statement,
+  case when {_HAS(units.EXACT, 'statement')} then 'exact' else 'structural_semantic' end as mode,
+  case when {_HAS(units.CRITICAL, 'statement')} or contains(lower(statement), 'native') then 'critical' else 'major' end as severity,
+  case when ({_HAS(units.STRUCTURAL, 'lower(statement)')}) and not ({_HAS(units.VISUAL, 'lower(statement)')}) then 'ooxml' else 'both' end as source_of_truth, sha256(excerpt) as excerpt_sha256 from t"""
+
+
 def hard_tokens(spark, sf):
     """Hard tokens of documents."""
     t = T.hard_tokens(F.col("text"))
@@ -158,6 +199,7 @@ QUERIES = {
     "clause_classify": (clause_classify, CLAUSE),
     "strip_markup": (strip_markup, STRIP),
     "unitize_lines": (unitize_lines, UNITIZE),
+    "prompt_units": (prompt_units, PROMPT_UNITS),
     "hard_tokens": (hard_tokens, HARD),
     "paraphrase": (paraphrase, PARAPHRASE),
     "vector_exact": (vector_exact, VECTOR_EXACT),
