@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import content as X
 from plumbline.operators import integrity as I
 from plumbline.sources import load
 
@@ -67,4 +68,70 @@ union all select 'variants of a fixture', l_partkey::varchar from lineitem group
 union all select 'authors', o_custkey::varchar from orders group by o_custkey having count(distinct o_orderpriority) <> 3
 union all select 'recorded mean', l_suppkey::varchar from m where l_suppkey % 10 = 3"""
 
-QUERIES = {"integrity_violations": (integrity_violations, INTEGRITY), "projection_equality": (projection_equality, PROJECTION), "corpus_constraints": (corpus_constraints, CORPUS)}
+def declarations() -> dict[str, X.Declaration]:
+    """Content models of orders by their status, over the return flags of their items."""
+    a, n, r = X.child("A", 0, None), X.child("N", 0), X.child("R", 0, 2)
+    return {
+        "F": X.Declaration(X.sequence(a, n, r), {"big": False}),
+        "O": X.Declaration(X.choice(X.child("A"), X.child("N"), X.child("R"), least=2, most=None), {"clerk": True}),
+        "P": X.Declaration(X.sequence(X.choice(X.child("A"), X.child("R"), most=3), X.child("N", 1, None), X.child("R", 0))),
+    }
+
+
+def order_elements(spark, sf):
+    """Every order as an element: its model is its status, its children its items' flags in their order."""
+    o, l = load(spark, sf, "orders"), load(spark, sf, "lineitem")  # noqa: E741
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: x["l_returnflag"])
+    has = F.concat(F.when(F.col("o_totalprice") > 300_000, F.array(F.lit("big"))).otherwise(F.array()), F.when(F.col("o_custkey") % 3 > 0, F.array(F.lit("clerk"))).otherwise(F.array()))
+    model = F.when(F.col("o_orderkey") % 50 == 7, "Q").otherwise(F.col("o_orderstatus"))
+    return o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority", model.alias("model"), has.cast("array<string>").alias("attributes")).join(l.groupBy("l_orderkey").agg(inside.alias("children")), "l_orderkey", "left")
+
+
+def content_models(spark, sf):
+    """What is wrong with every order under the content model of its status."""
+    found = X.check(order_elements(spark, sf).drop("o_custkey", "o_orderpriority"), X.compiled(spark, declarations()))
+    return found.withColumnRenamed("l_orderkey", "o_orderkey")
+
+
+#: For each model what its children are as one string of flags, and what may still become that.
+_WHOLE, _BEGUN = {"F": "A*N?R{0,2}", "O": "[ANR]{2,}", "P": "[AR]{1,3}N+R?"}, {"F": "A*N?R{0,2}", "O": "[ANR]*", "P": "[AR]{0,3}|[AR]{1,3}N+R?"}
+_MODEL = "case when o_orderkey % 50 = 7 then 'Q' else o_orderstatus end"
+CONTENT_SQL = f"""
+c as (select l_orderkey, string_agg(l_returnflag, '' order by l_linenumber, l_partkey) as s from lineitem group by 1),
+e as (select o_orderkey, o_custkey, o_orderpriority, {_MODEL} as model, coalesce(s, '') as s, o_totalprice > 300000 as big, o_custkey % 3 > 0 as clerk from orders left join c on l_orderkey = o_orderkey),
+k as (select e.*, n from e, lateral (select max(i) as n from range(0, length(s) + 1) r(i) where case model {' '.join(f"when '{m}' then regexp_full_match(left(s, i::int), '{p}')" for m, p in _BEGUN.items())} end)),
+f as (select *, n < length(s) as bad, left(s, n::int) as ok, case model {' '.join(f"when '{m}' then regexp_full_match(s, '{p}')" for m, p in _WHOLE.items())} end as fine from k),
+x as (select *, case model when 'O' then 'A N R' when 'F' then case when not regexp_matches(ok, '[NR]') then 'A N R' when regexp_matches(ok, 'RR$') then 'nothing' else 'R' end
+  else case when ok = '' then 'A R' when regexp_matches(ok, 'NR$') then 'nothing' when regexp_matches(ok, 'N$') then 'N R' when length(ok) = 3 then 'N' else 'A N R' end end as next from f),
+v as (select *, 'undeclared element' as problem, null::int as place, model as detail from x where model = 'Q'
+ union all select *, 'unexpected child', n::int + 1, substr(s, n::int + 1, 1) || ', expected ' || next from x where model <> 'Q' and bad
+ union all select *, 'missing child', length(s)::int + 1, 'expected ' || next from x where model <> 'Q' and not bad and not fine
+ union all select *, 'undeclared attribute', null, 'big' from x where big and model in ('O', 'P') union all select *, 'undeclared attribute', null, 'clerk' from x where clerk and model in ('F', 'P')
+ union all select *, 'missing attribute', null, 'clerk' from x where not clerk and model = 'O')"""
+CONTENT = f"""with {CONTENT_SQL} select o_orderkey, problem, place, detail from v"""
+
+
+def validation_verdicts(spark, sf):
+    """Every customer as a package, every order as a part: which are mapped to a schema by (priority, status), what is
+    wrong in those that are, and whether the customer's validation was performed and found nothing."""
+    pairs = [(p, s, f"{s}.schema") for s in "FOPQ" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") if (p, s) not in (("5-LOW", "O"), ("1-URGENT", "P"))]
+    e = order_elements(spark, sf)
+    name = F.concat(F.when(F.col("l_orderkey") % 5 == 0, "docs/").otherwise("ppt/"), F.col("l_orderkey").cast("string"), F.lit(".xml"))
+    e = e.withColumns({"package_id": F.col("o_custkey").cast("string"), "part_name": name})
+    parts = X.mapped(e.select("package_id", "part_name", F.col("o_orderpriority").alias("content_type"), F.col("model").alias("root")), spark.createDataFrame(pairs, "content_type string, root string, schema string"))
+    known = parts.filter(X.relevant(F.col("part_name")) & F.col("schema").isNotNull())
+    todo = e.join(known.select("package_id", "part_name"), ["package_id", "part_name"], "left_semi")
+    found = X.check(todo, X.compiled(spark, declarations())).select("package_id", "part_name", "problem", "detail")
+    return X.verdicts(parts, found.unionByName(X.unmapped(parts.filter(X.relevant(F.col("part_name"))))))
+
+
+VERDICTS = f"""with {CONTENT_SQL},
+p as (select o_orderkey, o_custkey::varchar as package_id, o_orderkey % 5 <> 0 as rel, (o_orderpriority = '5-LOW' and model = 'O') or (o_orderpriority = '1-URGENT' and model = 'P') as lost from e),
+w as (select o_orderkey, count(*) as n from v group by 1),
+g as (select package_id, count(*) filter (where rel) as relevant, count(*) filter (where rel and not lost) as validated, coalesce(sum(case when not rel then 0 when lost then 1 else n end), 0)::bigint as violations
+  from p left join w using (o_orderkey) group by 1)
+select *, relevant > 0 and relevant = validated as performed, relevant > 0 and relevant = validated and violations = 0 as valid from g"""
+
+QUERIES = {
+    "content_models": (content_models, CONTENT),
+    "validation_verdicts": (validation_verdicts, VERDICTS),"integrity_violations": (integrity_violations, INTEGRITY), "projection_equality": (projection_equality, PROJECTION), "corpus_constraints": (corpus_constraints, CORPUS)}

@@ -303,6 +303,56 @@ def nodes(part: DataFrame, rels: DataFrame, slide: DataFrame, strict: bool = Fal
     return slide_nodes(todo, strict)
 
 
+ELEMENT = "package_id string, part_name string, path array<int>, model string, children array<string>, attributes map<string,string>"
+
+
+def elements(part: DataFrame, strict: bool = False) -> DataFrame:
+    """Every element of the XML parts, alternatives resolved: its path (places among its siblings, empty for the
+    root), model (its name), the names of its children in order, and its attributes. Parts that can't be
+    parsed have none."""
+
+    def flat(pid, name, content):
+        from plumbline.sources.compatibility import NotUnderstood, resolve
+
+        try:
+            waiting = [([], resolve(content, strict=strict))]
+        except (ET.ParseError, NotUnderstood):
+            return
+        while waiting:
+            path, el = waiting.pop()
+            yield pid, name, path, el.tag, [c.tag for c in el], dict(el.attrib)
+            waiting.extend(([*path, k], c) for k, c in enumerate(el))
+
+    def read(batches):
+        for batch in batches:
+            for pid, name, content in zip(batch["package_id"], batch["part_name"], batch["content"], strict=True):
+                yield pd.DataFrame(flat(pid, name, content), columns=["package_id", "part_name", "path", "model", "children", "attributes"])
+
+    xml = part.filter("problem is null and part_name like '%.xml'")
+    return xml.select("package_id", "part_name", "content").mapInPandas(read, ELEMENT)
+
+
+def content_types(part: DataFrame) -> DataFrame:
+    """package_id, part_name, content_type of every part: the override of its name, else the default of its extension."""
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for pid, content in zip(batch["package_id"], batch["content"], strict=True):
+                tree = parsed(content)
+                for el in tree if tree is not None else ():
+                    name, extension, kind = (el.get("PartName") or "").removeprefix("/"), (el.get("Extension") or "").lower(), el.get("ContentType")
+                    if kind and (name or extension):
+                        rows.append((pid, name or None, None if name else extension, kind))
+            yield pd.DataFrame(rows, columns=["package_id", "part_name", "extension", "content_type"])
+
+    said = part.filter("problem is null and part_name = '[Content_Types].xml'").select("package_id", "content").mapInPandas(read, "package_id string, part_name string, extension string, content_type string")
+    of = lambda key: said.filter(f"{key} is not null").groupBy("package_id", key).agg(F.min("content_type").alias(f"_{key}"))
+    own = part.select("package_id", "part_name", F.lower(F.regexp_extract("part_name", r"\.([^./]+)$", 1)).alias("extension"))
+    met = own.join(of("part_name"), ["package_id", "part_name"], "left").join(of("extension"), ["package_id", "extension"], "left")
+    return met.select("package_id", "part_name", F.coalesce("_part_name", "_extension").alias("content_type"))
+
+
 def media(part: DataFrame) -> DataFrame:
     """SHA-256 of every media part."""
     return part.filter(F.col("part_name").startswith("ppt/media/")).select("package_id", "part_name", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"))
