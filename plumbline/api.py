@@ -12,7 +12,7 @@ from plumbline.functions.lineage import cut
 from plumbline.operators import checklist as C
 from plumbline.operators.diff import tree_diff
 from plumbline.operators.selectors import Registry, affected, default_registry
-from plumbline.sources import datasource, package, quarantine
+from plumbline.sources import canonical, datasource, package, quarantine
 from plumbline.sources.sinks import check_output
 
 COMPARED = ["kind", "name", "x", "y", "cx", "cy", "rotation", "placeholder_type", "placeholder_idx", "table_rows", "table_cols", "chart", "field_types", "fill", "shadow", "asset", "runs"]
@@ -37,6 +37,7 @@ class Decks:
         self.notes = package.notes_and_comments(self.relationships, self.slides)
         self.safety = quarantine.safety(self.packages)
         self.digests = package.package_digest(self.parts)
+        self.identities = canonical.identities(self.packages)
         self.orphans = package.orphans(good, self.relationships)
         self.problems = package.xml_problems(good).unionByName(package.slide_problems(good, self.relationships).withColumn("part_name", F.lit(package.PRESENTATION)))
 

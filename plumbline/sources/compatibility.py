@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-from plumbline.sources.markup import deeper
+from plumbline.sources.markup import Scoped, read
 from plumbline.sources.package import MC
 
 
@@ -19,38 +19,13 @@ class NotUnderstood(ValueError):
     pass
 
 
-def parsed(xml: bytes) -> tuple[ET.Element, dict[ET.Element, dict[str, str]]]:
-    """The tree, and the prefixes in scope at each element."""
-    parser = ET.XMLPullParser(["start", "end", "start-ns", "end-ns"])
-    try:
-        parser.feed(xml or b"")
-        parser.close()
-    except (ValueError, LookupError) as e:
-        raise ET.ParseError(str(e)) from e
-    stack: list[tuple[str, str]] = []
-    scopes: dict[ET.Element, dict[str, str]] = {}
-    root, depth = None, 0
-    for event, x in parser.read_events():
-        if event == "start-ns":
-            stack.append(x)
-        elif event == "end-ns":
-            stack.pop()
-        elif event == "start":
-            root = x if root is None else root
-            depth = deeper(depth)
-            scopes[x] = dict(stack)
-        else:
-            depth -= 1
-    return root, scopes
-
-
 def namespace(tag: str) -> str:
     return tag[1:].partition("}")[0] if tag.startswith("{") else ""
 
 
 def alternatives_problem(el: ET.Element) -> str | None:
     """Why the branches of an AlternateContent aren't well ordered."""
-    tags = [c.tag for c in el]
+    tags = [c.tag for c in el if c.tag is not ET.ProcessingInstruction]
     if set(tags) - {f"{MC}Choice", f"{MC}Fallback"}:
         return "unexpected branch"
     if f"{MC}Choice" not in tags:
@@ -61,9 +36,14 @@ def alternatives_problem(el: ET.Element) -> str | None:
 
 
 def resolve(xml: bytes, understood: frozenset[str] = frozenset(), strict: bool = False) -> ET.Element:
-    """The tree without markup compatibility. Alternatives of which no branch can be used vanish; if
+    """The tree of a part without markup compatibility. Alternatives of which no branch can be used vanish; if
     strict they, and branches out of order or without Requires, are an error."""
-    root, scopes = parsed(xml)
+    return resolved(read(xml), understood, strict)
+
+
+def resolved(doc: Scoped, understood: frozenset[str] = frozenset(), strict: bool = False) -> ET.Element:
+    """resolve() of a part that was read; its tree is changed."""
+    scopes = doc.scopes
 
     def names(el: ET.Element, attribute: str) -> list[tuple[str, str]]:
         """(namespace, local name or '') of the prefixes or qualified names that an attribute lists."""
@@ -76,6 +56,8 @@ def resolve(xml: bytes, understood: frozenset[str] = frozenset(), strict: bool =
         return out
 
     def visit(el: ET.Element, ignorable: frozenset, process: frozenset) -> list[ET.Element]:
+        if el.tag is ET.ProcessingInstruction:
+            return [el]
         for ns, _ in names(el, "MustUnderstand"):
             if ns not in understood:
                 raise NotUnderstood(ns)
@@ -104,7 +86,7 @@ def resolve(xml: bytes, understood: frozenset[str] = frozenset(), strict: bool =
         el[:] = inner
         return [el]
 
-    out = visit(root, frozenset(), frozenset())
+    out = visit(doc.root, frozenset(), frozenset())
     if len(out) != 1:
         raise NotUnderstood("the root went")
     return out[0]

@@ -320,8 +320,9 @@ def elements(part: DataFrame, strict: bool = False) -> DataFrame:
             return
         while waiting:
             path, el = waiting.pop()
-            yield pid, name, path, el.tag, [c.tag for c in el], dict(el.attrib)
-            waiting.extend(([*path, k], c) for k, c in enumerate(el))
+            inside = [c for c in el if c.tag is not ET.ProcessingInstruction]
+            yield pid, name, path, el.tag, [c.tag for c in inside], dict(el.attrib)
+            waiting.extend(([*path, k], c) for k, c in enumerate(inside))
 
     def read(batches):
         for batch in batches:
