@@ -5,9 +5,10 @@ number of rows, and binary-fuse filters of the digests, one for each shard of th
 texts stay where they are (the exact buckets).
 
 A batch's rows are grouped by digest among themselves first, without their texts. Its digests are
-screened by the filters. What a filter lets not pass is new: it meets nothing, and no text of it is
-moved. For the digests that pass (repeats, and 1 in 256 others) both sides bring one text each to
-their bucket, and the bytes decide.
+screened by the filters. What a filter lets not pass is new: it meets neither digest nor text of the
+snapshot. Only the digests that pass (repeats, and 1 in 256 others) are joined with the snapshot's;
+both sides bring one text each to their bucket, and the bytes decide. Rows look up their group only
+among digests that occur more than once, or on both sides; any other row is its own group.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
 row with the largest doc_id stays (null is below any id); of several such rows, one. Empty tables
@@ -33,7 +34,7 @@ FEW_DIGESTS = 500_000
 @dataclass(frozen=True)
 class Snapshot:
     docs: DataFrame  # text and more: the exact buckets are read from it
-    known: DataFrame  # doc_id, digest, mark of its rows
+    groups: DataFrame  # of each digest old_keep (doc_id and mark of the row that stays) and old_n
     filters: DataFrame  # shard, seed, length, segments, prints
     shards: int
     rows: int
@@ -80,7 +81,8 @@ def snapshot(docs: DataFrame, known: DataFrame | None = None) -> Snapshot:
 
     digests = known.select("digest").distinct().withColumn("shard", shard_of("digest", shards))
     filters = checkpoint(digests.groupBy("shard").applyInPandas(build, "shard int, seed string, length int, segments int, prints binary"))
-    return Snapshot(docs, known, filters, shards, rows)
+    groups = checkpoint(grouped(known).withColumnsRenamed({"keep": "old_keep", "n": "old_n"}))
+    return Snapshot(docs, groups, filters, shards, rows)
 
 
 def screen(digests: DataFrame, rows: int, snap: Snapshot) -> DataFrame:
@@ -111,19 +113,23 @@ def bucketed(docs: DataFrame, digests: DataFrame, n: int) -> DataFrame:
 
 
 def dedup(batch: DataFrame, snap: Snapshot, known: DataFrame | None = None) -> DataFrame:
-    """digest, keep, n, old_keep, old_n, same: groups of equal texts of the batch and of the snapshot;
-    same says whether both are one.
+    """digest, keep, n, old_keep, old_n, same: the groups of digests that the batch or the snapshot has more than
+    once, or both have; same says whether the texts of both are one.
 
     known: slim(batch), where it is there already.
     """
     known = slim(batch) if known is None else known
-    new, old = grouped(known), grouped(snap.known)
-    passed = checkpoint(screen(known.select("digest").distinct(), known.count(), snap))
+    new = checkpoint(grouped(known))
+    passed = checkpoint(screen(new.select("digest"), known.count(), snap))
     n = passed.count()
+    few = size_checked(passed, n, FEW_DIGESTS)
     one, two = bucketed(batch, passed, n), bucketed(snap.docs, passed, n).withColumnRenamed("bytes", "old_bytes")
     same = one.join(two, "digest").filter(F.col("bytes") == F.col("old_bytes")).select("digest", F.lit(True).alias("same"))
-    both = new.join(old.select("digest", F.col("keep").alias("old_keep"), F.col("n").alias("old_n")), "digest", "full_outer")
-    return both.join(same, "digest", "left").withColumn("same", F.coalesce("same", F.lit(False)))
+    both = new.join(few, "digest", "left_semi").join(snap.groups.join(few, "digest", "left_semi"), "digest")
+    both = checkpoint(both.join(same, "digest", "left").withColumn("same", F.coalesce("same", F.lit(False))))
+    met = size_checked(both.select("digest"), n, FEW_DIGESTS)
+    alone = new.filter("n > 1").join(met, "digest", "left_anti").unionByName(snap.groups.filter("old_n > 1").join(met, "digest", "left_anti"), allowMissingColumns=True)
+    return both.unionByName(alone.withColumn("same", F.lit(False)))
 
 
 def decided(docs: DataFrame, old) -> DataFrame:
@@ -133,11 +139,13 @@ def decided(docs: DataFrame, old) -> DataFrame:
     rows = slim(docs, "old")
     snap = snapshot(docs.filter("old"), rows.filter("old"))
     groups = dedup(docs.filter("not old"), snap, rows.filter("not old"))
-    size = F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))
-    met = join_hot(rows, checkpoint(groups.withColumn("size", size)), "digest")
-    keep = F.when(F.col("same"), F.greatest("keep", "old_keep")).when(F.col("old"), F.col("old_keep")).otherwise(F.col("keep"))
-    n = F.when(F.col("same"), F.col("size")).when(F.col("old"), F.col("old_n")).otherwise(F.col("n"))
-    met = met.withColumns({"_keep": keep, "group_size": n})
+    groups = checkpoint(groups.withColumn("size", F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))))
+    n = groups.count()
+    met = rows.join(F.broadcast(groups), "digest", "left") if n <= FEW_DIGESTS else join_hot(rows, groups, "digest")
+    itself = F.struct("doc_id", "mark")
+    keep = F.when(F.col("same"), F.greatest("keep", "old_keep")).when(F.col("old"), F.coalesce("old_keep", itself)).otherwise(F.coalesce("keep", itself))
+    size = F.when(F.col("same"), F.col("size")).when(F.col("old"), F.coalesce("old_n", F.lit(1))).otherwise(F.coalesce("n", F.lit(1)))
+    met = met.withColumns({"_keep": keep, "group_size": size})
     return met.select("doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("mark") == F.col("_keep.mark")).alias("kept"), "digest")
 
 

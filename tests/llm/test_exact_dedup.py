@@ -70,6 +70,26 @@ def test_only_what_the_filters_let_pass_brings_its_text(spark, docs, monkeypatch
     assert nothing.filter("same").count() == 0
 
 
+def test_only_digests_that_pass_meet_the_snapshot(spark, docs, monkeypatch):
+    """The groups that come out of the join with the snapshot: as many as digests that passed and are there, whatever the sizes."""
+    df = docs([(k, f"t{k}") for k in range(400)] + [(k, f"T{k % 10}") for k in range(400, 440)])
+    snap = snapshot(df.filter("doc_id < 300"))
+    groups = dedup(df.filter("doc_id >= 300"), snap)
+    assert groups.filter("old_n is not null and n is not null").count() == 10 and groups.count() == 10  # of 400 digests
+    seen = []
+    monkeypatch.setattr(exact_dedup, "screen", lambda digests, rows, snap: seen.append(digests.count()) or digests.limit(0))
+    groups = dedup(df.filter("doc_id >= 300"), snap)
+    assert seen == [110] and groups.filter("old_n is not null and n is not null").count() == 0
+    assert sorted(r.n for r in groups.collect()) == [4] * 10  # duplicates within the batch are grouped apart
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_many_groups_are_looked_up_by_shuffle(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "FEW_DIGESTS", few)
+    got = decided(docs([(k, f"t{k % 30}") for k in range(90)]), F.expr("doc_id < 40")).collect()
+    assert {(r.doc_id % 30, r.keep_id, r.group_size) for r in got} == {(k, 60 + k, 3) for k in range(30)} and sum(r.kept for r in got) == 30
+
+
 def test_equal_digests_of_other_bytes_are_not_the_same(spark, docs, monkeypatch):
     monkeypatch.setattr(exact_dedup, "digested", lambda docs: docs.withColumn("bytes", F.lower("text")).withColumn("digest", F.lit(b"0" * 32)))
     got = decided(docs([(1, "a"), (2, "b"), (3, "b")]), F.expr("doc_id = 1")).collect()
