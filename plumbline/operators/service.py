@@ -29,6 +29,18 @@ def fair_claim(jobs: DataFrame, tenant: str, order: list[str], active: DataFrame
     return j.orderBy(*order).limit(claims).drop("_turn", "running")
 
 
+def claim_oldest(jobs: DataFrame, tenant: str, order: list[str], active: DataFrame, cap: int, claims: int, look: int = 100) -> DataFrame:
+    """What `claims` claimers take one after another, each the first of the `look` oldest queued jobs whose tenant has
+    less than `cap` active ones. A job that is passed over stays one of the oldest: after `look` such jobs nothing is
+    found any more. Only the `look` + `claims` oldest can matter, and only those go through one task."""
+    oldest = jobs.orderBy(*order).limit(look + claims)
+    turn = F.row_number().over(Window.partitionBy(tenant).orderBy(*order)) + F.coalesce("running", F.lit(0))
+    fits = oldest.join(active, tenant, "left").withColumn("_fits", turn <= cap)
+    queue = Window.orderBy(*order)
+    fits = fits.withColumns({"_passed": F.sum((~F.col("_fits")).cast("int")).over(queue), "_taken": F.sum(F.col("_fits").cast("int")).over(queue)})
+    return fits.filter("_fits").filter((F.col("_passed") < look) & (F.col("_taken") <= claims)).drop("running", "_fits", "_passed", "_taken")
+
+
 def lease_state(events: DataFrame, key: str, order: list[str], kind: str, ts: str, lease: int) -> DataFrame:
     """Folds each key's events in order: a lease is given when there is none or it has run out, and
     raises the generation; it is used up only while it runs. Adds generation, leased, used at the end.

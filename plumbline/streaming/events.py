@@ -23,10 +23,17 @@ def stream(spark: SparkSession, path: str, like: DataFrame, ts: str = "ts") -> D
 
 
 def run(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs to the end of the input into a table in memory."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs to the end of the input. The results go to a table of Parquet files beside the checkpoint: appended, or in
+    other modes the rows of each batch (of the last one, if complete)."""
+    spark, path = df.sparkSession, f"{checkpoint.rstrip('/')}-{name}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        # Named by the batch: one that is done again takes its own place.
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n if mode != 'complete' else 0}")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/batch=*")
 
 
 def hourly_limit(events: DataFrame, tenant: str, ts: str, most: int, width: str = "1 hour", slide: str = "10 minutes") -> DataFrame:
