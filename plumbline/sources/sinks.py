@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import html_escape
+from plumbline.sources.commits import append_unique, publish
+
+__all__ = ["append_unique", "publish"]
 
 
 def report(scores: DataFrame, items: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,30 +48,6 @@ def text_summary(df: DataFrame, score: str, done: Column) -> DataFrame:
     return df.withColumn("summary", line)
 
 
-def append_unique(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends rows to an append-only table; a key that is in it, or twice in df, is an error."""
-    from plumbline.operators.evidence import duplicates
-
-    spark = df.sparkSession
-    if duplicates(df, keys).take(1):
-        raise ValueError(f"repeated {keys}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) and df.join(spark.read.parquet(path).select(*keys), keys, "left_semi").take(1):
-        raise ValueError(f"{keys} exists")
-    df.write.mode("append").parquet(path)
-
-
-def publish(df: DataFrame, path: str, digest: str = "sha256") -> DataFrame:
-    """Rows whose digest isn't in the table yet are added, one folder for each first two digits."""
-    spark = df.sparkSession
-    new = df.dropDuplicates([digest]).withColumn("prefix", F.substring(F.regexp_replace(digest, "^sha256:", ""), 1, 2))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        new = new.join(spark.read.parquet(path).select(digest), digest, "left_anti")
-    new.write.mode("append").partitionBy("prefix").parquet(path)
-    return spark.read.parquet(path)
-
-
 def snapshots(stream: DataFrame, path: str, checkpoint: str, board):
     """Appends board(batch) with the batch's number after every micro-batch; a repeated batch overwrites itself."""
 

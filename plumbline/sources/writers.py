@@ -1,10 +1,8 @@
-"""Binary writers: PNG of a raster, packages with fixed metadata, the accepted head of a chain."""
+"""Binary writers: PNG of a raster, packages with fixed metadata."""
 
 from __future__ import annotations
 
 import io
-import json
-import os
 import re
 import struct
 import xml.etree.ElementTree as ET
@@ -65,15 +63,3 @@ def resolved_packages(part: DataFrame, understood: frozenset[str] = frozenset())
         return pd.DataFrame([{"package_id": key[0], "content": out.getvalue()}])
 
     return part.filter("problem is null").groupBy("package_id").applyInPandas(write, "package_id string, content binary")
-
-
-def accept_head(path: str, chain: str, sequence: int, sha256: str) -> None:
-    """Driver-side state of the accepted head: never lower, never another hash for one sequence; atomic."""
-    old = json.load(open(path)) if os.path.exists(path) else {}
-    if (now := old.get(chain)) and (sequence < now["sequence"] or sequence == now["sequence"] and sha256 != now["sha256"]):
-        raise ValueError("rollback" if sequence < now["sequence"] else "fork")
-    with open(f"{path}.new", "w") as f:
-        json.dump(old | {chain: {"sequence": sequence, "sha256": sha256}}, f, sort_keys=True)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.new", path)

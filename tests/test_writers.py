@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_package import NS, deck
 
 from plumbline.operators import selectors as S
-from plumbline.sources import package, writers
+from plumbline.sources import commits, package, writers
 
 
 def test_resolved_packages_are_the_same_bytes(spark):
@@ -26,11 +26,11 @@ def test_png_and_heads(spark, tmp_path):
     got = writers.difference_images(spark.createDataFrame([(1, [0, 1, 2, 3], [0, 2, 2, 30])], "key long, a array<int>, b array<int>"), 2).first()
     assert bytes(got.image) == writers.png(np.array([[0, 10], [0, 255]], np.uint8)) and bytes(got.image).startswith(b"\x89PNG")
     path = str(tmp_path / "heads.json")
-    writers.accept_head(path, "c", 2, "x")
-    writers.accept_head(path, "c", 3, "y")
+    commits.accept_head(path, "c", 2, "x")
+    commits.accept_head(path, "c", 3, "y")
     for n, sha in ((2, "x"), (3, "z")):
         with pytest.raises(ValueError):
-            writers.accept_head(path, "c", n, sha)
+            commits.accept_head(path, "c", n, sha)
 
 
 def test_affected_slides(spark):
