@@ -89,7 +89,38 @@ def tenant_scope(spark, sf):
 
 TENANT = "select c_custkey, c_name, lower(c_mktsegment) as segment from customer where c_nationkey = 3 and lower(c_mktsegment) = 'furniture'"
 
+def fact_differences(spark, sf):
+    """Orders as nested attestations against changed ones: every difference by its path, types included."""
+    from plumbline.operators import facts
+
+    o = load(spark, sf, "orders")
+    k, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    other = lambda n, a, b: F.when(k % n == 0, b).otherwise(a)
+
+    def document(versions, binaries, limits):
+        return F.to_json(F.struct(F.struct(*versions).alias("versions"), F.array(*binaries).alias("binaries"), F.struct(*limits).alias("limits")))
+
+    binary = lambda name, sha: F.struct(name.alias("name"), F.struct(sha.alias("sha256")).alias("digest"))
+    left = document([F.col("o_orderpriority").alias("python"), F.when(k % 5 > 0, F.col("o_orderstatus")).alias("a/b")], [binary(F.lit("clock"), text("o_custkey")), binary(F.lit("font"), text("o_orderkey"))], [(F.col("o_custkey") % 4).alias("cpu"), F.lit(True).alias("network")])
+    right = document([other(7, F.col("o_orderpriority"), F.lit("other")).alias("python"), F.when(k % 3 > 0, F.col("o_orderstatus")).alias("a/b")], [binary(F.lit("clock"), other(11, text("o_custkey"), F.lit("x")))], [(F.col("o_custkey") % 4).cast("string").alias("cpu"), other(13, F.lit(True), F.lit(False)).alias("network")])
+    both = o.select("o_orderkey", left.alias("l"), right.alias("r"))
+    return facts.differences(facts.flat(both, ["o_orderkey"], "l"), facts.flat(both, ["o_orderkey"], "r"), ["o_orderkey"])
+
+
+FACTS = """
+with o as (select o_orderkey, o_orderkey % 7 as a, o_orderkey % 5 > 0 as lb, o_orderkey % 3 > 0 as rb, o_orderkey % 11 as c, o_orderkey % 13 as d, o_orderpriority as p, o_orderstatus as s, o_custkey::varchar as k, (o_custkey % 4)::varchar as cpu from orders)
+select o_orderkey, '/versions/python' as path, 'value' as difference, 'string' as left_type, p as left_value, 'string' as right_type, 'other' as right_value from o where a = 0
+union all select o_orderkey, '/versions/a~1b', 'missing', 'string', s, null, null from o where lb and not rb
+union all select o_orderkey, '/versions/a~1b', 'unexpected', null, null, 'string', s from o where rb and not lb
+union all select o_orderkey, '/binaries/0/digest/sha256', 'value', 'string', k, 'string', 'x' from o where c = 0
+union all select o_orderkey, '/binaries/1/name', 'missing', 'string', 'font', null, null from o
+union all select o_orderkey, '/binaries/1/digest/sha256', 'missing', 'string', o_orderkey::varchar, null, null from o
+union all select o_orderkey, '/limits/cpu', 'type', 'integer', cpu, 'string', cpu from o
+union all select o_orderkey, '/limits/network', 'value', 'boolean', 'true', 'boolean', 'false' from o where d = 0"""
+
+
 QUERIES = {
+    "fact_differences": (fact_differences, FACTS),
     "runtime_freeze": (runtime_freeze, FREEZE),
     "review_digests": (review_digests, REVIEWS),
     "assertion_rows": (assertion_rows, ASSERTIONS),
