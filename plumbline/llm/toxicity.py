@@ -7,7 +7,8 @@ Unseen spellings are scored by the n-grams they share. Stretches of clean traini
 further clean examples, as short texts are noisier. Where 0.5 lies is learned as well: models of
 each half of the training rows score the other half, and the bias moves to the best F1 of these.
 
-Training reads about SAMPLE[y] rows of label y, chosen by the hash of the id. Scoring reads whole
+Training reads about SAMPLE[y] rows of label y, chosen by the hash of the id; the three models are trained in
+three tasks, and the driver gets their weights only. Scoring reads whole
 texts: once trained, the model is one weight for each bucket.
 
 Null, empty and wordless texts get the score of the bias alone, or 0 if no row is labelled.
@@ -23,12 +24,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import WORD_BYTES, crc_mod_column, documents, slices, text_bytes
+from plumbline.llm.common import WORD_BYTES, checkpoint, crc_mod_column, documents, slices, text_bytes
 from plumbline.llm.ngrams import gram_hashes
 
 BITS, LENGTHS, DIM = 16, (3, 4, 5), 8
@@ -64,10 +66,9 @@ def one_text(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def examples(rows: DataFrame, label: str) -> DataFrame:
-    """half (by the hash of the text), label, buckets and counts (as bytes) of each text, and of
-    stretches of those labelled 0, whose half is 2 or 3."""
+    """half (by the hash of the text), label and text, and stretches of those labelled 0, whose half is 2 or 3."""
 
-    def bags(batches):
+    def stretched(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 more = []
@@ -81,10 +82,9 @@ def examples(rows: DataFrame, label: str) -> DataFrame:
                         size = rng.randint(4, 60)
                         at = rng.randrange(max(1, len(words) - size))
                         more.append((2 + seed % 2, 0, " ".join(words[at : at + size])))
-                at, n = zip(*(bag(text) for _, _, text in more), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in more], pa.int32()), pa.array([m for _, m, _ in more], pa.int32()), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], names=["half", "label", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in more], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))], names=["half", "label", "text"])
 
-    return rows.select("text", F.col(label).cast("int").alias(label)).mapInArrow(bags, "half int, label int, buckets binary, counts binary")
+    return rows.select("text", F.col(label).cast("int").alias(label)).mapInArrow(stretched, "half int, label int, text string")
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -155,28 +155,39 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float(z[order[k]] + z[order[min(k + 1, len(y) - 1)]]) / 2
 
 
-def train(found: list, epochs: int = EPOCHS) -> Model:
-    """found: (half, label, buckets, counts) rows, in any order."""
-    found = sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in found)
-    half, y = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), -30.0 if not len(y) else 20.0 * (2 * int(y[0]) - 1))
-    bags = [(np.frombuffer(at, np.uint32), np.frombuffer(n, np.float32)) for _, _, at, n in found]
-    model = joint(bags, y, epochs)
-    z = np.zeros(len(y))
-    for side in (0, 1):
-        mine, rest = np.flatnonzero(half % 2 != side), np.flatnonzero(half == side)
-        if len(np.unique(y[mine])) < 2 or not y[rest].any():
-            return model  # too few rows to learn where to cut
-        z[rest] = logits(joint([bags[k] for k in mine], y[mine], epochs), [bags[k] for k in rest])
-    return Model(model.weights, model.bias - best_cut(z[half < 2], y[half < 2]))
+WHOLE = -1
+
+
+def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One of the three models: of all examples, or of those outside a half, which it then scores (z, y).
+    Half, label and text of all examples are given. Nothing for a half that is too small to learn where to cut."""
+    side, bags = key[0], [bag(text) for text in rows["text"]]
+    order = sorted(range(len(bags)), key=lambda k: (rows["half"][k], rows["label"][k], bags[k][0].tobytes(), bags[k][1].tobytes()))
+    half, y, bags = rows["half"].to_numpy(np.int64)[order], rows["label"].to_numpy(np.int64)[order], [bags[k] for k in order]
+    mine, rest = np.flatnonzero((half % 2 != side) | (side == WHOLE)), np.flatnonzero(half == side)
+    model, z = Model(np.zeros(BUCKETS, np.float32), 20.0 * (2 * int(y[0]) - 1)), []
+    if y.min() != y.max():
+        if side != WHOLE and (len(np.unique(y[mine])) < 2 or not y[rest].any()):
+            return pd.DataFrame(columns=["side", "weights", "bias", "z", "y"])
+        model = joint([bags[k] for k in mine], y[mine], EPOCHS)
+        z = logits(model, [bags[k] for k in rest]).tolist() if len(rest) else []
+    return pd.DataFrame([{"side": side, "weights": model.weights.tobytes() if side == WHOLE else b"", "bias": model.bias, "z": z, "y": y[rest].tolist()}])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learns from labelled rows; the caller leaves out what must be held out."""
     few = chosen(labels.filter(f"doc_id is not null and {label} in (0, 1)").select("doc_id", label).distinct(), label)
-    # The sample's size bounds what is broadcast.
-    return train(examples(one_text(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "doc_id", label), label).collect())
+    # The sample's size bounds what is broadcast, and what a task trains on.
+    rows = examples(one_text(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "doc_id", label), label)
+    # Three partitions, a model for each (hashes of -1, 0 and 1 differ by 3): left to itself Spark puts small groups into one task.
+    each = checkpoint(rows).withColumn("side", F.explode(F.array(*map(F.lit, (WHOLE, 0, 1))))).repartition(3, "side")
+    found = {r.side: r for r in each.groupBy("side").applyInPandas(train, "side int, weights binary, bias double, z array<double>, y array<int>").collect()}
+    if WHOLE not in found:
+        return Model(np.zeros(BUCKETS, np.float32), -30.0)
+    weights, bias = np.frombuffer(bytes(found[WHOLE].weights), np.float32), found[WHOLE].bias
+    z, y = (np.array([v for side in (0, 1) if side in found for v in found[side][k]]) for k in ("z", "y"))
+    cut = best_cut(z, y.astype(np.int64)) if 0 in found and 1 in found and len(z) else 0.0
+    return Model(weights, bias - cut)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
