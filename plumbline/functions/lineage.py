@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's spark.checkpoint.dir. A local session without that setting
-    gets a folder of its own; a cluster must name one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    A local session without that setting gets a folder of its own; a cluster must name one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
@@ -18,4 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
