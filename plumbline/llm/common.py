@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import cut as checkpoint
+from plumbline.functions.lineage import shared_folder
+
+__all__ = ["checkpoint", "shared_folder"]
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Runs of anything but the six ASCII white-space characters.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -26,27 +30,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir.
-
-    A local session without that setting gets a folder of its own; a cluster must name one.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="plumbline-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def crc_mod(doc_id, modulus: int) -> int:
     """crc32 of the id as text, null as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
