@@ -23,12 +23,15 @@ select label, run_a, round(min(score), 6) as minimum, count(*) as pairs, groupin
 
 
 def matrix_completeness(spark, sf):
-    """Whether every label has n (n - 1) / 2 pairs in a matrix that lacks those of a sum divisible by 400."""
-    e = load(spark, sf, "embeddings").select("vec_id", "label")
-    a, b = e.select("label", F.col("vec_id").alias("a")), e.select("label", F.col("vec_id").alias("b"))
-    p = a.join(b, "label").filter("a < b and (a + b) % 400 <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("pairs"))
-    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("runs"))
-    return n.join(p, "label", "left").select("label", "runs", F.coalesce("pairs", F.lit(0)).alias("pairs"), (F.coalesce("pairs", F.lit(0)) == F.expr("runs * (runs - 1) div 2")).alias("complete"))
+    """Whether every label has n (n - 1) / 2 pairs in a matrix that lacks those of a sum divisible by 400.
+
+    What is lacking is counted by residues: a runs meet those of 400 - a, and runs of 0 and 200 each other.
+    """
+    r = load(spark, sf, "embeddings").groupBy("label", F.expr("vec_id % 400").alias("r")).agg(F.count(F.lit(1)).alias("c"))
+    other = r.select("label", F.expr("(400 - r) % 400").alias("r"), F.col("c").alias("d"))
+    lost = F.when(F.col("r") % 200 == 0, F.expr("c * (c - 1) div 2")).when(F.col("r") < 200, F.expr("c * coalesce(d, 0)")).otherwise(0)
+    g = r.join(other, ["label", "r"], "left").groupBy("label").agg(F.sum("c").alias("runs"), F.sum(lost).alias("lost"))
+    return g.select("label", "runs", F.expr("runs * (runs - 1) div 2 - lost").alias("pairs"), (F.col("lost") == 0).alias("complete"))
 
 
 COMPLETENESS = """
