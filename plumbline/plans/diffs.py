@@ -28,16 +28,16 @@ from a join b on a.l_orderkey = b.l_orderkey and a.ordinal = b.ordinal where l_q
 
 
 def positional_diff(spark, sf):
-    """Customers' F orders against their O orders by position; the tails are unmatched."""
+    """Customers' F orders against their other orders by position; the tails are unmatched."""
     o = load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    side = lambda s: o.filter(F.col("o_orderstatus") == s).withColumn("position", F.row_number().over(w)).select("o_custkey", "position", "o_orderpriority")
-    return D.tree_diff(side("F"), side("O"), ["o_custkey", "position"], ["o_orderpriority"])
+    side = lambda finished: o.filter((F.col("o_orderstatus") == "F") == finished).withColumn("position", F.row_number().over(w)).select("o_custkey", "position", "o_orderpriority")
+    return D.tree_diff(side(True), side(False), ["o_custkey", "position"], ["o_orderpriority"])
 
 
 POSITIONAL_DIFF = """
-with o as (select *, row_number() over (partition by o_custkey, o_orderstatus order by o_orderdate, o_orderkey)::int as position from orders),
-f as (select * from o where o_orderstatus = 'F'), g as (select * from o where o_orderstatus = 'O')
+with o as (select *, row_number() over (partition by o_custkey, o_orderstatus = 'F' order by o_orderdate, o_orderkey)::int as position from orders),
+f as (select * from o where o_orderstatus = 'F'), g as (select * from o where o_orderstatus <> 'F')
 select coalesce(f.o_custkey, g.o_custkey) as o_custkey, coalesce(f.position, g.position) as position,
  case when g.o_orderkey is null then 'missing' when f.o_orderkey is null then 'unexpected' else 'changed' end as change_type,
  case when g.o_orderkey is null or f.o_orderkey is null then '' else 'o_orderpriority' end as changed_fields

@@ -160,15 +160,16 @@ select p_partkey, path, depth, (row_number() over (partition by p_partkey // 4,
 
 
 def dup_detection(spark, sf):
-    """Byte duplicate, duplicate after normalization (letters and digits only), or clear."""
-    d = load(spark, sf, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("raw"), F.sha2(F.regexp_replace(F.lower(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" !"))).otherwise(F.col("text"))), "[ .,!?\n]+", ""), 256).alias("norm"), F.col("doc_id") % 11 == 0)
+    """Byte duplicate, duplicate after normalization (letters and digits only), or clear; null texts are empty ones."""
+    d = load(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.sha2("text", 256).alias("raw"), F.sha2(F.regexp_replace(F.lower(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" !"))).otherwise(F.col("text"))), "[ .,!?\n]+", ""), 256).alias("norm"), F.col("doc_id") % 11 == 0)
     r = d.groupBy("raw").agg(F.count(F.lit(1)).alias("n_raw"))
     n = d.groupBy("norm").agg(F.count(F.lit(1)).alias("n_norm"))
     return d.join(r, "raw").join(n, "norm").select("doc_id", F.when(F.col("n_raw") > 1, "byte_duplicate").when(F.col("n_norm") > 1, "normalized_duplicate").otherwise("clear").alias("decision"))
 
 
 DUP = """
-with d as (select doc_id, sha256(text) as raw, sha256(regexp_replace(lower(case when doc_id % 11 = 0 then text || ' !' else text end), '[ .,!?\n]+', '', 'g')) as norm from documents where text is not null)
+with t as (select doc_id, coalesce(text, '') as text from documents),
+d as (select doc_id, sha256(text) as raw, sha256(regexp_replace(lower(case when doc_id % 11 = 0 then text || ' !' else text end), '[ .,!?\n]+', '', 'g')) as norm from t)
 select doc_id, case when count(*) over (partition by raw) > 1 then 'byte_duplicate' when count(*) over (partition by norm) > 1 then 'normalized_duplicate' else 'clear' end as decision from d"""
 
 

@@ -48,8 +48,8 @@ select conv_id, length(text)::int as n_chars, contains(text, 'the') and not cont
 
 
 def rule_hash_match(spark, sf):
-    """Asset = first document of each language; a deck (source) passes if any of its media has the hash."""
-    media = load(spark, sf, "documents").filter("text is not null").select("source", "lang", "doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("sha"))
+    """Asset = first document of each language; a deck (source) passes if any of its media has the hash; null texts are empty ones."""
+    media = load(spark, sf, "documents").select("source", "lang", "doc_id", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"))
     wanted = media.groupBy("lang").agg(F.min_by("sha", "doc_id").alias("want"))
     decks = media.groupBy("source").agg(F.count(F.lit(1)).alias("n_media"))
     met = media.join(wanted.select("want"), F.col("sha") == F.col("want"), "left_semi").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("sha")), ",").alias("found"))
@@ -57,7 +57,7 @@ def rule_hash_match(spark, sf):
 
 
 HASH_MATCH = """
-with m as (select source, lang, doc_id, 'sha256:' || sha256(text) as sha from documents where text is not null),
+with m as (select source, lang, doc_id, 'sha256:' || sha256(coalesce(text, '')) as sha from documents),
 w as (select arg_min(sha, doc_id) as want from m group by lang),
 f as (select source, string_agg(distinct sha, ',' order by sha) as found from m where sha in (select want from w) group by source)
 select source, count(*) as n_media, any_value(found) is not null as passed, coalesce(any_value(found), '') as found from m left join f using (source) group by source"""

@@ -206,7 +206,25 @@ SINGLE = """
 with e as (select *, (props::json ->> '$.k')::int as nonce, first_value(event_id) over (partition by user_id, (props::json ->> '$.k')::int order by ts, event_id) as used_by from events)
 select event_id, used_by from e where event_id <> used_by"""
 
+def claim_oldest(spark, sf):
+    """What 300 claimers take from the queue of views: of the 100 oldest the first whose user has less than 2 purchases and claims."""
+    e = load(spark, sf, "events")
+    active = e.filter("event_type = 'purchase'").groupBy("user_id").agg((F.count(F.lit(1)) % 3).alias("running"))
+    return S.claim_oldest(e.filter("event_type = 'view'"), "user_id", ["ts", "event_id"], active, 2, 300).select("event_id", "user_id")
+
+
+#: One claim after another: a state of the queue's place, what was passed over and what was taken.
+CLAIM_OLDEST = """
+with recursive a as (select user_id, count(*) % 3 as running from events where event_type = 'purchase' group by 1),
+q as (select row_number() over (order by ts, event_id) as k, event_id, user_id, coalesce(running, 0) as running from events left join a using (user_id) where event_type = 'view'),
+s(k, passed, taken, who, fits) as (select 0::bigint, 0::bigint, 0::bigint, []::bigint[], false
+  union all select q.k, passed + (not f)::bigint, taken + f::bigint, case when f then list_append(who, q.user_id::bigint) else who end, f
+  from (select s.*, q.k as n, q.running + len(list_filter(s.who, lambda x: x = q.user_id)) < 2 as f from s join q on q.k = s.k + 1) s join q on q.k = s.n where passed < 100 and taken < 300)
+select event_id, user_id from s join q using (k) where fits and passed < 100"""
+
+
 QUERIES = {
+    "claim_oldest": (claim_oldest, CLAIM_OLDEST),
     "rate_limit_hour": (rate_limit_hour, RATE),
     "month_quota": (month_quota, MONTH),
     "windows_7d": (windows_7d, WINDOWS),

@@ -11,15 +11,17 @@ from plumbline.sources import load, units
 
 
 def parity_tokens(spark, sf):
-    """Hard tokens of turns 0 and 2 of a conversation are the same; the texts differ."""
-    c = load(spark, sf, "conversations").filter("turn in (0, 2)").withColumn("tokens", F.array_join(F.array_sort(F.regexp_extract_all("text", F.lit("[0-9]+|[A-Z][a-z]?"), F.lit(0))), " "))
-    g = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("tokens"))).alias("a"), F.max(F.when(F.col("turn") == 2, F.col("tokens"))).alias("b"), F.count_distinct("text").alias("texts"), F.count(F.lit(1)).alias("n"))
-    return g.select("conv_id", F.col("a").eqNullSafe(F.col("b")).alias("same_tokens"), (F.col("texts") == F.col("n")).alias("distinct_texts"))
+    """Whether every turn of a conversation and the turn two later have the same hard tokens, and whether their texts differ."""
+    c = load(spark, sf, "conversations").select("conv_id", "turn", "text", F.array_join(F.array_sort(F.regexp_extract_all("text", F.lit("[0-9]+|[A-Z][a-z]?"), F.lit(0))), " ").alias("tokens"))
+    later = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("other"), F.col("tokens").alias("other_tokens"), F.lit(True).alias("there"))
+    both = c.join(later, ["conv_id", "turn"], "left")
+    return both.select("conv_id", "turn", F.when(F.col("there"), F.col("tokens").eqNullSafe(F.col("other_tokens"))).alias("same_tokens"), F.when(F.col("there"), ~F.col("text").eqNullSafe(F.col("other"))).alias("texts_differ"))
 
 
 PARITY = """
-with c as (select *, array_to_string(list_sort(regexp_extract_all(text, '[0-9]+|[A-Z][a-z]?')), ' ') as tokens from conversations where turn in (0, 2))
-select conv_id, max(tokens) filter (where turn = 0) is not distinct from max(tokens) filter (where turn = 2) as same_tokens, count(distinct text) = count(*) as distinct_texts from c group by 1"""
+with c as (select conv_id, turn, text, array_to_string(list_sort(regexp_extract_all(text, '[0-9]+|[A-Z][a-z]?')), ' ') as tokens from conversations)
+select a.conv_id, a.turn, case when b.conv_id is not null then a.tokens is not distinct from b.tokens end as same_tokens, case when b.conv_id is not null then a.text is distinct from b.text end as texts_differ
+from c a left join c b on a.conv_id = b.conv_id and b.turn = a.turn + 2"""
 
 
 def code_blocks(spark, sf):
