@@ -5,10 +5,10 @@ words how far the search may move on before any window could end there, `buckets
 that ends a window the windows by their first word, and those are compared word by word. Blocks
 that end in no window are skipped, so that about one word in m - 1 is looked at.
 
-Test strings are read in blocks of items of about ITEM_BYTES of text. One block's tables are on
-an executor at a time, so their memory doesn't grow with the benchmark. With several blocks the
-documents are written once, each under a number of its own, and read by every block, which gives
-only the hits of the documents that have some; these add up by number.
+A benchmark of up to ITEM_BYTES of text is on every executor as such tables. A larger one is a table of
+windows: executors hold its shifts by the hash of a block and a bitmap of the hashes of windows, both of
+bounded size, and one pass over the documents gives the places that neither rules out. These meet the
+windows of their hash in a join, and the words decide. Hits add up by a number that each row has.
 
 A null or wordless text has no words and no hits. Items without words or without an id never
 occur; rows that repeat an item_id are one item. Repeated documents are separate rows. Empty
@@ -18,7 +18,10 @@ tables give no rows, or no hits. Other columns are passed on; those named like r
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from plumbline.llm.common import WORD_BYTES, checkpoint, documents, size_checked
 
 WINDOW = 10
 ITEM_BYTES = 1 << 20
+#: Bits of a block's hash in the shifts of a large benchmark (a byte for each), and of a window's hash in its bitmap.
+SHIFT_BITS, WINDOW_BITS = 22, 27
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -101,10 +106,8 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 RESULTS = T.StructType().add("n_words", "long").add("hit_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("hit_items", T.ArrayType(T.StringType()))
 
 
-def searched(docs: DataFrame, held, only: str | None = None) -> DataFrame:
-    """docs with the results for one block of items. held: its tables, broadcast; without any, words are
-    counted. only: the one column to keep, and then only of rows with a hit."""
-    kept = [f for f in docs.schema.fields if only in (None, f.name)]
+def searched(docs: DataFrame, held) -> DataFrame:
+    """docs with the results. held: the benchmark's tables, broadcast; without any, words are counted."""
 
     def search(batches):
         found = held.value if held is not None else []
@@ -118,10 +121,93 @@ def searched(docs: DataFrame, held, only: str | None = None) -> DataFrame:
                     spans.append([{"start": s, "end": e} for s, e in merged])
                     names.append(ids)
                 made = [pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(names, pa.list_(pa.string()))]
-                out = pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *made], names=[*(f.name for f in kept), *RESULTS.names])
-                yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if only else out
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *RESULTS.names])
 
-    return docs.mapInArrow(search, T.StructType([*kept, *RESULTS]))
+    return docs.mapInArrow(search, T.StructType([*docs.schema.fields, *RESULTS]))
+
+
+def hash_of(words: list[bytes]) -> int:
+    return int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest())
+
+
+@dataclass(frozen=True)
+class Filters:
+    """For windows of m words: shifts by the hash of a block, and which hashes windows have."""
+
+    m: int
+    shifts: np.ndarray
+    known: np.ndarray
+
+    def places(self, words: list[bytes]):
+        """(start, hash) of the windows that may be of the benchmark."""
+        m, block = self.m, min(2, self.m)
+        end, n = m, len(words)
+        while end <= n:
+            if step := int(self.shifts[hash_of(words[end - block : end]) >> (64 - SHIFT_BITS)]):
+                end += step
+                continue
+            key = hash_of(words[end - m : end])
+            place = key >> (64 - WINDOW_BITS)
+            if self.known[place >> 3] >> (place & 7) & 1:
+                yield end - m, key
+            end += 1
+
+
+WINDOWS = "m int, key long, words binary, item string, slots array<int>, steps array<int>"
+
+
+def windows(ids: DataFrame, width: int) -> DataFrame:
+    """Every window of every item: its length, hash (signed), words, item, and the slots of its blocks with their shifts."""
+
+    def cut(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                item, words = batch.column("item")[k].as_py(), words_of(batch.column("text")[k].as_py())
+                m = min(width, len(words))
+                block, rows = min(2, m), []
+                for at in range(len(words) - m + 1 if m else 0):
+                    w = words[at : at + m]
+                    slots = [hash_of(w[end - block : end]) >> (64 - SHIFT_BITS) for end in range(block, m + 1)]
+                    rows.append((m, hash_of(w), b" ".join(w), item, slots, [m - end for end in range(block, m + 1)]))
+                for at in range(0, len(rows), 10_000):
+                    part = list(zip(*rows[at : at + 10_000], strict=True))
+                    keys = np.array(part[1], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(keys), *(pa.array(part[c], kind) for c, kind in ((2, pa.binary()), (3, pa.string()), (4, pa.list_(pa.int32())), (5, pa.list_(pa.int32()))))], names=["m", "key", "words", "item", "slots", "steps"])
+
+    return ids.mapInArrow(cut, WINDOWS)
+
+
+def filters(found: DataFrame) -> list[Filters]:
+    """Of each length of windows. What comes to the driver is bounded by the bits of the hashes, for each of at most `width` lengths."""
+    out = []
+    for (m,) in found.select("m").distinct().orderBy("m").collect():
+        mine = found.filter(F.col("m") == m)
+        shifts = np.full(1 << SHIFT_BITS, m - min(2, m) + 1, np.uint8 if m < 256 else np.int32)
+        least = mine.select(F.explode(F.arrays_zip("slots", "steps")).alias("x")).groupBy("x.slots").agg(F.min("x.steps").alias("step")).toArrow()
+        shifts[least["slots"].to_numpy()] = least["step"].to_numpy()
+        mine = mine.select(F.shiftrightunsigned("key", 64 - WINDOW_BITS).alias("place"))
+        bits = mine.groupBy(F.shiftright("place", 5).alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(place % 32)))").alias("bits")).toArrow()
+        known = np.zeros(1 << (WINDOW_BITS - 5), np.uint32)
+        known[bits["at"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+        out.append(Filters(m, shifts, known.view(np.uint8)))
+    return out
+
+
+def candidates(marked: DataFrame, held, mark: str) -> DataFrame:
+    """mark, m, key, start and words of the windows of documents that the filters let pass: one pass."""
+
+    def search(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for n, text in zip(part.column(mark).to_pylist(), part.column("text").to_pylist(), strict=True):
+                    words = words_of(text)
+                    rows += [(n, f.m, key, start, b" ".join(words[start : start + f.m])) for f in held.value for start, key in f.places(words)]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                keys = np.array(cols[2], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(keys, pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=[mark, "m", "key", "start", "words"])
+
+    return marked.select(mark, "text").mapInArrow(search, f"{mark} long, m int, key long, start long, words binary")
 
 
 def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -131,23 +217,15 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, item_bytes: int
     (mark,) = unused(docs, "_mark")
     ids = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = ids.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // item_bytes))
-
-    def block(k: int):
-        """Tables of a bounded part of the benchmark: items by the hash of their id."""
-        mine = ids if blocks == 1 else ids.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        return spark.sparkContext.broadcast(tables([(r.item, r.text) for r in mine.distinct().toLocalIterator()], width))
-
-    if blocks == 1:
-        return searched(docs, block(0))
+    if total <= item_bytes:
+        return searched(docs, spark.sparkContext.broadcast(tables([(r.item, r.text) for r in ids.distinct().collect()], width)))
     marked = checkpoint(docs.withColumn(mark, F.monotonically_increasing_id()))
-    found = None
-    for k in range(blocks):
-        held = block(k)
-        some = checkpoint(searched(marked.select(mark, "text"), held, mark).drop("n_words"))
-        held.unpersist()
-        found = some if found is None else found.unionByName(some)
-    every = found.groupBy(mark).agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    found = checkpoint(windows(ids, width))
+    held = spark.sparkContext.broadcast(filters(found))
+    known = found.select("m", "key", "words", "item").distinct()
+    hits = candidates(marked, held, mark).join(known, ["m", "key", "words"])
+    span = F.struct(F.col("start"), (F.col("start") + F.col("m")).alias("end"))
+    every = hits.groupBy(mark).agg(F.collect_set(span).alias("hit_spans"), F.array_sort(F.collect_set("item")).alias("hit_items"))
 
     def joined(batches):
         for batch in batches:

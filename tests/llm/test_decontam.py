@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from plumbline.llm import decontam
 from plumbline.llm.decontam import hits, scan, tables
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -35,6 +36,27 @@ def test_hits_and_items_as_by_brute_force(spark, docs, prose, odd):
         assert sorted(str((r.n_words, sum(s.end - s.start for s in r.hit_spans), list(r.hit_items))) for r in got) == want
 
 
+def test_one_pass_for_a_benchmark_of_any_size(spark, docs, prose, monkeypatch):
+    """With 50 times the items that executors hold as tables, texts are searched once, and few places meet the windows."""
+    items = [(k, prose(60, 7000 + k, 3000)) for k in range(100)]
+    rows = [(k, prose(400, k, 3000) + (" " + items[k][1] if k % 10 == 0 else "")) for k in range(100)]
+    asked, places = [], []
+    whole = decontam.candidates
+
+    def candidates(marked, held, mark):
+        out = whole(marked, held, mark)
+        asked.append(mark)
+        places.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontam, "candidates", candidates)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    got = {r.doc_id: list(r.hit_items) for r in scan(docs(rows), bench, item_bytes=size // 50).collect()}
+    assert got == {k: [str(k)] if k % 10 == 0 else [] for k in range(100)}
+    assert len(asked) == 1 and 510 <= places[0] < 520  # 51 windows of ten documents, of 40 000 places
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert scan(docs([]), none).count() == 0
