@@ -92,9 +92,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents."""
+    """The stages in order over documents. Each is written to a folder of its own, which goes when the next
+    one is there; that of the last stays, and is what is returned."""
     docs, folder = load(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if last:
+            files.delete(path(last), True)
+        last = f"{folder}/{k}-{name}"
     return docs
