@@ -1,5 +1,7 @@
+import glob
 import hashlib
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +9,8 @@ import pytest
 from test_mixing import fill
 
 import corpus_pipeline as pipeline
-from plumbline.llm import mixing, sharding
+from plumbline.llm import sharding
+from plumbline.llm.common import shared_folder
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,13 +62,10 @@ def mixed(rows):
         by["~" if s is None else "=" + s].append((hashlib.md5(f"{i}:{size(t)}".encode()).hexdigest(), i, size(t)))
     sizes = {s: sum(n for *_, n in v) for s, v in by.items()}
     target = fill(sizes, {s: k % 3 + 1 for k, s in enumerate(sorted(by))}, sum(sizes.values()))
-    assert sum(sizes.values()) < mixing.SLOTS  # blocks of one word
     out = {}
     for s, v in by.items():
         walk = sorted(v)
-        goal = round(target[s])
-        if target[s] >= mixing.FINE:
-            goal = min(slots(target, s, sum(sizes.values())), 3 * sizes[s])
+        goal = math.floor(target[s] + 0.5)
         for _, i, n in walk:
             out[i] = 0
         at, taken = 0, Counter()
@@ -78,19 +78,11 @@ def mixed(rows):
     return out
 
 
-def slots(target, source, words):
-    """How many of the golden-ratio points fall to a source, at most three passes."""
-    goal = {s: math.floor(t + 0.5) for s, t in sorted(target.items())}
-    edge, before, total = {}, 0, sum(goal.values())
-    for s, n in goal.items():
-        edge[s] = before / total, (before + n) / total
-        before += n
-    lo, hi = edge[source]
-    return sum(lo <= math.modf((k + 0.5) * mixing.GOLDEN)[0] < hi for k in range(words))
-
-
 def test_run(spark, small):
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*"))
     got = pipeline.run(spark, small)
+    (made,) = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*")) - before
+    assert os.listdir(made) == ["4-shards"]  # a stage goes when the next one is written
     assert got.count() > 100 and {"doc_id", "text", "shard"} <= set(got.columns)
 
 
