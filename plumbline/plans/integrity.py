@@ -97,7 +97,7 @@ def content_models(spark, sf):
 _WHOLE, _BEGUN = {"F": "A*N?R{0,2}", "O": "[ANR]{2,}", "P": "[AR]{1,3}N+R?"}, {"F": "A*N?R{0,2}", "O": "[ANR]*", "P": "[AR]{0,3}|[AR]{1,3}N+R?"}
 _MODEL = "case when o_orderkey % 50 = 7 then 'Q' else o_orderstatus end"
 CONTENT_SQL = f"""
-c as (select l_orderkey, string_agg(l_returnflag, '' order by l_linenumber, l_partkey) as s from lineitem group by 1),
+c as (select l_orderkey, string_agg(l_returnflag, '' order by l_linenumber, l_partkey, l_returnflag) as s from lineitem group by 1),
 e as (select o_orderkey, o_custkey, o_orderpriority, {_MODEL} as model, coalesce(s, '') as s, o_totalprice > 300000 as big, o_custkey % 3 > 0 as clerk from orders left join c on l_orderkey = o_orderkey),
 k as (select e.*, n from e, lateral (select max(i) as n from range(0, length(s) + 1) r(i) where case model {' '.join(f"when '{m}' then regexp_full_match(left(s, i::int), '{p}')" for m, p in _BEGUN.items())} end)),
 f as (select *, n < length(s) as bad, left(s, n::int) as ok, case model {' '.join(f"when '{m}' then regexp_full_match(s, '{p}')" for m, p in _WHOLE.items())} end as fine from k),
