@@ -7,10 +7,11 @@ fragment by itself and summed per pair, and histograms of the fragments bound th
 1. Equal sets are one class; one document stands for it, the others aren't compared.
 2. The global order puts shingles that are common in a bounded sample of documents last and
    otherwise goes by hash. Any order gives the same links; this one keeps common phrases out.
-3. Two linked sets share a shingle among the first n - ceil(t n) + 1 of both (prefix). Prefix
-   shingles are dealt by hash. Those of up to FEW documents give their pairs, as far as sizes and
-   places in the order allow.
-4. Documents with a more frequent prefix shingle are compared once more among themselves: with
+3. Two linked sets share SHARED shingles (all they need to, if that is fewer) among the first
+   n - ceil(t n) + SHARED of both (prefix). Prefix shingles are dealt by hash. A document meets the
+   next FEW at most of those that have a shingle too and that its size and place in the order
+   allow; pairs that meet often enough are candidates. One shared by chance makes none.
+4. Documents that a shingle would bring together with more are compared once more among themselves: with
    exact frequencies, rarest first, so that copies that differ in many places share nothing.
    Here a shingle links all its documents to one centre first. Pairs that are in different
    components after that are compared too, within the same bounds, in blocks of a shingle's
@@ -20,8 +21,9 @@ fragment by itself and summed per pair, and histograms of the fragments bound th
    group, and the group sums the overlaps of all its pairs fragment by fragment. Only a number for
    each document leaves it. A component of m different sets costs m * m / 2 overlaps.
 
-A map task that sees one shingle more than FEW times sends a mark instead of its rows, so that a
-shingle of very many documents is not one task's work. Classes of over HOT rows are joined by
+A map task that sees one shingle more than FEW times sends a mark instead of its rows, and from MANY
+rows on a shingle's documents are only marked, so that a shingle of very many documents is not one
+task's work. Classes of over HOT rows are joined by
 broadcast (there are at most rows / HOT).
 
 Rows, not ids, are linked. Null, empty and wordless texts have an empty set, are linked with nothing
@@ -47,6 +49,10 @@ from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
 FEW = 96
+#: Prefix shingles that the documents of a candidate pair share.
+SHARED = 3
+#: Documents of one shingle beyond which none are compared by it.
+MANY = 1 << 16
 FRAGMENTS = 8
 BINS = 64  # a power of two
 SAMPLE_DOCS = 32_768
@@ -91,7 +97,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 def prefix_of(h: np.ndarray, percent: int, common, maybe: np.ndarray) -> np.ndarray:
     """The first shingles of a sorted set in the global order: hashes, common ones last by frequency."""
     often, count = common
-    p = len(h) - least_overlap(len(h), percent) + 1 if len(h) else 0
+    p = len(h) - least_overlap(len(h), percent) + SHARED if len(h) else 0
     last = np.flatnonzero(maybe[(h & np.uint64(len(maybe) - 1)).astype(np.int64)])
     if len(last):
         at = np.minimum(np.searchsorted(often, h[last]), len(often) - 1)
@@ -124,7 +130,7 @@ def possible(n_a, at_a, n_b, at_b, percent: int, least=F.least):
 
 
 def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
-    """a, b: pairs of documents (a < b) with a common prefix shingle that few have, within the
+    """a, b: pairs of documents (a < b) with common prefix shingles that few have, within the
     bounds of sizes and places; or a document a with a frequent one, where b is null.
 
     held: the common shingles, broadcast.
@@ -160,27 +166,40 @@ def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
 
     def gather(batches):
         def meet(key, node, place):
-            """Pairs and frequent documents of whole runs of keys."""
+            """Pairs, with the shingles they share and need, and frequent documents of whole runs of keys."""
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
-            often = (size > FEW) | (np.minimum.reduceat(place, first) < 0)
-            rows = np.repeat(often, size)
-            frequent = node[rows & (place >= 0)]
+            often = np.minimum.reduceat(place, first) < 0
+            frequent = node[np.repeat(often, size) & (place >= 0)]
             rows = np.repeat(~often & (size > 1), size)
             run, node, n, at = np.repeat(np.arange(len(first)), size)[rows], node[rows], place[rows] >> 32, place[rows] & 0xFFFFFFFF
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d in range(1, FEW):
-                m = len(node) - d
-                if m <= 0 or not (same := run[:m] == run[d:]).any():
+            order = np.lexsort((n, run))
+            run, node, n, at = (x[order] for x in (run, node, n, at))
+            at -= SHARED - 1  # so many shared shingles may stand before
+            # A document's run by sizes, up to the last that may be linked with it.
+            most = ((100 + percent) * (n - at) - percent * n) // percent
+            here, last = np.arange(len(n)), np.searchsorted((run << 32) + n, (run << 32) + np.clip(most, 0, 0xFFFFFFFF), "right")
+            beyond, far = np.zeros(len(n) + 1, np.int64), np.flatnonzero(last > here + 1 + FEW)
+            np.add.at(beyond, far + 1 + FEW, 1)
+            np.add.at(beyond, last[far], -1)
+            frequent = np.concatenate([frequent, node[far], node[np.cumsum(beyond[:-1]) > 0]])
+            found, i = [np.zeros((0, 3), np.int64)], here
+            for d in range(1, FEW + 1):
+                i = i[last[i] > i + d]
+                if not len(i):
                     break
-                same &= (node[:m] != node[d:]) & possible(n[:m], at[:m], n[d:], at[d:], percent, np.minimum)
-                a.append(np.minimum(node[:m], node[d:])[same])
-                b.append(np.maximum(node[:m], node[d:])[same])
-            return np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0), frequent
+                j = i + d
+                same = (node[i] != node[j]) & possible(n[i], at[i], n[j], at[j], percent, np.minimum)
+                x, y = i[same], j[same]
+                found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(SHARED, -(-percent * (n[x] + n[y]) // (100 + percent)))], 1))
+            pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            return np.column_stack([pairs, times]), frequent
 
         def out(pairs, frequent):
             frequent = np.unique(frequent)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], frequent])), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(frequent), pa.int64())])], names=["a", "b"])
+            none = np.zeros(len(frequent), np.int64)
+            b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(frequent), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], frequent])), b, *(pa.array(np.concatenate([pairs[:, k], none])) for k in (2, 3))], names=["a", "b", "needs", "shares"])
 
         held, closed = None, None  # rows of a run that may go on; the key of one known to be frequent
         for batch in batches:
@@ -192,14 +211,14 @@ def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
             more = key == closed if closed is not None else np.zeros(len(key), bool)
             frequent.append(node[more & (place >= 0)])
             key, node, place = (x[~more] for x in (key, node, place))
-            held, pairs = None, np.zeros((0, 2), np.int64)
+            held, pairs = None, np.zeros((0, 4), np.int64)
             if len(key):
                 tail = int(np.searchsorted(key, key[-1]))
                 if tail:
                     pairs, f = meet(key[:tail], node[:tail], place[:tail])
                     frequent.append(f)
                 held = tuple(x[tail:] for x in (key, node, place))
-                if len(held[0]) > FEW or held[2].min() < 0:
+                if len(held[0]) > MANY or held[2].min() < 0:
                     frequent.append(held[1][held[2] >= 0])
                     held, closed = None, key[-1]
             yield out(pairs, np.concatenate(frequent))
@@ -207,7 +226,8 @@ def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
             yield out(*meet(*held))
 
     keys = docs.mapInArrow(spread, "key long, node long, place long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "a long, b long")
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "a long, b long, needs long, shares long")
+    return met.groupBy("a", "b").agg(F.max("needs").alias("needs"), F.sum("shares").alias("shares")).filter("shares >= needs").select("a", "b")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -312,7 +332,7 @@ class Links:
 def linked(docs: DataFrame, width: int, percent: int) -> Links:
     """Links among docs (node, text), which has every set once."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
-    found = checkpoint(candidates(docs, width, percent, held).distinct())
+    found = checkpoint(candidates(docs, width, percent, held))
     often = checkpoint(found.filter("b is null").select(F.col("a").alias("node")))
     pairs = found.filter("b is not null")
     sets = sets_of(docs, found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct(), width)

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import common, jaccard
@@ -134,3 +135,16 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_empty(spark, docs):
     assert jaccard.join(docs([]), 3, 90).count() == 0
+
+
+@pytest.mark.parametrize("few,grow", [(4, 1.25), (96, 1)])
+def test_one_shared_phrase_makes_no_candidates(spark, monkeypatch, few, grow):
+    """Documents of other sizes, or with one frequent shingle in common, aren't compared any further."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 0)  # the sample misses it
+    phrases = [f"a{k} b c" for k in range(500)]
+    first = [int(h[0]) for h in shingle_sets(pa.array(phrases), 3)]
+    phrase = phrases[first.index(min(first))]  # in the prefix of every document
+    rows = [(i, " ".join([phrase, *(f"w{i}x{k}" for k in range(int(40 * grow**i)))])) for i in range(12)]
+    found = jaccard.linked(spark.createDataFrame(rows, "node long, text string"), 3, 90)
+    assert found.often.count() == found.sets.count() == found.pairs.count() == 0
