@@ -20,8 +20,13 @@ def tree_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list[s
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Keys of either side without the other: keys, side."""
-    l, r = left.select(*on).distinct(), right.select(*on).distinct()  # noqa: E741
+    """Keys of either side without the other: keys, side.
+
+    Keys shrink much in a shuffle, and partitions merged by their size there would hold very many in
+    memory; so their number is set, by the session.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l, r = (df.select(*on).repartition(parts, *on).distinct() for df in (left, right))  # noqa: E741
     return l.join(r, on, "left_anti").withColumn("side", F.lit("missing")).unionByName(r.join(l, on, "left_anti").withColumn("side", F.lit("unexpected")))
 
 
