@@ -13,8 +13,9 @@ fragment by itself and summed per pair, and histograms of the fragments bound th
    allow; pairs that meet often enough are candidates. One shared by chance makes none.
 4. Documents that a shingle would bring together with more are compared once more among themselves: with
    exact frequencies, rarest first, so that copies that differ in many places share nothing.
-   Here a shingle links all its documents to one centre first. Pairs that are in different
-   components after that are compared too, within the same bounds, in blocks of a shingle's
+   Here a shingle has one of its documents as its centre, and each document is linked first with the
+   centre that most of its shingles have, then with its others that are not in its component yet.
+   Pairs that are in different components after that are compared too, within the same bounds, in blocks of a shingle's
    documents: no link between components is lost.
 5. Links are counted where asked: those that 3 and 4 found one by one, and those between two
    documents of 4 by blocks. A component's documents are dealt into blocks, two blocks meet in one
@@ -48,7 +49,8 @@ from plumbline.llm.common import checkpoint, documents, join_hot, size_checked,
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
-FEW = 96
+#: Documents that a document meets at most by one shingle. Those of larger groups go to 4, where they cost a link or two each.
+FEW = 8
 #: Prefix shingles that the documents of a candidate pair share.
 SHARED = 3
 #: Documents of one shingle beyond which none are compared by it.
@@ -192,7 +194,10 @@ def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
                 same = (node[i] != node[j]) & possible(n[i], at[i], n[j], at[j], percent, np.minimum)
                 x, y = i[same], j[same]
                 found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(SHARED, -(-percent * (n[x] + n[y]) // (100 + percent)))], 1))
-            pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            # Two documents that both go to the second comparison meet there.
+            frequent, pairs = np.unique(frequent), np.concatenate(found)
+            pairs = pairs[~(np.isin(pairs[:, 0], frequent) & np.isin(pairs[:, 1], frequent))]
+            pairs, times = np.unique(pairs, axis=0, return_counts=True)
             return np.column_stack([pairs, times]), frequent
 
         def out(pairs, frequent):
@@ -342,9 +347,18 @@ def linked(docs: DataFrame, width: int, percent: int) -> Links:
     mine = prefixes.select(F.col("key").alias("key_m"), "node", F.col("at").alias("at_m"), F.col("n").alias("n_m"))
     near = lambda a, b: possible(F.col(f"n{a}"), F.col(f"at{a}"), F.col(f"n{b}"), F.col(f"at{b}"), percent)
     stars = mine.join(centre, (F.col("key_m") == F.col("key")) & (F.col("node") != F.col("c")) & near("_m", "_c"))
-    stars = stars.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-    links = checkpoint(verified(pairs.unionByName(stars).distinct(), sets, percent))
+    stars = checkpoint(stars.groupBy("node", "c").agg(F.count(F.lit(1)).alias("shares")))
+    ends = lambda df: df.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    first = stars.groupBy("node").agg(F.max_by("c", F.struct("shares", "c")).alias("c"))
+    links = checkpoint(verified(pairs.unionByName(ends(first)).distinct(), sets, percent))
     roots = components(links)
+    later = stars.join(first, ["node", "c"], "left_anti")
+    for side in ("node", "c"):
+        later = later.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    later = checkpoint(ends(later.filter(F.coalesce("root_node", "node") != F.coalesce("root_c", "c"))))
+    if later.take(1):
+        links = checkpoint(links.unionByName(verified(later.join(links, ["a", "b"], "left_anti"), sets, percent)))
+        roots = components(links)
 
     # Pairs of frequent shingles whose documents are still in different components, by blocks.
     placed = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

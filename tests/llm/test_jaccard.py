@@ -91,6 +91,23 @@ def test_words_that_polynomials_confuse(spark, docs, n):
     assert found(spark, docs, rows, 3, 90) == brute(rows, 3, 90)
 
 
+def group_of(m, prose):
+    """m near copies of one text, each with one word changed."""
+    w = prose(120, 7, 5000).split()
+    return [(k, " ".join([*w[: k % 100 + 10], f"own{k}", *w[k % 100 + 11 :]])) for k in range(m)]
+
+
+@pytest.mark.parametrize("m", [60, 240])
+def test_comparisons_grow_with_a_group_not_with_its_square(spark, prose, monkeypatch, m):
+    """Rows that leave the runs of shingles, and pairs that are compared, for each document of one group."""
+    compared, whole = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *more: compared.append(pairs.count()) or whole(pairs, *more))
+    docs = spark.createDataFrame(group_of(m, prose), "node long, text string")
+    found = jaccard.linked(docs, 3, 90)
+    assert found.roots.select("root").distinct().count() == 1 and found.roots.count() == m - 1
+    assert sum(compared) <= 20 * m
+
+
 def test_very_long_near_copies(spark, docs):
     text = " ".join(f"w{k * 7919 % 1_000_003}" for k in range(2_400_000))
     got = jaccard.join(docs([(1, text), (2, f"{text} more"), (3, "other words of one text")]), 3, 90).collect()
