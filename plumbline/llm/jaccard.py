@@ -5,7 +5,7 @@ order is cut into FRAGMENTS ranges of hashes; a candidate pair's overlap is coun
 fragment by itself and summed per pair, and histograms of the fragments bound the overlap before.
 
 1. Equal sets are one class; one document stands for it, the others aren't compared.
-2. The global order puts shingles that are common in a bounded sample of documents last and
+2. The global order puts shingles that are common in a sample of documents (one of eight) last and
    otherwise goes by hash. Any order gives the same links; this one keeps common phrases out.
 3. Two linked sets share SHARED shingles (all they need to, if that is fewer) among the first
    n - ceil(t n) + SHARED of both (prefix). Prefix shingles are dealt by hash. A document meets the
@@ -57,7 +57,9 @@ SHARED = 3
 MANY = 1 << 16
 FRAGMENTS = 8
 BINS = 64  # a power of two
-SAMPLE_DOCS = 32_768
+#: So many of SAMPLE_OF documents are sampled, at every size: with a sample of fixed size, ever fewer shingles of a
+#: group are known as common as the table grows, and more rows for each document are left to count and compare.
+SAMPLE_DOCS, SAMPLE_OF = 4096, 32_768
 SAMPLE_COMMON = 2
 MOST_COMMON = 1_000_000
 #: Ids that are broadcast at most; more are shuffled.
@@ -78,9 +80,8 @@ def least_overlap(n, percent: int):
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least SAMPLE_COMMON of about SAMPLE_DOCS documents, and how many have them."""
-    rows = docs.count()
-    few = docs.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < min(1.0, SAMPLE_DOCS / max(1, rows)) * (1 << 30)).select("text")
+    """Shingles of at least SAMPLE_COMMON documents of the sample, the MOST_COMMON at most, and how many have them."""
+    few = docs.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE_OF)) < SAMPLE_DOCS).select("text")
 
     def tally(batches):
         for batch in batches:
@@ -313,7 +314,7 @@ def rare_first(sets: DataFrame, nodes: DataFrame, held, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "s", "n")), pa.array([len(x) for x, _ in parts], pa.int64()), pa.array([x.view(np.int64) for _, x in parts], pa.list_(pa.int64()))], names=["node", "s", "n", "rest", "late"])
 
     mine = sets.join(size_checked(nodes, nodes.count(), FEW_IDS), "node", "left_semi")
-    rows = mine.select("node", "s", "shingles").mapInArrow(count, "node long, s long, key long")
+    rows = checkpoint(mine.select("node", "s", "shingles").mapInArrow(count, "node long, s long, key long"))  # read twice
     often = rows.groupBy("key").agg(F.count_distinct("node").alias("df")).filter("df > 1")
     shared = rows.join(often, "key").groupBy("node", "s").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("shared"))
     late = mine.select("node", "s", "n", "shingles").mapInArrow(end, "node long, s long, n long, rest long, late array<long>").distinct()

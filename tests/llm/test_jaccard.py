@@ -108,6 +108,17 @@ def test_comparisons_grow_with_a_group_not_with_its_square(spark, prose, monkeyp
     assert sum(compared) <= 20 * m
 
 
+def test_as_much_of_each_group_is_known_as_common_at_every_size(spark, prose, monkeypatch):
+    """What the sample doesn't know of a group is counted row by row: no more for each group in a larger table."""
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 256)
+    monkeypatch.setattr(jaccard, "SAMPLE_OF", 512, raising=False)
+    known = []
+    for groups in (40, 400):
+        rows = [(12 * g + k, edited(prose(60, g, 10**6), 2, 12 * g + k)) for g in range(groups) for k in range(12)]
+        known.append(len(jaccard.common_shingles(spark.createDataFrame(rows, "node long, text string"), 3)[0]) / groups)
+    assert known[1] > 0.8 * known[0] > 20
+
+
 def test_very_long_near_copies(spark, docs):
     text = " ".join(f"w{k * 7919 % 1_000_003}" for k in range(2_400_000))
     got = jaccard.join(docs([(1, text), (2, f"{text} more"), (3, "other words of one text")]), 3, 90).collect()
