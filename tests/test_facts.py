@@ -26,6 +26,19 @@ def test_differences(spark):
     assert facts.differences(a, a, ["k"]).count() == 0
 
 
+def test_differences_of_a_row(spark):
+    """As by the join of both sides; nothing is shuffled or written for it."""
+    deep = {"a": [[{"b": {"c": [[1, {}]]}}]]}
+    docs = [({"v": {"x": 1, "y": "2", "z": None}, "list": [1, 2], "gone": {}}, {"v": {"x": "1", "y": "3", "z": None}, "list": [1, 2, 3], "new": False}), (deep, {"a": [[{"b": {"c": [[2, []]]}}]]}), ({"q": 'a"}{[\\'}, {"q": 'a"}{[\\', "": [None]}), ([], {})]
+    rows = [(k, json.dumps(a), json.dumps(b)) for k, (a, b) in enumerate(docs)] + [(10, None, "1"), (11, "1", None), (12, "{bad", "[1]"), (13, None, None), (14, "{bad", "[bad")]
+    df = spark.createDataFrame(rows, "k long, l string, r string")
+    got = facts.row_differences(df, ["k"], "l", "r")
+    want = facts.differences(facts.flat(df, ["k"], "l"), facts.flat(df, ["k"], "r"), ["k"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 13
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_typed_fields(spark):
     df = spark.createDataFrame([('{"a": {"b": "7", "c": 3}}',), ('{"a": 1}',), ("{",)], "doc string")
     got = facts.typed(df, "doc", {"b": ("$.a.b", "string"), "c": ("$.a.c", "int")})
