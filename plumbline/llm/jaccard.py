@@ -39,7 +39,6 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,19 +143,20 @@ def candidates(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
         maybe = np.zeros(1 << 22, bool)  # quick test by 22 bits
         maybe[(common[0] & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, node, place = [], [], batch.column("node").to_numpy(), []
             for part in slices(batch, "text", SLICE):
                 for h in shingle_sets(part.column("text"), width):
-                    keys.append(prefix_of(h, percent, common, maybe))
-                    sizes.append(len(h))
-            length = np.array([len(k) for k in keys], np.int64)
+                    # A set's size and the place in it share a number; -1 marks a shingle as frequent, -2
+                    # a document that has a frequent one.
+                    keys.append(prefix_of(h, percent, common, maybe).copy())  # not the whole set is kept
+                    sizes.append(len(keys[-1]))
+                    place.append((len(h) << 32) + np.arange(sizes[-1]))
             key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            node = np.repeat(batch.column("node").to_numpy(), length)
-            # A set's size and the place in it share a number; -1 marks a shingle as frequent, -2
-            # a document that has a frequent one.
-            place = (np.repeat(np.array(sizes, np.int64), length) << 32) + np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+            place = np.concatenate(place) if keys else np.zeros(0, np.int64)
+            del keys
             order = np.argsort(key, kind="stable")
-            key, node, place = key[order], node[order], place[order]
+            key, node, place = key[order], np.repeat(node, np.array(sizes, np.int64))[order], place[order]
+            del order
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(first, len(key)))
             many = np.repeat(size > FEW, size)
@@ -264,7 +264,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = checkpoint(pairs.filter(enough(bound)).select(*names).distinct())
 
     def fragments(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "shingles", SLICE)):
             node, mark, f, part = [], [], [], []
             for k, s, blob in zip(batch.column("node").to_pylist(), batch.column("s").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 h = np.frombuffer(blob, np.uint64)
@@ -302,14 +302,14 @@ def rare_first(sets: DataFrame, nodes: DataFrame, held, percent: int) -> DataFra
         return h[~same], late[: len(h) - least_overlap(len(h), percent) + 1]
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "shingles", SLICE)):
             parts = [cut(np.frombuffer(x, np.uint64))[0] for x in batch.column("shingles").to_pylist()]
             size = np.array([len(x) for x in parts], np.int64)
             wide = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("node", "s")]
             yield pa.RecordBatch.from_arrays([*wide, pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))], names=["node", "s", "key"])
 
     def end(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "shingles", SLICE)):
             parts = [cut(np.frombuffer(x, np.uint64)) for x in batch.column("shingles").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "s", "n")), pa.array([len(x) for x, _ in parts], pa.int64()), pa.array([x.view(np.int64) for _, x in parts], pa.list_(pa.int64()))], names=["node", "s", "n", "rest", "late"])
 
@@ -426,6 +426,8 @@ def counted(members: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), "node", "size", "shingles")
 
     def count(group):
+        import pandas as pd  # here only, as it takes memory in every worker that loads it
+
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
         node, size = group["node"].to_numpy(), group["size"].to_numpy()
         n = np.array([len(h) for h in sets])

@@ -26,7 +26,8 @@ from plumbline.llm.ngrams import counts
 
 BITS, LENGTHS = 12, (2, 3)
 SAMPLE_ROWS = 2000
-SLICE = 1 << 20
+#: Bytes and rows of a slice. A row of features has 2**BITS numbers however short its text is.
+SLICE, SLICE_ROWS = 1 << 19, 128
 UNKNOWN = "und"
 #: Languages that are learned at most: the most frequent ones.
 MOST_LANGS = 100
@@ -118,13 +119,14 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     each = max(1, rows // max(1, len(n)))
     if not n:
         return train(np.zeros((0, (1 << BITS) + 1), np.float32), [])
-    share = known.sparkSession.createDataFrame([(r[0], each / r[1]) for r in n], "lang string, _share double")
+    # As an Arrow table: rows of Python objects would start further Python workers on the executors.
+    share = known.sparkSession.createDataFrame(pa.table({"lang": pa.array([r[0] for r in n], pa.string()), "_share": pa.array([each / r[1] for r in n], pa.float64())}))
     few = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select("doc_id", "lang", "text")
     few = one_text(few, "doc_id", "lang")
 
     def bags(batches):
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SLICE, SLICE_ROWS):
                 x = features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def named(batches):
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SLICE, SLICE_ROWS):
                 langs, score = predict(held.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "lang_score"])
 
